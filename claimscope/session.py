@@ -17,9 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
         return path
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="claimscope-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="claimscope-checkpoint-")
 
 
 def cut(df: DataFrame) -> DataFrame:
