@@ -96,9 +96,8 @@ def average_rank(value: str, by: list[str]) -> Column:
 def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks for ties; 0 where a side is constant."""
     r = rows.select(*by, average_rank(x, by).alias("rx"), average_rank(y, by).alias("ry"))
-    c = F.corr("rx", "ry")
-    flat = (F.max("rx") == F.min("rx")) | (F.max("ry") == F.min("ry"))
-    return r.groupBy(*by).agg(F.when(flat, 0.0).otherwise(c).alias("rho"), F.count("*").alias("n"))
+    c = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))
+    return r.groupBy(*by).agg(F.coalesce(c, F.lit(0.0)).alias("rho"), F.count("*").alias("n"))
 
 
 def screen_features(rows: DataFrame, features: list[str], target: str, least: int = 10) -> DataFrame:
