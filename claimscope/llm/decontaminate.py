@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimscope.llm.hashing import few_rows
+
 ERROR_RATE, SHORT, BLOCK_CHARS = 0.05, 40, 4_000_000
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -120,7 +122,7 @@ def _matcher(items: tuple, error_rate: float, short: int) -> Matcher:
 def _scan(shared, error_rate: float, short: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(shared.value, error_rate, short)
-        for batch in batches:
+        for batch in few_rows(batches):
             ids, nos, distances = [], [], []
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 for no, distance in matcher.find(normalise(text)).items():

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _BASE, _GRAM = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, dtype=bool)
@@ -61,7 +62,14 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix64(g)
 
 
-def chunks(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small slices, so that Python holds few texts at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+def chunks(texts: list[str | None], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``limit`` characters each; one longer text is a range of its own."""
     lo = size = 0
     for i, t in enumerate(texts):

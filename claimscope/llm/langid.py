@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimscope.llm.hashing import chunks
+from claimscope.llm.hashing import chunks, few_rows
 
 FIT_ROWS, BUCKETS, MAX_LANGUAGES, SWITCH, FLOOR = 2_000, 1 << 16, 1_000, 16.0, 8.0
 _TOP = 0x30000  # letters above it are not told apart
@@ -142,7 +142,7 @@ def word_scores(model: Model, w: Words) -> np.ndarray:
 def _predict(shared, switch: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = batch.column("text").to_pylist()
             out: list[tuple] = []
             for lo, hi in chunks(texts):

@@ -8,8 +8,9 @@ their weighted Jaccard similarity. Signatures are banded (24 bands of 5), candid
 
 Work is linear in hot groups: exact copies collapse first (aggregation by content fingerprint); a bucket of up to
 ``SMALL`` texts compares all its pairs; a larger one compares its members with one leader, the member with the largest buckets overall. After
-the components of these links, members of large buckets that are still apart from others are compared too, where their whole
-signatures agree enough (``AGREE`` of 120; a pair at 0.8 falls below it about twice in 100,000). No cap, no sample.
+the components of these links, members of large buckets that are still apart from others are compared too, each pair in its first
+common bucket only, where two signatures agree enough: ``AGREE`` of the 120 coordinates and ``AGREE_MORE`` of 200 more. A pair at
+0.8 falls below either about once in 5,000; such pairs are often joined by others of their class. No cap, no sample.
 
 Defined cases: null or empty text, or white space only, is a class of its own; null doc_id rows are left out; repeated doc_ids
 count once; an empty table gives no rows.
@@ -25,13 +26,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimscope.llm.hashing import chunks, gram_hashes, mix64, word_hashes
+from claimscope.llm.hashing import chunks, few_rows, gram_hashes, mix64, word_hashes
 from claimscope.operators.graph import connected_components
 from claimscope.session import cut
 
-SHINGLE, BANDS, ROWS, SMALL, AGREE = 5, 24, 5, 8, 78
-K = BANDS * ROWS
-_DARTS = K * (np.log(K) + 5)
+SHINGLE, BANDS, ROWS, SMALL = 5, 24, 5, 8
+K, K_MORE = BANDS * ROWS, 200
+AGREE, AGREE_MORE = 78, 140
 _FIRST = 2.0**-8  # width of the first rank cell; each further cell doubles the rank
 _UNIT = np.uint64(0xA24BAED4963EE407)
 
@@ -74,7 +75,8 @@ def _poisson_thresholds(area: float) -> np.ndarray:
 
 
 def _throw(doc: np.ndarray, unit: np.ndarray, theta: np.ndarray, best: np.ndarray) -> None:
-    """Keep in ``best`` (docs x K, packed rank and dart id) the earliest dart per coordinate below rank theta[doc]."""
+    """Keep in ``best`` (docs x coordinates, packed rank and dart id) the earliest dart per coordinate below rank theta[doc]."""
+    k = best.shape[1]
     lo, hi, cell, limit = 0.0, _FIRST, 0, theta[doc]
     while True:
         reach = np.flatnonzero(limit > lo)
@@ -93,16 +95,16 @@ def _throw(doc: np.ndarray, unit: np.ndarray, theta: np.ndarray, best: np.ndarra
         dart, who, rank = dart[ok], who[ok], rank[ok]
         again = mix64(dart)
         packed = (rank.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | (again >> np.uint64(32))
-        np.minimum.at(best.reshape(-1), doc[who] * K + (again & np.uint64(0xFFFFFFFF)).astype(np.int64) % K, packed)
+        np.minimum.at(best.reshape(-1), doc[who] * k + (again & np.uint64(0xFFFFFFFF)).astype(np.int64) % k, packed)
         lo, hi, cell = hi, hi * 2, cell + 1
 
 
-def signatures(doc: np.ndarray, unit: np.ndarray, n_docs: int) -> np.ndarray:
-    """(n_docs, K) int32 signature values; documents without units keep zeros."""
+def signatures(doc: np.ndarray, unit: np.ndarray, n_docs: int, k: int = K) -> np.ndarray:
+    """(n_docs, k) int32 signature values; documents without units keep zeros."""
     none = np.iinfo(np.uint64).max
-    best = np.full((n_docs, K), none, dtype=np.uint64)
+    best = np.full((n_docs, k), none, dtype=np.uint64)
     size = np.bincount(doc, minlength=n_docs)
-    theta = np.where(size > 0, _DARTS / np.maximum(size, 1), 0.0)
+    theta = np.where(size > 0, k * (np.log(k) + 5) / np.maximum(size, 1), 0.0)
     _throw(doc, unit, theta, best)
     while (open_ := (size > 0) & (best == none).any(axis=1)).any():  # a coordinate without a dart: look further
         theta = np.where(open_, theta * 2, 0.0)
@@ -116,7 +118,7 @@ def _list(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in few_rows(batches):
         ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
         for lo, hi in chunks(texts):
             doc, unit, prints = shingle_units(texts[lo:hi])
@@ -128,12 +130,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in few_rows(batches):
         ids, texts = batch.column("rep"), batch.column("text").to_pylist()
         for lo, hi in chunks(texts):
             doc, unit, _ = shingle_units(texts[lo:hi])
-            counts = np.bincount(doc, minlength=hi - lo)
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), _list(unit.view(np.int64), counts, pa.int64())], ["rep", "units"])
+            n = hi - lo
+            more = signatures(doc, mix64(unit), n, K_MORE)
+            cols = [ids.slice(lo, n), _list(unit.view(np.int64), np.bincount(doc, minlength=n), pa.int64()), _list(more.reshape(-1), np.full(n, K_MORE), pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, ["rep", "units", "more"])
 
 
 def _verified(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
@@ -164,20 +168,30 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     pairs = cut(pairs.union(star).distinct())
 
     ids = members.select("rep").distinct()
-    units = texts.withColumnRenamed("doc_id", "rep").join(ids, "rep", "left_semi").mapInArrow(_units, "rep long, units array<long>").persist(StorageLevel.DISK_ONLY)
+    units = texts.withColumnRenamed("doc_id", "rep").join(ids, "rep", "left_semi").mapInArrow(_units, "rep long, units array<long>, more array<int>").persist(StorageLevel.DISK_ONLY)
     links = cut(_verified(pairs, units, threshold))
     classes = cut(connected_components(links, "a", "b"))
 
-    # Members of large buckets in different classes: compared where whole signatures agree enough.
+    # Members of large buckets in different classes: compared where two signatures agree enough.
     apart = large.select("band", "value", "rep").join(classes, F.col("rep") == F.col("node"), "left").select("band", "value", "rep", F.coalesce("component", "rep").alias("class"))
     split = apart.groupBy("band", "value").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("band", "value")
-    apart = apart.join(split, ["band", "value"]).join(reps.select("rep", "sig"), "rep")
-    left, right = (apart.select("band", "value", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "class", "sig")]).alias(s) for s in "lr")
-    agree = F.size(F.filter(F.zip_with("sig_l", "sig_r", lambda x, y: x == y), lambda same: same))
+    detail = reps.select("rep", "sig", bands.alias("all")).join(units.select("rep", "more"), "rep")
+    apart = apart.join(split, ["band", "value"]).join(detail, "rep")
+    left, right = (apart.select("band", "value", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "class", "all", "sig", "more")]).alias(s) for s in "lr")
+    agree = lambda c: F.zip_with(f"{c}_l", f"{c}_r", lambda x, y: x == y)
+    enough = lambda c, n: F.size(F.filter(agree(c), lambda same: same)) >= n
+    first = F.array_position(agree("all"), True) == F.col("l.band") + 1
     same_bucket = (F.col("l.band") == F.col("r.band")) & (F.col("l.value") == F.col("r.value"))
-    more = left.join(right, same_bucket & (F.col("class_l") < F.col("class_r")) & (agree >= AGREE)).select(F.least("rep_l", "rep_r").alias("a"), F.greatest("rep_l", "rep_r").alias("b")).distinct()
+    more = left.join(right, same_bucket & (F.col("class_l") < F.col("class_r")) & first & enough("sig", AGREE) & enough("more", AGREE_MORE))
+    more = more.select(F.least("rep_l", "rep_r").alias("a"), F.greatest("rep_l", "rep_r").alias("b"))
     late = cut(_verified(more.join(pairs, ["a", "b"], "left_anti"), units, threshold))
-    classes = connected_components(links.select("a", "b").union(late.select("a", "b")), "a", "b")
+    if not late.isEmpty():  # join classes, not documents: a graph of few nodes
+        named = late.select("a", "b")
+        for c in ("a", "b"):
+            named = named.join(classes.withColumnRenamed("component", f"class_{c}"), F.col(c) == F.col("node"), "left").drop("node").withColumn(f"class_{c}", F.coalesce(f"class_{c}", c))
+        joined = connected_components(named, "class_a", "class_b")
+        classes = classes.union(late.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node", "left_anti").select("node", F.col("node").alias("component")))
+        classes = classes.join(joined.select(F.col("node").alias("component"), F.col("component").alias("lower")), "component", "left").select("node", F.coalesce("lower", "component").alias("component"))
 
     same_text = signed.select("doc_id", "fp1", "fp2").join(reps.select("fp1", "fp2", "rep"), ["fp1", "fp2"]).select("doc_id", "rep")
     known = same_text.join(classes, F.col("rep") == F.col("node"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))

@@ -15,7 +15,7 @@ The automata are co-located with what they are matched against instead of broadc
 broadcast of it has no bound. A bitmap of repeated minimizer hashes of at most ``MAX_BITS`` bits is broadcast as a
 filter only; what passes it by chance is dropped later, and above that size a join takes its place.
 
-Words are compared by 64-bit hashes. Defined cases: null or empty text has no words, n_words 0; documents below 13 words keep all;
+Minimizers are compared by 64-bit and words by 48-bit hashes. Defined cases: null or empty text has no words, n_words 0; documents below 13 words keep all;
 null doc_id rows are compared with no one and lose nothing; a repeated id is one document to the rule (its rows do not count as
 smaller), and each of its rows is reported; an empty table gives no rows.
 """
@@ -31,11 +31,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimscope.llm.hashing import chunks, gram_hashes, word_hashes
+from claimscope.llm.hashing import chunks, few_rows, gram_hashes, word_hashes
 
 WINDOW, GRAM = 13, 8
 GRAMS = WINDOW - GRAM + 1
-MAX_BITS, HOT, AUTOMATON_WORDS = 1 << 29, 2_048, 20_000
+WORD, MAX_BITS, HOT, AUTOMATON_WORDS = 6, 1 << 29, 2_048, 20_000
 
 
 def anchors(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -58,7 +58,7 @@ def anchors(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
+    for batch in few_rows(batches):
         ids, rows, texts = batch.column("doc_id"), batch.column("row"), batch.column("text").to_pylist()
         for lo, hi in chunks(texts):
             words, at = word_hashes(texts[lo:hi])
@@ -100,28 +100,54 @@ def _bitmap(hashes: DataFrame) -> np.ndarray | None:
     return out
 
 
-def _context(words: np.ndarray, first: np.ndarray, count: np.ndarray) -> pa.Array:
-    n = count + WINDOW - 1
-    ends = np.cumsum(n)
-    at = np.repeat(first, n) + np.arange(ends[-1] if len(n) else 0) - np.repeat(ends - n, n)
-    offsets = np.concatenate([[0], ends * 8]).astype(np.int32)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(words[at].tobytes())])
+def _context(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The words from ``first`` on, ``size`` of them, as WORD bytes each."""
+    ends = np.cumsum(size)
+    at = np.repeat(first, size) + np.arange(ends[-1] if len(size) else 0) - np.repeat(ends - size, size)
+    offsets = np.concatenate([[0], ends * WORD]).astype(np.int32)
+    data = np.ascontiguousarray(words[at].view(np.uint8).reshape(-1, 8)[:, :WORD])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
 
+def _same(words: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number that is equal for equal anchors, and the hash of every window."""
+    windows = gram_hashes(words, WINDOW)
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(windows, dtype=np.uint64)])
+    return total[first + count] - total[first] + count.astype(np.uint64), windows
 
-def _emit(shared, with_context: bool):
+
+def _places(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
         for ids, rows, words, at, doc, h, first, count in _texts(batches):
-            keep = held(h)
+            keep = shared.value(h)
             doc, h, first, count = doc[keep], h[keep], first[keep], count[keep]
-            total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(gram_hashes(words, WINDOW), dtype=np.uint64)])
-            same = total[first + count] - total[first] + count.astype(np.uint64)  # equal for equal anchors
-            names, cols = ["doc_id", "row", "h", "same"], [ids.take(pa.array(doc)), rows.take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(same.view(np.int64))]
-            if with_context:
-                names, cols = [*names, "context"], [*cols, _context(words, first, count)]
-            else:
-                names, cols = [*names, "start", "n"], [*cols, pa.array((first - at[doc]).astype(np.int32)), pa.array(count.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, names)
+            same, _ = _same(words, first, count)
+            cols = [ids.take(pa.array(doc)), rows.take(pa.array(doc)), *(pa.array(x.view(np.int64)) for x in (h, same)), *(pa.array(x.astype(np.int32)) for x in (first - at[doc], count))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "h", "same", "start", "n"])
+
+    return run
+
+
+def _references(shared, shared_hot, salts: int):
+    """Anchors of a minimizer with several wordings, once per chunk with the smallest document; split by window where there are very many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, _, words, _, doc, h, first, count in _texts(batches):
+            keep = shared.value(h)
+            h, first, count, owner = h[keep], first[keep], count[keep], ids.to_numpy(zero_copy_only=False)[doc[keep]]
+            same, windows = _same(words, first, count)
+            order = np.lexsort((owner, same, h))
+            h, same, first, count, owner = (x[order] for x in (h, same, first, count, owner))
+            once = np.ones(len(h), dtype=bool)
+            once[1:] = (h[1:] != h[:-1]) | (same[1:] != same[:-1])
+            h, same, first, count, owner = (x[once] for x in (h, same, first, count, owner))
+            pieces = np.where(shared_hot.value(h), count, 1)
+            offset = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            h, same, first, count, owner, split = (np.repeat(x, pieces) for x in (h, same, first, count, owner, shared_hot.value(h)))
+            first = first + offset
+            salt = np.where(split, 1 + (windows[first] % np.uint64(salts)).astype(np.int64), 0) if len(h) else np.zeros(0)
+            cols = [*(pa.array(x.view(np.int64)) for x in (h, same)), *(pa.array(x.astype(np.int32)) for x in (salt, offset)), _context(words, first, np.where(split, WINDOW, count + WINDOW - 1)), pa.array(owner)]
+            yield pa.RecordBatch.from_arrays(cols, ["h", "same", "salt", "offset", "context", "doc"])
 
     return run
 
@@ -195,64 +221,61 @@ class SuffixAutomaton:
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (h, salt): automata of whole groups, of about AUTOMATON_WORDS words; a group may straddle batches."""
-    held: list[tuple] = []
+    held: dict[tuple, list] = {}
     size = 0
-    names = ["h", "same", "offset", "firsts"]
 
     def flush() -> pa.RecordBatch:
         automaton = SuffixAutomaton()
-        for _, _, _, words, doc in held:
+        for words, doc in held.values():
             automaton.add(words, doc)
         automaton.close()
-        firsts = [automaton.match(words, WINDOW) for _, _, _, words, _ in held]
-        cols = [pa.array([r[i] for r in held], type=t) for i, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int32()))]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(firsts, type=pa.list_(pa.int64()))], names)
+        firsts = [automaton.match(words, WINDOW) for words, _ in held.values()]
+        cols = [pa.array([k[i] for k in held], type=t) for i, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int32()))]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(firsts, type=pa.list_(pa.int64()))], ["h", "same", "offset", "firsts"])
 
     group = None
     for batch in batches:
-        for h, salt, same, offset, context, doc in zip(*(batch.column(c).to_pylist() for c in ("h", "salt", "same", "offset", "context", "doc")), strict=True):
+        for h, same, salt, offset, context, doc in zip(*(batch.column(c).to_pylist() for c in ("h", "same", "salt", "offset", "context", "doc")), strict=True):
             if (h, salt) != group and size >= AUTOMATON_WORDS:
                 yield flush()
-                held, size = [], 0
+                held, size = {}, 0
             group = (h, salt)
-            words = np.frombuffer(context, dtype=np.int64).tolist()
-            held.append((h, same, offset, words, doc))
-            size += len(words)
+            if (known := held.get((h, same, offset))) is not None:
+                known[1] = min(known[1], doc)
+                continue
+            raw = np.zeros((len(context) // WORD, 8), dtype=np.uint8)
+            raw[:, :WORD] = np.frombuffer(context, dtype=np.uint8).reshape(-1, WORD)
+            held[h, same, offset] = [raw.view(np.int64).ravel().tolist(), doc]
+            size += len(raw)
     if held:
         yield flush()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """``row`` tells apart rows of one id with different texts."""
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
+    return docs.select("doc_id", "text", F.hash("text").alias("row"))
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, row, windows): first words of the windows to remove, for documents that have any."""
-    spark = docs.sparkSession
+    broadcast = docs.sparkSession.sparkContext.broadcast
     texts = _keyed(docs).filter("doc_id is not null and text is not null")
     repeated = texts.mapInArrow(_minimizers, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h").persist(StorageLevel.DISK_ONLY)
     bits = _bitmap(repeated)
-    found = texts.mapInArrow(_emit(spark.sparkContext.broadcast(_Filter(bits)), False), "doc_id long, row long, h long, same long, start int, n int")
+    found = texts.mapInArrow(_places(broadcast(_Filter(bits))), "doc_id long, row int, h long, same long, start int, n int")
     if bits is None:
         found = found.join(repeated, "h", "left_semi")
-    found = found.persist(StorageLevel.DISK_ONLY)
 
     kinds = found.groupBy("h", "same").agg(F.min("doc_id").alias("doc")).persist(StorageLevel.DISK_ONLY)
     several = kinds.groupBy("h").agg(F.count("*").alias("n_kinds")).filter("n_kinds > 1").persist(StorageLevel.DISK_ONLY)
     single = kinds.join(several, "h", "left_anti").select("h", "same", F.lit(0).alias("offset"), F.lit(None).cast("array<long>").alias("firsts"), "doc")
 
-    bits = _bitmap(several.select("h"))
-    context = texts.mapInArrow(_emit(spark.sparkContext.broadcast(_Filter(bits)), True), "doc_id long, row long, h long, same long, context binary")
-    reference = context.groupBy("h", "same", "context").agg(F.min("doc_id").alias("doc")).join(several, "h")
-    regular = reference.filter(F.col("n_kinds") <= HOT).select("h", F.lit(0).alias("salt"), "same", F.lit(0).alias("offset"), "context", "doc")
-    at = lambda i: F.struct(i.alias("offset"), F.substring(F.col("context"), i * 8 + 1, F.lit(WINDOW * 8)).alias("context"))
-    windows = F.transform(F.sequence(F.lit(0), (F.length("context") / 8).cast("int") - WINDOW), at)
-    hot = reference.filter(F.col("n_kinds") > HOT).withColumn("w", F.explode(windows))
-    salt = (1 + F.pmod(F.xxhash64("w.context"), F.ceil(F.col("n_kinds") * 6 / HOT))).cast("int")
-    hot = hot.select("h", salt.alias("salt"), "same", "w.offset", "w.context", "doc")
-    dealt = regular.unionByName(hot).repartition("h", "salt").sortWithinPartitions("h", "salt")
+    most = several.agg(F.max("n_kinds")).first()[0] or 0
+    filters = [broadcast(_Filter(_bitmap(x.select("h")))) for x in (several, several.filter(F.col("n_kinds") > HOT))]
+    reference = texts.mapInArrow(_references(*filters, 1 + 6 * most // HOT), "h long, same long, salt int, offset int, context binary, doc long")
+    dealt = reference.repartition("h", "salt").sortWithinPartitions("h", "salt")
     matched = dealt.mapInArrow(_match, "h long, same long, offset int, firsts array<long>").withColumn("doc", F.lit(None).cast("long"))
+    matched = matched.join(several, "h", "left_semi") if bits is None else matched
 
     judged = found.join(single.unionByName(matched), ["h", "same"])
     all_of = F.when(F.col("doc") < F.col("doc_id"), F.sequence(F.col("start"), F.col("start") + F.col("n") - 1))
@@ -263,7 +286,7 @@ def removals(docs: DataFrame) -> DataFrame:
 
 def _keep(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = []
             for text, windows in zip(batch.column("text").to_pylist(), batch.column("windows").to_pylist(), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split() if text else []
@@ -283,9 +306,24 @@ def _keep(with_text: bool):
     return run
 
 
+def _touched(shared, wanted: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.filter(pa.array(shared.value(h) == wanted)).drop_columns(["h"])
+
+    return run
+
+
 def _judged(docs: DataFrame, with_text: bool) -> DataFrame:
-    held = _keyed(docs).join(removals(docs), ["doc_id", "row"], "left").select("doc_id", "text", "windows")
-    return held.mapInArrow(_keep(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
+    """Only the texts that may lose words, by a bitmap of their keys, are shuffled to their removals."""
+    gone = removals(docs).persist(StorageLevel.DISK_ONLY)
+    key = F.xxhash64("doc_id", "row").alias("h")
+    shared = docs.sparkSession.sparkContext.broadcast(_Filter(_bitmap(gone.select(key))))
+    rows, kind = _keyed(docs).select("doc_id", "text", "row", key), "doc_id long, text string, row int"
+    lost = rows.mapInArrow(_touched(shared, True), kind).join(gone, ["doc_id", "row"], "left").select("doc_id", "text", "windows")
+    whole = rows.mapInArrow(_touched(shared, False), kind).select("doc_id", "text", F.lit(None).cast("array<int>").alias("windows"))
+    return lost.unionByName(whole).mapInArrow(_keep(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
 
 
 def report(docs: DataFrame) -> DataFrame:
