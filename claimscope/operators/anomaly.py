@@ -194,3 +194,14 @@ def ground_truth(tops: DataFrame, found: DataFrame, thresholds: list[float]) ->
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     f = lambda b: F.when(tp > 0, (1 + b * b) * tp / ((1 + b * b) * tp + b * b * fn + fp)).otherwise(0.0)
     return g.withColumn("f1", f(1)).withColumn("f2", f(2))
+
+
+def compare_detectors(triggers: DataFrame, tops: DataFrame, positive: float) -> DataFrame:
+    """By detector: clusters found, true positives (total engagement at or above ``positive``), recall over all such clusters, precision,
+    and first detections with fewer than six earlier windows (sparse) or more (mature)."""
+    first = triggers.groupBy("detector", "cluster_id").agg(F.min_by("n_prev", "timestamp").alias("n_prev"))
+    pos = F.col("total") >= positive
+    n = lambda c: F.sum(c.cast("int"))
+    everyone = tops.agg(n(pos).alias("positives"))
+    g = first.join(tops, "cluster_id").crossJoin(F.broadcast(everyone)).groupBy("detector", "positives").agg(F.count("*").alias("unique_clusters"), n(pos).alias("tp"), n(F.col("n_prev") < 6).alias("sparse"), n(F.col("n_prev") >= 6).alias("mature"))
+    return g.select("detector", "unique_clusters", "tp", F.coalesce(F.try_divide("tp", "positives"), F.lit(0.0)).alias("recall"), (F.col("tp") / F.col("unique_clusters")).alias("precision"), "sparse", "mature")
