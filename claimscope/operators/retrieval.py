@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from claimscope.functions.text import jaccard
 from claimscope.operators.graph import connected_components
@@ -95,7 +96,7 @@ def registry_figures(registry: DataFrame) -> DataFrame:
     return registry.agg(n.alias("normalizations"), m.alias("claims"), (n - m).alias("dedups"), ((n - m) / n).alias("dedup_rate"), F.avg(F.size("clusters")).alias("clusters_per_claim"))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def count_chunks(a: pd.Series, b: pd.Series) -> pd.Series:
     """Runs of consecutive words of ``a`` aligned with consecutive words of ``b``; each word takes its first free place, after the last if it can."""
 
