@@ -146,6 +146,12 @@ def w11_features(spark, sf_dir):
     return rounded(features_of(spark, sf_dir).select("cluster_id", *FEATURES))
 
 
+@query("WITH RECURSIVE" + _ALL + PSR[len(DETECTED) :] + " SELECT cluster_id, cumulative_tweets, round(growth_rate, 6) AS growth_rate, round(CAST(psr AS DOUBLE), 6) AS psr FROM feat JOIN psr USING (cluster_id)")
+def j02_features_with_psr(spark, sf_dir):
+    p = timeseries.psr(*_detected(spark, sf_dir)).select("cluster_id", "psr")
+    return rounded(features_of(spark, sf_dir).select("cluster_id", "cumulative_tweets", "growth_rate").join(p, "cluster_id"))
+
+
 def _group(name: str, cols: list[str]):
     def run(spark, sf_dir):
         return rounded(features_of(spark, sf_dir).select("cluster_id", *cols))
