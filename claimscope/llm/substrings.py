@@ -12,7 +12,7 @@ A window is 13 consecutive words. A word goes if a window that covers it also st
 4. Decisions go back to the documents by id and the covered words are removed.
 
 The automata are co-located with what they are matched against instead of broadcast: the reference grows with the corpus, and a
-broadcast of it has no bound. A bitmap of repeated minimizer hashes of at most ``MAX_BITS`` bits is broadcast as a
+broadcast of it has no bound. A bitmap of repeated minimizer hashes of at most 64 MB is broadcast as a
 filter only; what passes it by chance is dropped later, and above that size a join takes its place.
 
 Minimizers are compared by 64-bit and words by 48-bit hashes. Defined cases: null or empty text has no words, n_words 0; documents below 13 words keep all;
@@ -31,11 +31,12 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimscope.llm.bitmap import Filter, bitmap, touched
 from claimscope.llm.hashing import chunks, few_rows, gram_hashes, word_hashes
 
 WINDOW, GRAM = 13, 8
 GRAMS = WINDOW - GRAM + 1
-WORD, MAX_BITS, HOT, AUTOMATON_WORDS = 6, 1 << 29, 2_048, 20_000
+WORD, HOT, AUTOMATON_WORDS = 6, 2_048, 20_000
 
 
 def anchors(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -73,33 +74,6 @@ def _minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h[once].view(np.int64))], ["h"])
 
 
-class _Filter:
-    """Membership of hashes in a bitmap, or everything if there is none."""
-
-    def __init__(self, bits: np.ndarray | None):
-        self.bits = bits
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        if self.bits is None:
-            return np.ones(len(h), dtype=bool)
-        b = (h & np.uint64(len(self.bits) * 8 - 1)).astype(np.int64)
-        return (self.bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
-
-
-def _bitmap(hashes: DataFrame) -> np.ndarray | None:
-    """Bits of the column ``h``, 16 a hash and at most MAX_BITS; None above that. What reaches the driver is this bitmap alone."""
-    n = hashes.count()
-    size = max(1 << 20, 1 << (16 * n).bit_length())
-    if size > MAX_BITS:
-        return None
-    bit = F.col("h").bitwiseAND(F.lit(size - 1))
-    parts = hashes.select(F.shiftright(bit, 15).alias("part"), bit.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    out = np.zeros(size // 8, dtype=np.uint8)
-    for row in parts.toLocalIterator():
-        out[row.part * 4096 : row.part * 4096 + len(row.bits)] = np.frombuffer(row.bits, dtype=np.uint8)
-    return out
-
-
 def _context(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.Array:
     """The words from ``first`` on, ``size`` of them, as WORD bytes each."""
     ends = np.cumsum(size)
@@ -128,12 +102,12 @@ def _places(shared):
     return run
 
 
-def _references(shared, shared_hot, salts: int):
+def _references(known, shared, shared_hot, salts: int):
     """Anchors of a minimizer with several wordings, once per chunk with the smallest document; split by window where there are very many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, _, words, _, doc, h, first, count in _texts(batches):
-            keep = shared.value(h)
+            keep = known.value(h) & shared.value(h)
             h, first, count, owner = h[keep], first[keep], count[keep], ids.to_numpy(zero_copy_only=False)[doc[keep]]
             same, windows = _same(words, first, count)
             order = np.lexsort((owner, same, h))
@@ -252,40 +226,48 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``row`` tells apart rows of one id with different texts."""
-    return docs.select("doc_id", "text", F.hash("text").alias("row"))
+    """``row`` tells apart rows of one id with different texts, if there are any."""
+    unique = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    return docs.select("doc_id", "text", (F.lit(0) if unique else F.hash("text")).alias("row"))
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(keyed: DataFrame) -> DataFrame:
     """(doc_id, row, windows): first words of the windows to remove, for documents that have any."""
-    broadcast = docs.sparkSession.sparkContext.broadcast
-    texts = _keyed(docs).filter("doc_id is not null and text is not null")
-    repeated = texts.mapInArrow(_minimizers, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h").persist(StorageLevel.DISK_ONLY)
-    bits = _bitmap(repeated)
-    found = texts.mapInArrow(_places(broadcast(_Filter(bits))), "doc_id long, row int, h long, same long, start int, n int")
+    broadcast = keyed.sparkSession.sparkContext.broadcast
+    texts = keyed.filter("doc_id is not null and text is not null")
+    repeated = texts.mapInArrow(_minimizers, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    bits = bitmap(repeated.persist(StorageLevel.DISK_ONLY))
+    known = broadcast(Filter(bits))
+    found = texts.mapInArrow(_places(known), "doc_id long, row int, h long, same long, start int, n int")
     if bits is None:
         found = found.join(repeated, "h", "left_semi")
 
-    kinds = found.groupBy("h", "same").agg(F.min("doc_id").alias("doc")).persist(StorageLevel.DISK_ONLY)
-    several = kinds.groupBy("h").agg(F.count("*").alias("n_kinds")).filter("n_kinds > 1").persist(StorageLevel.DISK_ONLY)
-    single = kinds.join(several, "h", "left_anti").select("h", "same", F.lit(0).alias("offset"), F.lit(None).cast("array<long>").alias("firsts"), "doc")
-
-    most = several.agg(F.max("n_kinds")).first()[0] or 0
-    filters = [broadcast(_Filter(_bitmap(x.select("h")))) for x in (several, several.filter(F.col("n_kinds") > HOT))]
-    reference = texts.mapInArrow(_references(*filters, 1 + 6 * most // HOT), "h long, same long, salt int, offset int, context binary, doc long")
+    # One wording of a minimizer: its smallest document decides. Several: their anchors are matched.
+    wordings = found.groupBy("h").agg(F.min("doc_id").alias("doc"), F.min("same").alias("lo"), F.max("same").alias("hi"), F.count("*").alias("n")).persist(StorageLevel.DISK_ONLY)
+    key = lambda same: F.xxhash64("h", same).alias("key")
+    single = wordings.filter("lo = hi").select(key("lo"), F.lit(0).alias("offset"), F.lit(None).cast("array<long>").alias("firsts"), "doc")
+    several = wordings.filter("lo <> hi")
+    most = several.agg(F.max("n")).first()[0] or 0
+    filters = [broadcast(Filter(bitmap(x.select("h"), each))) for x, each in ((several, 64), (several.filter(F.col("n") > HOT), 64))]
+    reference = texts.mapInArrow(_references(known, *filters, 1 + 6 * most // HOT), "h long, same long, salt int, offset int, context binary, doc long")
     dealt = reference.repartition("h", "salt").sortWithinPartitions("h", "salt")
-    matched = dealt.mapInArrow(_match, "h long, same long, offset int, firsts array<long>").withColumn("doc", F.lit(None).cast("long"))
-    matched = matched.join(several, "h", "left_semi") if bits is None else matched
+    matched = dealt.mapInArrow(_match, "h long, same long, offset int, firsts array<long>")
+    if filters[0].value.bits is None:
+        matched = matched.join(several, "h", "left_semi")
+    matched = matched.select(key("same"), "offset", "firsts", F.lit(None).cast("long").alias("doc"))
 
-    judged = found.join(single.unionByName(matched), ["h", "same"])
+    judged = found.select("doc_id", "row", "start", "n", key("same")).join(single.unionByName(matched), "key")
     all_of = F.when(F.col("doc") < F.col("doc_id"), F.sequence(F.col("start"), F.col("start") + F.col("n") - 1))
     some_of = F.filter(F.transform("firsts", lambda d, i: F.when(d < F.col("doc_id"), F.col("start") + F.col("offset") + i)), lambda x: x.isNotNull())
     gone = judged.select("doc_id", "row", F.when(F.col("firsts").isNull(), all_of).otherwise(some_of).alias("windows")).filter(F.size("windows") > 0)
     return gone.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("windows")).alias("windows"))
 
 
-def _keep(with_text: bool):
+def _keep(with_text: bool, touching=None):
+    """Rows with what is left of them; with ``touching`` only those that the filter rules out, in the same process."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = touched(touching, False)(batches) if touching else batches
         for batch in few_rows(batches):
             rows = []
             for text, windows in zip(batch.column("text").to_pylist(), batch.column("windows").to_pylist(), strict=True):
@@ -306,24 +288,15 @@ def _keep(with_text: bool):
     return run
 
 
-def _touched(shared, wanted: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
-            yield batch.filter(pa.array(shared.value(h) == wanted)).drop_columns(["h"])
-
-    return run
-
-
 def _judged(docs: DataFrame, with_text: bool) -> DataFrame:
     """Only the texts that may lose words, by a bitmap of their keys, are shuffled to their removals."""
-    gone = removals(docs).persist(StorageLevel.DISK_ONLY)
-    key = F.xxhash64("doc_id", "row").alias("h")
-    shared = docs.sparkSession.sparkContext.broadcast(_Filter(_bitmap(gone.select(key))))
-    rows, kind = _keyed(docs).select("doc_id", "text", "row", key), "doc_id long, text string, row int"
-    lost = rows.mapInArrow(_touched(shared, True), kind).join(gone, ["doc_id", "row"], "left").select("doc_id", "text", "windows")
-    whole = rows.mapInArrow(_touched(shared, False), kind).select("doc_id", "text", F.lit(None).cast("array<int>").alias("windows"))
-    return lost.unionByName(whole).mapInArrow(_keep(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
+    keyed, key = _keyed(docs), F.xxhash64("doc_id", "row").alias("h")
+    gone = removals(keyed).persist(StorageLevel.DISK_ONLY)
+    shared = docs.sparkSession.sparkContext.broadcast(Filter(bitmap(gone.select(key), 64)))
+    kind = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
+    lost = keyed.select("doc_id", "text", "row", key).mapInArrow(touched(shared), "doc_id long, text string, row int").join(gone, ["doc_id", "row"], "left")
+    whole = keyed.select("doc_id", "text", F.lit(None).cast("array<int>").alias("windows"), key).mapInArrow(_keep(with_text, shared), kind)
+    return lost.select("doc_id", "text", "windows").mapInArrow(_keep(with_text), kind).unionByName(whole)
 
 
 def report(docs: DataFrame) -> DataFrame:
