@@ -14,12 +14,13 @@ text prove nothing. Terms at or above ``GENERALISE`` become a tag, at or above `
 the occurrences near the entity they disclose are touched.
 
 Defined cases: null text is empty (no spans, hash of the empty string); a text without spans keeps
-its text; documents are told apart by ``doc_id``, a repeated row gets its document's spans again; extra columns pass
+its text; documents are told apart by ``doc_id`` and text, a repeated row gets its document's spans again; extra columns pass
 through ``sanitise`` unchanged. Working columns start with ``_pii_``.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,13 +106,14 @@ def _near(text: Column, span: Column, window: int) -> Column:
 
 
 def term_spans(docs: DataFrame, window: int = WINDOW, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """Spans of disclosing terms: (doc_id, start, end, term, level), level ``generalise`` or ``remove``.
+    """Spans of disclosing terms: (doc_id, content, start, end, term, level), content the text's hash, level ``generalise`` or ``remove``.
 
     Three aggregations by key, each with map-side partial sums: (entity, term), entity, and term over the
     whole corpus. The joins that follow have one row a key on their small side.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     with_spans = docs.filter("doc_id is not null").select("doc_id", text.alias("text")).filter(F.col("text").rlike(r"[0-9]|@")).withColumn("spans", base_spans(F.col("text"))).filter(F.size("spans") > 0)
+    with_spans = with_spans.persist(StorageLevel.DISK_ONLY)  # read five times below; only documents with personal data
     each = with_spans.select("doc_id", F.xxhash64("text").alias("content"), "text", "spans", F.explode("spans").alias("span"))
     clear = lambda w: ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
     near = each.select("doc_id", "content", F.concat_ws(":", "span.kind", "span.value").alias("entity"), F.explode(F.filter(_near(F.col("text"), F.col("span"), window), clear)).alias("w")).select("doc_id", "content", "entity", "w.*")
@@ -127,19 +129,23 @@ def term_spans(docs: DataFrame, window: int = WINDOW, min_support: int = MIN_SUP
     prior = F.col("n_entity") / F.col("n_docs")
     scored = texts.join(joint, ["entity", "term"]).join(entities, "entity").join(df, "term").crossJoin(F.broadcast(total))
     scored = scored.filter(strength >= F.pow(prior, F.lit(1 - generalise))).select("entity", "term", F.when(strength >= F.pow(prior, F.lit(1 - remove)), 1).otherwise(0).alias("level"))
-    hits = near.select("doc_id", "entity", "term", "start", "end").join(scored, ["entity", "term"])
-    return hits.groupBy("doc_id", "start", "end").agg(F.first("term").alias("term"), F.when(F.max("level") == 1, "remove").otherwise("generalise").alias("level"))
+    hits = near.select("doc_id", "content", "entity", "term", "start", "end").join(scored, ["entity", "term"])
+    return hits.groupBy("doc_id", "content", "start", "end").agg(F.first("term").alias("term"), F.when(F.max("level") == 1, "remove").otherwise("generalise").alias("level"))
 
 
 def _terms_per_doc(docs: DataFrame, **params) -> DataFrame:
     span = F.struct("start", "end", F.lit(len(KINDS)).alias("kind_no"), F.lit("term").alias("kind"), F.col("level").alias("value"))
-    return term_spans(docs, **params).groupBy("doc_id").agg(F.array_sort(F.collect_list(span)).alias("_pii_terms"))
+    return term_spans(docs, **params).groupBy("doc_id", F.col("content").alias("_pii_content")).agg(F.array_sort(F.collect_list(span)).alias("_pii_terms"))
 
 
 def _digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _content() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def _add_terms(spans: Column, terms: Column) -> Column:
     return F.when(terms.isNull(), spans).otherwise(F.array_sort(F.concat(spans, terms)))
 
@@ -149,8 +155,8 @@ def find(docs: DataFrame, **params) -> DataFrame:
 
     Texts are never shuffled: only spans meet in the join.
     """
-    base = docs.select("doc_id", base_spans(F.col("text")).alias("_pii_base"))
-    out = base.join(_terms_per_doc(docs, **params), "doc_id", "left")
+    base = docs.select("doc_id", _content().alias("_pii_content"), base_spans(F.col("text")).alias("_pii_base"))
+    out = base.join(_terms_per_doc(docs, **params), ["doc_id", "_pii_content"], "left")
     count = lambda kind: F.size(F.filter("_pii_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select(
         "doc_id",
@@ -180,6 +186,7 @@ def redact(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, **params) -> DataFrame:
     """``docs`` with ``text`` redacted and the other columns as they were. Null texts stay null."""
-    held = docs.withColumn("_pii_base", base_spans(F.col("text"))).join(_terms_per_doc(docs, **params), "doc_id", "left")
+    held = docs.withColumn("_pii_base", base_spans(F.col("text"))).withColumn("_pii_content", _content())
+    held = held.join(_terms_per_doc(docs, **params), ["doc_id", "_pii_content"], "left")
     held = held.withColumn("text", redact(F.col("text"), _add_terms(F.col("_pii_base"), F.col("_pii_terms"))))
     return held.select(*docs.columns)
