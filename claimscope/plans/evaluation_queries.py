@@ -46,7 +46,7 @@ def e05_f_beta(spark, sf_dir):
     return rounded(evaluate.sweep(labelled(spark, sf_dir), ["model"], [0.65, 0.75, 0.85], beta=2.0).select("model", "threshold", "f_beta"))
 
 
-@query(_SWEEP + ", p AS (SELECT * FROM (VALUES ('a', 0.95), ('b', 0.7), ('c', NULL)) AS p(model, published)) SELECT model, threshold, published, CASE WHEN published IS NULL OR abs(round(f1 - published, 9)) <= 0.002 THEN 'reproduced' WHEN abs(round(f1 - published, 9)) <= 0.01 THEN 'close' ELSE 'different' END AS status FROM m JOIN p USING (model)")
+@query(_SWEEP + ", p AS (SELECT * FROM (VALUES ('a', 0.95::DOUBLE), ('b', 0.7), ('c', NULL)) AS p(model, published)) SELECT model, threshold, published, CASE WHEN published IS NULL OR abs(round(f1 - published, 9)) <= 0.002 THEN 'reproduced' WHEN abs(round(f1 - published, 9)) <= 0.01 THEN 'close' ELSE 'different' END AS status FROM m JOIN p USING (model)")
 def e06_reproduction_status(spark, sf_dir):
     m = rounded(evaluate.sweep(labelled(spark, sf_dir), ["model"], CUTS))
     published = F.when(F.col("model") == "a", 0.95).when(F.col("model") == "b", 0.7)

@@ -269,9 +269,9 @@ def n11_min_rows(spark, sf_dir):
 
 _GRID_SQL = "WITH" + SERIES + _TOPS + """,
 num AS (SELECT cluster_id, timestamp, tweet_count AS x, row_number() OVER (PARTITION BY cluster_id ORDER BY timestamp) AS t FROM ts),
-par AS (SELECT d AS decay, g AS gamma FROM (SELECT unnest([0.05, 0.1]) AS d), (SELECT unnest([0.05, 0.2]) AS g)),
+par AS (SELECT d AS decay, g AS gamma FROM (SELECT unnest([0.05, 0.1]::DOUBLE[]) AS d), (SELECT unnest([0.05, 0.2]::DOUBLE[]) AS g)),
 ex AS (SELECT decay, gamma, a.cluster_id, a.timestamp, 1 - coalesce(sum(decay * power(1 - decay, a.t - b.t - 1) * exp(-gamma * power(a.x - b.x, 2))), 0) AS e FROM par, num a LEFT JOIN num b ON a.cluster_id = b.cluster_id AND b.t BETWEEN a.t - 24 AND a.t - 1 GROUP BY ALL),
-tr AS (SELECT decay, gamma, threshold, cluster_id, timestamp FROM ex, (SELECT unnest([0.6, 0.8]) AS threshold) WHERE round(e, 9) > threshold),
+tr AS (SELECT decay, gamma, threshold, cluster_id, timestamp FROM ex, (SELECT unnest([0.6, 0.8]::DOUBLE[]) AS threshold) WHERE round(e, 9) > threshold),
 st AS (SELECT DISTINCT decay, gamma, threshold FROM tr)""" + _LEADS.format(by="decay, gamma, threshold,") + f" SELECT decay, gamma, threshold, {_NAB} FROM (SELECT * FROM st, pk) LEFT JOIN ld USING (decay, gamma, threshold, cluster_id) GROUP BY 1, 2, 3"
 
 
