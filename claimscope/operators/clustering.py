@@ -1,22 +1,22 @@
 """Similarity joins, clusters and topics over vectors.
 
 Tables have an id and a ``vec`` column (array). The batch operators do not depend on row order. A similarity join within one
-table is blocked by signs of fixed hyperplanes above a size that is checked first.
+table compares all pairs, by pairs of blocks of bounded size.
 """
 
 from __future__ import annotations
 
-import hashlib
-
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimscope.functions.vectors import cosine, dot, euclid, norm, normalize
 from claimscope.operators.graph import connected_components
 from claimscope.session import rows_up_to
 
-#: Rows up to which all pairs are compared, and rows of a side that may be broadcast.
-BRUTE_FORCE, BROADCAST = 2_000, 10_000
+#: Rows of a block (all pairs of two blocks are compared at once), rows of it multiplied in one step, and rows of a side that may be broadcast.
+BRUTE_FORCE, STEP, BROADCAST = 2_000, 256, 10_000
 
 
 def centroids(rows: DataFrame, by: str, unit: bool = True) -> DataFrame:
@@ -27,32 +27,48 @@ def centroids(rows: DataFrame, by: str, unit: bool = True) -> DataFrame:
     return g.withColumn("centroid", normalize(F.col("centroid"))) if unit else g
 
 
-def plane_keys(vec: Column, dim: int, tables: int = 8, bits: int = 6, seed: int = 1) -> Column:
-    """Array of ``tables`` keys, each the signs of ``bits`` hyperplanes; planes come from an MD5, so they are fixed."""
-    def weight(t: int, b: int, d: int) -> float:
-        return int(hashlib.md5(f"{seed}|{t}|{b}|{d}".encode()).hexdigest()[:8], 16) / 2**31 - 1
-
-    keys = []
-    for t in range(tables):
-        signs = [F.when(dot(vec, F.array(*[F.lit(weight(t, b, d)) for d in range(dim)])) > 0, "1").otherwise("0") for b in range(bits)]
-        keys.append(F.concat(F.lit(f"{t}:"), *signs))
-    return F.array(*keys)
-
-
-def similar_pairs(rows: DataFrame, key: str, threshold: float, dim: int | None = None, tables: int = 8, bits: int = 6) -> DataFrame:
-    """(a, b, similarity) with a < b and cosine at or above the threshold.
-
-    All pairs are compared up to BRUTE_FORCE rows; above that only pairs that share a plane key, each once.
+def _compare(threshold: float):
+    """Similar pairs (x, y) between the rows of a block pair; the block's own pairs once."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        xs, ys, found = left.column("id"), right.column("id"), []
+        own = key[0].as_py() == key[1].as_py()
+        if len(xs) and len(ys):
+            width = np.array([len(v) for v in right.column("v").to_pylist()])
+            by_width = {n: np.flatnonzero(width == n) for n in np.unique(width)}
+            flat = lambda t, at: np.array(t.column("v").take(pa.array(at)).to_pylist(), dtype=np.float64).reshape(len(at), -1)
+            sides = np.array([len(v) for v in left.column("v").to_pylist()])
+            for n, cols in by_width.items():
+                rows, r = np.flatnonzero(sides == n), flat(right, cols)
+                for lo in range(0, len(rows), STEP):
+                    at = rows[lo : lo + STEP]
+                    s = flat(left, at) @ r.T
+                    i, j = np.nonzero(np.round(s, 9) >= threshold)
+                    s, i, j = s[i, j], at[i], cols[j]
+                    once = i < j if own else np.ones(len(i), dtype=bool)
+                    found.append((i[once], j[once], s[once]))
+        i, j, s = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0),)
+        return pa.table({"x": xs.take(pa.array(i)), "y": ys.take(pa.array(j)), "similarity": pa.array(s)})
+
+    return run
+
+
+def similar_pairs(rows: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(a, b, similarity) with a < b and cosine at or above the threshold: all pairs, at every size.
+
+    Rows are dealt into blocks of about BRUTE_FORCE; each pair of blocks is one group, so no table is broadcast and memory stays the same.
+    Rows without a vector, or with a missing or non-finite component, have no pairs; nor have vectors of different length.
     """
-    unit = rows.select(F.col(key).alias("id"), normalize(F.col("vec")).alias("v"))
-    left, right = unit.select(F.col("id").alias("a"), F.col("v").alias("va")), unit.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    if rows_up_to(rows.select(key), BRUTE_FORCE) is not None:
-        pairs = left.join(F.broadcast(right), F.col("a") < F.col("b"))
-    else:
-        n = dim or len(rows.select("vec").first()[0])
-        l, r = (x.withColumn("k", F.explode(plane_keys(F.col(v), n, tables, bits))) for x, v in ((left, "va"), (right, "vb")))
-        pairs = l.join(r, "k").filter("a < b")
-    return pairs.withColumn("similarity", dot(F.col("va"), F.col("vb"))).filter(F.round("similarity", 9) >= threshold).select("a", "b", "similarity").distinct()
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    unit = rows.filter(F.col(key).isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", bad)).select(F.col(key).alias("id"), normalize(F.col("vec")).alias("v"))
+    blocks = max(1, -(-unit.count() // BRUTE_FORCE))
+    others = lambda lo, hi: F.explode(F.sequence(lo, hi))
+    dealt = unit.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    left = dealt.select("id", "v", F.col("block").alias("p"), others(F.col("block"), F.lit(blocks - 1)).alias("q"))
+    right = dealt.select("id", "v", others(F.lit(0), F.col("block")).alias("p"), F.col("block").alias("q"))
+    kind = unit.schema["id"].dataType.simpleString()
+    found = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(_compare(threshold), f"x {kind}, y {kind}, similarity double")
+    return found.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity").distinct()
 
 
 def assign(rows: DataFrame, key: str, cents: DataFrame, threshold: float) -> DataFrame:

@@ -170,3 +170,18 @@ def test_entry_and_queries_import():
     import __spark_entry__ as e
 
     assert "a05_psr" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_similar_pairs_near_the_threshold_in_many_blocks(spark, monkeypatch):
+    """Links at 0.5 to 0.7 are all found when the rows take several blocks, also by text ids and with unusable rows."""
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=(300, 6))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit @ unit.T
+    want = {(f"k{i:03}", f"k{j:03}") for i in range(300) for j in range(i + 1, 300) if round(s[i, j], 9) >= 0.5}
+    rows = spark.createDataFrame([(f"k{i:03}", v.tolist()) for i, v in enumerate(x)] + [("z1", None), ("z2", [1.0, None, 0.0, 0.0, 0.0, 0.0]), ("z3", [1.0])], "id string, vec array<double>")
+    monkeypatch.setattr(clustering, "BRUTE_FORCE", 40)
+    got = clustering.similar_pairs(rows, "id", 0.5).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+    assert all(abs(r.similarity - s[int(r.a[1:]), int(r.b[1:])]) < 1e-9 for r in got)
