@@ -4,14 +4,14 @@ Base spans are found with ``regexp_extract_all``; their offsets come from the pi
 leaves between the matches, so each pattern costs two linear passes and no Python.
 
 The method follows C-sanitisation (Sanchez and Batet 2016). A protected entity is a base span's
-kind and value. For a term t near an entity e (within ``WINDOW`` code points, same document) the corpus gives
+kind and value. For a term t in a document that holds an entity e the corpus gives
 
-    p(e|t) = documents with t near e / documents with t
+    p(e|t) = documents with t and e / documents with t
     t discloses e at level a  when  PMI(t; e) >= a * IC(e),  that is  p(e|t) >= p(e) ** (1 - a)
 
 with p(e) = documents with e / documents. A pair needs ``MIN_SUPPORT`` distinct texts, so copies of one
-text prove nothing. Terms at or above ``GENERALISE`` become a tag, at or above ``REMOVE`` they go; only
-the occurrences near the entity they disclose are touched.
+text prove nothing. Terms at or above ``GENERALISE`` become a tag, at or above ``REMOVE`` they go; all
+their occurrences are touched in each document that holds the entity they disclose.
 
 Defined cases: null text is empty (no spans, hash of the empty string); a text without spans keeps
 its text; documents are told apart by ``doc_id`` and text, a repeated row gets its document's spans again; extra columns pass
@@ -21,10 +21,10 @@ through ``sanitise`` unchanged. Working columns start with ``_pii_``.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WINDOW, MIN_SUPPORT, GENERALISE, REMOVE = 48, 3, 0.8, 0.95
+MIN_SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
 KINDS = ("email", "ip", "card", "phone")
 
 # Each pattern is the contract's, made linear: a match starts at the first character of a run or where the
@@ -91,46 +91,59 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(of(no, kind) for no, kind in enumerate(KINDS))))
 
 
-def _words(piece: Column, offset: Column) -> Column:
-    return F.transform(_located(piece, _WORD), lambda w: F.struct((w["start"] + offset).alias("start"), (w["end"] + offset).alias("end"), F.lower(w["value"]).alias("term")))
+def _masked(text: Column, spans: Column) -> Column:
+    """``text`` with its base spans blanked, at the same length."""
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc, s):
+        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        blank = F.lpad(F.lit(""), F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0)), " ")
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(gap, blank)).alias("out"))
+
+    done = F.aggregate(spans, empty, step)
+    return F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text)))
 
 
-def _near(text: Column, span: Column, window: int) -> Column:
-    """Whole words within ``window`` code points of a span; words cut by the window's edge are left out."""
-    start = F.greatest(span["start"] - window, F.lit(0))
-    left = F.substring(text, start + 1, span["start"] - start)
-    right = F.substring(text, span["end"] + 1, F.lit(window))
-    n = F.length(text)
-    whole = lambda w: ~((w["start"] == start) & (start > 0)) & ~((w["end"] == span["end"] + window) & (w["end"] < n))
-    return F.filter(F.concat(_words(left, start), _words(right, span["end"])), whole)
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), lambda w: F.lower(w)))
 
 
-def term_spans(docs: DataFrame, window: int = WINDOW, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def term_spans(docs: DataFrame, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Spans of disclosing terms: (doc_id, content, start, end, term, level), content the text's hash, level ``generalise`` or ``remove``.
 
-    Three aggregations by key, each with map-side partial sums: (entity, term), entity, and term over the
-    whole corpus. The joins that follow have one row a key on their small side.
+    Entities in fewer than ``min_support`` distinct texts have no pair with that support and are left out first. Copies of a text
+    are counted as one row with their number. Aggregations are by key, each with map-side partial sums: entity, (entity, term),
+    and term over the whole corpus.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     with_spans = docs.filter("doc_id is not null").select("doc_id", text.alias("text")).filter(F.col("text").rlike(r"[0-9]|@")).withColumn("spans", base_spans(F.col("text"))).filter(F.size("spans") > 0)
-    with_spans = with_spans.persist(StorageLevel.DISK_ONLY)  # read five times below; only documents with personal data
-    each = with_spans.select("doc_id", F.xxhash64("text").alias("content"), "text", "spans", F.explode("spans").alias("span"))
-    clear = lambda w: ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
-    near = each.select("doc_id", "content", F.concat_ws(":", "span.kind", "span.value").alias("entity"), F.explode(F.filter(_near(F.col("text"), F.col("span"), window), clear)).alias("w")).select("doc_id", "content", "entity", "w.*")
-
-    pairs = near.select("entity", "term", "content", "doc_id").distinct()
-    texts = pairs.select("entity", "term", "content").distinct().groupBy("entity", "term").agg(F.count("*").alias("support")).filter(F.col("support") >= min_support)
-    joint = pairs.select("entity", "term", "doc_id").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_joint"))
-    entities = each.select("doc_id", F.concat_ws(":", "span.kind", "span.value").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    df = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    with_spans = with_spans.select("doc_id", F.xxhash64("text").alias("content"), "text", "spans").persist(StorageLevel.DISK_ONLY)  # only documents with personal data
+    names = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])))
+    held = with_spans.select("doc_id", "content", F.explode(names).alias("entity")).distinct()
+    copies = held.groupBy("entity", "content").agg(F.count("*").alias("n"))
+    entities = copies.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("n_texts")).filter(F.col("n_texts") >= min_support).drop("n_texts")
+    copies = copies.join(entities.select("entity"), "entity")
+
+    texts = with_spans.join(copies.select("content").distinct(), "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
+    texts = texts.select("content", _masked(F.col("text"), F.col("spans")).alias("masked")).persist(StorageLevel.DISK_ONLY)
+    pairs = texts.select("content", _terms(F.col("masked")).alias("terms")).join(copies, "content").select("content", "entity", "n", F.explode("terms").alias("term"))
+    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("support"), F.sum("n").alias("n_joint")).filter(F.col("support") >= min_support)
+    df = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     total = docs.agg(F.count("*").alias("n_docs"))  # one row
 
     strength = F.col("n_joint") / F.col("n_term")
     prior = F.col("n_entity") / F.col("n_docs")
-    scored = texts.join(joint, ["entity", "term"]).join(entities, "entity").join(df, "term").crossJoin(F.broadcast(total))
+    scored = joint.join(entities, "entity").join(df, "term").crossJoin(F.broadcast(total))
     scored = scored.filter(strength >= F.pow(prior, F.lit(1 - generalise))).select("entity", "term", F.when(strength >= F.pow(prior, F.lit(1 - remove)), 1).otherwise(0).alias("level"))
-    hits = near.select("doc_id", "content", "entity", "term", "start", "end").join(scored, ["entity", "term"])
-    return hits.groupBy("doc_id", "content", "start", "end").agg(F.first("term").alias("term"), F.when(F.max("level") == 1, "remove").otherwise("generalise").alias("level"))
+    found = pairs.join(scored, ["entity", "term"]).groupBy("content", "term").agg(F.max("level").alias("level"))
+
+    # Every place of the found terms: a word ends where the lengths up to it add up to.
+    pieces = F.arrays_zip(F.transform(F.split("masked", _WORD, -1), lambda x: F.length(x)).alias("gap"), F.regexp_extract_all("masked", F.lit(_WORD), F.lit(0)).alias("word"))
+    words = texts.join(found.select("content").distinct(), "content", "left_semi").select("content", F.posexplode(pieces).alias("no", "w")).filter("w.word is not null")
+    end = F.sum(F.col("w.gap") + F.length("w.word")).over(Window.partitionBy("content").orderBy("no"))
+    words = words.withColumn("end", end.cast("int")).select("content", F.lower("w.word").alias("term"), (F.col("end") - F.length("w.word")).alias("start"), "end")
+    hits = words.join(found, ["content", "term"]).select("content", "start", "end", "term", F.when(F.col("level") == 1, "remove").otherwise("generalise").alias("level"))
+    return with_spans.select("doc_id", "content").distinct().join(hits, "content").select("doc_id", "content", "start", "end", "term", "level")
 
 
 def _terms_per_doc(docs: DataFrame, **params) -> DataFrame:

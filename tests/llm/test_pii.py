@@ -87,3 +87,15 @@ def test_no_python_on_the_executors(spark):
 def test_redact_merges_overlaps(spark):
     s = F.expr("array(named_struct('start',0,'end',4,'kind_no',0,'kind','email','value','x'), named_struct('start',2,'end',3,'kind_no',1,'kind','ip','value','x'), named_struct('start',5,'end',6,'kind_no',4,'kind','term','value','remove'))")
     assert spark.range(1).select(pii.redact(F.lit("abcdefgh"), s).alias("t")).first().t == "<EMAIL>egh"
+
+
+def test_terms_far_from_the_entity_and_all_their_places_are_found(spark):
+    gap = "please read the list of number and the record " * 3
+    texts = [(i, f"Zaphod {gap}{i} call +1 (743) 555-3824 {gap}then zaphod") for i in range(4)]
+    texts += [(10 + i, f"{gap}{i} then call") for i in range(60)] + [(4, texts[0][1])]
+    docs = documents(spark, texts)
+    out = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert all("zaphod" not in out[i].lower() and "<PHONE>" in out[i] and "please read" in out[i] for i in range(5))
+    spans = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    last = len(texts[0][1])
+    assert f"term:{last - 6}:{last}" in spans[0] and "term:0:6" in spans[4] and spans[10] == ""
