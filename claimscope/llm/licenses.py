@@ -1,19 +1,21 @@
 """License scans by conditional compression.
 
-Candidate blocks are the lines of a text that hold a cue word. A block is compressed alone and with each template as zstandard
-raw dictionary; the reduction is 1 - conditional / alone. Templates are ranked by reduction, ties by name. The best ones are
-confirmed by exact wording differences: the block's and the template's words are aligned, and the template's words that are missing
-and the words inside the match that the template has not must be few. Words before and after the match do not count: a notice may stand in a longer line.
-
-Lines are exploded by Spark before Python sees them, each with its number and place, so a long text is many small rows. Defined
-cases: null or empty text has no blocks; repeated rows are scanned each; ties go to the first name; a line without line breaks is one block however long;
-empty tables give no rows; null ids are kept.
+Candidate blocks are windows of words around each cue, longer than the longest template and across line breaks, for notices are
+wrapped. For each template the words in its reach are compressed alone and with the template as zstandard raw dictionary; the
+reduction is 1 - conditional / alone. Every template with a positive reduction is confirmed by exact wording differences: it is
+aligned with the stretch of words that has fewest template words missing plus words the template has not, and these must be few.
+Words before and after the stretch do not count: a notice may stand in a longer line. Templates that have too few of their
+words in reach for any confirmation are not compressed.
+
+Of confirmed stretches that overlap the one with most words matched less differences stays (ties: reduction, place, name), so a notice is reported
+once and each notice of a text has its row. Case, punctuation and comment marks do not count. Defined cases: null or empty text has
+no blocks; repeated rows are scanned each; a line without line breaks is scanned however long; empty tables give no rows; null ids are kept.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimscope.llm.hashing import few_rows
+
 # Wordings of common license notices.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -38,8 +42,9 @@ TEMPLATES = {
     "CC0-1.0": "Released under CC0 1.0 Universal, public domain dedication.",
     "All-rights-reserved": "All rights reserved.",
 }
-CUES = r"(?i)licen[cs]|rights reserved|permission is|redistribution|public domain|copyright"
-TOP, MAX_DIFFERENCE, LEVEL = 3, 0.1, 3
+CUES = r"(?i)licen[cs]|rights\W+reserved|permission\W+is|redistribution|public\W+domain|copyright"
+MAX_DIFFERENCE, LEVEL = 0.1, 3
+_CUES = re.compile(CUES)
 _WORDS = re.compile(r"\w+(?:[.-]\w+)*")
 
 
@@ -47,68 +52,103 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _WORDS.findall(text)]
 
 
-def wording(template: list[str], block: list[str]) -> tuple[list[str], list[str]]:
-    """(missing, extra): template words the block lacks, and block words inside the matched stretch the template lacks."""
-    same = [m for m in difflib.SequenceMatcher(None, block, template, autojunk=False).get_matching_blocks() if m.size]
-    if not same:
-        return template, []
-    hit = {i for m in same for i in range(m.b, m.b + m.size)}
-    inside = {i for m in same for i in range(m.a, m.a + m.size)}
-    lo, hi = min(inside), max(inside) + 1
-    return [w for i, w in enumerate(template) if i not in hit], [w for i, w in enumerate(block[lo:hi], lo) if i not in inside]
+def places(template: list[str], block: list[str], most: int) -> list[tuple[int, int, list[str], list[str]]]:
+    """(start, end, missing, extra) of stretches of ``block`` that differ from the template by at most ``most`` words.
+
+    Missing are template words the stretch lacks, extra its words the template lacks; the best stretch from each start.
+    """
+    n, m = len(template), len(block)
+    d = [[0] * (m + 1)]
+    for i, w in enumerate(template, 1):
+        above, row = d[-1], [i]
+        for j, x in enumerate(block):
+            row.append(above[j] if w == x else min(above[j + 1], row[j]) + 1)
+        d.append(row)
+    best: dict[int, tuple] = {}
+    for end in range(m, 0, -1):
+        if d[n][end] > most or block[end - 1] not in template:
+            continue
+        i, j, missing, extra = n, end, [], []
+        while i:
+            if j and template[i - 1] == block[j - 1]:
+                i, j = i - 1, j - 1
+            elif j and d[i][j] == d[i][j - 1] + 1:
+                j -= 1
+                extra.append(block[j])
+            else:
+                i -= 1
+                missing.append(template[i])
+        found = (len(missing) + len(extra), -end)
+        if j < end and (j not in best or found < best[j][0]):
+            best[j] = (found, missing[::-1], extra[::-1])
+    return [(j, -end, missing, extra) for j, ((_, end), missing, extra) in best.items()]
 
 
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.plain = zstandard.ZstdCompressor(level=LEVEL)
-        self.known = []
+        self.known, self.seen = [], {}
         for name, text in sorted(templates.items()):
-            raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.known.append((name, words(text), zstandard.ZstdCompressor(level=LEVEL, dict_data=raw)))
-
-    def scan(self, block: str) -> tuple | None:
-        """(license, reduction, missing, extra) of the first of the best ``TOP`` templates whose wording confirms it, or None."""
-        data = block.encode("utf-8", "surrogatepass")
-        alone = len(self.plain.compress(data))
-        ranked = sorted(((1 - len(c.compress(data)) / alone, name, ws) for name, ws, c in self.known), key=lambda x: (-x[0], x[1]))
-        have, best = words(block), None
-        for reduction, name, ws in ranked[:TOP]:
-            if reduction <= 0:
-                break
-            missing, extra = wording(ws, have)
-            found = (len(missing) + len(extra), -reduction, name, missing, extra)
-            if found[0] <= MAX_DIFFERENCE * len(ws) and (best is None or found < best):
-                best = found
-        return None if best is None else (best[2], -best[1], best[3], best[4])
+            ws = words(text)
+            raw = zstandard.ZstdCompressionDict(" ".join(ws).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            self.known.append((name, ws, int(MAX_DIFFERENCE * len(ws)), zstandard.ZstdCompressor(level=LEVEL, dict_data=raw)))
+        self.reach = max(len(ws) + most for _, ws, most, _ in self.known)
+
+    def confirmed(self, block: tuple[str, ...], cue: int) -> list[tuple]:
+        """(start, end, license, reduction, missing, extra) of every stretch of the block that a template's wording confirms."""
+        out = []
+        for name, ws, most, compressor in self.known:
+            lo = max(cue - len(ws) - most, 0)
+            near = block[lo : cue + len(ws) + most + 1]
+            have = set(near)
+            if sum(w in have for w in ws) < len(ws) - most:
+                continue
+            data = " ".join(near).encode("utf-8", "surrogatepass")
+            reduction = 1 - len(compressor.compress(data)) / len(self.plain.compress(data))
+            if reduction > 0:
+                out += [(lo + a, lo + b, name, reduction, missing, extra) for a, b, missing, extra in places(ws, list(near), most)]
+        return out
+
+    def scan(self, text: str) -> list[tuple]:
+        """(block_no, start, license, reduction, missing, extra) of each notice of the text, by place."""
+        found = [(m.start(), m.end(), m[0].lower()) for m in _WORDS.finditer(text)]
+        at, have = [w[0] for w in found], [w[2] for w in found]
+        hits: dict[tuple, tuple] = {}
+        for cue in sorted({max(bisect_right(at, m.start()) - 1, 0) for m in _CUES.finditer(text)} if found else ()):
+            lo = max(cue - self.reach, 0)
+            block = (tuple(have[lo : cue + self.reach + 1]), cue - lo)
+            if block not in self.seen:
+                if len(self.seen) > 10_000:  # answers for repeated blocks
+                    self.seen.clear()
+                self.seen[block] = self.confirmed(*block)
+            for a, b, name, reduction, missing, extra in self.seen[block]:
+                key, old = (lo + a, lo + b, name), hits.get((lo + a, lo + b, name))
+                if old is None or reduction > old[0]:
+                    hits[key] = (reduction, missing, extra)
+        taken, out = set(), []
+        worth = lambda x: (2 * len(x[1][2]) + len(x[1][1]) - (x[0][1] - x[0][0]), -x[1][0], x[0])
+        for (a, b, name), (reduction, missing, extra) in sorted(hits.items(), key=worth):
+            if taken.isdisjoint(range(a, b)):
+                taken.update(range(a, b))
+                out.append((at[a], name, reduction, missing, extra))
+        breaks = [m.start() for m in re.finditer("\n", text)]
+        return [(bisect_right(breaks, x[0]), *x) for x in sorted(out, key=lambda x: x[0])]
 
 
 def _scan(templates: dict[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner, seen = Scanner(templates), {}
+        scanner = Scanner(templates)
         kind = pa.list_(pa.string())
-        for batch in batches:
-            found = []
-            for i, line in enumerate(batch.column("block").to_pylist()):
-                if line not in seen:
-                    if len(seen) > 10_000:  # answers for repeated lines
-                        seen.clear()
-                    seen[line] = scanner.scan(line)
-                if seen[line]:
-                    found.append((i, *seen[line]))
-            at, name, reduction, missing, extra = zip(*found, strict=True) if found else ((),) * 5
-            rows = pa.array(at, pa.int64())
-            cols = [batch.column(c).take(rows) for c in ("doc_id", "block_no", "start")]
+        for batch in few_rows(batches):
+            found = [(i, *hit) for i, text in enumerate(batch.column("text").to_pylist()) for hit in scanner.scan(text)]
+            at, no, start, name, reduction, missing, extra = zip(*found, strict=True) if found else ((),) * 7
+            cols = [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(no, pa.int32()), pa.array(start, pa.int32())]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(name, pa.string()), pa.array(reduction, pa.float64()), pa.array(missing, kind), pa.array(extra, kind)], ["doc_id", "block_no", "start", "license", "reduction", "missing", "extra"])
 
     return run
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """One row per confirmed block: doc_id, block_no (from 0), start (code points), license, reduction, missing, extra."""
-    lines = F.split("text", "\n", -1)
-    size = F.transform(lines, lambda x: F.length(x) + 1)
-    places = F.aggregate(size, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
-    blocks = F.zip_with(F.transform(lines, lambda x, i: F.struct(i.alias("no"), x.alias("line"))), places, lambda x, s: F.struct(x["no"].alias("no"), x["line"].alias("line"), s.alias("start")))
-    blocks = F.filter(blocks, lambda b: b["line"].rlike(CUES))
-    found = docs.filter(F.col("text").rlike(CUES)).select("doc_id", F.explode(blocks).alias("b")).select("doc_id", F.col("b.no").alias("block_no"), F.col("b.start").alias("start"), F.col("b.line").alias("block"))
+    """One row per notice: doc_id, block_no (its first line, from 0), start (its first word, code points), license, reduction, missing, extra."""
+    found = docs.filter(F.col("text").rlike(CUES)).select("doc_id", "text")
     return found.mapInArrow(_scan(templates or TEMPLATES), "doc_id long, block_no int, start int, license string, reduction double, missing array<string>, extra array<string>")

@@ -28,6 +28,27 @@ def test_license_edges(spark):
     assert licenses.scan(again).count() == 6
 
 
+def test_wrapped_notices_and_several_in_one_text(spark):
+    grant, apache = licenses.TEMPLATES["MIT-grant"].split(), licenses.TEMPLATES["Apache-2.0-notice"].split()
+    wrap = lambda ws, n, mark: "\n".join(mark + " ".join(ws[i : i + n]) for i in range(0, len(ws), n))
+    many = " ".join(f"{' '.join(words(random.Random(i), 12))} {t}" for i, t in enumerate(licenses.TEMPLATES.values()))
+    texts = [
+        (1, "MIT License\n\n" + wrap(grant, 11, "") + "\nmore"),
+        (2, wrap(apache, 1, " * ")),
+        (3, "Text under license: Licensed under CC BY 4.0. The code is\nReleased under the MIT License. All rights\nreserved."),
+        (4, many),
+        (5, "All rights reserved. " * 4),
+        (6, wrap(grant[:8] + ["really"] + grant[8:20] + grant[21:], 5, "# ")),
+    ]
+    got = {}
+    for r in licenses.scan(documents(spark, texts)).orderBy("doc_id", "start").collect():
+        got.setdefault(r.doc_id, []).append(r)
+    names = {i: [r.license for r in rows] for i, rows in got.items()}
+    assert names == {1: ["MIT-grant"], 2: ["Apache-2.0-notice"], 3: ["CC-BY-4.0", "MIT", "All-rights-reserved"], 4: list(licenses.TEMPLATES), 5: ["All-rights-reserved"] * 4, 6: ["MIT-grant"]}
+    assert got[1][0].block_no == 2 and got[1][0].start == 13 and [r.start for r in got[5]] == [0, 21, 42, 63]
+    assert got[6][0].extra == ["really"] and got[6][0].missing == [licenses.words(" ".join(grant))[20]]
+
+
 PIECES = {p: s for p, s in [("▁", -9.0), ("a", -3.0), ("b", -3.5), ("ab", -4.0), ("▁a", -4.5), ("ba", -5.0), ("aba", -7.0), ("▁ab", -6.0), ("bb", -8.0)]}
 
 
