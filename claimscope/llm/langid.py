@@ -139,7 +139,9 @@ def word_scores(model: Model, w: Words) -> np.ndarray:
     return np.maximum(s - s.max(axis=1, keepdims=True, initial=-1e300), -FLOOR)
 
 
-def _predict(shared, switch: float):
+def _predict(shared, switch: float, sure: bool = False):
+    """With ``sure`` also ``confidence``: over the spans, by letters, the softmax probability of the span's own label from its summed scores."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in few_rows(batches):
@@ -151,7 +153,7 @@ def _predict(shared, switch: float):
                 for d in range(hi - lo):
                     a, b = w.doc_words[d], w.doc_words[d + 1]
                     if a == b or s is None:
-                        out.append(("und", 0.0, []))
+                        out.append(("und", 0.0, [], 0.0))
                         continue
                     label = viterbi(s[a:b], switch)
                     letters = np.bincount(label, weights=w.size[a:b], minlength=len(model.langs))
@@ -161,11 +163,15 @@ def _predict(shared, switch: float):
                     turn = np.concatenate([[0], np.flatnonzero(np.diff(label)) + 1, [b - a]])
                     begin, last = w.word_at[a:b] - w.edges[d], w.word_at[a:b] - w.edges[d] + w.size[a:b]
                     spans = [{"start": int(begin[i]), "end": int(last[j - 1]), "lang": model.langs[label[i]]} for i, j in zip(turn, turn[1:], strict=False)]
-                    out.append((model.langs[top], float(letters[top] / letters.sum() * p), spans))
-            lang, score, spans = zip(*out, strict=True) if out else ((), (), ())
+                    sums, own = np.add.reduceat(s[a:b], turn[:-1], axis=0), label[turn[:-1]]
+                    each = 1.0 / np.exp(np.minimum(sums - sums[np.arange(len(own)), own][:, None], 700.0)).sum(axis=1)
+                    held = np.add.reduceat(w.size[a:b], turn[:-1])
+                    out.append((model.langs[top], float(letters[top] / letters.sum() * p), spans, float((held * each).sum() / held.sum())))
+            lang, score, spans, confidence = zip(*out, strict=True) if out else ((), (), (), ())
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
             keep = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)], [*keep, "lang_pred", "score", "spans"])
+            more = [pa.array(confidence, pa.float64())] if sure else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind), *more], [*keep, "lang_pred", "score", "spans", *["confidence"][: len(more)]])
 
     return run
 
@@ -177,9 +183,12 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.3, switch: float = SWITCH) -> DataFrame:
-    """``docs`` whose language is found with at least ``min_score``, with ``lang`` set to it; other columns as they were."""
+    """``docs`` whose spans' languages are found with a confidence of at least ``min_score``, with ``lang`` set to the document's; other columns as they were.
+
+    Texts of several languages stay if their spans are clear each.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     packed = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    schema = f"_row {packed.schema['_row'].dataType.simpleString()}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
-    judged = packed.mapInArrow(_predict(shared, switch), schema).filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    schema = f"_row {packed.schema['_row'].dataType.simpleString()}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>, confidence double"
+    judged = packed.mapInArrow(_predict(shared, switch, sure=True), schema).filter((F.col("lang_pred") != "und") & (F.col("confidence") >= min_score))
     return judged.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

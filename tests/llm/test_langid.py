@@ -66,3 +66,12 @@ def test_keep_identified_keeps_columns(spark, model):
     docs = documents(spark, [(1, text(random.Random(5), "de", 40)), (2, "123"), (None, text(random.Random(6), "en", 40))])
     kept = langid.keep_identified(docs, model)
     assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.lang, r.h) for r in kept.collect()) == [(0, "en", "h"), (1, "de", "h")]
+
+
+def test_clear_documents_of_several_languages_stay(spark, model):
+    rng = random.Random(7)
+    four = " ".join(text(rng, lang, 200)[:300] for lang in WORDS)
+    two = f"{text(rng, 'en', 60)} {text(rng, 'de', 50)}"
+    docs = documents(spark, [(1, four), (2, two), (3, "... 5")])
+    assert {r.doc_id for r in langid.keep_identified(docs, model).collect()} == {1, 2}
+    assert langid.predict(docs.filter("doc_id = 1"), model).first().score < 0.3
