@@ -19,7 +19,7 @@ from claimscope.session import rows_up_to
 
 #: Sources whose rates may be broadcast: 64 Ki rows of a name and a short table.
 BROADCAST_SOURCES = 65_536
-SALTS = 16
+SALTS, PART = 16, 500
 
 
 def _uniform(*parts: Column) -> Column:
@@ -55,11 +55,11 @@ def poisson_cdf(rate: Column) -> Column:
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, total: int | None = None, seed: int = 17) -> DataFrame:
     """``docs`` with each row repeated by its count, plus ``copy`` (from 1) and ``mix_key``, globally shuffled.
 
-    Rates above 500 are split into whole repeats and a Poisson rest of mean 500, for ``exp(-rate)`` would vanish.
+    Rates above 500 are split into equal parts of at most 500 with a draw each, for ``exp(-rate)`` would vanish: their sum is Poisson of the full mean.
     """
     rates = source_rates(docs, weights, alpha, total)
-    whole = F.when(F.col("rate") > 500, F.floor(F.col("rate") - 500)).otherwise(0).cast("int")
-    rates = rates.select("_mix_source", whole.alias("_mix_whole"), poisson_cdf(F.col("rate") - whole).alias("_mix_cdf"))
+    parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
+    rates = rates.select("_mix_source", parts.alias("_mix_parts"), poisson_cdf(F.col("rate") / parts).alias("_mix_cdf"))
     held = docs.withColumn("_mix_source", F.coalesce("source", F.lit("")))
     if rows_up_to(rates.select("_mix_source"), BROADCAST_SOURCES) is not None:
         held = held.join(F.broadcast(rates), "_mix_source")
@@ -67,8 +67,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
         salted = rates.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         held = held.withColumn("_mix_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["_mix_source", "_mix_salt"])
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    u = _uniform(F.lit(str(seed)), key)
-    count = F.col("_mix_whole") + F.size(F.filter("_mix_cdf", lambda c: c <= u))
+    part = lambda i: F.when(i > 0, F.concat(F.lit("part"), i.cast("string")))  # noqa: E731  # the first part's seed has no number
+    draws = F.transform(F.sequence(F.lit(0), F.col("_mix_parts") - 1), lambda i: _uniform(F.lit(str(seed)), key, part(i)))
+    count = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter("_mix_cdf", lambda c: c <= u)))
     held = held.withColumn("_mix_n", count).filter("_mix_n > 0")
     held = held.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_mix_n"))).alias("copy"))
     held = held.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(str(seed)), key, F.col("copy").cast("string"))))

@@ -70,3 +70,10 @@ def test_cdf_ends_at_one(spark, rate):
 
     cdf = spark.range(1).select(mixing.poisson_cdf(F.lit(rate)).alias("c")).first().c
     assert cdf[0] == pytest.approx(math.exp(-rate)) and cdf[-1] == pytest.approx(1.0) and cdf == sorted(cdf)
+
+
+def test_large_rates_keep_their_variance(spark):
+    """At a mean of 4,000 the standard deviation is 63; a draw of mean 500 on whole repeats has 22."""
+    got = Counter(r.doc_id for r in mixing.mix(table(spark, ["a"] * 100), {"a": 1.0}, total=400_000).select("doc_id").collect())
+    mean = sum(got.values()) / 100
+    assert abs(mean - 4000) < 25 and 45 < math.sqrt(sum((n - mean) ** 2 for n in got.values()) / 99) < 82
