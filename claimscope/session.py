@@ -1,11 +1,16 @@
-"""Session helpers shared by operators that need a checkpoint or an eager size check."""
+"""Session helpers shared by operators that cut lineage or need an eager size check."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: list[str] = []
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
@@ -17,15 +22,35 @@ def shared_dir(spark: SparkSession) -> str:
         return path
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="claimscope-checkpoint-")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="claimscope-checkpoint-"))
+    return _local[0]
+
+
+def new_path(spark: SparkSession, name: str = "table") -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and return it without its lineage."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and return that table: no lineage, computed once, safe from lost executors.
+
+    ``discard`` removes it when nothing that reads it is left to run; tables behind a returned DataFrame stay.
+    """
+    path = new_path(df.sparkSession)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables from ``cut``; other DataFrames are left alone."""
+    for df in tables:
+        if path := _written.pop(df, None):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def rows_up_to(df: DataFrame, limit: int) -> int | None:
