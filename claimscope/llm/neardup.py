@@ -2,19 +2,23 @@
 
 A document is the weighted set of its five-word shingles (the whole text if shorter), weight = number of occurrences;
 words are split at white space. DartMinHash (Christiani 2020): every unit of weight of every shingle has a hashed Poisson process
-of darts along the rank axis; a document sees the darts of its own units up to a rank that yields about k ln k + 5k of them, and
-keeps the earliest dart of each of k coordinates. Two documents agree on a coordinate with probability equal to
-their weighted Jaccard similarity. Signatures are banded (24 bands of 5), candidates verified exactly.
-
-Work is linear in hot groups: exact copies collapse first (aggregation by content fingerprint); a bucket of up to
-``SMALL`` texts compares all its pairs; a larger one compares its members with one leader, the member with the largest buckets overall. After
-the components of these links, members of large buckets that are still apart from others are compared too, each pair in its first
-common bucket only, where ``AGREE`` of the 120 coordinates agree and ``AGREE_ALL`` of these and 200 more. A pair at
-0.8 falls below about once in 4,000; such pairs are often joined by others of their class. No cap, no sample. Verification counts
-common units by 32-bit hashes, whose collisions change a similarity by less than one unit in 10,000.
-
-Defined cases: null or empty text, or white space only, is a class of its own; null doc_id rows are left out; repeated doc_ids
-count once; an empty table gives no rows.
+of darts along the rank axis, so an element of weight w is a region of width w in which its darts fall; a document sees the darts of its own
+region up to a rank that yields about k ln k + 5k of them, and keeps the earliest dart of each of k coordinates. Two documents agree on a
+coordinate with probability equal to their weighted Jaccard similarity. Signatures are banded (24 bands of 5) and joined by band.
+
+Nothing is lost after the banding, which finds a pair at 0.8 with probability 0.9999:
+
+1. Exact copies collapse by content fingerprint. Of buckets with the same members, told by number, sum and exclusive or of member hashes, one stays.
+2. A bucket is dealt into blocks of about ``BLOCK`` texts; all pairs of a block are compared exactly, by counting common units. Most buckets
+   are one block. What leaves a block is its components.
+3. After the components of these links, a bucket of several blocks may still hold several classes. Its members outside its largest class are
+   compared with all its members, block by block; the links found join classes. So the work is linear in a group of near copies but for those members that are no near copies
+   of the rest.
+
+Units are compared by 32-bit hashes, whose collisions change a similarity by less than one unit in 10,000.
+
+Defined cases: null or empty text, or white space only, is a class of its own; null doc_id rows are left out; the rows of a repeated doc_id
+give one row, with the smallest class; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,18 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.llm.bitmap import Filter, bitmap, touched
 from claimscope.llm.hashing import chunks, few_rows, gram_hashes, mix64, word_hashes
 from claimscope.operators.graph import connected_components
-from claimscope.session import cut
+from claimscope.session import cut, discard
 
-SHINGLE, BANDS, ROWS, SMALL = 5, 24, 5, 8
-K, K_MORE = BANDS * ROWS, 200
-AGREE, AGREE_ALL = 78, 231
+SHINGLE, BANDS, ROWS, BLOCK = 5, 24, 5, 256
+K = BANDS * ROWS
+_COLUMNS = 4_096  # units counted in one matrix product
 _FIRST = 2.0**-8  # width of the first rank cell; each further cell doubles the rank
 _UNIT = np.uint64(0xA24BAED4963EE407)
 
@@ -115,20 +118,41 @@ def signatures(doc: np.ndarray, unit: np.ndarray, n_docs: int, k: int = K) -> np
     return mix64(best).astype(np.uint32).view(np.int32)
 
 
+def band_values(sig: np.ndarray) -> np.ndarray:
+    """(docs, BANDS) hashes of each band's coordinates and number."""
+    parts = sig.view(np.uint32).astype(np.uint64).reshape(len(sig), BANDS, ROWS)
+    g = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2])
+    for j in range(ROWS):
+        g = mix64(g * _UNIT + parts[:, :, j])
+    return g
+
+
 def _list(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values, type=kind))
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints and band values of each document; null where it has no words."""
     for batch in few_rows(batches):
         ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
         for lo, hi in chunks(texts):
             doc, unit, prints = shingle_units(texts[lo:hi])
             n = hi - lo
-            sig = signatures(doc, unit, n)
-            keep = np.flatnonzero(np.bincount(doc, minlength=n))
-            cols = [ids.slice(lo, n).take(pa.array(keep)), *(pa.array(prints[keep, j].view(np.int64)) for j in (0, 1)), _list(sig[keep].reshape(-1), np.full(len(keep), K), pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp1", "fp2", "sig"])
+            values, none = band_values(signatures(doc, unit, n)).reshape(-1), np.bincount(doc, minlength=n) == 0
+            cols = [ids.slice(lo, n), *(pa.array(prints[:, j].view(np.int64), mask=none) for j in (0, 1)), _list(values.view(np.int64), np.full(n, BANDS), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp1", "fp2", "bands"])
+
+
+def _members(shared):
+    """(h, rep) of the band values in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column("bands").flatten().to_numpy(zero_copy_only=False)
+            keep = np.flatnonzero(shared.value(values.view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(values[keep]), batch.column("rep").take(pa.array(keep // BANDS))], ["h", "rep"])
+
+    return run
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,71 +160,170 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts = batch.column("rep"), batch.column("text").to_pylist()
         for lo, hi in chunks(texts):
             doc, unit, _ = shingle_units(texts[lo:hi])
-            n = hi - lo
-            both = [_list(signatures(doc, u, n, k).reshape(-1), np.full(n, k), pa.int32()) for u, k in ((unit, K), (mix64(unit), K_MORE))]
-            cols = [ids.slice(lo, n), _list((unit >> np.uint64(32)).astype(np.uint32).view(np.int32), np.bincount(doc, minlength=n), pa.int32()), *both]
-            yield pa.RecordBatch.from_arrays(cols, ["rep", "units", "sig", "more"])
-
-
-def _verified(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold."""
-    a, b = units.select(F.col("rep").alias("a"), F.col("units").alias("ua")), units.select(F.col("rep").alias("b"), F.col("units").alias("ub"))
-    inter = F.size(F.array_intersect("ua", "ub"))
-    sim = F.try_divide(inter, F.size("ua") + F.size("ub") - inter)
-    return pairs.join(b, "b").join(a, "a").withColumn("similarity", sim).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
+            cols = [ids.slice(lo, hi - lo), _list((unit >> np.uint64(32)).astype(np.uint32).view(np.int32), np.bincount(doc, minlength=hi - lo), pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, ["rep", "units"])
+
+
+def common_units(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """(left, right) numbers of common units; the values of a multiset count as often as both have them."""
+
+    def coded(side: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(u) for u in side])
+        doc, unit = np.repeat(np.arange(len(side)), sizes), np.concatenate(side).view(np.uint32).astype(np.uint64)
+        order = np.lexsort((unit, doc))  # a value that collides within a text gets a number, so that each is its own
+        doc, unit = doc[order], unit[order]
+        same = np.concatenate([[False], (doc[1:] == doc[:-1]) & (unit[1:] == unit[:-1])])[: len(doc)]
+        run = np.arange(len(doc)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(doc)))) if len(doc) else np.zeros(0, dtype=np.int64)
+        return doc, unit + (run.astype(np.uint64) << np.uint64(32))
+
+    (ld, lu), (rd, ru) = coded(left), coded(right)
+    both = np.intersect1d(lu, ru)
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    lp, rp = np.searchsorted(both, lu), np.searchsorted(both, ru)
+    lk, rk = (np.flatnonzero((p < len(both)) & (both[np.minimum(p, len(both) - 1)] == u)) if len(both) else np.zeros(0, dtype=np.int64) for p, u in ((lp, lu), (rp, ru)))
+    ld, lp, rd, rp = ld[lk], lp[lk], rd[rk], rp[rk]
+    for lo in range(0, len(both), _COLUMNS):
+        width = min(_COLUMNS, len(both) - lo)
+        sides = []
+        for n, d, p in ((len(left), ld, lp), (len(right), rd, rp)):
+            at = (p >= lo) & (p < lo + width)
+            m = np.zeros((n, width), dtype=np.float32)
+            m[d[at], p[at] - lo] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _similar(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
+    n, m = (np.array([len(u) for u in side], dtype=np.float64) for side in (left, right))
+    inter = common_units(left, right).astype(np.float64)
+    return inter / np.maximum(n[:, None] + m[None, :] - inter, 1) >= threshold
+
+
+def _smallest_reachable(linked: np.ndarray, ids: list) -> list:
+    """For each row of a symmetric link matrix the smallest id of its component."""
+    low = [None] * len(ids)
+    for start in sorted(range(len(ids)), key=ids.__getitem__):
+        if low[start] is not None:
+            continue
+        reached = np.zeros(len(ids), dtype=bool)
+        reached[start] = True
+        edge = reached
+        while edge.any():
+            more = linked[edge].any(axis=0) & ~reached
+            reached |= more
+            edge = more
+        for i in np.flatnonzero(reached):
+            low[i] = ids[start]
+    return low
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[list[tuple]]:
+    """Rows of each group of a stream sorted by ``keys``; a group may straddle batches."""
+    group, held = None, []
+    for batch in batches:
+        units = batch.column("units")
+        offsets, values = units.offsets.to_numpy(), units.values.to_numpy(zero_copy_only=False)
+        for i, (*key, rest) in enumerate(zip(*(batch.column(c).to_pylist() for c in keys), zip(*(batch.column(c).to_pylist() for c in columns), strict=True), strict=True)):
+            if key != group:
+                if held:
+                    yield held
+                group, held = key, []
+            held.append((*rest, values[offsets[i] : offsets[i + 1]].copy()))
+    if held:
+        yield held
+
+
+def _within(threshold: float):
+    """Links (a, b) that span the components of each block: every member to the smallest of its component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, ["h", "block"], ["rep"]):
+            if len(rows) < 2:
+                continue
+            ids, units = [r[0] for r in rows], [r[1] for r in rows]
+            found = [(i, low) for i, low in zip(ids, _smallest_reachable(_similar(units, units, threshold), ids), strict=True) if i != low]
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(a, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _across(threshold: float):
+    """Pairs of classes (a, b) with a link between the two sides of a group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, ["h", "p", "q"], ["side", "class"]):
+            left, right = ([r for r in rows if r[0] == side] for side in (0, 1))
+            if not left or not right:
+                continue
+            i, j = np.nonzero(_similar([r[2] for r in left], [r[2] for r in right], threshold))
+            found = sorted({(min(x, y), max(x, y)) for x, y in ((left[x][1], right[y][1]) for x, y in zip(i.tolist(), j.tolist(), strict=True)) if x != y})
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _blocks(n: Column) -> Column:
+    """Number of blocks of a bucket (or part of one) with ``n`` members; 1 if unknown, for only large ones are told."""
+    return F.coalesce(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+
+
+def _deal(blocks: Column, seed: int = 0) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "rep"), blocks).cast("int")
+
+
+def _joined_classes(members: DataFrame, big: DataFrame, units: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): classes with a link in a bucket of several blocks that step 2 could not see."""
+    held = members.join(big, "h").join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", "n", F.coalesce("component", "rep").alias("class"))
+    held = cut(held)
+    sizes = held.groupBy("h", "class").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("h").agg(F.max_by("class", F.struct("c", -F.col("class"))).alias("main"), (F.sum("c") - F.max("c")).alias("n_rest")).filter("n_rest > 0")
+    held = held.join(main, "h").join(units, "rep")
+    count = lambda n: F.sequence(F.lit(0), _blocks(F.col(n)) - 1)
+    rest = held.filter("class <> main").select("h", _deal(_blocks(F.col("n_rest"))).alias("p"), F.explode(count("n")).alias("q"), F.lit(0).alias("side"), "class", "units")
+    every = held.select("h", F.explode(count("n_rest")).alias("p"), _deal(_blocks(F.col("n"))).alias("q"), F.lit(1).alias("side"), "class", "units")
+    dealt = rest.unionByName(every).repartition("h", "p", "q").sortWithinPartitions("h", "p", "q")
+    return dealt.mapInArrow(_across(threshold), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, class_id): class_id is the smallest doc_id of the document's class of near-duplicates."""
     texts = docs.filter("doc_id is not null").select("doc_id", "text")
-    signed = texts.filter("text is not null").mapInArrow(_sign, "doc_id long, fp1 long, fp2 long, sig array<int>").persist(StorageLevel.DISK_ONLY)
-    reps = signed.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-
-    bands = F.array(*[F.xxhash64(F.lit(b), F.slice("sig", b * ROWS + 1, ROWS)) for b in range(BANDS)])  # of either table's ``sig``
-    rows = reps.select("rep", F.posexplode(bands).alias("band", "value"))
-    shared = rows.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1")
-    members = cut(rows.join(shared, ["band", "value"]))
-
-    few = members.filter(F.col("n") <= SMALL).select("band", "value", "rep")
-    pairs = few.join(few.withColumnRenamed("rep", "b"), ["band", "value"]).filter("rep < b").select(F.col("rep").alias("a"), "b")
-    large = members.filter(F.col("n") > SMALL)
-    support = members.groupBy("rep").agg(F.sum("n").alias("support"))
-    leaders = large.join(support, "rep").groupBy("band", "value").agg(F.max_by("rep", F.struct("support", -F.col("rep"))).alias("leader"))
-    star = large.join(leaders, ["band", "value"]).filter("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
-    pairs = cut(pairs.union(star).distinct())
-
-    ids = members.select("rep").distinct()
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    signed = cut(texts.mapInArrow(_sign, "doc_id long, fp1 long, fp2 long, bands array<long>"))
+    reps = cut(signed.filter("fp1 is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+
+    values = reps.select("rep", F.explode("bands").alias("h"))
+    shared = values.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.hash("rep").cast("long")).alias("s")).filter("n > 1")
+    buckets = cut(shared.groupBy("n", "x", "s").agg(F.min("h").alias("h")).select("h", "n"))
+    bits = bitmap(buckets.select("h"))
+    members = reps.select("rep", "bands").mapInArrow(_members(broadcast(Filter(bits))), "h long, rep long")
+    members = cut(members if bits is not None else members.join(buckets, "h", "left_semi"))
+
     key = F.xxhash64("rep").alias("h")
-    shared = docs.sparkSession.sparkContext.broadcast(Filter(bitmap(ids.select(key))))
-    some = texts.filter("text is not null").select(F.col("doc_id").alias("rep"), "text").select("rep", "text", key).mapInArrow(touched(shared), "rep long, text string")
-    units = some.join(ids, "rep", "left_semi").mapInArrow(_units, "rep long, units array<int>, sig array<int>, more array<int>").persist(StorageLevel.DISK_ONLY)
-    links = cut(_verified(pairs, units, threshold))
-    classes = cut(connected_components(links, "a", "b"))
-
-    # Members of large buckets in different classes: compared where two signatures agree enough.
-    apart = large.select("band", "value", "rep").join(classes, F.col("rep") == F.col("node"), "left").select("band", "value", "rep", F.coalesce("component", "rep").alias("class"))
-    split = apart.groupBy("band", "value").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("band", "value")
-    detail = units.select("rep", "sig", "more", F.transform(bands, lambda x: F.hash(x)).alias("all"))
-    apart = apart.join(split, ["band", "value"]).join(detail, "rep")
-    left, right = (apart.select("band", "value", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "class", "all", "sig", "more")]).alias(s) for s in "lr")
-    agree = lambda c: F.zip_with(f"{c}_l", f"{c}_r", lambda x, y: x == y)
-    number = lambda c: F.size(F.filter(agree(c), lambda same: same))
-    first = F.array_position(agree("all"), True) == F.col("l.band") + 1
-    same_bucket = (F.col("l.band") == F.col("r.band")) & (F.col("l.value") == F.col("r.value"))
-    more = left.join(right, same_bucket & (F.col("class_l") < F.col("class_r")) & first & (number("sig") >= AGREE) & (number("sig") + number("more") >= AGREE_ALL))
-    more = more.select(F.least("rep_l", "rep_r").alias("a"), F.greatest("rep_l", "rep_r").alias("b"))
-    late = cut(_verified(more.join(pairs, ["a", "b"], "left_anti"), units, threshold))
+    bits = bitmap(members.select(key))
+    some = texts.select(F.col("doc_id").alias("rep"), "text").filter("text is not null").select("rep", "text", key).mapInArrow(touched(broadcast(Filter(bits))), "rep long, text string")
+    some = some if bits is not None else some.join(members.select("rep").distinct(), "rep", "left_semi")
+    units = cut(some.mapInArrow(_units, "rep long, units array<int>"))
+
+    big = buckets.filter(F.col("n") > BLOCK)
+    dealt = members.join(big, "h", "left").select("h", "rep", _deal(_blocks(F.col("n"))).alias("block")).join(units, "rep")
+    links = dealt.select("h", "block", "rep", "units").repartition("h", "block").sortWithinPartitions("h", "block").mapInArrow(_within(threshold), "a long, b long")
+    classes = connected_components(links, "a", "b")
+
+    late = cut(_joined_classes(members, big, units, classes, threshold).distinct())
     if not late.isEmpty():  # join classes, not documents: a graph of few nodes
-        named = late.select("a", "b")
-        for c in ("a", "b"):
-            named = named.join(classes.withColumnRenamed("component", f"class_{c}"), F.col(c) == F.col("node"), "left").drop("node").withColumn(f"class_{c}", F.coalesce(f"class_{c}", c))
-        joined = connected_components(named, "class_a", "class_b")
-        classes = classes.union(late.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node", "left_anti").select("node", F.col("node").alias("component")))
-        classes = classes.join(joined.select(F.col("node").alias("component"), F.col("component").alias("lower")), "component", "left").select("node", F.coalesce("lower", "component").alias("component"))
-
-    same_text = signed.select("doc_id", "fp1", "fp2").join(reps.select("fp1", "fp2", "rep"), ["fp1", "fp2"]).select("doc_id", "rep")
-    known = same_text.join(classes, F.col("rep") == F.col("node"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
-    return texts.select("doc_id").distinct().join(known, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+        merged = connected_components(late, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("lower"))
+        alone = merged.select(F.col("component").alias("node"), F.col("component"))  # classes of one document
+        classes = classes.union(alone).distinct().join(merged, "component", "left").select("node", F.coalesce("lower", "component").alias("component"))
+    of_print = reps.select("fp1", "fp2", "rep").join(classes, F.col("rep") == F.col("node"), "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("class_id"))
+    found = signed.select("doc_id", "fp1", "fp2").join(of_print, ["fp1", "fp2"], "left")
+    discard(members, units, buckets, late)
+    return found.groupBy("doc_id").agg(F.min(F.coalesce("class_id", "doc_id")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
