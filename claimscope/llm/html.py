@@ -1,10 +1,15 @@
 """Main text of web pages by tree scoring.
 
 Every paragraph passes 1 point, 1 for each comma and 1 for each 100 characters (3 at most) to its ancestors: all to the parent,
-a half to the next, a third to the one after, and so on; each container's sum is discounted by its link density. The best container and
-its siblings with a fifth of its score, and its sibling paragraphs and headings with few links, are kept. If the best stands in an
-``article`` or ``main`` that is not mostly links, that element is kept whole. Boilerplate, told by tag, role, class
-or id, neither scores nor stays.
+a half to the next, a third to the one after, and so on; each container's sum is discounted by its link density. The best container is kept
+with its siblings that hold a fifth of its points, and the paragraphs, headings and loose text beside it that have few links; so are
+such siblings of its ancestors. If the best stands in an ``article`` or ``main`` that is not mostly links, this is kept to its edges but
+for containers that are mostly links.
+
+Boilerplate neither scores nor stays. Scripts, menus, footers, controls, hidden parts and roles always go. ``form``, ``header`` and elements whose
+class or id names boilerplate are only suspects: a name counts by its words, not if one of them negates or describes (``no-sidebar``,
+``page-with-sidebar``) or its last is the article (``header-article``). A suspect stays if it holds ``main``, or at least half of the page's
+text and itself the article or, on a page that marks none elsewhere, too little would be left without it. The header of an article or main stays.
 
 Defined cases: null or empty html gives an empty text; a page without paragraphs gives the text of its body without boilerplate;
 unclosed and stray tags are tolerated; ``br`` is white space; any nesting depth works, for nothing recurses; repeated rows
@@ -27,37 +32,63 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPH = frozenset("p pre blockquote li td dd".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-DROPPED = frozenset("head title script style noscript template nav header footer aside form button select option textarea iframe object svg canvas dialog menu audio video".split())
+DROPPED = frozenset("head title script style noscript template nav footer aside button select option textarea iframe object svg canvas dialog menu audio video".split())
+SUSPECT = frozenset("form header".split())
+CONTAINER = frozenset("article div dl main ol section table td ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright dialog disclaimer disqus footer header hidden login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split())
+LAYOUT_WORDS = frozenset("banner dialog footer header masthead menu modal nav navbar navigation notice notices overlay sidebar toolbar widget".split())
+ASIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment commentlist comments consent cookie cookies copyright disclaimer disqus login newsletter pager pagination popup promo promoted promotion recommended related replies reply respond share sharing signup skip social sponsor sponsored subscribe subscription".split())
+DESCRIBING = frozenset("disable disabled enable enabled free has layout no non not open show supports toggle with without".split())
+ARTICLE_WORDS = frozenset("article entry main page post story".split())
+HIDDEN_NAMES = frozenset({("hidden",), ("is", "hidden"), ("visually", "hidden"), ("sr", "only")})
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
 class Node:
-    __slots__ = ("children", "drop", "links", "length", "own", "parent", "score", "tag", "commas")
+    __slots__ = ("children", "commas", "drop", "held", "length", "links", "n_links", "own", "parent", "points", "score", "suspect", "tag")
+
+    def __init__(self, tag: str, parent: Node | None, drop: bool, suspect: int = 0):
+        self.tag, self.parent, self.drop, self.suspect, self.children, self.held = tag, parent, drop, suspect, [], frozenset()
+        self.score = self.points = self.links = self.n_links = self.length = self.own = self.commas = 0
+
+
+def _inside_article(n: Node | None) -> bool:
+    while n is not None and n.tag not in ("article", "main"):
+        n = n.parent
+    return n is not None
+
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool):
-        self.tag, self.parent, self.drop, self.children = tag, parent, drop, []
-        self.score = self.links = self.length = self.own = self.commas = 0
+def _named(value: str, tag: str, parent: Node) -> int:
+    """2 if a name of the class or id tells of things beside an article, 1 if of page layout, else 0."""
+    worst = 0
+    for name in value.split():
+        words = [w.lower() for w in _SPLIT.split(name) if w]
+        if tuple(words) in HIDDEN_NAMES:
+            return 2
+        if DESCRIBING.isdisjoint(words):
+            if not ASIDE_WORDS.isdisjoint(words):
+                return 2
+            if not LAYOUT_WORDS.isdisjoint(words) and words[-1] not in ARTICLE_WORDS and tag != "article":
+                own_header = words[-1] == "header" and (words[0] in ARTICLE_WORDS - {"page", "main"} or _inside_article(parent))
+                worst = max(worst, 0 if own_header else 1)
+    return worst
 
 
-def _unwanted(tag: str, attrs: list) -> bool:
+def _judge(tag: str, attrs: list, parent: Node) -> tuple[bool, int]:
+    """Whether an element goes, and how far it is a suspect."""
     if tag in DROPPED:
-        return True
-    if tag in ("html", "body", "article", "main") and not any(k in ("class", "id") for k, _ in attrs):
-        return False
+        return True, 0
+    suspect = int(tag in SUSPECT and not (tag == "header" and _inside_article(parent)))
     for k, v in attrs:
         v = v or ""
         if k in ("class", "id") and tag not in ("html", "body", "main"):
-            words = {w.lower() for w in _SPLIT.split(v)}
-            if words & (BOILERPLATE if tag != "article" else {"comment", "comments", "reply", "ad", "promo", "related", "sponsored"}):
-                return True
-        elif k == "role" and v.lower() in ROLES or k == "hidden" or k == "aria-hidden" and v.lower() == "true" or k == "style" and _HIDDEN.search(v):
-            return True
-    return False
+            suspect = max(suspect, _named(v, tag, parent))
+        elif (k == "role" and v.lower() in ROLES or k == "hidden" or k == "aria-hidden" and v.lower() == "true" or k == "style" and _HIDDEN.search(v)) and tag not in ("html", "body"):
+            return True, 0
+    return False, suspect
 
 
 class _Tree(HTMLParser):
@@ -98,7 +129,8 @@ class _Tree(HTMLParser):
             return
         if tag in BLOCK:  # body too: the head ends where content begins
             self._close({"head"}, set())
-        n = Node(tag, self.at, _unwanted(tag, attrs))
+        tag = next((v.lower() for k, v in attrs if k == "role" and v and v.lower() in ("main", "article") and tag in ("div", "section")), tag)
+        n = Node(tag, self.at, *_judge(tag, attrs, self.at))
         self.at.children.append(n)
         self.order.append(n)
         self.open[tag] += 1
@@ -119,9 +151,14 @@ class _Tree(HTMLParser):
         self.at.children.append(data)
 
 
-def _measure(order: list[Node]) -> list[Node]:
-    """Set text and link lengths, bottom up, and scores; return the scored nodes in page order."""
+def _few_links(n: Node, most: float = 0.5) -> bool:
+    return n.links < most * n.length
+
+
+def _lengths(order: list[Node]) -> None:
+    """Text and link lengths of what does not go, bottom up."""
     for n in order:
+        n.length = n.links = n.n_links = n.own = n.commas = 0
         if n.parent is not None and n.parent.drop:
             n.drop = True
     for n in reversed(order):
@@ -137,24 +174,65 @@ def _measure(order: list[Node]) -> list[Node]:
                 n.length += c.length
                 n.commas += c.commas
                 n.links += c.length if c.tag == "a" else c.links
+                n.n_links += 1 if c.tag == "a" else c.n_links
+
+
+def _settle(order: list[Node]) -> None:
+    """Decide which suspects go."""
+    _lengths(order)
+    root = order[0]
+    total, rest = root.length - root.links, 0
+    clear = {id(root)}
+    for n in order[1:]:
+        if not n.drop and not n.suspect and id(n.parent) in clear:
+            clear.add(id(n))
+            rest += n.own if n.tag != "a" else 0
+    rest += root.own
+    told = any(n.tag in ("article", "main") and n.length and id(n) in clear for n in order)
+    poor = {1: not told and rest < max(100, 0.1 * total), 2: not told and rest < 40}
+    for n in reversed(order):
+        if n.drop:
+            continue
+        held = {n.tag} & {"main", "article", "h1"} if not n.suspect else set()
+        for c in n.children:
+            if isinstance(c, Node) and not c.drop:
+                held |= c.held
+        if n.suspect:
+            half = n.length - n.links >= 0.5 * total > 0
+            n.drop = not ("main" in held or half and (poor[n.suspect] or n.suspect == 1 and bool(held)))
+        n.held = frozenset() if n.drop else frozenset(held)
+    _lengths(order)
+
+
+def paragraph_points(n: Node) -> float:
+    """What a node's text passes on; 0 if it is no paragraph. Containers count for the text that is directly theirs."""
+    whole = n.tag in PARAGRAPH
+    if n.drop or not n.length or not whole and not (n.own and n.tag in ("div", "section", "article", "main", "body")):
+        return 0.0
+    size, commas = (n.length, n.commas) if whole else (n.own, sum(c.count(",") for c in n.children if isinstance(c, str)))
+    return (1 + commas + min(size / 100, 3)) * (1 - n.links / n.length)
+
+
+def _score(order: list[Node]) -> list[Node]:
+    """Score the containers; the scored nodes in page order."""
     scored: dict[int, Node] = {}
     for n in order:
-        block_text = n.tag in PARAGRAPH or n.tag in ("div", "section", "article", "main", "body") and n.own > 0
-        if n.drop or not block_text or not n.length:
-            continue
-        size, commas = (n.length, n.commas) if n.tag in PARAGRAPH else (n.own, sum(c.count(",") for c in n.children if isinstance(c, str)))
-        points = (1 + commas + min(size / 100, 3)) * (1 - n.links / n.length)
+        points = paragraph_points(n)
+        n.points += points
         up, level = n if n.tag not in PARAGRAPH else n.parent, 1
-        while up is not None and level <= 12:
+        while points and up is not None and level <= 12:
             up.score += points / level
             scored[id(up)] = up
             up, level = up.parent, level + 1
+    for n in reversed(order):
+        if n.parent is not None:
+            n.parent.points += n.points
     for n in scored.values():
         n.score *= 1 - n.links / n.length if n.length else 0
     return list(scored.values())
 
 
-def _blocks(tops: list[Node]) -> list[str]:
+def _blocks(tops: list) -> list[str]:
     """Texts of the blocks below, in page order."""
     out: list[str] = []
     buf: list[str] = []
@@ -180,6 +258,35 @@ def _blocks(tops: list[Node]) -> list[str]:
     return out
 
 
+def _kept(best: Node) -> list:
+    """What stays of the page: parts in page order."""
+    edge = best
+    while edge is not None and edge.tag not in ("article", "main"):
+        edge = edge.parent
+    if edge is not None and _few_links(edge):
+        stack = [edge]
+        while stack:  # containers that are mostly links go
+            for c in stack.pop().children:
+                if isinstance(c, Node) and not c.drop:
+                    c.drop = c.tag in CONTAINER and c.n_links > 1 and not _few_links(c, 0.6)
+                    stack.append(c)
+        return [edge]
+    tops, n = [best], best
+    while n.parent is not None and n.tag != "body":
+        kept, beside = [], n is best
+        for c in n.parent.children:
+            if c is n:
+                kept += tops
+            elif isinstance(c, str):
+                kept += [c] if beside else []
+            elif not c.drop and c.length and _few_links(c, 0.25):
+                loose = c.tag in PARAGRAPH or c.tag in HEADING or c.tag not in BLOCK
+                if c.points >= 0.2 * best.points or beside and loose or c.tag == "h1":
+                    kept.append(c)
+        tops, n = kept, n.parent
+    return tops
+
+
 def main_text(html: str | None) -> str:
     """The article of a page, blocks joined by a line feed; empty if there is none."""
     if not html:
@@ -187,26 +294,9 @@ def main_text(html: str | None) -> str:
     tree = _Tree()
     tree.feed(html)
     tree.close()
-    scored = _measure(tree.order)
-    if not scored:
-        return "\n".join(_blocks([tree.root]))
-    best = max(scored, key=lambda n: n.score)
-    n = best
-    while n is not None and n.tag not in ("article", "main"):
-        n = n.parent
-    if n is not None and not n.drop and n.links < 0.5 * n.length:
-        return "\n".join(_blocks([n]))
-    if best.parent is None:
-        return "\n".join(_blocks([best]))
-    kept = []
-    for c in best.parent.children:
-        if c is best:
-            kept.append(c)
-        elif isinstance(c, Node) and not c.drop and c.length:
-            few_links = c.links < 0.25 * c.length
-            if few_links and (c.score >= 0.2 * best.score or c.tag in PARAGRAPH or c.tag in HEADING):
-                kept.append(c)
-    return "\n".join(_blocks(kept))
+    _settle(tree.order)
+    scored = _score(tree.order)
+    return "\n".join(_blocks(_kept(max(scored, key=lambda n: n.score)) if scored else [tree.root]))
 
 
 def extract(pages: DataFrame) -> DataFrame:

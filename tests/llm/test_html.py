@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from claimscope.llm import html
@@ -42,3 +44,66 @@ def test_extract_keeps_rows_and_columns(spark):
     rows = sorted((r.page_id, r.text, r.n_chars) for r in html.extract(pages).collect())
     assert rows == [(1, "a\U0001f600 b", 4), (1, "a\U0001f600 b", 4), (2, "", 0)]
     assert html.extract(pages.limit(0)).count() == 0
+
+
+PARAS = "<p>First para, with words, and more of it here for length.</p><p>Second para, also with words and such things.</p>"
+WANT = "First para, with words, and more of it here for length.\nSecond para, also with words and such things."
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ('<div class="layout no-sidebar">{}</div>', WANT),
+        ('<div class="page-with-sidebar">{}<div class="sidebar"><p>side, text, here</p></div></div>', WANT),
+        ('<article class="post has-comments">{}<div class="comments"><p>c, c, c</p></div></article>', WANT),
+        ('<section id="header-article">{}</section>', WANT),
+        ('<div class="content-sidebar"><main>{}</main></div>', WANT),
+        ("<main><form>{}</form></main>", WANT),
+        ('<div class="banner">{}</div>', WANT),
+        ("<article><header><h1>Title</h1></header>{}</article>", f"Title\n{WANT}"),
+        ('<article><div class="entry-header"><h1>Title</h1></div>{}</article>', f"Title\n{WANT}"),
+        ("<div>loose text<div>{}</div>more <b>loose</b></div>", f"loose text\n{WANT}\nmore loose"),
+        (f"<div><div>{PARAS}</div></div><div><div>{{}}</div></div>", f"{WANT}\n{WANT}"),
+        ('<div>{}</div><div class="comments"><p>' + "I say, you say, no. " * 50 + "</p></div>", WANT),
+        ('<article>{}<ul><li><a href=a>More here</a></li><li><a href=b>And there</a></li></ul></article>', WANT),
+        ('<article>{}<div class="related-post"><p>Read, also, this</p></div><div class="ad-container">Buy</div></article>', WANT),
+    ],
+)
+def test_names_of_wrappers_and_split_texts(body, want):
+    page = '<html><body><nav><a href="/">home</a></nav>' + body.format(PARAS) + "<footer>foot, note</footer></body></html>"
+    assert html.main_text(page) == want
+
+
+def test_a_long_page_is_read_whole():
+    page = "<article>" + "".join(f"<p>Paragraph {i}, with a few words.</p>" for i in range(50_000)) + "</article>"
+    assert html.main_text(page).count("\n") == 49_999
+
+
+def naive_scores(order):
+    """By the definition: every paragraph to each of its 12 nearest containers."""
+    out = {}
+    for n in order:
+        up, chain = n if n.tag not in html.PARAGRAPH else n.parent, []
+        while up is not None:
+            chain.append(up)
+            up = up.parent
+        for level, c in enumerate(chain[:12], 1):
+            out[id(c)] = out.get(id(c), 0) + html.paragraph_points(n) / level
+    return out
+
+
+def test_scores_equal_brute_force():
+    rng = random.Random(4)
+    for _ in range(30):
+        parts = []
+        for _ in range(60):
+            parts.append(rng.choice(["<div>", "</div>", "<section>", "</section>", "<p>a, b and c", "</p>", "<ul><li>one, two", "</ul>", "<a href=x>link</a>", "text, loose", "<nav>", "</nav>", "<b>bold</b>"]))
+        tree = html._Tree()
+        tree.feed("".join(parts))
+        tree.close()
+        html._settle(tree.order)
+        scored = html._score(tree.order)
+        want = naive_scores(tree.order)
+        for n in scored:
+            assert n.score == pytest.approx(want[id(n)] * (1 - n.links / n.length if n.length else 0))
+        assert {id(n) for n in scored} == {k for k, v in want.items() if v > 0}
