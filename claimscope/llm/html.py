@@ -182,13 +182,15 @@ def _settle(order: list[Node]) -> None:
     _lengths(order)
     root = order[0]
     total, rest = root.length - root.links, 0
-    clear = {id(root)}
+    clear, inside, told = {id(root)}, set(), False
     for n in order[1:]:
         if not n.drop and not n.suspect and id(n.parent) in clear:
             clear.add(id(n))
             rest += n.own if n.tag != "a" else 0
+            if n.tag in ("article", "main") or id(n.parent) in inside:
+                inside.add(id(n))
+                told = told or n.own > 0
     rest += root.own
-    told = any(n.tag in ("article", "main") and n.length and id(n) in clear for n in order)
     poor = {1: not told and rest < max(100, 0.1 * total), 2: not told and rest < 40}
     for n in reversed(order):
         if n.drop:
