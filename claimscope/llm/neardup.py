@@ -37,7 +37,7 @@ from claimscope.session import cut, discard
 
 SHINGLE, BANDS, ROWS, BLOCK = 5, 24, 5, 256
 K = BANDS * ROWS
-_COLUMNS = 4_096  # units counted in one matrix product
+_COLUMNS, _STEP = 4_096, 32  # units and texts of a side compared at once
 _FIRST = 2.0**-8  # width of the first rank cell; each further cell doubles the rank
 _UNIT = np.uint64(0xA24BAED4963EE407)
 
@@ -164,39 +164,52 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cols, ["rep", "units"])
 
 
-def common_units(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """(left, right) numbers of common units; the values of a multiset count as often as both have them."""
-
-    def coded(side: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.array([len(u) for u in side])
-        doc, unit = np.repeat(np.arange(len(side)), sizes), np.concatenate(side).view(np.uint32).astype(np.uint64)
-        order = np.lexsort((unit, doc))  # a value that collides within a text gets a number, so that each is its own
-        doc, unit = doc[order], unit[order]
-        same = np.concatenate([[False], (doc[1:] == doc[:-1]) & (unit[1:] == unit[:-1])])[: len(doc)]
-        run = np.arange(len(doc)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(doc)))) if len(doc) else np.zeros(0, dtype=np.int64)
-        return doc, unit + (run.astype(np.uint64) << np.uint64(32))
-
-    (ld, lu), (rd, ru) = coded(left), coded(right)
-    both = np.intersect1d(lu, ru)
-    out = np.zeros((len(left), len(right)), dtype=np.float32)
-    lp, rp = np.searchsorted(both, lu), np.searchsorted(both, ru)
-    lk, rk = (np.flatnonzero((p < len(both)) & (both[np.minimum(p, len(both) - 1)] == u)) if len(both) else np.zeros(0, dtype=np.int64) for p, u in ((lp, lu), (rp, ru)))
-    ld, lp, rd, rp = ld[lk], lp[lk], rd[rk], rp[rk]
+def _coded(side: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, unit) of all units; a value that collides within a text gets a number, so that each is its own."""
+    sizes = np.array([len(u) for u in side])
+    doc, unit = np.repeat(np.arange(len(side)), sizes), np.concatenate(side).view(np.uint32).astype(np.uint64)
+    order = np.lexsort((unit, doc))
+    doc, unit = doc[order], unit[order]
+    same = np.concatenate([[False], (doc[1:] == doc[:-1]) & (unit[1:] == unit[:-1])])[: len(doc)]
+    run = np.arange(len(doc)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(doc)))) if len(doc) else np.zeros(0, dtype=np.int64)
+    return doc, unit + (run.astype(np.uint64) << np.uint64(32))
+
+
+def common_units(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """(left, right) numbers of common units; within one side (the diagonal is not filled) if there is no other. Bit sets, by slices of the units that can be common."""
+    ld, lu = _coded(left)
+    if right is None:
+        right, rd, ru = left, ld, lu
+        both, n = np.unique(lu, return_counts=True)
+        both = both[n > 1]
+    else:
+        rd, ru = _coded(right)
+        both = np.intersect1d(lu, ru)
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    if not len(both):
+        return out
+    places = []
+    for d, u in ((ld, lu), (rd, ru)):
+        p = np.minimum(np.searchsorted(both, u), len(both) - 1)
+        ok = both[p] == u
+        places.append((d[ok], p[ok]))
     for lo in range(0, len(both), _COLUMNS):
         width = min(_COLUMNS, len(both) - lo)
+        words = -(-width // 64)
         sides = []
-        for n, d, p in ((len(left), ld, lp), (len(right), rd, rp)):
+        for n, (d, p) in zip((len(left), len(right)), places, strict=True):
             at = (p >= lo) & (p < lo + width)
-            m = np.zeros((n, width), dtype=np.float32)
+            m = np.zeros((n, words * 64), dtype=np.uint8)
             m[d[at], p[at] - lo] = 1
-            sides.append(m)
-        out += sides[0] @ sides[1].T
+            sides.append(np.packbits(m, axis=1).view(np.uint64))
+        for i in range(0, len(left), _STEP):
+            out[i : i + _STEP] += np.bitwise_count(sides[0][i : i + _STEP, None, :] & sides[1][None, :, :]).sum(axis=2, dtype=np.int64)
     return out
 
 
-def _similar(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
-    n, m = (np.array([len(u) for u in side], dtype=np.float64) for side in (left, right))
-    inter = common_units(left, right).astype(np.float64)
+def _similar(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> np.ndarray:
+    n, m = (np.array([len(u) for u in side]) for side in (left, left if right is None else right))
+    inter = common_units(left, right)
     return inter / np.maximum(n[:, None] + m[None, :] - inter, 1) >= threshold
 
 
@@ -242,7 +255,7 @@ def _within(threshold: float):
             if len(rows) < 2:
                 continue
             ids, units = [r[0] for r in rows], [r[1] for r in rows]
-            found = [(i, low) for i, low in zip(ids, _smallest_reachable(_similar(units, units, threshold), ids), strict=True) if i != low]
+            found = [(i, low) for i, low in zip(ids, _smallest_reachable(_similar(units, None, threshold), ids), strict=True) if i != low]
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(a, pa.int64())], ["a", "b"])
@@ -300,7 +313,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     values = reps.select("rep", F.explode("bands").alias("h"))
     shared = values.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.hash("rep").cast("long")).alias("s")).filter("n > 1")
     buckets = cut(shared.groupBy("n", "x", "s").agg(F.min("h").alias("h")).select("h", "n"))
-    bits = bitmap(buckets.select("h"))
+    bits = bitmap(buckets.select("h"), 256)
     members = reps.select("rep", "bands").mapInArrow(_members(broadcast(Filter(bits))), "h long, rep long")
     members = cut(members if bits is not None else members.join(buckets, "h", "left_semi"))
 
