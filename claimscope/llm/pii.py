@@ -20,11 +20,12 @@ through ``sanitise`` unchanged. Working columns start with ``_pii_``.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MIN_SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
+from claimscope.session import cut
+
+MIN_SUPPORT, GENERALISE, REMOVE, PART = 3, 0.8, 0.95, 256
 KINDS = ("email", "ip", "card", "phone")
 
 # Each pattern is the contract's, made linear: a match starts at the first character of a run or where the
@@ -62,12 +63,26 @@ def _valid(kind: str, value: Column) -> Column:
     }[kind]
 
 
+def _folded(items: Column, start: Column, step, none: Column) -> Column:
+    """``out`` of a fold over an array whose step gives (state, value): the values in order, without null ones.
+
+    Appending to an array copies it, so values are gathered in parts of ``PART`` and these joined at the end.
+    """
+    begin = F.struct(start.alias("at"), F.array(none).alias("out"))  # an array of parts; the first is empty
+
+    def part(acc, i):
+        inner = F.aggregate(F.slice(items, i * PART + 1, PART), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.transform(F.array(inner), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))[0]
+
+    parts = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / PART).cast("int"))
+    return F.when(F.size(items) > 0, F.flatten(F.aggregate(parts, begin, part)["out"])).otherwise(none)
+
+
 def _located(text: Column, pattern: str) -> Column:
     """Array of (start, end, value) of all matches, in order; code points from 0, end exclusive."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     parts = F.arrays_zip(gaps.alias("gap"), found.alias("value"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
 
     def step(acc, x):
         start = acc["at"] + x["gap"]
@@ -75,7 +90,7 @@ def _located(text: Column, pattern: str) -> Column:
         here = F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))
         return F.when(x["value"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], here).alias("out")))
 
-    return F.aggregate(parts, empty, step)["out"]
+    return _folded(parts, F.lit(0), step, F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
 def base_spans(text: Column) -> Column:
@@ -91,17 +106,11 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(of(no, kind) for no, kind in enumerate(KINDS))))
 
 
-def _masked(text: Column, spans: Column) -> Column:
-    """``text`` with its base spans blanked, at the same length."""
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, s):
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        blank = F.lpad(F.lit(""), F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0)), " ")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(gap, blank)).alias("out"))
-
-    done = F.aggregate(spans, empty, step)
-    return F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text)))
+def _masked(text: Column) -> Column:
+    """``text`` with its e-mail addresses blanked, at the same length: no other base span has a letter, so no other can hold or touch a term."""
+    found = F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0))
+    parts = F.transform(F.arrays_zip(F.split(text, PATTERNS["email"], -1).alias("gap"), found.alias("value")), lambda x: F.concat(x["gap"], F.coalesce(F.lpad(F.lit(""), F.length(x["value"]), " "), F.lit(""))))
+    return F.when(text.contains("@"), F.array_join(parts, "")).otherwise(text)
 
 
 def _terms(text: Column) -> Column:
@@ -117,15 +126,16 @@ def term_spans(docs: DataFrame, min_support: int = MIN_SUPPORT, generalise: floa
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     with_spans = docs.filter("doc_id is not null").select("doc_id", text.alias("text")).filter(F.col("text").rlike(r"[0-9]|@")).withColumn("spans", base_spans(F.col("text"))).filter(F.size("spans") > 0)
-    with_spans = with_spans.select("doc_id", F.xxhash64("text").alias("content"), "text", "spans").persist(StorageLevel.DISK_ONLY)  # only documents with personal data
+    with_spans = with_spans.select("doc_id", F.xxhash64("text").alias("content"), "text", "spans")
+    with_spans = cut(with_spans)  # only documents with personal data
     names = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])))
     held = with_spans.select("doc_id", "content", F.explode(names).alias("entity")).distinct()
     copies = held.groupBy("entity", "content").agg(F.count("*").alias("n"))
     entities = copies.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("n_texts")).filter(F.col("n_texts") >= min_support).drop("n_texts")
     copies = copies.join(entities.select("entity"), "entity")
 
-    texts = with_spans.join(copies.select("content").distinct(), "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
-    texts = texts.select("content", _masked(F.col("text"), F.col("spans")).alias("masked")).persist(StorageLevel.DISK_ONLY)
+    texts = with_spans.join(copies.select("content").distinct(), "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"))
+    texts = cut(texts.select("content", _masked(F.col("text")).alias("masked")))
     pairs = texts.select("content", _terms(F.col("masked")).alias("terms")).join(copies, "content").select("content", "entity", "n", F.explode("terms").alias("term"))
     joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("support"), F.sum("n").alias("n_joint")).filter(F.col("support") >= min_support)
     df = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
@@ -183,18 +193,22 @@ def find(docs: DataFrame, **params) -> DataFrame:
 def redact(text: Column, spans: Column) -> Column:
     """``text`` with each span replaced by its tag, for example ``<EMAIL>``; terms to remove leave nothing.
 
-    Overlapping spans are merged under the first one's tag.
+    Overlapping spans are merged under the first one's tag. The text is cut by its characters, so that the work is linear in its length.
     """
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    none = F.array().cast("array<struct<start:int,size:int,tag:string>>")
 
     def step(acc, s):
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
         tag = F.when(s["kind"] != "term", F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).when(s["value"] == "remove", "").otherwise("<TERM>")
-        add = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(gap, tag))).otherwise(acc["out"])
+        piece = F.array(F.struct((acc["at"] + 1).alias("start"), (s["start"] - acc["at"]).alias("size"), tag.alias("tag")))
+        add = F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece)).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), add.alias("out"))
 
-    done = F.aggregate(spans, empty, step)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text))))
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    cuts = _folded(spans, F.lit(0), step, none)
+    pieces = F.transform(cuts, lambda p: F.concat(F.array_join(F.slice(chars, p["start"], p["size"]), ""), p["tag"]))
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    rest = F.array_join(F.slice(chars, last + 1, F.greatest(F.length(text) - last, F.lit(0))), "")
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(pieces, ""), rest))
 
 
 def sanitise(docs: DataFrame, **params) -> DataFrame:
