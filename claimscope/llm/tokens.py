@@ -4,9 +4,9 @@ Pieces and their order come from a sentencepiece model file, whose path is a par
 file's own scores are merge ranks, which are no probabilities. Bytes stand in for characters that no piece has, each at
 ``UNKNOWN``. A text's pre-tokens are its words at white space, each with the word-begin mark before it.
 
-The distinct pre-tokens of a batch are inserted in a trie in sorted order. A node keeps the best score of its prefix and the number of
-tokens that reach it, computed once from its ancestors; the terminal counts are read off and summed by document. Only the path to the
-current node is held, for in sorted order no earlier branch is entered again. So memory is that of one batch, and nothing is shuffled.
+The distinct pre-tokens that a task meets are inserted in a trie in sorted order, those of a batch together. A node keeps the best score of its prefix and the number of
+tokens that reach it, computed once from its ancestors; the terminal counts are kept and summed by document. Only the path to the
+current node is held, for in sorted order no earlier branch is entered again, and at most ``KEPT`` terminal counts. So memory is bounded, and nothing is shuffled.
 
 Ties in score go to the segmentation with fewer tokens, then to the longer last piece. Defined cases: null or blank text has 0; repeated rows
 are counted each; a word may be of any length; null ids pass; an empty table gives no rows.
@@ -17,14 +17,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from claimscope.llm.hashing import chunks
+from claimscope.llm.hashing import chunks, few_rows
 
-MARK, UNKNOWN = "▁", -25.0
+MARK, UNKNOWN, KEPT = "▁", -25.0, 1 << 20
 
 
 def default_model() -> str:
@@ -73,27 +71,35 @@ class Trie:
         return count[len(word)]
 
 
-_pieces: dict[str, dict[str, float]] = {}
+class Counts(dict):
+    """Tokens of each pre-token seen by a worker; missing ones are inserted into the trie in sorted order."""
+
+    def __init__(self, pieces: dict[str, float]):
+        super().__init__()
+        self.trie = Trie(pieces)
+
+    def learn(self, found: set[str]) -> None:
+        new = found - self.keys()
+        if len(self) + len(new) > KEPT:  # a bound on memory only: what was forgotten is scored again
+            self.clear()
+            new = found
+        insert = self.trie.insert
+        for w in sorted(new):
+            self[w] = insert(MARK + w)
 
 
 def _count(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        counts = Counts(shared.value)
+        for batch in few_rows(batches):
             texts = batch.column("text").to_pylist()
             n_words, n_tokens = [], []
             for lo, hi in chunks(texts, 1 << 22):
-                words = [(t or "").split() for t in texts[lo:hi]]
-                sizes = np.array([len(w) for w in words])
-                code, distinct = pd.factorize(np.array([x for w in words for x in w], dtype=object))
-                trie, counts = Trie(shared.value), np.zeros(len(distinct), dtype=np.int64)
-                for i in sorted(range(len(distinct)), key=distinct.__getitem__):
-                    counts[i] = trie.insert(MARK + distinct[i])
-                total = np.concatenate([[0], np.cumsum(counts[code])])
-                ends = np.cumsum(sizes)
-                n_words.append(sizes)
-                n_tokens.append(total[ends] - total[ends - sizes])
-            cols = [np.concatenate(c).astype(np.int64) if c else np.zeros(0, dtype=np.int64) for c in (n_words, n_tokens)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, cols)], ["doc_id", "n_pretokens", "n_tokens"])
+                split = [(t or "").split() for t in texts[lo:hi]]
+                counts.learn(set().union(*split))
+                n_words += map(len, split)
+                n_tokens += [sum(map(counts.__getitem__, ws)) for ws in split]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
 
     return run
 
