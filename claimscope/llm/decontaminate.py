@@ -5,13 +5,15 @@ has an error budget of floor(``error_rate`` * m) edits and is split into budget
 unchanged. Pieces are found exactly with one Aho-Corasick automaton; each hit opens the window the item could
 occupy, and Myers' bit-parallel algorithm gives the smallest edit distance of the item to any part of it.
 
-Items are read in blocks of bounded size, so the automaton never outgrows a worker; each block is one pass over the documents.
-Defined cases: null texts and items without letters or digits match nothing; items below ``short`` characters must occur whole and
-between spaces; null ids are kept; repeated rows are judged each; empty tables give no hits.
+Items are read in blocks of bounded size, so the automaton never outgrows a worker; each block is one pass over the documents, and of several the hits
+are written before the next is read, so one block is broadcast at a time.
+Defined cases: null texts and items without letters or digits match nothing; items so short that their budget is 0 must occur
+between spaces, for a word inside another is no passage; null ids are kept; repeated rows are judged each; empty tables give no hits.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -23,8 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.llm.hashing import few_rows
+from claimscope.session import cut
 
-ERROR_RATE, SHORT, BLOCK_CHARS = 0.05, 40, 4_000_000
+ERROR_RATE, BLOCK_CHARS = 0.05, 4_000_000
+SHORT = math.ceil(1 / ERROR_RATE)  # shorter items have no edit in their budget
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -134,9 +138,10 @@ def _scan(shared, error_rate: float, short: int):
     return run
 
 
-def hits(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, short: int = SHORT, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, item_id, distance): every document and item it holds within the item's budget."""
+def hits(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, short: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(doc_id, item_id, distance): every document and item it holds within the item's budget; items below ``short`` characters, by default those whose budget is 0, have none."""
     spark = docs.sparkSession
+    short = math.ceil(1 / error_rate) if short is None and error_rate > 0 else short or 0
     items = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
@@ -145,6 +150,9 @@ def hits(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, shor
         rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toLocalIterator()  # about block_chars characters
         shared = spark.sparkContext.broadcast(tuple(sorted((r.item_id, r.text) for r in rows)))
         found = docs.select("doc_id", "text").filter("text is not null").mapInArrow(_scan(shared, error_rate, short), "doc_id long, item_id long, distance long")
+        if blocks > 1:
+            found = cut(found)
+            shared.unpersist()
         out = found if out is None else out.union(found)
     return out
 
