@@ -7,7 +7,7 @@ lost task repeats it exactly. Counts are exploded and the copies shuffled by the
 
 Defined cases: null source is a source of its own (the empty name in ``weights``); null text passes;
 repeated rows draw the same count each; an empty table gives no rows; sources missing from ``weights`` get weight 0;
-null doc_id draws as the text ``null``.
+null doc_id draws as the text ``null``; columns named ``copy`` or ``mix_key`` are replaced, columns that start with ``_mix_`` are dropped.
 """
 
 from __future__ import annotations
@@ -15,10 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimscope.session import rows_up_to
-
-#: Sources whose rates may be broadcast: 64 Ki rows of a name and a short table.
-BROADCAST_SOURCES = 65_536
+#: Sources, and numbers in their distributions (8 bytes each), that may be broadcast.
+BROADCAST_SOURCES, BROADCAST_NUMBERS = 65_536, 4_000_000
 SALTS, PART = 16, 500
 
 
@@ -53,15 +51,17 @@ def poisson_cdf(rate: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, total: int | None = None, seed: int = 17) -> DataFrame:
-    """``docs`` with each row repeated by its count, plus ``copy`` (from 1) and ``mix_key``, globally shuffled.
+    """``docs`` with each row repeated by its count, plus ``copy`` (from 1) and ``mix_key``, which replace columns of these names, globally shuffled.
 
     Rates above 500 are split into equal parts of at most 500 with a draw each, for ``exp(-rate)`` would vanish: their sum is Poisson of the full mean.
     """
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("copy", "mix_key") and not c.lower().startswith("_mix_")])
     rates = source_rates(docs, weights, alpha, total)
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
     rates = rates.select("_mix_source", parts.alias("_mix_parts"), poisson_cdf(F.col("rate") / parts).alias("_mix_cdf"))
     held = docs.withColumn("_mix_source", F.coalesce("source", F.lit("")))
-    if rows_up_to(rates.select("_mix_source"), BROADCAST_SOURCES) is not None:
+    size = rates.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("_mix_cdf")), F.lit(0)).alias("numbers")).first()
+    if size.rows <= BROADCAST_SOURCES and size.numbers <= BROADCAST_NUMBERS:
         held = held.join(F.broadcast(rates), "_mix_source")
     else:  # a source may hold a third of all rows: its documents go to several tasks
         salted = rates.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
