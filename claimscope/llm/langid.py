@@ -1,8 +1,8 @@
 """Language spans by Viterbi over per-word scores.
 
 Fit: hashed letter trigrams (the letters beside a word's edge count as 0) are counted by language over a bounded sample of
-labelled documents, at most ``FIT_ROWS`` a language, chosen by hash of the id. The counts are summed by Spark; a model has
-``BUCKETS`` numbers a language, for at most ``MAX_LANGUAGES``.
+labelled documents, about ``FIT_ROWS`` a language, chosen by hash of the id. The counts are summed by Spark; a model knows every language it was
+shown and has ``CELLS`` numbers at most: ``BUCKETS`` a language up to 64 languages, fewer a language beyond. More than ``MAX_LANGUAGES`` labels are no languages and an error.
 
 Predict: a word is a run of letters. Its script, from its first letter, narrows the candidates to the languages that use the
 script; its score for each is the sum of trigram log probabilities, at most ``FLOOR`` below the best. The label sequence
@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.llm.hashing import chunks, few_rows
+from claimscope.session import rows_up_to
 
-FIT_ROWS, BUCKETS, MAX_LANGUAGES, SWITCH, FLOOR = 2_000, 1 << 16, 1_000, 16.0, 8.0
+FIT_ROWS, BUCKETS, CELLS, MAX_LANGUAGES, SWITCH, FLOOR = 2_000, 1 << 16, 1 << 22, 1 << 14, 16.0, 8.0
 _TOP = 0x30000  # letters above it are not told apart
 
 # First code points of Unicode script ranges and their scripts.
@@ -90,21 +91,35 @@ class Model:
         self.langs, self.table, self.allowed = langs, table, allowed
 
 
+def _buckets(n_langs: int) -> int:
+    """A power of two, so that a bucket among fewer is a remainder."""
+    n = BUCKETS
+    while n * n_langs > CELLS:
+        n //= 2
+    return n
+
+
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """A model of the column ``lang``; give the rows that may be learned from."""
-    labelled = docs.filter("lang is not null and text is not null and doc_id is not null")
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    langs = sorted(sizes)
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, fit_rows / max(n, fit_rows)).otherwise(share)
-    sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
-    counts = sample.mapInPandas(_count, "lang string, bucket long, script long, n long").groupBy("lang", "bucket", "script").agg(F.sum("n").alias("n")).toPandas()
-    table, scripts = np.full((BUCKETS, len(langs)), 0.5), np.zeros((len(_NAMES), len(langs)))
-    col = counts["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=np.int64)
-    gram = (counts["bucket"] >= 0).to_numpy()
-    table[counts["bucket"].to_numpy()[gram], col[gram]] += counts["n"].to_numpy()[gram]
-    scripts[counts["script"].to_numpy()[~gram], col[~gram]] += counts["n"].to_numpy()[~gram]
+    labelled = docs.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text")
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    if rows_up_to(sizes, MAX_LANGUAGES) is None:
+        raise ValueError(f"more than {MAX_LANGUAGES} labels")
+    langs = sorted(r.lang for r in sizes.collect())  # at most MAX_LANGUAGES rows
+    share = F.lit(fit_rows) / F.greatest(F.col("n"), F.lit(fit_rows))
+    sample = labelled.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
+    n_buckets = _buckets(max(len(langs), 1))
+    counts = sample.mapInPandas(_count, "lang string, bucket long, script long, n long")
+    counts = counts.withColumn("bucket", F.when(F.col("bucket") >= 0, F.col("bucket") % n_buckets).otherwise(F.col("bucket")))
+    counts = counts.groupBy("lang", "bucket", "script").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS rows and a row a language and script
+    table, scripts = np.full((n_buckets, len(langs)), 0.5), np.zeros((len(_NAMES), len(langs)))
+    lang = counts.column("lang").combine_chunks().dictionary_encode()
+    place = np.searchsorted(langs, lang.dictionary.to_pylist()) if len(lang) else np.zeros(0, dtype=np.int64)
+    col = place[lang.indices.to_numpy()] if len(lang) else np.zeros(0, dtype=np.int64)
+    bucket, script, n = (counts.column(c).to_numpy() for c in ("bucket", "script", "n"))
+    gram = bucket >= 0
+    table[bucket[gram], col[gram]] += n[gram]
+    scripts[script[~gram], col[~gram]] += n[~gram]
     allowed = scripts >= 0.01 * np.maximum(scripts.sum(axis=0), 1)
     return Model(langs, np.log(table / table.sum(axis=0)).astype(np.float32), allowed)
 
@@ -131,7 +146,7 @@ def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
 
 
 def word_scores(model: Model, w: Words) -> np.ndarray:
-    s = np.add.reduceat(model.table[w.bucket], w.first, axis=0).astype(np.float64) if len(w.first) else np.zeros((0, len(model.langs)))
+    s = np.add.reduceat(model.table[w.bucket % len(model.table)], w.first, axis=0).astype(np.float64) if len(w.first) else np.zeros((0, len(model.langs)))
     allowed = model.allowed[w.script]
     narrowed = allowed.any(axis=1)
     s = np.where(allowed, s, -np.inf)
