@@ -50,20 +50,28 @@ def normalize_claim(c: Column) -> Column:
     return F.when((F.length(c) > 0) & ~c.rlike(r"[.!?]$"), F.concat(c, F.lit("."))).otherwise(c)
 
 
+_LETTER = r"[\p{L}\p{N}_]"
+
+
+def _whole(pattern: str, flags: str = "") -> str:
+    """``pattern`` where no letter, digit or underscore stands beside it."""
+    return f"{flags}(?<!{_LETTER})(?:{pattern})(?!{_LETTER})"
+
+
 # Patterns of entities.
-NUMBER = r"\$?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?%?"
-DATE = r"(?:^|[^0-9/-])([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}|[0-9]{4}[/-][0-9]{1,2}[/-][0-9]{1,2})"
-MONTH_DAY = r"(?i)(?:^|[^a-z])((?:january|february|march|april|may|june|july|august|september|october|november|december)\s+[0-9]{1,2}(?:,?\s+[0-9]{4})?)"
-PHRASE = r"(?:^|[^\p{L}\p{N}_])([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)"
+NUMBER = r"\$?\p{Nd}+(?:,\p{Nd}{3})*(?:\.\p{Nd}+)?%?"
+DATE = _whole(r"\p{Nd}{1,2}[/-]\p{Nd}{1,2}[/-]\p{Nd}{2,4}|\p{Nd}{4}[/-]\p{Nd}{1,2}[/-]\p{Nd}{1,2}")
+MONTH_DAY = _whole(r"(?:january|february|march|april|may|june|july|august|september|october|november|december)\s+\p{Nd}{1,2}(?:,?\s+\p{Nd}{4})?", "(?i)")
+PHRASE = _whole(r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+")
 NOT_WORD = r"[^\p{L}\p{N}_]"
 
 
 def extract_entities(c: Column) -> Column:
     """Sorted array of numbers, dates, month-days, capitalised words that do not begin a sentence, and capitalised phrases, in lower case.
 
-    An accented letter ends a capitalised phrase.
+    Dates, month-days and phrases stand between word boundaries: what a letter or digit goes on is cut back to the last word or is none.
     """
-    found = [F.regexp_extract_all(c, F.lit(p), F.lit(g)) for p, g in ((NUMBER, 0), (DATE, 1), (MONTH_DAY, 1), (PHRASE, 1))]
+    found = [F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in (NUMBER, DATE, MONTH_DAY, PHRASE)]
     inner = F.transform(F.split(c, r"[.!?]\s+", -1), lambda s: F.filter(F.split(s, r"\s+", -1), lambda w: F.length(w) > 0))
     later = F.flatten(F.transform(inner, lambda ws: F.slice(ws, 2, F.greatest(F.size(ws), F.lit(1)))))
     named = F.filter(later, lambda w: w.rlike(r"^\p{Lu}") & (w != F.upper(w)) & (F.length(w) > 1))

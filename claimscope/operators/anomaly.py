@@ -1,39 +1,45 @@
 """Burst and anomaly detectors on hourly series, and their scores.
 
-The detectors are defined here from the papers named; parameters are arguments. Every one is a window function, a bounded
-self-join or a fold over one cluster's hours, so a run over many clusters needs one shuffle by cluster.
+The detectors are defined here from the papers named; parameters are arguments. Every one is a window function or a walk over one
+cluster's hours, so a run over many clusters needs one shuffle by cluster.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimscope.operators.timeseries import history
 
 
+def _burst_path(counts: np.ndarray, scale: float, gamma: float, states: int) -> np.ndarray:
+    """State with the least cost so far at each window; ties to the lower."""
+    mean, climb = counts.mean(), gamma * np.log(len(counts))
+    rate = mean * scale ** np.arange(states)
+    rise = climb * np.maximum(np.arange(states)[None, :] - np.arange(states)[:, None], 0)  # from row to column
+    cost, out = climb * np.arange(states), np.zeros(len(counts), dtype=np.int32)
+    for i, x in enumerate(counts):
+        cost = (cost[:, None] + rise).min(axis=0) + rate - x * np.log(rate)
+        out[i] = int(cost.argmin())
+    return out
+
+
 def kleinberg_states(series: DataFrame, scale: float = 2.0, gamma: float = 1.0, states: int = 3) -> DataFrame:
     """Adds ``kleinberg_state``: the cheapest state at each window of the burst automaton (Kleinberg 2002), without look-ahead.
 
     State i emits Poisson counts at mean * scale ** i, mean over the cluster's series; a rise costs gamma * ln(windows) a level, a fall nothing.
-    Ties take the lower state. The fold runs over one cluster's hours, whose number is that of the hours observed.
+    Ties take the lower state. A group is one cluster's hours, whose number is that of the hours observed; the walk over them is linear.
     """
-    rows = series.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("timestamp", "tweet_count"))).alias("xs"), F.avg("tweet_count").alias("mean"), F.count("*").alias("n"))
-    climb = gamma * F.log("n")
-    emit = lambda x, j: F.col("mean") * scale**j - x * F.log(F.col("mean") * scale**j)
 
-    def step(acc: Column, x: Column) -> Column:
-        costs = []
-        for j in range(states):
-            ways = [acc["cost"][i] + (climb * (j - i) if j > i else 0.0) for i in range(states)]
-            costs.append(F.least(*ways) + emit(x["tweet_count"], j))
-        low = F.least(*costs)
-        state = F.coalesce(*[F.when(c <= low, j) for j, c in enumerate(costs)])
-        return F.struct(F.array(*costs).alias("cost"), F.concat(acc["out"], F.array(state)).alias("out"))
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("timestamp")
+        return rows[["cluster_id", "timestamp"]].assign(kleinberg_state=_burst_path(rows["tweet_count"].to_numpy(dtype=float), scale, gamma, states))
 
-    start = F.struct(F.array(*[F.lit(0.0) if i == 0 else climb * i for i in range(states)]).alias("cost"), F.array().cast("array<int>").alias("out"))
-    path = rows.select("cluster_id", F.explode(F.arrays_zip("xs", F.aggregate("xs", start, step)["out"].alias("state"))).alias("z"))
-    return series.join(path.select("cluster_id", F.col("z.xs.timestamp").alias("timestamp"), F.col("z.state").alias("kleinberg_state")), ["cluster_id", "timestamp"])
+    kind = {f.name: f.dataType.simpleString() for f in series.schema}
+    path = series.select("cluster_id", "timestamp", "tweet_count").groupBy("cluster_id").applyInPandas(walk, f"cluster_id {kind['cluster_id']}, timestamp {kind['timestamp']}, kleinberg_state int")
+    return series.join(path, ["cluster_id", "timestamp"])
 
 
 def simple_triggers(series: DataFrame, residual: float = 10.0, ratio: float = 3.0, velocity: float = 10.0) -> DataFrame:
@@ -72,21 +78,51 @@ def ensemble_trigger(scored: DataFrame, burst_state: int = 2) -> DataFrame:
     return scored.withColumn("trigger_type", kind)
 
 
-def expose(series: DataFrame, value: str = "tweet_count", gamma: float = 0.1, decay: float = 0.1, max_windows: int = 48) -> DataFrame:
-    """Adds ``expose_score`` = 1 - decayed kernel mean similarity to the last ``max_windows`` windows (after Schneider et al. 2016).
+_NOTHING = 1e-9  # kernel weight that may be left out, far below the rounding of results
+
+
+def _kernel_scores(x: np.ndarray, decay: float, gammas: list[float]) -> np.ndarray:
+    """(gammas, windows): 1 - decayed kernel mean similarity of each window to all before it whose weights are not nothing together."""
+    reach = len(x) if decay <= 0 else min(len(x), int(np.ceil(np.log(_NOTHING) / np.log1p(-decay))) if decay < 1 else 1)
+    out = np.ones((len(gammas), len(x)))
+    for lo in range(0, len(x), 256):
+        hi, first = min(lo + 256, len(x)), max(0, lo - reach)
+        lag = np.arange(lo, hi)[:, None] - np.arange(first, hi)[None, :]
+        weight = np.where((lag > 0) & (lag <= reach), decay * (1 - decay) ** (np.maximum(lag, 1) - 1), 0.0)
+        far = (x[lo:hi, None] - x[None, first:hi]) ** 2
+        for j, gamma in enumerate(gammas):
+            out[j, lo:hi] -= (weight * np.exp(-gamma * far)).sum(axis=1)
+    return out
+
+
+def expose_grid(series: DataFrame, decays: list[float], gammas: list[float], values: list[str]) -> DataFrame:
+    """(cluster_id, timestamp, decay, gamma, signal, expose_score): the score of ``expose`` for every setting, in one shuffle by cluster."""
+
+    def score(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("timestamp")
+        parts = []
+        for value in values:
+            x = rows[value].to_numpy(dtype=float)
+            for decay in decays:
+                for gamma, e in zip(gammas, _kernel_scores(x, decay, gammas), strict=True):
+                    parts.append(rows[["cluster_id", "timestamp"]].assign(decay=decay, gamma=gamma, signal=value, expose_score=e))
+        return pd.concat(parts)
+
+    kind = {f.name: f.dataType.simpleString() for f in series.schema}
+    rows = series.select("cluster_id", "timestamp", *[F.col(v).cast("double").alias(v) for v in values])
+    return rows.groupBy("cluster_id").applyInPandas(score, f"cluster_id {kind['cluster_id']}, timestamp {kind['timestamp']}, decay double, gamma double, signal string, expose_score double")
+
+
+def expose(series: DataFrame, value: str = "tweet_count", gamma: float = 0.1, decay: float = 0.1) -> DataFrame:
+    """Adds ``expose_score`` = 1 - decayed kernel mean similarity to all earlier windows (after Schneider et al. 2016).
 
-    The exact Gaussian kernel takes the place of random features. The self-join is bounded: at most ``max_windows`` rows a window.
+    The exact Gaussian kernel takes the place of random features; weights are decay * (1 - decay) ** (windows between). A group is one cluster's hours.
     """
-    order = Window.partitionBy("cluster_id").orderBy("timestamp")
-    rows = series.select("cluster_id", F.row_number().over(order).alias("t"), F.col(value).cast("double").alias("x"), "timestamp")
-    past = rows.select("cluster_id", F.explode(F.sequence(F.col("t") + 1, F.col("t") + max_windows)).alias("t"), F.col("t").alias("i"), F.col("x").alias("y"))
-    weight = decay * F.pow(F.lit(1 - decay), F.col("t") - F.col("i") - 1)
-    seen = rows.join(past, ["cluster_id", "t"]).groupBy("cluster_id", "timestamp").agg(F.sum(weight * F.exp(-gamma * (F.col("x") - F.col("y")) ** 2)).alias("m"))
-    return series.join(seen, ["cluster_id", "timestamp"], "left").withColumn("expose_score", 1 - F.coalesce("m", F.lit(0.0))).drop("m")
+    return series.join(expose_grid(series, [decay], [gamma], [value]).select("cluster_id", "timestamp", "expose_score"), ["cluster_id", "timestamp"])
 
 
 def trailing_baselines(series: DataFrame, rows: int = 12, random_p: float = 0.05) -> DataFrame:
-    """Votes of simple detectors over the last ``rows`` windows: sigma rule, mean, median deviation, EWMA; their majority; a random one."""
+    """Votes of simple detectors over the last ``rows`` windows: sigma rule, mean, median deviation, EWMA; their majority; a z-score and a random one beside it."""
     w = history(rows=rows)
     x = F.col("tweet_count").cast("double")
     s = series.withColumn("past", F.collect_list(x).over(w)).withColumn("n_past", F.size("past"))
@@ -105,6 +141,8 @@ def trailing_baselines(series: DataFrame, rows: int = 12, random_p: float = 0.05
     s = s.withColumns({k: F.coalesce(v & (F.col("n_past") >= 6), F.lit(False)).cast("int") for k, v in votes.items()})
     uniform = F.conv(F.substring(F.md5(F.concat_ws("|", "cluster_id", F.unix_seconds(F.col("timestamp").cast("timestamp")))), 1, 8), 16, 10).cast("double") / float(2**32)
     total = sum((F.col(k) for k in votes), F.lit(0))
+    z = F.round(F.try_divide(x - F.col("mu"), F.col("sd")), 9)
+    s = s.withColumn("z_trigger", (F.col("n_past") >= 6) & (z > 3))
     return s.withColumn("skyline_trigger", total >= 3).withColumn("random_trigger", uniform < random_p).drop("past", "n_past", "mu", "sd", "med", "mad", "ewma")
 
 

@@ -6,17 +6,20 @@ table compares all pairs, by pairs of blocks of bounded size.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimscope.functions.vectors import cosine, dot, euclid, norm, normalize
+from claimscope.functions.vectors import cosine, euclid, norm, normalize
 from claimscope.operators.graph import connected_components
 from claimscope.session import rows_up_to
 
-#: Rows of a block (all pairs of two blocks are compared at once), rows of it multiplied in one step, and rows of a side that may be broadcast.
-BRUTE_FORCE, STEP, BROADCAST = 2_000, 256, 10_000
+#: Rows of a block (all pairs of two blocks are compared at once), rows of it multiplied in one step, and rows of a corpus that may be broadcast.
+BRUTE_FORCE, STEP, BROADCAST = 2_000, 256, 8_192
 
 
 def centroids(rows: DataFrame, by: str, unit: bool = True) -> DataFrame:
@@ -34,10 +37,9 @@ def _compare(threshold: float):
         xs, ys, found = left.column("id"), right.column("id"), []
         own = key[0].as_py() == key[1].as_py()
         if len(xs) and len(ys):
-            width = np.array([len(v) for v in right.column("v").to_pylist()])
+            sides, width = (np.asarray(pc.list_value_length(t.column("v"))) for t in (left, right))
             by_width = {n: np.flatnonzero(width == n) for n in np.unique(width)}
-            flat = lambda t, at: np.array(t.column("v").take(pa.array(at)).to_pylist(), dtype=np.float64).reshape(len(at), -1)
-            sides = np.array([len(v) for v in left.column("v").to_pylist()])
+            flat = lambda t, at: _matrix(t.column("v").take(pa.array(at)).combine_chunks())
             for n, cols in by_width.items():
                 rows, r = np.flatnonzero(sides == n), flat(right, cols)
                 for lo in range(0, len(rows), STEP):
@@ -64,25 +66,103 @@ def similar_pairs(rows: DataFrame, key: str, threshold: float) -> DataFrame:
     blocks = max(1, -(-unit.count() // BRUTE_FORCE))
     others = lambda lo, hi: F.explode(F.sequence(lo, hi))
     dealt = unit.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    left = dealt.select("id", "v", F.col("block").alias("p"), others(F.col("block"), F.lit(blocks - 1)).alias("q"))
-    right = dealt.select("id", "v", others(F.lit(0), F.col("block")).alias("p"), F.col("block").alias("q"))
+    own = [F.col(c).alias(c) for c in ("id", "v")]  # attributes of their own on each side
+    left = dealt.select(*own, F.col("block").alias("p"), others(F.col("block"), F.lit(blocks - 1)).alias("q"))
+    right = dealt.select(*own, others(F.lit(0), F.col("block")).alias("p"), F.col("block").alias("q"))
     kind = unit.schema["id"].dataType.simpleString()
     found = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(_compare(threshold), f"x {kind}, y {kind}, similarity double")
     return found.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity").distinct()
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The vectors of a list column of equal lengths."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), len(flat) // max(len(column), 1))
+
+
+def _best(q: np.ndarray, c: np.ndarray, ids: np.ndarray, own: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query place, corpus place, similarity) of the ``k`` best corpus rows of each query, ties to the smaller id; ``ids`` ascend."""
+    found = []
+    for lo in range(0, len(q), STEP):
+        s = np.round(q[lo : lo + STEP] @ c.T, 9)
+        if own is not None:
+            s = np.where(ids[None, :] == own[lo : lo + STEP, None], -np.inf, s)
+        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        top = np.take_along_axis(s, order, axis=1)
+        i, j = np.nonzero(top > -np.inf)
+        found.append((i + lo, order[i, j], top[i, j]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0),)
+
+
+def _sorted_matrix(table: pa.Table, column: str) -> tuple[pa.Table, np.ndarray]:
+    table = table.sort_by("id")
+    return table, _matrix(table.column(column).combine_chunks())
+
+
+def _best_of(shared, k: int, same_key: bool):
+    """Each query's best rows of a shared corpus (ids, matrix)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, c = shared.value
+        for batch in batches:
+            if batch.num_rows and len(ids):
+                q, own = _matrix(batch.column("qv")), batch.column("q").to_numpy(zero_copy_only=False)
+                i, j, s = _best(q, c, ids, own if same_key else None, k)
+                yield pa.RecordBatch.from_arrays([batch.column("q").take(pa.array(i)), pa.array(ids[j]), pa.array(s)], ["q", "id", "similarity"])
+
+    return run
+
+
+def _best_of_blocks(k: int, same_key: bool):
+    def run(key, queries: pa.Table, corpus: pa.Table) -> pa.Table:
+        if not queries.num_rows or not corpus.num_rows:
+            return pa.table({"q": queries.column("q").slice(0, 0), "id": corpus.column("id").slice(0, 0), "similarity": pa.array([], pa.float64())})
+        corpus, c = _sorted_matrix(corpus, "cv")
+        q, own = _matrix(queries.column("qv").combine_chunks()), queries.column("q").to_numpy()
+        i, j, s = _best(q, c, corpus.column("id").to_numpy(), own if same_key else None, k)
+        return pa.table({"q": queries.column("q").take(pa.array(i)), "id": corpus.column("id").take(pa.array(j)), "similarity": pa.array(s)})
+
+    return run
+
+
+def _usable(vector: Column, width: int) -> Column:
+    return vector.isNotNull() & (F.size(vector) == width) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, same_key: bool = True, block: int = BROADCAST) -> DataFrame:
+    """(q, id, similarity, rank): the k most similar corpus rows (id, v) of each query (q, v), ties to the smaller id; with ``same_key`` a row is not its own answer.
+
+    A corpus of at most ``block`` rows is broadcast and the queries are not shuffled. Beyond that both sides are dealt into blocks: each pair of blocks
+    gives at most k rows a query, which are merged. Keys are numbers. Rows without a vector, with a missing or non-finite component, or of another length than the
+    corpus's longest take no part.
+    """
+    width = corpus.agg(F.max(F.size("v"))).first()[0] or 0
+    held = corpus.filter(F.col("id").isNotNull() & _usable(F.col("v"), width)).select("id", normalize(F.col("v")).alias("cv"))
+    asked = queries.filter(F.col("q").isNotNull() & _usable(F.col("v"), width)).select("q", normalize(F.col("v")).alias("qv"))
+    kinds = {"q": queries.schema["q"].dataType.simpleString(), "id": corpus.schema["id"].dataType.simpleString()}
+    schema = f"q {kinds['q']}, id {kinds['id']}, similarity double"
+    if rows_up_to(held.select("id"), block) is not None:
+        table, c = _sorted_matrix(held.toArrow(), "cv")  # at most ``block`` rows
+        shared = held.sparkSession.sparkContext.broadcast((table.column("id").to_numpy(), c))
+        found = asked.mapInArrow(_best_of(shared, k, same_key), schema)
+    else:
+        n_q, n_c = (max(1, -(-df.count() // BRUTE_FORCE)) for df in (asked, held))
+        number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = asked.withColumn("p", F.pmod(F.xxhash64("q"), F.lit(n_q)).cast("int")).withColumn("r", number(n_c))
+        right = held.withColumn("r", F.pmod(F.xxhash64("id"), F.lit(n_c)).cast("int")).withColumn("p", number(n_q))
+        found = left.groupBy("p", "r").cogroup(right.groupBy("p", "r")).applyInArrow(_best_of_blocks(k, same_key), schema)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def assign(rows: DataFrame, key: str, cents: DataFrame, threshold: float) -> DataFrame:
     """(key, cluster_id, similarity): best centroid by cosine at or above the threshold, else -1; rows without a vector get -1 and 0.
 
-    Ties go to the smaller cluster id. ``cents`` is broadcast up to BROADCAST rows, else joined without a hint.
+    Ties go to the smaller cluster id. Centroids are compared as by ``nearest``.
     """
-    c = cents.select(F.col("cluster_id").alias("c"), normalize(F.col("centroid")).alias("cv"))
-    side = F.broadcast(c) if rows_up_to(c.select("c"), BROADCAST) is not None else c
-    scored = rows.filter("vec is not null").select(key, normalize(F.col("vec")).alias("v")).crossJoin(side).select(key, "c", dot(F.col("v"), F.col("cv")).alias("s"))
-    best = scored.groupBy(key).agg(F.max_by("c", F.struct(F.round("s", 9), -F.col("c"))).alias("c"), F.max("s").alias("s"))
-    out = rows.select(key).join(best, key, "left")
-    ok = F.round("s", 9) >= threshold
-    return out.select(key, F.when(ok, F.col("c")).otherwise(F.lit(-1)).alias("cluster_id"), F.coalesce("s", F.lit(0.0)).alias("similarity"))
+    best = nearest(rows.select(F.col(key).alias("q"), F.col("vec").alias("v")), cents.select(F.col("cluster_id").alias("id"), F.col("centroid").alias("v")), 1, same_key=False)
+    out = rows.select(key).join(best.select(F.col("q").alias(key), F.col("id").alias("c"), F.col("similarity").alias("s")), key, "left")
+    return out.select(key, F.when(F.col("s") >= threshold, F.col("c")).otherwise(F.lit(-1)).alias("cluster_id"), F.coalesce("s", F.lit(0.0)).alias("similarity"))
 
 
 def update_state(state: DataFrame, rows: DataFrame, key: str, assigned: DataFrame, most: int = 10) -> DataFrame:
@@ -109,6 +189,19 @@ def cap_clusters(formed: DataFrame, key: str, most: int) -> DataFrame:
     return formed.join(kept, "cluster_id", "left").select(key, "cluster_id", F.coalesce("over_cap", F.lit(True)).alias("over_cap"))
 
 
+def assign_over_cap(capped: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """(key, cluster_id, over_cap, similarity): rows of clusters over the cap go to the nearest kept cluster, whose centroid is not moved by them.
+
+    The similarity to the cluster's centroid is the true one, however low. Rows without a vector keep no cluster: -1 and 0.
+    """
+    joined = rows.join(capped, key)
+    kept = joined.filter(~F.col("over_cap"))
+    cents = centroids(kept.filter("vec is not null").select("cluster_id", normalize(F.col("vec")).alias("vec")), "cluster_id").select("cluster_id", "centroid")
+    moved = assign(joined.filter("over_cap").select(key, "vec"), key, cents, -1.0)
+    stay = kept.join(cents, "cluster_id", "left").select(key, "cluster_id", F.lit(False).alias("over_cap"), F.coalesce(F.round(cosine(F.col("vec"), F.col("centroid")), 9), F.lit(0.0)).alias("similarity"))
+    return stay.unionByName(moved.withColumn("over_cap", F.lit(True)))
+
+
 def size_statistics(sizes: DataFrame, least: int = 5) -> DataFrame:
     return sizes.agg(
         F.count("*").alias("n_clusters"),
@@ -144,20 +237,9 @@ def intra_similarity(rows: DataFrame, by: str) -> DataFrame:
     return rows.join(c, by).groupBy(by).agg(F.avg(cosine(F.col("vec"), F.col("centroid"))).alias("similarity"))
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, same_key: bool = True) -> DataFrame:
-    """(q, id, similarity, rank): k most similar corpus rows (id, v) for each query (q, v); ties to the smaller id.
-
-    The smaller side is broadcast if it is at most BROADCAST rows, which is checked; otherwise Spark chooses.
-    """
-    q = queries.select("q", normalize(F.col("v")).alias("qv"))
-    c = corpus.select("id", normalize(F.col("v")).alias("cv"))
-    if rows_up_to(q.select("q"), BROADCAST) is not None:
-        pairs = c.join(F.broadcast(q), F.col("q") != F.col("id") if same_key else F.lit(True))
-    else:
-        pairs = q.join(c, F.col("q") != F.col("id") if same_key else F.lit(True))
-    scored = pairs.select("q", "id", F.round(dot(F.col("qv"), F.col("cv")), 9).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+def similarity_statistics(rows: DataFrame, by: str, most: int = 200) -> DataFrame:
+    """One row: number, mean and population deviation of intra-cluster similarity over at most ``most`` clusters of two and more, the first by id."""
+    return intra_similarity(rows, by).orderBy(by).limit(most).agg(F.count("*").alias("n"), F.avg("similarity").alias("mean_similarity"), F.stddev_pop("similarity").alias("std_similarity"))
 
 
 def embedding_statistics(rows: DataFrame) -> DataFrame:

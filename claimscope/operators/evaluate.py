@@ -68,7 +68,7 @@ def ensembles(long: DataFrame, weights: DataFrame, temperatures: list[float]) ->
         F.avg("prob").alias("soft"),
         (F.sum(p * F.col("w")) / F.sum("w")).alias("weighted"),
         F.avg((p >= 0.5).cast("double")).alias("hard"),
-        F.expr("max_by(prob, struct(abs(prob - 0.5), -ascii(model)))").alias("max_confidence"),
+        F.min_by("prob", F.struct(-F.abs(p - 0.5), "model")).alias("max_confidence"),
         F.percentile("prob", F.lit(0.5)).alias("median"),
         F.exp(F.avg(F.log(F.greatest(p, F.lit(1e-8))))).alias("geometric"),
         F.avg("r").alias("rank"),

@@ -13,10 +13,15 @@ def _or(value: Column, condition: Column, default: float = 0.0) -> Column:
 
 
 def gini(rows: DataFrame, key: str, value: str, name: str = "gini") -> DataFrame:
-    """Gini coefficient of ``value`` by ``key``; 0 where the sum is 0."""
-    w = Window.partitionBy(key).orderBy(value)
-    ranked = rows.select(key, F.col(value).cast("double").alias("x"), F.row_number().over(w).alias("i"))
-    sums = ranked.groupBy(key).agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("i") * F.col("x")).alias("ix"))
+    """Gini coefficient of ``value`` by ``key``; 0 where the sum is 0.
+
+    Equal values are counted first, by partial sums, so that only a key's distinct values are ranked.
+    """
+    counted = rows.groupBy(key, F.col(value).cast("double").alias("x")).agg(F.count("*").cast("double").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(key).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ranks = F.col("c") * before + F.col("c") * (F.col("c") + 1) / 2  # sum of the ranks of equal values
+    ranked = counted.select(key, "x", "c", ranks.alias("ranks"))
+    sums = ranked.groupBy(key).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("x")).alias("s"), F.sum(F.col("ranks") * F.col("x")).alias("ix"))
     return sums.select(key, _or((2 * F.col("ix") - (F.col("n") + 1) * F.col("s")) / (F.col("n") * F.col("s")), F.col("s") != 0).alias(name))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,38 +49,77 @@ def coercion_counters(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), n("likes_filled"), n("date_invalid"), n("country_mapped"))
 
 
+def _occurrences(text: Column, listed: list[str]) -> Column:
+    """How often words of a list occur as whole runs of letters in lower-case ``text``; 0 for null."""
+    either = "|".join(re.escape(w) for w in sorted(listed))
+    return F.coalesce(F.regexp_count(text, F.lit(rf"(?<!\p{{L}})(?:{either})(?!\p{{L}})")), F.lit(0)).cast("long")
+
+
 def language_tag(docs: DataFrame, profiles: dict[str, list[str]] | None = None) -> DataFrame:
-    """(doc_id, tag, hits): the language with most stop words, ties to the first by name; ``unknown`` without any.
+    """(doc_id, tag, hits) for each row: the language with most stop words, ties to the first by name; ``unknown`` without any.
 
-    Words are counted by document before the join with the profile, a bounded table.
+    Profiles are lists of lower-case words of letters. Nothing is joined or shuffled: each list is one pattern.
     """
-    spark = docs.sparkSession
-    rows = [(lang, w) for lang, ws in (profiles or STOP_WORDS).items() for w in ws]
-    table = F.broadcast(spark.createDataFrame(rows, "lang_tag string, word string"))
-    counts = docs.select("doc_id", F.explode(words(F.col("text"))).alias("word")).join(table, "word").groupBy("doc_id", "lang_tag").agg(F.count("*").alias("hits"))
-    best = counts.groupBy("doc_id").agg(F.max_by("lang_tag", F.struct("hits", -F.ascii("lang_tag"), -F.ascii(F.substring("lang_tag", 2, 1)))).alias("tag"), F.max("hits").alias("hits"))
-    return docs.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("tag", F.lit("unknown")).alias("tag"), F.coalesce("hits", F.lit(0)).alias("hits"))
+    low = F.lower("text")
+    counts = F.array(*[F.struct((-_occurrences(low, ws)).alias("n"), F.lit(lang).alias("lang")) for lang, ws in sorted((profiles or STOP_WORDS).items())])
+    best = docs.select("doc_id", F.array_min(counts).alias("_best"))
+    return best.select("doc_id", F.when(F.col("_best.n") < 0, F.col("_best.lang")).otherwise("unknown").alias("tag"), (-F.col("_best.n")).alias("hits"))
 
 
 def sentiment(docs: DataFrame, lexicon: dict[str, float] | None = None) -> DataFrame:
-    """(doc_id, sentiment, n_hits): mean word score over the words in the lexicon, 0 without any."""
-    table = docs.sparkSession.createDataFrame(list((lexicon or SENTIMENT).items()), "word string, score double")
-    hits = docs.select("doc_id", F.explode(words(F.col("text"))).alias("word")).join(F.broadcast(table), "word").groupBy("doc_id").agg(F.avg("score").alias("s"), F.count("*").alias("n"))
-    return docs.select("doc_id").join(hits, "doc_id", "left").select("doc_id", F.coalesce("s", F.lit(0.0)).alias("sentiment"), F.coalesce("n", F.lit(0)).alias("n_hits"))
+    """(doc_id, sentiment, n_hits) for each row: mean word score over the words in the lexicon, 0 without any. One pattern a score."""
+    by_score: dict[float, list[str]] = {}
+    for word, score in (lexicon or SENTIMENT).items():
+        by_score.setdefault(score, []).append(word)
+    low = F.lower("text")
+    n = {score: _occurrences(low, ws) for score, ws in sorted(by_score.items())}
+    rows = docs.select("doc_id", F.array(*[F.struct(F.lit(float(s)).alias("s"), c.alias("n")) for s, c in n.items()]).alias("_c"))
+    hits = F.aggregate("_c", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    total = F.aggregate("_c", F.lit(0.0), lambda a, x: a + x["s"] * x["n"])
+    return rows.select("doc_id", F.coalesce(F.try_divide(total, hits), F.lit(0.0)).alias("sentiment"), hits.alias("n_hits"))
+
+
+#: Our own wordings: how a post of a group is to be read, a task line by the style of the model, and the frame of the prompt.
+GROUP_HINTS = {
+    "several": "The post makes more than one claim; take the one that is easiest to verify.",
+    "irony": "The post may be ironic; state what it implies as fact.",
+    "figures": "Keep every number and share as it stands.",
+    "politics": "Keep who said or did what.",
+    "picture": "Say what the picture or video is said to show.",
+    "other": "State one clear claim that can be checked.",
+}
+STYLES = {"plain": "{task}\n{hint}", "tagged": "<task>{task}</task>\n<hint>{hint}</hint>", "short": "{task} {hint}"}
+
+
+def primary_group(groups: Column, order: list[str] | None = None) -> Column:
+    """The first of ``order`` that is in an array of group names, else ``other``."""
+    return F.coalesce(*[F.when(F.array_contains(groups, g), g) for g in (order or list(GROUP_HINTS)) if g != "other"], F.lit("other"))
 
 
-def prompts(queries: DataFrame, good: DataFrame, bad: DataFrame, instruction: str, limit: int = 500) -> DataFrame:
-    """(idx, system, user): numbered good examples, wrong and right pairs, then the post.
+def prompts(queries: DataFrame, good: DataFrame | None, bad: DataFrame | None, instruction: str, limit: int = 500, style: str | None = None) -> DataFrame:
+    """(idx, system, user): three forms of a prompt. Without examples the post alone; with good ones these, numbered, before the post; with bad ones
+    also the wrong and the right claim of each.
 
-    ``good`` is (idx, rank, post, claim), ``bad`` is (idx, rank, post, wrong, claim), a few rows an idx.
+    ``queries`` is (idx, post) and, if ``style`` is given, ``groups``, whose primary one adds its hint to the instruction in that style.
+    ``good`` is (idx, rank, post, claim), ``bad`` is (idx, rank, post, wrong, claim), a few rows an idx. Posts are cut at twice ``limit``, examples at ``limit``.
     """
-    g = good.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("rank", "post", "claim"))).alias("g"))
-    b = bad.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("rank", "post", "wrong", "claim"))).alias("b"))
+    out = queries
     n = lambda x: x["rank"].cast("string")
-    good_text = F.array_join(F.transform("g", lambda x: F.concat(F.lit("Example "), n(x), F.lit("\nPost: "), truncate(x["post"], limit), F.lit("\nClaim: "), x["claim"])), "\n\n")
-    bad_text = F.array_join(F.transform("b", lambda x: F.concat(F.lit("Mistake "), n(x), F.lit("\nPost: "), truncate(x["post"], limit), F.lit("\nWrong: "), x["wrong"], F.lit("\nRight: "), x["claim"])), "\n\n")
-    parts = F.concat_ws("\n\n", F.nullif(good_text, F.lit("")), F.nullif(bad_text, F.lit("")), F.concat(F.lit("Post: "), truncate(F.col("post"), 2 * limit)))
-    return queries.join(g, "idx", "left").join(b, "idx", "left").select("idx", F.lit(instruction).alias("system"), parts.alias("user"))
+    parts = []
+    if good is not None:
+        out = out.join(good.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("rank", "post", "claim"))).alias("_good")), "idx", "left")
+        shown = F.transform("_good", lambda x: F.concat(F.lit("Example "), n(x), F.lit("\nPost: "), truncate(x["post"], limit), F.lit("\nClaim: "), x["claim"]))
+        parts.append(F.nullif(F.array_join(shown, "\n\n"), F.lit("")))
+    if bad is not None:
+        out = out.join(bad.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("rank", "post", "wrong", "claim"))).alias("_bad")), "idx", "left")
+        shown = F.transform("_bad", lambda x: F.concat(F.lit("Mistake "), n(x), F.lit("\nPost: "), truncate(x["post"], limit), F.lit("\nWrong: "), x["wrong"], F.lit("\nRight: "), x["claim"]))
+        parts.append(F.nullif(F.array_join(shown, "\n\n"), F.lit("")))
+    user = F.concat_ws("\n\n", *parts, F.concat(F.lit("Post: "), truncate(F.col("post"), 2 * limit)))
+    system = F.lit(instruction)
+    if style is not None:
+        frame = {g: STYLES[style].format(task=instruction, hint=hint) for g, hint in GROUP_HINTS.items()}
+        system = F.element_at(F.create_map(*[F.lit(x) for kv in frame.items() for x in kv]), primary_group(F.col("groups")))
+    return out.select("idx", system.alias("system"), user.alias("user"))
 
 
 def chat_rows(rows: DataFrame, system: str, limit: int = 2000) -> DataFrame:

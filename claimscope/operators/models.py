@@ -26,19 +26,27 @@ def _assembled(columns: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip")
 
 
+def _elastic(alpha: float, mix: float, deviation: float) -> LinearRegression:
+    """Loss 1/2n |y - Xw|^2 + alpha * (mix |w|_1 + (1 - mix) / 2 |w|^2). MLlib fits the label over its deviation, which divides the second penalty by it."""
+    first, second = alpha * mix, alpha * (1 - mix) * deviation
+    return LinearRegression(regParam=first + second, elasticNetParam=first / (first + second) if first + second else 0.0, standardization=False)
+
+
+#: By name, from the number of training rows and the population deviation of their label.
 REGRESSORS = {
-    "ridge": lambda n: LinearRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False),
-    "lasso": lambda n: LinearRegression(regParam=0.01, elasticNetParam=1.0, standardization=False),
-    "elastic_net": lambda n: LinearRegression(regParam=0.01, elasticNetParam=0.5, standardization=False),
-    "huber": lambda n: LinearRegression(loss="huber", standardization=False),
-    "forest": lambda n: RandomForestRegressor(numTrees=20, maxDepth=5, seed=42),
-    "boosted": lambda n: GBTRegressor(maxIter=10, maxDepth=3, seed=42),
+    "ridge": lambda n, s: _elastic(1.0 / n, 0.0, s),
+    "lasso": lambda n, s: _elastic(0.01, 1.0, s),
+    "elastic_net": lambda n, s: _elastic(0.01, 0.5, s),
+    "huber": lambda n, s: LinearRegression(loss="huber", standardization=False),
+    "forest": lambda n, s: RandomForestRegressor(numTrees=20, maxDepth=5, seed=42),
+    "boosted": lambda n, s: GBTRegressor(maxIter=10, maxDepth=3, seed=42),
 }
 
 
 def regress(train: DataFrame, test: DataFrame, columns: list[str], label: str, key: str, kind: str) -> DataFrame:
     """(key, label, prediction) on ``test`` of the regressor named ``kind``. Ridge divides its penalty by the number of rows, as MLlib's loss is a mean."""
-    model = Pipeline(stages=[_assembled(columns), REGRESSORS[kind](max(1, train.count())).setLabelCol(label)]).fit(train)
+    size = train.agg(F.count("*").alias("n"), F.coalesce(F.stddev_pop(label), F.lit(0.0)).alias("s")).first()
+    model = Pipeline(stages=[_assembled(columns), REGRESSORS[kind](max(1, size.n), size.s or 1.0).setLabelCol(label)]).fit(train)
     return model.transform(test).select(key, label, "prediction")
 
 
@@ -84,14 +92,15 @@ class SpearmanEvaluator(Evaluator):
         return True
 
 
-def grid_search(rows: DataFrame, columns: list[str], label: str, fold: str, penalties: list[float], folds: int = 5, parallelism: int = 2) -> DataFrame:
-    """(penalty, mean_rho, is_best) of elastic nets over given folds; the best is refitted by CrossValidator."""
-    est = LinearRegression(labelCol=label, elasticNetParam=0.5, standardization=False)
-    grid = ParamGridBuilder().addGrid(est.regParam, penalties).build()
+def grid_search(rows: DataFrame, columns: list[str], label: str, fold: str, penalties: list[float], mixes: list[float] | None = None, folds: int = 5, parallelism: int = 2) -> DataFrame:
+    """(penalty, mix, mean_rho, is_best) of elastic nets over given folds, ``mix`` from 0 (ridge) to 1 (lasso); ties to the first setting. The score is rank correlation."""
+    est = LinearRegression(labelCol=label, standardization=False)
+    grid = ParamGridBuilder().addGrid(est.regParam, penalties).addGrid(est.elasticNetParam, mixes or [0.5]).build()
     held = _assembled(columns).transform(rows).withColumn(fold, F.col(fold).cast("int"))
     cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=SpearmanEvaluator(label), numFolds=folds, foldCol=fold, parallelism=parallelism).fit(held)
-    best = max(cv.avgMetrics)
-    return rows.sparkSession.createDataFrame([(float(p), float(m), bool(m == best)) for p, m in zip(penalties, cv.avgMetrics, strict=True)], "penalty double, mean_rho double, is_best boolean")
+    best = max(range(len(grid)), key=lambda i: (round(cv.avgMetrics[i], 12), -i))
+    found = [(float(g[est.regParam]), float(g[est.elasticNetParam]), float(m), i == best) for i, (g, m) in enumerate(zip(grid, cv.avgMetrics, strict=True))]
+    return rows.sparkSession.createDataFrame(found, "penalty double, mix double, mean_rho double, is_best boolean")  # a row a setting
 
 
 def vote(parts: list[DataFrame], key: str, label: str) -> DataFrame:

@@ -15,10 +15,11 @@ def row_count_checks(observed: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def value_checks(actual: DataFrame, expected: DataFrame) -> DataFrame:
-    """(name, status): equal within ``tol``, or after half-even rounding to ``digits`` where that is given."""
+    """(name, status): equal within ``tol``, or after half-even rounding to ``digits``, any number from 0 to 9, where that is given."""
     j = expected.join(actual, "name", "left")
     near = F.abs(F.round(F.col("actual") - F.col("value"), 12)) <= F.coalesce("tol", F.lit(0.0))
-    same = F.when(F.col("digits") == 2, F.bround("actual", 2) == F.bround("value", 2)).when(F.col("digits") == 4, F.bround("actual", 4) == F.bround("value", 4)).otherwise(near)
+    equal = lambda n: F.bround("actual", n) == F.bround("value", n)
+    same = F.coalesce(*[F.when(F.col("digits") == n, equal(n)) for n in range(10)], near)
     return j.select("name", F.when(F.col("actual").isNull(), "MISSING").when(same, "OK").otherwise("FAIL").alias("status"))
 
 
@@ -56,13 +57,17 @@ def schema_rows(df: DataFrame) -> DataFrame:
 
 
 def conformance(df: DataFrame, required: dict[str, str], expected_features: int | None = None, prefix: str = "feat_") -> DataFrame:
-    """(column, status) of required columns: ok, wrong type or missing; and a row on the number of feature columns."""
+    """(column, status, n_rows, n_null) of required columns: ok, wrong type or missing, and how many rows lack a value; and a row on the number of feature columns."""
     want = df.sparkSession.createDataFrame(list(required.items()), "column string, wanted string")
     rows = want.join(schema_rows(df), "column", "left").select("column", F.when(F.col("type").isNull(), "missing").when(F.col("type") == F.col("wanted"), "ok").otherwise("wrong type").alias("status"))
+    held = [c for c in required if c in df.columns]
+    counted = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in held])
+    each = counted.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col("_n").alias("n_rows"), (F.col("_n") - F.col(c)).alias("n_null")) for c in held])).alias("x")).select("x.*") if held else None
+    rows = rows.join(each, "column", "left") if each is not None else rows.withColumns({"n_rows": F.lit(None).cast("long"), "n_null": F.lit(None).cast("long")})
     if expected_features is None:
         return rows
     n = sum(c.startswith(prefix) for c in df.columns)
-    return rows.union(df.sparkSession.createDataFrame([(f"{prefix}*", "ok" if n == expected_features else "wrong number")], "column string, status string"))
+    return rows.union(df.sparkSession.createDataFrame([(f"{prefix}*", "ok" if n == expected_features else "wrong number", None, None)], "column string, status string, n_rows long, n_null long"))
 
 
 def study_selection(claims: DataFrame, n: int = 3) -> DataFrame:
@@ -86,13 +91,13 @@ def study_selection(claims: DataFrame, n: int = 3) -> DataFrame:
     return out
 
 
-def claim_report(claims: DataFrame, posts: DataFrame, found: DataFrame, tops: DataFrame) -> DataFrame:
-    """(claim_id, report): a nested record as JSON — first post and its author, cluster size and engagement, verdict, lead hours.
+def claim_report(claims: DataFrame, posts: DataFrame, found: DataFrame, tops: DataFrame, modules: list[str] | None = None) -> DataFrame:
+    """(claim_id, report): a nested record as JSON — first post and its author, cluster size and engagement, module scores, verdict, lead hours.
 
-    ``claims`` is (claim_id, cluster_id, prob).
+    ``claims`` is (claim_id, cluster_id, prob) and the columns of ``modules``.
     """
     first = posts.groupBy("cluster_id").agg(F.min_by(F.struct("id", "user_id"), F.struct("created_at", "id")).alias("first"), F.count("*").alias("n_posts"), F.sum(F.col("like_count") + F.col("retweet_count")).alias("engagement"))
     lead = found.join(tops, "cluster_id").select("cluster_id", ((F.unix_seconds(F.col("peak_time").cast("timestamp")) - F.unix_seconds(F.col("detection_time").cast("timestamp"))) / 3600).cast("long").alias("lead_hours"))
     j = claims.join(first, "cluster_id").join(lead, "cluster_id", "left")
-    record = F.struct(F.struct(F.col("first.id").alias("post"), F.col("first.user_id").alias("author")).alias("origin"), F.struct("n_posts", "engagement").alias("cluster"), F.when(F.col("prob") >= 0.5, "check").otherwise("skip").alias("verdict"), "lead_hours")
+    record = F.struct(F.struct(F.col("first.id").alias("post"), F.col("first.user_id").alias("author")).alias("origin"), F.struct("n_posts", "engagement").alias("cluster"), *([F.struct(*modules).alias("modules")] if modules else []), F.when(F.col("prob") >= 0.5, "check").otherwise("skip").alias("verdict"), "lead_hours")
     return j.select("claim_id", F.to_json(record).alias("report"))

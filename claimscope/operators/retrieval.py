@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from claimscope.functions.text import jaccard
+from claimscope.functions.vectors import dot, normalize
 from claimscope.operators.graph import connected_components
+from claimscope.session import rows_up_to
 
 
 def bm25(queries: DataFrame, corpus: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
@@ -30,6 +36,67 @@ def bm25(queries: DataFrame, corpus: DataFrame, k1: float = 1.5, b: float = 0.75
     return s.join(top, "q").select("q", "id", "score", (F.col("score") / F.when(F.col("top") > 0, F.col("top")).otherwise(1.0)).alias("norm"))
 
 
+def _scores_of(shared, k1: float, b: float, k: int):
+    """Each query's best documents of a partition's batches: one sparse row a document against the matrix of query weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, weights, queries, avgdl = shared.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                ids = part.column("id").to_numpy(zero_copy_only=False)
+                order = np.argsort(ids, kind="stable")
+                tf, length = np.zeros((len(ids), len(places))), np.zeros(len(ids))
+                for row, ws in enumerate(part.column("words").take(pa.array(order)).to_pylist()):
+                    length[row] = len(ws or ())
+                    for w in ws or ():
+                        if (p := places.get(w)) is not None:
+                            tf[row, p] += 1
+                ids = ids[order]
+                shares = (tf > 0).astype(np.float32) @ (weights != 0).astype(np.float32) > 0  # a word in common
+                scores = (tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[:, None] / avgdl))) @ weights
+                ranked = np.where(shares, np.round(scores, 9), -np.inf)
+                best = np.argsort(-ranked, axis=0, kind="stable")[:k]
+                i, q = np.nonzero(np.take_along_axis(ranked, best, axis=0) > -np.inf)
+                at = best[i, q]
+                yield pa.RecordBatch.from_arrays([pa.array(queries[q]), pa.array(ids[at]), pa.array(scores[at, q])], ["q", "id", "score"])
+
+    return run
+
+
+def bm25_top(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, most_words: int = 200_000) -> DataFrame:
+    """(q, id, score, norm) of the ``k`` best rows of ``bm25`` for each query, ties to the smaller id.
+
+    Queries of together at most ``most_words`` different words, which is checked, are broadcast as weights (words by queries), in blocks of
+    256 queries; each document is scored where it lies and only the best of every 256 documents are shuffled. Beyond it the join of ``bm25`` takes its place.
+    Null words count as none. Keys are numbers.
+    """
+    spark = corpus.sparkSession
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.round("score", 9).desc(), "id"))
+    qf = queries.select("q", F.explode("words").alias("w")).groupBy("q", "w").agg(F.count("*").alias("qf"))
+    if rows_up_to(qf.select("w"), most_words) is None:
+        return bm25(queries, corpus, k1, b, epsilon).withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+    df = corpus.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    size = corpus.filter("words is not null").agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))  # one row
+    idf = df.crossJoin(F.broadcast(size)).select("w", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    idf = idf.crossJoin(F.broadcast(idf.agg(F.avg("raw").alias("mean")))).select("w", "avgdl", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    rows = idf.join(F.broadcast(qf), "w").select("q", "w", "avgdl", (F.col("qf") * F.col("idf")).alias("weight")).toPandas()  # at most ``most_words``
+    kinds = {"q": queries.schema["q"].dataType.simpleString(), "id": corpus.schema["id"].dataType.simpleString()}
+    found = None
+    names = np.sort(rows["q"].unique())
+    for lo in range(0, max(len(names), 1), 256):
+        block = rows[rows["q"].isin(names[lo : lo + 256])]
+        places = {w: i for i, w in enumerate(sorted(block["w"].unique()))}
+        weights = np.zeros((len(places), len(names[lo : lo + 256])))
+        weights[block["w"].map(places).to_numpy(dtype=np.int64), np.searchsorted(names[lo : lo + 256], block["q"])] = block["weight"]
+        shared = spark.sparkContext.broadcast((places, weights, names[lo : lo + 256], float(rows["avgdl"].iloc[0]) if len(rows) else 1.0))
+        part = corpus.filter("words is not null and id is not null").select("id", "words").mapInArrow(_scores_of(shared, k1, b, k), f"q {kinds['q']}, id {kinds['id']}, score double")
+        found = part if found is None else found.unionByName(part)
+    s = found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    top = F.max("score").over(Window.partitionBy("q"))
+    return s.select("q", "id", "score", (F.col("score") / F.when(top > 0, top).otherwise(1.0)).alias("norm"))
+
+
 def topic_first(scored: DataFrame, k: int) -> DataFrame:
     """The k best of (q, id, post, same_topic, similarity): the query's topic first, then all; a post once."""
     once = Window.partitionBy("q", "post").orderBy(F.desc("same_topic"), F.desc("similarity"), "id")
@@ -37,6 +104,48 @@ def topic_first(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("_o", F.row_number().over(once)).filter("_o = 1").drop("_o").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
 
+def _topic_blocks(k: int):
+    def run(key, queries: pa.Table, corpus: pa.Table) -> pa.Table:
+        found = []
+        if queries.num_rows and corpus.num_rows:
+            corpus = corpus.sort_by("id")
+            ids, topics, posts = (corpus.column(c).to_numpy() for c in ("id", "topic", "post"))
+            qs, own = queries.column("q").to_numpy(), queries.column("topic").to_numpy()
+            side = lambda t: t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+            c = side(corpus)
+            for row, q in enumerate(side(queries)):
+                s, same = np.round(c @ q, 9), topics == own[row]
+                taken: set = set()
+                for i in np.lexsort((ids, -s, ~same)):
+                    if len(taken) == k:
+                        break
+                    if ids[i] != qs[row] and posts[i] not in taken:
+                        taken.add(posts[i])
+                        found.append((qs[row], ids[i], posts[i], int(same[i]), s[i]))
+        cols = list(zip(*found, strict=True)) if found else [()] * 5
+        kinds = [queries.schema.field("q").type, corpus.schema.field("id").type, corpus.schema.field("post").type, pa.int32(), pa.float64()]
+        return pa.table({n: pa.array(x, t) for n, x, t in zip(("q", "id", "post", "same_topic", "similarity"), cols, kinds, strict=True)})
+
+    return run
+
+
+def topic_search(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """``topic_first`` by cosine over all rows: (q, id, post, same_topic, similarity, rank); a row is not its own answer.
+
+    ``queries`` is (q, v, topic), ``corpus`` (id, v, topic, post), keys are numbers and vectors of one length. Both are dealt into blocks; each pair of blocks
+    gives at most ``k`` posts a query, which are merged. Rows without a vector take no part.
+    """
+    unit = lambda df, key: df.filter("v is not null").withColumn("v", normalize(F.col("v"))).select(*[F.col(c).alias(c) for c in (key, "v", "topic", *(["post"] if key == "id" else []))])
+    asked, held = unit(queries, "q"), unit(corpus, "id")
+    n_q, n_c = (max(1, -(-df.count() // 2_000)) for df in (asked, held))
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("p", F.pmod(F.xxhash64("q"), F.lit(n_q)).cast("int")).withColumn("r", number(n_c))
+    right = held.withColumn("r", F.pmod(F.xxhash64("id"), F.lit(n_c)).cast("int")).withColumn("p", number(n_q))
+    kind = {c: (queries if c == "q" else corpus).schema[c].dataType.simpleString() for c in ("q", "id", "post")}
+    found = left.groupBy("p", "r").cogroup(right.groupBy("p", "r")).applyInArrow(_topic_blocks(k), f"q {kind['q']}, id {kind['id']}, post {kind['post']}, same_topic int, similarity double")
+    return topic_first(found, k)
+
+
 def two_stage(candidates: DataFrame, threshold: float, verify: float, k: int = 5) -> DataFrame:
     """First hit of each query among its ``k`` best by post similarity at or above ``threshold`` whose claim similarity reaches ``verify``; score = mean of both.
 
@@ -72,6 +181,17 @@ def self_consistency(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return m.withColumn("_r", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("mean_sim"), "id"))).filter("_r = 1").drop("_r")
 
 
+def consistent_vectors(rows: DataFrame, grp: str, key: str, vec: str = "vec") -> DataFrame:
+    """``self_consistency`` by cosine of vectors: (grp, id, mean_sim). The mean of v's similarities to the others is (v . sum of all - v . v) / (n - 1), so
+    no pairs are formed: a group costs one sum by dimension. Rows without a vector take no part."""
+    unit = rows.filter(F.col(vec).isNotNull()).select(F.col(grp).alias("grp"), F.col(key).alias("id"), normalize(F.col(vec)).alias("v"))
+    total = unit.select("grp", F.posexplode("v").alias("d", "x")).groupBy("grp", "d").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    total = total.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("total"), F.max("n").alias("n"))  # a row a dimension
+    mean = F.when(F.col("n") > 1, (dot(F.col("v"), F.col("total")) - dot(F.col("v"), F.col("v"))) / (F.col("n") - 1)).otherwise(1.0)
+    each = unit.join(total, "grp").select("grp", "id", F.round(mean, 9).alias("mean_sim"))
+    return each.groupBy("grp").agg(F.max_by("id", F.struct("mean_sim", -F.col("id"))).alias("id"), F.max("mean_sim").alias("mean_sim"))
+
+
 def contrastive_pools(log: DataFrame, good: float = 0.7, bad: float = 0.3, most_bad: int = 500) -> DataFrame:
     """(id, pool): scored rows as good or bad examples; failed rows are skipped, a missing score is bad, at most ``most_bad`` bad ones by hash."""
     rows = log.filter(~F.col("prediction").rlike("^(ERROR|TIMEOUT):")).withColumn("s", F.coalesce("score", F.lit(0.0)))

@@ -137,7 +137,8 @@ _UNQ = r"CASE WHEN length({x}) > 1 AND (regexp_matches({x}, '(?s)^\".*\"$') OR r
 
 def _claim_sql() -> str:
     steps = [("c0", f"SELECT doc_id, {_MADE} AS x FROM documents WHERE text IS NOT NULL"), ("c1", r"SELECT doc_id, regexp_replace(x, '^\s+|\s+$', '', 'g') AS x FROM c0"), ("c2", f"SELECT doc_id, {_UNQ.format(x='x')} AS x FROM c1".replace('\\"', '"'))]
-    for i, p in enumerate(T.CLAIM_PREFIXES):
+    starts = [r"normalized\s*claim\s*:\s*", r"the\s*claim\s*is\s*:\s*", r"the\s*claim\s*is\s+that\s+", r"the\s*normalized\s*claim\s*:\s*", r"claim\s*:\s*", r"output\s*:\s*", r"answer\s*:\s*", r"here\s*is\s*the\s*normalized\s*claim\s*:\s*"]
+    for i, p in enumerate(starts):
         steps.append((f"p{i}", f"SELECT doc_id, regexp_replace(x, '(?i)^{p}', '') AS x FROM {steps[-1][0]}"))
     steps.append(("l", rf"SELECT doc_id, regexp_replace(string_split(x, chr(10))[1], '^\s+|\s+$', '', 'g') AS x FROM {steps[-1][0]}"))
     steps.append(("e", r"SELECT doc_id, CASE WHEN x LIKE '%...' THEN regexp_replace(substr(x, 1, length(x) - 3), '^\s+|\s+$', '', 'g') ELSE x END AS x FROM l"))
@@ -154,8 +155,13 @@ def s14_normalize_claim(spark, sf_dir):
     return _docs(spark, sf_dir).filter("text is not null").select("doc_id", T.normalize_claim(made).alias("claim"))
 
 
-_ENT = f"""list_sort(list_distinct(list_transform(list_concat(list_concat(regexp_extract_all(text, '{T.NUMBER}'), regexp_extract_all(text, '{T.DATE}', 1)), list_concat(list_concat(regexp_extract_all(text, '{T.MONTH_DAY}', 1), regexp_extract_all(text, '{T.PHRASE}', 1)),
-  list_filter(list_transform(list_filter(flatten(list_transform(string_split_regex(text, '[.!?]\\s+'), lambda s: list_filter(string_split_regex(s, '\\s+'), lambda w: length(w) > 0)[2:])), lambda w: regexp_matches(w, '^\\p{{Lu}}') AND w <> upper(w) AND length(w) > 1), lambda w: regexp_replace(w, '{T.NOT_WORD}', '', 'g')), lambda w: length(w) > 1))), lambda x: lower(x))))"""
+# Letters beyond ASCII become underscores, which are word characters too, so that \b means what it does for all of Unicode.
+_ASCII = r"regexp_replace(text, '[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2C1}\x{370}-\x{1FFF}\x{2C00}-\x{2FEF}\x{3040}-\x{D7FF}\x{F900}-\x{FFDC}]', '_', 'g')"
+_MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
+_ENT = rf"""list_sort(list_distinct(list_transform(flatten([regexp_extract_all(text, '\$?[0-9]+(?:,[0-9][0-9][0-9])*(?:[.][0-9]+)?%?'),
+  regexp_extract_all({_ASCII}, '\b(?:[0-9][0-9]?[/-][0-9][0-9]?[/-][0-9][0-9][0-9]?[0-9]?|[0-9][0-9][0-9][0-9][/-][0-9][0-9]?[/-][0-9][0-9]?)\b'),
+  regexp_extract_all({_ASCII}, '(?i)\b(?:{_MONTHS})\s+[0-9][0-9]?(?:,?\s+[0-9][0-9][0-9][0-9])?\b'), regexp_extract_all({_ASCII}, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b'),
+  list_filter(list_transform(list_filter(flatten(list_transform(string_split_regex(text, '[.!?]\s+'), lambda s: list_filter(string_split_regex(s, '\s+'), lambda w: length(w) > 0)[2:])), lambda w: regexp_matches(w, '^\p{{Lu}}') AND w <> upper(w) AND length(w) > 1), lambda w: regexp_replace(w, '[^\p{{L}}\p{{N}}_]', '', 'g')), lambda w: length(w) > 1)]), lambda x: lower(x))))"""
 
 
 @query(f"SELECT doc_id, list_aggregate({_ENT}, 'string_agg', '|') AS entities, len({_ENT}) AS n FROM documents WHERE text IS NOT NULL")
@@ -171,15 +177,25 @@ def v11_entity_jaccard(spark, sf_dir):
     return rounded(a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", T.jaccard(F.col("ea"), F.col("eb")).alias("overlap")))
 
 
-@query("""WITH q AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND text IS NOT NULL), g AS (SELECT item_id % 4 AS k, item_id // 4 + 1 AS rank, text FROM benchmark WHERE item_id < 8)
-SELECT q.conv_id * 1000 + q.turn AS idx, 'Write one claim.' AS system, gt || chr(10) || chr(10) || 'Post: ' || CASE WHEN length(q.text) > 1000 THEN substr(q.text, 1, 1000) || '...' ELSE q.text END AS user
-FROM q JOIN (SELECT k, string_agg('Example ' || rank || chr(10) || 'Post: ' || CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END || chr(10) || 'Claim: ' || substr(text, 1, 40), chr(10) || chr(10) ORDER BY rank) AS gt FROM g GROUP BY k) x ON x.k = q.conv_id % 4""")
+@query("""WITH q AS (SELECT conv_id, conv_id * 1000 + turn AS idx, text, 'Post: ' || CASE WHEN length(text) > 1000 THEN substr(text, 1, 1000) || '...' ELSE text END AS post FROM conversations WHERE role = 'user' AND text IS NOT NULL),
+g AS (SELECT item_id // 2 % 20 AS k, item_id // 40 + 1 AS rank, item_id % 2 AS bad, 'Post: ' || CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS post, substr(text, 1, 40) AS claim, substr(text, 41, 20) AS wrong FROM benchmark WHERE item_id // 40 < 3),
+x AS (SELECT k, string_agg('Example ' || rank || chr(10) || post || chr(10) || 'Claim: ' || claim, chr(10) || chr(10) ORDER BY rank) AS t FROM g WHERE bad = 0 GROUP BY k),
+y AS (SELECT k, string_agg('Mistake ' || rank || chr(10) || post || chr(10) || 'Wrong: ' || wrong || chr(10) || 'Right: ' || claim, chr(10) || chr(10) ORDER BY rank) AS t FROM g WHERE bad = 1 GROUP BY k)
+SELECT idx, CASE conv_id % 3 WHEN 0 THEN 'Write one claim.' WHEN 1 THEN '<task>Write one claim.</task>' || chr(10) || '<hint>' || h || '</hint>' ELSE 'Write one claim. ' || h END AS system,
+  CASE conv_id % 3 WHEN 0 THEN '' WHEN 1 THEN coalesce(x.t || chr(10) || chr(10), '') ELSE coalesce(x.t || chr(10) || chr(10), '') || coalesce(y.t || chr(10) || chr(10), '') END || post AS user
+FROM (SELECT *, CASE WHEN length(text) > 400 THEN 'The post makes more than one claim; take the one that is easiest to verify.' WHEN contains(text, 'en') THEN 'The post may be ironic; state what it implies as fact.' WHEN regexp_matches(text, '[0-9]') THEN 'Keep every number and share as it stands.' ELSE 'State one clear claim that can be checked.' END AS h FROM q) q
+LEFT JOIN x ON x.k = conv_id % 20 LEFT JOIN y ON y.k = conv_id % 20""")
 def s16_prompts(spark, sf_dir):
-    q = table(spark, sf_dir, "conversations").filter("role = 'user' and text is not null").select((F.col("conv_id").cast("long") * 1000 + F.col("turn")).alias("idx"), F.col("conv_id").alias("c"), F.col("text").alias("post"))
-    b = table(spark, sf_dir, "benchmark").filter("item_id < 8").select((F.col("item_id") % 4).alias("k"), (F.floor(F.col("item_id") / 4) + 1).alias("rank"), F.col("text").alias("p"), F.substring("text", 1, 40).alias("claim"))
-    good = q.join(F.broadcast(b), F.col("k") == F.col("c") % 4).select("idx", "rank", F.col("p").alias("post"), "claim")  # eight rows
-    bad = good.select("idx", "rank", "post", F.lit("").alias("wrong"), "claim").limit(0)
-    return ingest.prompts(q, good, bad, "Write one claim.")
+    x, c, i = F.col("text"), F.col("conv_id"), F.col("item_id")
+    groups = F.array_compact(F.array(F.when(x.rlike("[0-9]"), "figures"), F.when(x.contains("en"), "irony"), F.when(F.length(x) > 400, "several")))
+    q = table(spark, sf_dir, "conversations").filter("role = 'user' and text is not null").select((c.cast("long") * 1000 + F.col("turn")).alias("idx"), c.alias("c"), x.alias("post"), groups.alias("groups"))
+    shown = table(spark, sf_dir, "benchmark").filter("floor(item_id / 40) < 3").select((F.floor(i / 2) % 20).alias("k"), (F.floor(i / 40) + 1).alias("rank"), (i % 2).alias("bad"), x.alias("p"), F.substring(x, 1, 40).alias("claim"), F.substring(x, 41, 20).alias("wrong"))
+    examples = q.select("idx", (F.col("c") % 20).alias("k")).join(F.broadcast(shown), "k").withColumnRenamed("p", "post")  # 120 rows
+    good, bad = examples.filter("bad = 0").select("idx", "rank", "post", "claim"), examples.filter("bad = 1").select("idx", "rank", "post", "wrong", "claim")
+    form = lambda n: q.filter(F.col("c") % 3 == n)
+    plain = ingest.prompts(form(0), None, None, "Write one claim.")
+    few = ingest.prompts(form(1), good, None, "Write one claim.", style="tagged")
+    return plain.unionByName(few).unionByName(ingest.prompts(form(2), good, bad, "Write one claim.", style="short"))
 
 
 @query("""SELECT conv_id * 1000 + turn AS idx, '[{"role":"system","content":"s"},{"role":"user","content":' || to_json(substr(text, 1, 2000)) || '},{"role":"assistant","content":' || to_json(role) || '}]' AS messages FROM conversations WHERE text IS NOT NULL AND role <> 'system'""")

@@ -2,29 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from claimscope.operators import anomaly, evaluate, models, quality, sequences, timeseries
-from claimscope.plans.fixtures import DETECTED, SERIES, TWEETS, table, tweets
+from claimscope.plans.fixtures import DETECTED, SCORED, SERIES, TWEETS, table, tweets
 from claimscope.plans.registry import epoch, query, rounded
 from claimscope.plans.series_queries import _TOPS, _detected, _scored, _series
-from claimscope.session import shared_dir
+from claimscope.session import new_path as _new_path
 from claimscope.sources import files
 from claimscope.streaming import jobs
 
 
-def _new_path(spark, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-@query("SELECT doc_id AS idx, text AS post, lang AS gold_claim FROM documents WHERE text IS NOT NULL AND text NOT LIKE '%\"%' AND text NOT LIKE '%' || chr(13) || '%' AND trim(text) = text AND text <> ''")
+@query("SELECT doc_id AS idx, text AS post, lang AS gold_claim FROM documents")
 def src02_csv(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("text is not null").filter(~F.col("text").contains('"') & ~F.col("text").contains("\r") & (F.trim("text") == F.col("text")) & (F.col("text") != ""))
     path = _new_path(spark, "csv")
-    d.select(F.col("doc_id").alias("idx"), F.col("text").alias("post"), F.col("lang").alias("normalized claim")).write.csv(path, header=True, quote='"', escape='"')
-    return files.read_posts_csv(spark, path).select(F.col("idx").cast("long").alias("idx"), "post", "gold_claim")
+    files.write_posts_csv(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("post"), F.col("lang").alias("normalized claim")), path)
+    return files.read_posts_csv(spark, path, line_sep="\n").select(F.col("idx").cast("long").alias("idx"), "post", "gold_claim")
 
 
 _LOG = "lg AS (SELECT doc_id AS idx, CASE WHEN doc_id % 11 = 0 THEN 'ERROR: x' WHEN doc_id % 13 = 0 THEN 'TIMEOUT: y' ELSE lang END AS predicted_claim FROM documents)"
@@ -69,8 +62,9 @@ def src09_file_profile(spark, sf_dir):
 
 @query()
 def src10_manifest(spark, sf_dir):
-    have = files.check_manifest(spark, f"{sf_dir}/labels.parquet", spark.createDataFrame([("not_there.parquet", "00")], "name string, digest string"))
-    return have.groupBy("status").agg(F.count("*").alias("n"))
+    listed = files.manifest(spark, sf_dir).withColumn("digest", F.when(F.col("name").contains("labels"), "00").otherwise(F.col("digest")))
+    listed = listed.filter("name not like '%region%'").union(spark.createDataFrame([("not_there.parquet", "00")], "name string, digest string"))
+    return files.check_manifest(spark, sf_dir, listed)
 
 
 _Z = "(CAST({c} AS DOUBLE) - avg({c}) OVER p) / (stddev_pop({c}) OVER p + 1e-8)"
@@ -157,10 +151,10 @@ def q01_row_counts(spark, sf_dir):
     return _row_checks(spark, sf_dir)
 
 
-@query("WITH a AS (SELECT lang AS name, avg(n_chars) AS actual FROM documents GROUP BY lang), e AS (SELECT name, round(actual, 2) AS value, CASE WHEN name = 'fr' THEN 1.0 END AS tol, CASE WHEN name = 'en' THEN 2 END AS digits FROM a) SELECT name, CASE WHEN digits = 2 THEN 'OK' WHEN abs(round(actual - value, 12)) <= coalesce(tol, 0.0) THEN 'OK' ELSE 'FAIL' END AS status FROM e JOIN a USING (name)")
+@query("WITH a AS (SELECT lang AS name, avg(n_chars) AS actual FROM documents GROUP BY lang), e AS (SELECT name, round(actual, 2) AS value, CASE WHEN name = 'fr' THEN 1.0 END AS tol, CASE WHEN name = 'en' THEN 2 WHEN name = 'de' THEN 4 WHEN name = 'es' THEN 1 END AS digits FROM a) SELECT name, CASE WHEN digits IS NOT NULL THEN CASE WHEN round(actual, CAST(digits AS INTEGER)) = round(value, CAST(digits AS INTEGER)) THEN 'OK' ELSE 'FAIL' END WHEN abs(round(actual - value, 12)) <= coalesce(tol, 0.0) THEN 'OK' ELSE 'FAIL' END AS status FROM e JOIN a USING (name)")
 def q02_values(spark, sf_dir):
     a = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("name")).agg(F.avg("n_chars").alias("actual"))
-    e = a.select("name", F.round("actual", 2).alias("value"), F.when(F.col("name") == "fr", 1.0).alias("tol"), F.when(F.col("name") == "en", 2).alias("digits"))
+    e = a.select("name", F.round("actual", 2).alias("value"), F.when(F.col("name") == "fr", 1.0).alias("tol"), F.when(F.col("name") == "en", 2).when(F.col("name") == "de", 4).when(F.col("name") == "es", 1).alias("digits"))
     return quality.value_checks(a, e)
 
 
@@ -178,18 +172,19 @@ def q04_audit(spark, sf_dir):
     return quality.audit(claims)
 
 
-@query()
+@query("""WITH r AS (SELECT unnest(['doc_id', 'text', 'n_chars', 'nothing', 'feat_*']) AS "column", unnest(['ok', 'ok', 'wrong type', 'missing', 'ok']) AS status), n AS (SELECT count(*) AS a, count(*) - count(doc_id) AS b, count(*) - count(text) AS c, count(*) - count(n_chars) AS d FROM documents)
+SELECT "column", status, CASE WHEN "column" IN ('doc_id', 'text', 'n_chars') THEN a END AS n_rows, CASE "column" WHEN 'doc_id' THEN b WHEN 'text' THEN c WHEN 'n_chars' THEN d END AS n_null FROM r, n""")
 def q05_conformance(spark, sf_dir):
     return quality.conformance(table(spark, sf_dir, "documents"), {"doc_id": "bigint", "text": "string", "n_chars": "string", "nothing": "int"}, 0)
 
 
 @query("WITH" + DETECTED + _TOPS + """, f AS (SELECT cluster_id, first(id ORDER BY created_at, id) AS post, first(user_id ORDER BY created_at, id) AS author, count(*) AS n_posts, CAST(sum(like_count + retweet_count) AS BIGINT) AS engagement FROM tweets GROUP BY cluster_id)
-SELECT item_id AS claim_id, '{"origin":{"post":' || post || ',"author":' || author || '},"cluster":{"n_posts":' || n_posts || ',"engagement":' || engagement || '},"verdict":"' || CASE WHEN item_id % 2 = 0 THEN 'check' ELSE 'skip' END || '"' || coalesce(',"lead_hours":' || CAST((epoch(peak_time) - epoch(detection_time)) / 3600 AS BIGINT), '') || '}' AS report
+SELECT item_id AS claim_id, '{"origin":{"post":' || post || ',"author":' || author || '},"cluster":{"n_posts":' || n_posts || ',"engagement":' || engagement || '},"modules":{"checkworthiness":' || item_id * 37 % 101 || ',"harm":' || item_id * 19 % 101 || '},"verdict":"' || CASE WHEN item_id % 2 = 0 THEN 'check' ELSE 'skip' END || '"' || coalesce(',"lead_hours":' || CAST((epoch(peak_time) - epoch(detection_time)) / 3600 AS BIGINT), '') || '}' AS report
 FROM benchmark JOIN f ON f.cluster_id = item_id % 25 LEFT JOIN detected USING (cluster_id) LEFT JOIN pk USING (cluster_id)""")
 def q07_claim_report(spark, sf_dir):
     s, found = _detected(spark, sf_dir)
-    claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), (F.col("item_id") % 25).alias("cluster_id"), F.when(F.col("item_id") % 2 == 0, 0.9).otherwise(0.1).alias("prob"))
-    return quality.claim_report(claims, tweets(spark, sf_dir), found, anomaly.peaks(s))
+    claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), (F.col("item_id") % 25).alias("cluster_id"), F.when(F.col("item_id") % 2 == 0, 0.9).otherwise(0.1).alias("prob"), (F.col("item_id") * 37 % 101).alias("checkworthiness"), (F.col("item_id") * 19 % 101).alias("harm"))
+    return quality.claim_report(claims, tweets(spark, sf_dir), found, anomaly.peaks(s), ["checkworthiness", "harm"])
 
 
 _DETECTORS = """dt AS (SELECT 'z' AS detector, cluster_id, timestamp, n_prev FROM scored WHERE is_anomaly_trigger UNION ALL SELECT 'ratio', cluster_id, timestamp, n_prev FROM hist WHERE tweet_count / mean_count > 3),
@@ -258,12 +253,13 @@ def m05_logistic(spark, sf_dir):
 @query()
 def m06_pca(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return models.principal_components(e, "embedding", 8).select("vec_id", F.size("pca").alias("k"))
+    p = models.principal_components(e, "embedding", 64)
+    return rounded(p.select("vec_id", F.size("pca").alias("k"), *[F.abs(F.element_at("pca", i)).alias(f"abs_pc{i}") for i in (1, 2, 3)], F.aggregate("pca", F.lit(0.0), lambda a, x: a + x * x).alias("energy")))
 
 
 @query()
 def m07_grid_search(spark, sf_dir):
-    return models.grid_search(_parts(spark, sf_dir), ["p_size", "price"], "y", "fold", [0.01, 1.0], folds=3)
+    return rounded(models.grid_search(_parts(spark, sf_dir), ["p_size", "price"], "y", "fold", [0.01, 1.0, 10.0], [0.0, 0.5, 1.0], folds=3))
 
 
 @query()
@@ -277,11 +273,12 @@ def m08_stacking(spark, sf_dir):
 
 
 def _streamed(spark, sf_dir, build, mode="append"):
-    """Runs a stream over the events' posts to its end and returns what its file sink holds."""
+    """Runs a stream over the events' posts and a closing heartbeat to its end and returns what its file sink holds."""
     source, sink = _new_path(spark, "posts"), _new_path(spark, "sink")
     p = tweets(spark, sf_dir).withColumn("created_at", F.col("created_at").cast("timestamp")).drop("user_created_at")
     p.write.parquet(source)
-    built = build(jobs.replay(spark, source, p.schema, 8))
+    jobs.heartbeat(spark.read.schema(p.schema).parquet(source)).write.mode("append").parquet(source)
+    built = build(jobs.replay(spark, source, p.schema, 10_000))
     built.writeStream.outputMode(mode).option("checkpointLocation", _new_path(spark, "progress")).trigger(availableNow=True).format("parquet").start(sink).awaitTermination()
     return spark.read.schema(built.schema).parquet(sink)
 
@@ -291,27 +288,59 @@ def st01_hourly_stream(spark, sf_dir):
     return _streamed(spark, sf_dir, jobs.hourly).withColumn("timestamp", epoch("timestamp"))
 
 
-@query("WITH" + SERIES + """, h AS (SELECT *, count(*) OVER p AS n_prev, avg(tweet_count) OVER p AS m, stddev_pop(tweet_count) OVER p AS s FROM ts WINDOW p AS (PARTITION BY cluster_id ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-z AS (SELECT *, CASE WHEN s > 1e-6 THEN (tweet_count - m) / s ELSE 0.0 END AS z FROM h) SELECT cluster_id, CAST(epoch(timestamp) AS BIGINT) AS hour, tweet_count, n_prev, round(z, 6) AS z_score_count, n_prev >= 6 AND round(z, 9) > 3 AS is_trigger FROM z""")
+@query("WITH" + SERIES + " SELECT cluster_id, CAST(epoch(timestamp) AS BIGINT) AS hour, tweet_count, engagement FROM ts")
+def st01_closed_hours(spark, sf_dir):
+    return _streamed(spark, sf_dir, jobs.hourly).select("cluster_id", epoch("timestamp").alias("hour"), "tweet_count", "engagement")
+
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@query("WITH RECURSIVE" + SCORED + """,
+kb AS (SELECT cluster_id, timestamp, tweet_count AS x, n_prev + 1 AS i, coalesce(mean_count, tweet_count) AS m, ln(n_prev + 1) AS g FROM scored),
+walk AS (SELECT cluster_id, i, m - x * ln(m) AS c0, 2 * m - x * ln(2 * m) AS c1, 4 * m - x * ln(4 * m) AS c2 FROM kb WHERE i = 1
+  UNION ALL SELECT k.cluster_id, k.i, least(c0, c1, c2) + k.m - k.x * ln(k.m), least(c0 + k.g, c1, c2) + 2 * k.m - k.x * ln(2 * k.m), least(c0 + 2 * k.g, c1 + k.g, c2) + 4 * k.m - k.x * ln(4 * k.m)
+  FROM walk w JOIN kb k ON k.cluster_id = w.cluster_id AND k.i = w.i + 1),
+z AS (SELECT *, CASE WHEN std_count > 1e-6 THEN (tweet_count - mean_count) / std_count ELSE 0.0 END AS zc, CASE WHEN std_engagement > 1e-6 THEN (engagement - mean_engagement) / std_engagement ELSE 0.0 END AS ze FROM scored)
+SELECT z.cluster_id, CAST(epoch(timestamp) AS BIGINT) AS hour, tweet_count, n_prev, round(zc, 6) AS z_score_count, round(ze, 6) AS z_score_engagement, CAST(CASE WHEN c0 <= least(c0, c1, c2) THEN 0 WHEN c1 <= least(c0, c1, c2) THEN 1 ELSE 2 END AS INTEGER) AS burst_state,
+  n_prev >= 6 AND round(greatest(zc, ze), 9) > 3 AS is_trigger FROM z JOIN walk w ON w.cluster_id = z.cluster_id AND w.i = n_prev + 1""")
 def st03_stateful_detector(spark, sf_dir):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # the operator needs it
-    source, sink = _new_path(spark, "windows"), _new_path(spark, "sink")
-    s = _series(spark, sf_dir).select("cluster_id", F.col("timestamp").cast("timestamp").alias("timestamp"), "tweet_count")
-    s.write.parquet(source)
-    stream = jobs.detect(jobs.replay(spark, source, s.schema, 10_000))
-    stream.writeStream.outputMode("append").option("checkpointLocation", _new_path(spark, "progress")).trigger(availableNow=True).format("parquet").start(sink).awaitTermination()
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # the operator needs it
+    try:
+        source, sink = _new_path(spark, "windows"), _new_path(spark, "sink")
+        s = _series(spark, sf_dir).select("cluster_id", F.col("timestamp").cast("timestamp").alias("timestamp"), "tweet_count", "engagement")
+        s.write.parquet(source)
+        stream = jobs.detect(jobs.replay(spark, source, s.schema, 10_000))
+        stream.writeStream.outputMode("append").option("checkpointLocation", _new_path(spark, "progress")).trigger(availableNow=True).format("parquet").start(sink).awaitTermination()
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
     out = spark.read.schema(jobs.DETECTED).parquet(sink)
-    return rounded(out.select("cluster_id", epoch("timestamp").alias("hour"), "tweet_count", "n_prev", "z_score_count", "is_trigger"))
+    return rounded(out.select("cluster_id", epoch("timestamp").alias("hour"), "tweet_count", "n_prev", "z_score_count", "z_score_engagement", "burst_state", "is_trigger"))
+
+
+def _last_version(spark, path: str):
+    versions = spark.read.parquet(path)  # a version a batch
+    last = versions.agg(F.max("version").alias("version"))
+    return versions.join(F.broadcast(last), "version").drop("version")
 
 
 @query()
 def v05_streaming_clusters(spark, sf_dir):
     source, state = _new_path(spark, "vectors"), _new_path(spark, "state")
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    v.repartition(2).write.parquet(source)
-    jobs.cluster_batches(jobs.replay(spark, source, v.schema, 1), state, _new_path(spark, "progress"), 0.5).awaitTermination()
-    versions = spark.read.parquet(state)  # a version a batch
-    return versions.groupBy("version").agg(F.count("*").alias("n_clusters"), F.sum("size").alias("n_rows"))
+    v.repartition(2, "vec_id").write.parquet(source)
+    jobs.cluster_batches(jobs.replay(spark, source, v.schema, 1), state, _new_path(spark, "progress"), 0.3, most=100).awaitTermination()
+    return _last_version(spark, state).select("cluster_id", "size", F.array_join("representatives", ",").alias("representatives"))
+
+
+@query()
+def st04_claim_registry(spark, sf_dir):
+    source, state = _new_path(spark, "claims"), _new_path(spark, "registry")
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("claim_id"), F.col("label").cast("long").alias("cluster_id"), F.col("embedding").alias("vec"))
+    v.repartition(2, "claim_id").write.parquet(source)
+    jobs.register_claims(jobs.replay(spark, source, v.schema, 1), state, _new_path(spark, "progress"), 0.3).awaitTermination()
+    return _last_version(spark, state).select("registry_id", "n_claims", F.array_join(F.transform("clusters", lambda c: c.cast("string")), ",").alias("clusters"))
 
 
 @query("WITH c AS (SELECT text FROM documents WHERE doc_id % 3 = 0) SELECT count(DISTINCT text) AS misses FROM documents WHERE text IS NOT NULL AND text NOT IN (SELECT text FROM c WHERE text IS NOT NULL)")

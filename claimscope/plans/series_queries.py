@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimscope.operators import anomaly, features, timeseries
@@ -210,7 +211,7 @@ def a23_trigger_types(spark, sf_dir):
 
 _EXPOSE = """,
 num AS (SELECT cluster_id, timestamp, tweet_count AS x, row_number() OVER (PARTITION BY cluster_id ORDER BY timestamp) AS t FROM ts),
-ex AS (SELECT a.cluster_id, a.timestamp, a.t, 1 - coalesce(sum(0.1 * power(0.9, a.t - b.t - 1) * exp(-0.1 * power(a.x - b.x, 2))), 0) AS expose_score FROM num a LEFT JOIN num b ON a.cluster_id = b.cluster_id AND b.t BETWEEN a.t - 48 AND a.t - 1 GROUP BY ALL)"""
+ex AS (SELECT a.cluster_id, a.timestamp, a.t, 1 - coalesce(sum(0.1 * power(0.9, a.t - b.t - 1) * exp(-0.1 * power(a.x - b.x, 2))), 0) AS expose_score FROM num a LEFT JOIN num b ON a.cluster_id = b.cluster_id AND b.t < a.t GROUP BY ALL)"""
 
 
 @query("WITH" + SERIES + _EXPOSE + " SELECT cluster_id, CAST(epoch(timestamp) AS BIGINT) AS hour, round(expose_score, 6) AS expose_score FROM ex")
@@ -223,10 +224,11 @@ b AS (SELECT *, list(CAST(tweet_count AS DOUBLE)) OVER w AS past, avg(tweet_coun
 v AS (SELECT *, CASE WHEN n >= 6 AND tweet_count > mu + 3 * sd THEN 1 ELSE 0 END AS vote_sigma, CASE WHEN n >= 6 AND tweet_count > 2 * mu THEN 1 ELSE 0 END AS vote_mean,
   CASE WHEN n >= 6 AND tweet_count > med + 6 * list_aggregate(list_transform(past, lambda p: abs(p - med)), 'median') THEN 1 ELSE 0 END AS vote_mad,
   CASE WHEN n >= 6 AND tweet_count > list_reduce(past, lambda a, p: 0.7 * a + 0.3 * p) + 3 * sd THEN 1 ELSE 0 END AS vote_ewma FROM b)
-SELECT cluster_id, CAST(epoch(timestamp) AS BIGINT) AS hour, CAST(vote_sigma AS INTEGER) AS vote_sigma, CAST(vote_mean AS INTEGER) AS vote_mean, CAST(vote_mad AS INTEGER) AS vote_mad, CAST(vote_ewma AS INTEGER) AS vote_ewma, vote_sigma + vote_mean + vote_mad + vote_ewma >= 3 AS skyline_trigger FROM v""")
+SELECT cluster_id, CAST(epoch(timestamp) AS BIGINT) AS hour, CAST(vote_sigma AS INTEGER) AS vote_sigma, CAST(vote_mean AS INTEGER) AS vote_mean, CAST(vote_mad AS INTEGER) AS vote_mad, CAST(vote_ewma AS INTEGER) AS vote_ewma, vote_sigma + vote_mean + vote_mad + vote_ewma >= 3 AS skyline_trigger,
+  CAST('0x' || substr(md5(cluster_id || '|' || CAST(epoch(timestamp) AS BIGINT)), 1, 8) AS BIGINT) / 4294967296.0 < 0.05 AS random_trigger, coalesce(n >= 6 AND round((tweet_count - mu) / nullif(sd, 0), 9) > 3, false) AS z_trigger FROM v""")
 def n08_baselines(spark, sf_dir):
     b = anomaly.trailing_baselines(_series(spark, sf_dir))
-    return b.select("cluster_id", epoch("timestamp").alias("hour"), "vote_sigma", "vote_mean", "vote_mad", "vote_ewma", "skyline_trigger")
+    return b.select("cluster_id", epoch("timestamp").alias("hour"), "vote_sigma", "vote_mean", "vote_mad", "vote_ewma", "skyline_trigger", "random_trigger", F.coalesce("z_trigger", F.lit(False)).alias("z_trigger"))
 
 
 @query("WITH" + SERIES + """,
@@ -241,7 +243,13 @@ def n09_loda(spark, sf_dir):
     return rounded(anomaly.loda(rows, "row", ["tweet_count", "engagement", "unique_users", "avg_followers"]))
 
 
-query()(n09_loda)
+_LODA = "WITH" + SERIES + """,
+st AS (SELECT avg(tweet_count) AS m1, stddev_pop(tweet_count) AS s1, avg(engagement) AS m2, stddev_pop(engagement) AS s2, avg(unique_users) AS m3, stddev_pop(unique_users) AS s3, avg(avg_followers) AS m4, stddev_pop(avg_followers) AS s4, count(*) AS n FROM ts),
+zz AS (SELECT cluster_id || '|' || CAST(epoch(timestamp) AS BIGINT) AS row, n, CASE WHEN s1 > 0 THEN (tweet_count - m1) / s1 ELSE 0 END AS z1, CASE WHEN s2 > 0 THEN (engagement - m2) / s2 ELSE 0 END AS z2, CASE WHEN s3 > 0 THEN (unique_users - m3) / s3 ELSE 0 END AS z3, CASE WHEN s4 > 0 THEN (avg_followers - m4) / s4 ELSE 0 END AS z4 FROM ts, st),
+w AS (SELECT j, """ + ", ".join(f"CAST('0x' || substr(md5(j || '|{c}'), 1, 8) AS BIGINT) % 3 - 1 AS w{i}" for i, c in enumerate(("tweet_count", "engagement", "unique_users", "avg_followers"), 1)) + """ FROM (SELECT unnest(range(16)) AS j)),
+ce AS (SELECT row, n, j, floor(round((w1 * z1 + w2 * z2 + w3 * z3 + w4 * z4) * 2, 6)) AS cell FROM zz, w), cn AS (SELECT j, cell, count(*) AS c FROM ce GROUP BY ALL)
+SELECT row, round(avg(-ln(c / CAST(n AS DOUBLE))), 6) AS loda_score FROM ce JOIN cn USING (j, cell) GROUP BY row"""
+query(_LODA)(n09_loda)
 
 _TOPS = """,
 tops AS (SELECT cluster_id, max(engagement) AS top, sum(engagement) AS total, count(*) AS n_rows FROM ts GROUP BY 1),
@@ -267,25 +275,28 @@ def n11_min_rows(spark, sf_dir):
     return rounded(anomaly.nab_figures(sweep, by=["min_rows"]))
 
 
-_GRID_SQL = "WITH" + SERIES + _TOPS + """,
-num AS (SELECT cluster_id, timestamp, tweet_count AS x, row_number() OVER (PARTITION BY cluster_id ORDER BY timestamp) AS t FROM ts),
-par AS (SELECT d AS decay, g AS gamma FROM (SELECT unnest([0.05, 0.1]::DOUBLE[]) AS d), (SELECT unnest([0.05, 0.2]::DOUBLE[]) AS g)),
-ex AS (SELECT decay, gamma, a.cluster_id, a.timestamp, 1 - coalesce(sum(decay * power(1 - decay, a.t - b.t - 1) * exp(-gamma * power(a.x - b.x, 2))), 0) AS e FROM par, num a LEFT JOIN num b ON a.cluster_id = b.cluster_id AND b.t BETWEEN a.t - 24 AND a.t - 1 GROUP BY ALL),
-tr AS (SELECT decay, gamma, threshold, cluster_id, timestamp FROM ex, (SELECT unnest([0.6, 0.8]::DOUBLE[]) AS threshold) WHERE round(e, 9) > threshold),
-st AS (SELECT DISTINCT decay, gamma, threshold FROM tr)""" + _LEADS.format(by="decay, gamma, threshold,") + f" SELECT decay, gamma, threshold, {_NAB} FROM (SELECT * FROM st, pk) LEFT JOIN ld USING (decay, gamma, threshold, cluster_id) GROUP BY 1, 2, 3"
+_GRID = {"decay": [0.005, 0.01, 0.02, 0.05], "gamma": [0.25, 0.5, 1.0], "threshold": [0.05, 0.1, 0.15, 0.2]}
+_BY = "decay, gamma, threshold, signal"
+_GRID_SQL = "WITH" + SERIES + _TOPS + f""",
+sg AS (SELECT cluster_id, timestamp, CAST(tweet_count AS DOUBLE) AS tweet_count, CASE WHEN avg(tweet_count) OVER w > 0 THEN tweet_count / avg(tweet_count) OVER w ELSE 0 END + 0.3 * CASE WHEN avg(engagement) OVER w > 0 THEN engagement / avg(engagement) OVER w ELSE 0 END AS rate,
+  row_number() OVER (PARTITION BY cluster_id ORDER BY timestamp) AS t FROM ts WINDOW w AS (PARTITION BY cluster_id ORDER BY timestamp ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)),
+num AS (SELECT 'tweet_count' AS signal, cluster_id, timestamp, t, tweet_count AS x FROM sg UNION ALL SELECT 'signal', cluster_id, timestamp, t, rate FROM sg),
+pr AS (SELECT a.signal, a.cluster_id, a.timestamp, a.t - b.t - 1 AS lag, power(a.x - b.x, 2) AS d FROM num a LEFT JOIN num b ON a.signal = b.signal AND a.cluster_id = b.cluster_id AND b.t < a.t),
+par AS (SELECT d AS decay, g AS gamma FROM (SELECT unnest({_GRID["decay"]}::DOUBLE[]) AS d), (SELECT unnest({_GRID["gamma"]}::DOUBLE[]) AS g)),
+ex AS (SELECT decay, gamma, signal, cluster_id, timestamp, 1 - coalesce(sum(decay * power(1 - decay, lag) * exp(-gamma * d)), 0) AS e FROM par, pr GROUP BY ALL),
+tr AS (SELECT {_BY}, cluster_id, timestamp FROM ex, (SELECT unnest({_GRID["threshold"]}::DOUBLE[]) AS threshold) WHERE round(e, 9) > threshold),
+st AS (SELECT DISTINCT {_BY} FROM tr)""" + _LEADS.format(by=_BY + ",") + f""", gr AS (SELECT {_BY}, {_NAB} FROM (SELECT * FROM st, pk) LEFT JOIN ld USING ({_BY}, cluster_id) GROUP BY 1, 2, 3, 4)
+SELECT *, row_number() OVER (ORDER BY nab_score DESC, {_BY}) = 1 AS is_best FROM gr"""
 
 
 @query(_GRID_SQL)
 def n12_expose_grid(spark, sf_dir):
-    s = _series(spark, sf_dir)
-    parts = None
-    for decay in (0.05, 0.1):  # a score a setting; thresholds are applied after
-        for gamma in (0.05, 0.2):
-            e = anomaly.expose(s, gamma=gamma, decay=decay, max_windows=24).select("cluster_id", "timestamp", F.lit(decay).alias("decay"), F.lit(gamma).alias("gamma"), "expose_score")
-            parts = e if parts is None else parts.union(e)
-    hits = parts.withColumn("threshold", F.explode(F.array(F.lit(0.6), F.lit(0.8)))).filter(F.round("expose_score", 9) > F.col("threshold"))
-    by = ["decay", "gamma", "threshold"]
-    return rounded(anomaly.nab_figures(anomaly.lead_rows(hits, anomaly.peaks(s), by=by), by=by))
+    s = timeseries.arrival_signal(_series(spark, sf_dir))
+    scores = anomaly.expose_grid(s, _GRID["decay"], _GRID["gamma"], ["tweet_count", "signal"])  # thresholds are applied after
+    hits = scores.withColumn("threshold", F.explode(F.array(*map(F.lit, _GRID["threshold"])))).filter(F.round("expose_score", 9) > F.col("threshold"))
+    by = ["decay", "gamma", "threshold", "signal"]
+    grid = rounded(anomaly.nab_figures(anomaly.lead_rows(hits, anomaly.peaks(s), by=by), by=by))
+    return grid.withColumn("is_best", F.row_number().over(Window.orderBy(F.desc("nab_score"), *by)) == 1)  # over a row a setting
 
 
 @query("WITH" + DETECTED + _TOPS + """,

@@ -77,6 +77,58 @@ def v03_form_clusters(spark, sf_dir):
     return clustering.form_clusters(_vectors(spark, sf_dir), "vec_id", 0.5)
 
 
+# The same at a threshold that links hundreds of rows of the smaller tables.
+_LOOSE_PAIRS, _LOOSE = (x.replace("round(s, 9) >= 0.5", "round(s, 9) >= 0.3") for x in (_PAIRS, _COMP))
+
+
+@query(f"WITH {_LOOSE_PAIRS} SELECT a, b, round(s, 6) AS similarity FROM l")
+def v06_loose_pairs(spark, sf_dir):
+    return rounded(clustering.similar_pairs(_vectors(spark, sf_dir), "vec_id", 0.3))
+
+
+@query(_LOOSE + " SELECT vec_id, cluster_id FROM comp")
+def v03_loose_clusters(spark, sf_dir):
+    return clustering.form_clusters(_vectors(spark, sf_dir), "vec_id", 0.3)
+
+
+@query(_LOOSE + """, z AS (SELECT cluster_id, row_number() OVER (ORDER BY count(*) DESC, cluster_id) AS r FROM comp GROUP BY cluster_id),
+kd AS (SELECT vec_id, cluster_id, r > 20 AS over_cap, v FROM comp JOIN z USING (cluster_id) JOIN n USING (vec_id)), ce0 AS (SELECT cluster_id, i, avg(v[i]) AS x FROM kd, (SELECT unnest(range(1, 65)) AS i) WHERE NOT over_cap GROUP BY ALL),
+ce1 AS (SELECT cluster_id, list(x ORDER BY i) AS c FROM ce0 GROUP BY cluster_id), ce AS (SELECT cluster_id, list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)))) AS c FROM ce1),
+sm AS (SELECT vec_id, kd.cluster_id AS own, over_cap, ce.cluster_id AS cl, round(""" + _DOT.format(a="kd.v", b="ce.c") + """, 9) AS s FROM kd, ce), b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, cl) AS r FROM sm WHERE over_cap OR own = cl)
+SELECT vec_id, cl AS cluster_id, over_cap, round(s, 6) AS similarity FROM b WHERE r = 1""")
+def v04_over_cap(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return rounded(clustering.assign_over_cap(clustering.cap_clusters(clustering.form_clusters(v, "vec_id", 0.3), "vec_id", 20), v, "vec_id"))
+
+
+def _profile_sql(thresholds):
+    parts = []
+    for i, t in enumerate(thresholds):
+        parts.append(f"l{i} AS (SELECT * FROM p WHERE round(s, 9) >= {t}), e{i} AS (SELECT a, b FROM l{i} UNION SELECT b, a FROM l{i}), r{i} AS (SELECT vec_id AS x, vec_id AS y FROM n UNION SELECT r{i}.x, e{i}.b FROM r{i} JOIN e{i} ON e{i}.a = r{i}.y), k{i} AS (SELECT x, min(y) AS c FROM r{i} GROUP BY x)")
+    sizes = " UNION ALL ".join(f"SELECT CAST({t} AS DOUBLE) AS threshold, c, count(*) AS size FROM k{i} GROUP BY c" for i, t in enumerate(thresholds))
+    n = lambda c, name: f"CAST(sum(CAST({c} AS INT)) AS BIGINT) AS {name}"
+    bands = ", ".join(n(c, name) for c, name in (("size = 1", "size_1"), ("size BETWEEN 2 AND 5", "size_2_5"), ("size BETWEEN 6 AND 20", "size_6_20"), ("size BETWEEN 21 AND 100", "size_21_100"), ("size > 100", "size_over_100")))
+    pairs = _PAIRS.split(", l AS (")[0]
+    return f"WITH RECURSIVE {pairs}, {', '.join(parts)}, z AS ({sizes}), g AS (SELECT threshold, count(*) AS n_clusters, CAST(sum(size) AS BIGINT) AS total, {bands} FROM z GROUP BY threshold) SELECT *, round(100 * (total - size_1) / total, 6) AS yield_pct, round(100 * size_1 / n_clusters, 6) AS singleton_pct FROM g"
+
+
+_THRESHOLDS = (0.25, 0.3, 0.35, 0.5)
+
+
+@query(_profile_sql(_THRESHOLDS))
+def a08_cluster_profile(spark, sf_dir):
+    v, sizes = _vectors(spark, sf_dir), None
+    for t in _THRESHOLDS:
+        s = clustering.form_clusters(v, "vec_id", t).groupBy("cluster_id").agg(F.count("*").alias("size")).withColumn("threshold", F.lit(t))
+        sizes = s if sizes is None else sizes.unionByName(s)
+    return rounded(clustering.threshold_profile(sizes, "threshold"))
+
+
+@query(f"WITH {_CENT}, s AS (SELECT label, avg({_DOT.format(a='n.v', b='c.c')}) AS s FROM n JOIN c USING (label) WHERE size > 1 GROUP BY label ORDER BY label LIMIT 200) SELECT count(*) AS n, round(avg(s), 6) AS mean_similarity, round(stddev_pop(s), 6) AS std_similarity FROM s")
+def a08_similarity_statistics(spark, sf_dir):
+    return rounded(clustering.similarity_statistics(_unit(spark, sf_dir), "label"))
+
+
 @query(_COMP + ", z AS (SELECT cluster_id, row_number() OVER (ORDER BY count(*) DESC, cluster_id) AS r FROM comp GROUP BY cluster_id) SELECT vec_id, cluster_id, r > 20 AS over_cap FROM comp JOIN z USING (cluster_id)")
 def v04_cluster_cap(spark, sf_dir):
     return clustering.cap_clusters(clustering.form_clusters(_vectors(spark, sf_dir), "vec_id", 0.5), "vec_id", 20)
@@ -111,10 +163,10 @@ def a25_cluster_lookup(spark, sf_dir):
     return rounded(c.select(F.col("label").alias("cluster_id"), "size", norm(F.col("centroid")).alias("norm")))
 
 
-@query(f"WITH {_UNIT}, s AS (SELECT a.vec_id AS q, b.vec_id AS id, round({_DOT.format(a='a.v', b='b.v')}, 9) AS s FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.label = 0), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, id) AS rank FROM s) SELECT q, id, round(s, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5")
+@query(f"WITH {_UNIT}, s AS (SELECT a.vec_id AS q, b.vec_id AS id, round({_DOT.format(a='a.v', b='b.v')}, 9) AS s FROM n a JOIN n b ON a.vec_id <> b.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, id) AS rank FROM s) SELECT q, id, round(s, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5")
 def v07_top_k(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    q = v.filter("label = 0").select(F.col("vec_id").alias("q"), F.col("vec").alias("v"))
+    q = v.select(F.col("vec_id").alias("q"), F.col("vec").alias("v"))
     return rounded(clustering.nearest(q, v.select(F.col("vec_id").alias("id"), F.col("vec").alias("v")), 5).select("q", "id", "similarity", "rank"))
 
 
@@ -127,15 +179,16 @@ def v08_assign_topics(spark, sf_dir):
 @query()
 def v08_topic_model(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return clustering.assign_topics(v, "vec_id", clustering.topic_model(v, 10)).groupBy("topic").agg(F.count("*").alias("n"))
+    c = clustering.topic_model(v, 10)
+    held = clustering.assign_topics(v, "vec_id", c).join(v, "vec_id").join(F.broadcast(c), "topic")
+    return rounded(held.groupBy("topic").agg(F.count("*").alias("n"), F.avg(euclid(F.col("vec"), F.col("c"))).alias("mean_distance")))
 
 
-@query(f"WITH {_UNIT}, s AS (SELECT a.vec_id AS q, b.vec_id AS id, b.vec_id % 200 AS post, CAST(a.label = b.label AS INT) AS same, round({_DOT.format(a='a.v', b='b.v')}, 9) AS s FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.label = 1), o AS (SELECT *, row_number() OVER (PARTITION BY q, post ORDER BY same DESC, s DESC, id) AS r FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY same DESC, s DESC, id) AS rank FROM o WHERE r = 1) SELECT q, id, same AS same_topic, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 8")
+@query(f"WITH {_UNIT}, s AS (SELECT a.vec_id AS q, b.vec_id AS id, b.vec_id % 200 AS post, CAST(a.label = b.label AS INT) AS same, round({_DOT.format(a='a.v', b='b.v')}, 9) AS s FROM n a JOIN n b ON a.vec_id <> b.vec_id), o AS (SELECT *, row_number() OVER (PARTITION BY q, post ORDER BY same DESC, s DESC, id) AS r FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY same DESC, s DESC, id) AS rank FROM o WHERE r = 1) SELECT q, id, same AS same_topic, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 8")
 def v09_topic_first(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    q = v.filter("label = 1").select(F.col("vec_id").alias("q"), normalize(F.col("vec")).alias("qv"), F.col("label").alias("ql"))
-    scored = v.join(F.broadcast(q), F.col("q") != F.col("vec_id")).select("q", F.col("vec_id").alias("id"), (F.col("vec_id") % 200).alias("post"), (F.col("ql") == F.col("label")).cast("int").alias("same_topic"), F.round(dot(normalize(F.col("vec")), F.col("qv")), 9).alias("similarity"))
-    return retrieval.topic_first(scored, 8).select("q", "id", "same_topic", "rank")
+    rows = v.select(F.col("vec_id").alias("id"), F.col("vec").alias("v"), F.col("label").alias("topic"), (F.col("vec_id") % 200).alias("post"))
+    return retrieval.topic_search(rows.withColumnRenamed("id", "q"), rows, 8).select("q", "id", "same_topic", "rank")
 
 
 _BM = r"""doc AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '\p{L}+') AS ws FROM documents WHERE text IS NOT NULL), tf AS (SELECT id, len(ws) AS len, w, count(*) AS tf FROM (SELECT id, ws, unnest(ws) AS w FROM doc) GROUP BY ALL),
@@ -144,28 +197,30 @@ qf AS (SELECT item_id AS q, w, count(*) AS qf FROM (SELECT item_id, unnest(regex
 sc AS (SELECT q, id, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))) AS score FROM qf JOIN idf USING (w) JOIN tf USING (w), sz GROUP BY q, id)"""
 
 
-def _bm25(spark, sf_dir):
+def _bm25_sides(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), ingest.words(F.col("text")).alias("words"))
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), ingest.words(F.col("text")).alias("words"))
-    return retrieval.bm25(q, docs)
+    return q, docs
+
+
+def _bm25(spark, sf_dir):
+    return retrieval.bm25(*_bm25_sides(spark, sf_dir))
 
 
 @query(f"WITH {_BM}, r AS (SELECT *, score / CASE WHEN max(score) OVER (PARTITION BY q) > 0 THEN max(score) OVER (PARTITION BY q) ELSE 1 END AS norm, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id) AS rank FROM sc) SELECT q, id, round(score, 6) AS score, round(norm, 6) AS norm FROM r WHERE rank <= 10")
 def v10_bm25(spark, sf_dir):
-    s = _bm25(spark, sf_dir)
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.round("score", 9).desc(), "id"))
-    return rounded(s.withColumn("rank", rank).filter("rank <= 10").drop("rank"))
+    return rounded(retrieval.bm25_top(*_bm25_sides(spark, sf_dir), 10))
 
 
-_CAND = _UNIT + f", cd AS (SELECT a.vec_id AS q, b.vec_id AS id, round({_DOT.format(a='a.v', b='b.v')}, 9) AS post_sim, round({_DOT.format(a='a.v', b='list_reverse(b.v)')}, 9) AS claim_sim FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.label = 2)"
+_CAND = _UNIT + f", cd AS (SELECT a.vec_id AS q, b.vec_id AS id, round({_DOT.format(a='a.v', b='b.v')}, 9) AS post_sim, round({_DOT.format(a='a.v', b='list_reverse(b.v)')}, 9) AS claim_sim FROM n a JOIN n b ON a.vec_id <> b.vec_id)"
 
 
 @query(f"WITH {_CAND}, k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY post_sim DESC, id) AS r FROM cd), h AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY post_sim DESC, id) AS h FROM k WHERE r <= 5 AND post_sim >= 0.2 AND claim_sim >= 0.0) SELECT q, id, round((post_sim + claim_sim) / 2, 6) AS score FROM h WHERE h = 1")
 def v12_two_stage(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    q = v.filter("label = 2").select(F.col("vec_id").alias("q"), normalize(F.col("vec")).alias("qv"))
-    unit = normalize(F.col("vec"))
-    cand = v.join(F.broadcast(q), F.col("q") != F.col("vec_id")).select("q", F.col("vec_id").alias("id"), F.round(dot(F.col("qv"), unit), 9).alias("post_sim"), F.round(dot(F.col("qv"), F.reverse(unit)), 9).alias("claim_sim"))
+    unit = v.select(F.col("vec_id").alias("id"), normalize(F.col("vec")).alias("v"))
+    first = clustering.nearest(unit.withColumnRenamed("id", "q"), unit, 5)  # only the five best by post can match
+    cand = first.join(unit.select(F.col("id").alias("q"), F.col("v").alias("qv")), "q").join(unit, "id").select("q", "id", F.col("similarity").alias("post_sim"), F.round(dot(F.col("qv"), F.reverse("v")), 9).alias("claim_sim"))
     return rounded(retrieval.two_stage(cand, 0.2, 0.0))
 
 
@@ -184,10 +239,7 @@ def v13_hybrid(spark, sf_dir):
 
 @query(f"WITH {_UNIT}, p AS (SELECT a.label AS grp, a.vec_id AS id, {_DOT.format(a='a.v', b='b.v')} AS s FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id), m AS (SELECT grp, id, round(avg(s), 9) AS mean_sim FROM p GROUP BY grp, id), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY mean_sim DESC, id) AS r FROM m) SELECT grp, id, round(mean_sim, 6) AS mean_sim FROM r WHERE r = 1")
 def v14_self_consistency(spark, sf_dir):
-    u = _unit(spark, sf_dir)
-    b = u.select("label", F.col("vec_id").alias("b"), F.col("vec").alias("w"))
-    pairs = u.join(b, "label").filter("vec_id <> b").select(F.col("label").alias("grp"), F.col("vec_id").alias("a"), dot(F.col("vec"), F.col("w")).alias("similarity"))
-    return rounded(retrieval.self_consistency(pairs, u.select(F.col("label").alias("grp"), F.col("vec_id").alias("id"))))
+    return rounded(retrieval.consistent_vectors(_vectors(spark, sf_dir), "label", "vec_id"))
 
 
 @query("WITH l AS (SELECT doc_id AS id, CASE WHEN doc_id % 17 = 0 THEN 'ERROR: x' WHEN doc_id % 19 = 0 THEN 'TIMEOUT: y' ELSE 'ok' END AS p, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE doc_id % 100 / 100.0 END AS score FROM documents), r AS (SELECT id, coalesce(score, 0) AS s FROM l WHERE p = 'ok') SELECT id, 'good' AS pool FROM r WHERE s >= 0.7 UNION ALL (SELECT id, 'bad' FROM r WHERE s <= 0.3 ORDER BY md5(CAST(id AS VARCHAR)), id LIMIT 500)")
@@ -232,13 +284,15 @@ def v17_full_scores(spark, sf_dir):
 @query()
 def v18_text_vectors(spark, sf_dir):
     rows = table(spark, sf_dir, "benchmark").select("item_id", ingest.words(F.col("text")).alias("words"))
-    return rounded(retrieval.hashed_text_vectors(rows).select("item_id", norm(F.col("vec")).alias("norm")))
+    v = retrieval.hashed_text_vectors(rows)
+    near = clustering.nearest(v.select(F.col("item_id").alias("q"), F.col("vec").alias("v")), v.select(F.col("item_id").alias("id"), F.col("vec").alias("v")), 1)
+    return rounded(v.join(near, F.col("q") == F.col("item_id"), "left").select("item_id", norm(F.col("vec")).alias("norm"), F.col("id").alias("nearest"), "similarity"))
 
 
-@query(f"WITH {_UNIT}, s AS (SELECT a.vec_id AS q, b.label AS bl, a.label AS al, round({_DOT.format(a='a.v', b='b.v')}, 9) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_DOT.format(a='a.v', b='b.v')}, 9) DESC, b.vec_id) AS rank FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.label < 3), c AS (SELECT CAST(t AS DOUBLE) AS threshold, k FROM (SELECT unnest([0.2, 0.4]) AS t), (SELECT unnest([1, 5]) AS k)), g AS (SELECT threshold, k, count(DISTINCT CASE WHEN s >= threshold AND rank <= k THEN q END) AS n_answered, avg(CASE WHEN s >= threshold AND rank <= k THEN CAST(al = bl AS INT) END) AS accuracy FROM s, c GROUP BY threshold, k) SELECT threshold, k, n_answered, round(coalesce(accuracy, 0), 6) AS accuracy, row_number() OVER (ORDER BY round(coalesce(accuracy, 0), 6) DESC, n_answered DESC, threshold, k) AS place FROM g")
+@query(f"WITH {_UNIT}, s AS (SELECT a.vec_id AS q, b.label AS bl, a.label AS al, round({_DOT.format(a='a.v', b='b.v')}, 9) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_DOT.format(a='a.v', b='b.v')}, 9) DESC, b.vec_id) AS rank FROM n a JOIN n b ON a.vec_id <> b.vec_id), c AS (SELECT CAST(t AS DOUBLE) AS threshold, k FROM (SELECT unnest([0.2, 0.4]) AS t), (SELECT unnest([1, 5]) AS k)), g AS (SELECT threshold, k, count(DISTINCT CASE WHEN s >= threshold AND rank <= k THEN q END) AS n_answered, avg(CASE WHEN s >= threshold AND rank <= k THEN CAST(al = bl AS INT) END) AS accuracy FROM s, c GROUP BY threshold, k) SELECT threshold, k, n_answered, round(coalesce(accuracy, 0), 6) AS accuracy, row_number() OVER (ORDER BY round(coalesce(accuracy, 0), 6) DESC, n_answered DESC, threshold, k) AS place FROM g")
 def m10_retrieval_tuning(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    q = v.filter("label < 3").select(F.col("vec_id").alias("q"), F.col("vec").alias("v"))
+    q = v.select(F.col("vec_id").alias("q"), F.col("vec").alias("v"))
     found = clustering.nearest(q, v.select(F.col("vec_id").alias("id"), F.col("vec").alias("v")), 5)
     labels = v.select(F.col("vec_id").alias("id"), F.col("label").alias("bl"))
     rows = found.join(labels, "id").join(labels.select(F.col("id").alias("q"), F.col("bl").alias("al")), "q")

@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_NULL, _EMPTY = "\\N", "\u0001"
+
 #: Columns of a run's result log.
 RESULT_LOG = "idx long, post string, predicted_claim string, gold_claim string, meteor double, model string, latency_ms double, input_tokens long, output_tokens long"
 
 
-def read_posts_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """CSV or TSV with header: ``normalized claim`` becomes gold_claim, which is null where the column is absent; quoted line breaks are read."""
-    rows = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True)
+def read_posts_csv(spark: SparkSession, path: str, sep: str = ",", line_sep: str | None = None) -> DataFrame:
+    """CSV or TSV with header: ``normalized claim`` becomes gold_claim, which is null where the column is absent; quoted line breaks, quotes and
+    blanks at the edges are read as they stand; an empty field with quotes is an empty text, one without or \\N is null. The line separator is found in the file unless it is given."""
+    rows = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True, lineSep=line_sep, nullValue=_NULL, emptyValue=_EMPTY, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    rows = rows.select(*[F.when(F.col(f"`{c}`") != _EMPTY, F.col(f"`{c}`")).when(F.col(f"`{c}`").isNotNull(), "").alias(c) for c in rows.columns])
     if "normalized claim" in rows.columns:
         rows = rows.withColumnRenamed("normalized claim", "gold_claim")
     return rows if "gold_claim" in rows.columns else rows.withColumn("gold_claim", F.lit(None).cast("string"))
 
 
+def write_posts_csv(rows: DataFrame, path: str, sep: str = ",") -> None:
+    """CSV or TSV with header, every field quoted, quotes doubled; null is \\N."""
+    rows.write.csv(path, header=True, sep=sep, quote='"', escape='"', quoteAll=True, emptyValue="", nullValue=_NULL, lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
 def read_result_log(spark: SparkSession, path: str) -> DataFrame:
     """Predictions of a JSON-lines log, without failed ones."""
     return predictions(spark.read.schema(RESULT_LOG).json(path))
@@ -48,10 +59,15 @@ def file_profile(spark: SparkSession, path: str, columns: list[str]) -> DataFram
     return named.select("name", "length", F.lit(len(columns)).alias("n_columns"), F.lit(",".join(columns)).alias("columns"), F.lit(lang).alias("has_language"))
 
 
-def check_manifest(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+def manifest(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+    """(name, digest) of the files below ``path``, by SHA-256; the name is the path below it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    name = F.regexp_replace(F.element_at(F.split("path", re.escape(path.rstrip("/")) + "/", 2), -1), "^/", "")
+    return files.select(name.alias("name"), F.sha2("content", 256).alias("digest"))
+
+
+def check_manifest(spark: SparkSession, path: str, listed: DataFrame) -> DataFrame:
     """(name, status): ok, mismatch, missing or unexpected, by SHA-256 against (name, digest). Files above 2 GB are beyond Spark's binary reader."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    actual = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("actual"))
-    joined = actual.join(manifest, "name", "full_outer")
+    joined = manifest(spark, path, "*").withColumnRenamed("digest", "actual").join(listed, "name", "full_outer")
     status = F.when(F.col("actual").isNull(), "missing").when(F.col("digest").isNull(), "unexpected").when(F.lower("digest") == F.col("actual"), "ok").otherwise("mismatch")
     return joined.select("name", status.alias("status"))

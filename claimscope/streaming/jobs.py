@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from claimscope.operators.clustering import assign, centroids, form_clusters, update_state
+from claimscope.operators.clustering import assign, cap_clusters, centroids, form_clusters, update_state
+from claimscope.session import cut, discard
 
 
 def replay(spark: SparkSession, path: str, schema: str, max_files: int = 1) -> DataFrame:
@@ -28,60 +30,121 @@ def hourly(posts: DataFrame, delay: str = "2 hours") -> DataFrame:
     )
 
 
-class ZScoreDetector(StatefulProcessor):
-    """Running count, sum and sum of squares of a cluster's windows: z of each window against all before it. State has a fixed size."""
+def heartbeat(posts: DataFrame, delay: str = "3 hours") -> DataFrame:
+    """One row of a finite replay's schema without a cluster, later than all others by more than the watermark: it closes the last windows and never closes its own."""
+    last = posts.agg(F.max("created_at").alias("t"))
+    return last.select(*[(F.col("t") + F.expr(f"INTERVAL {delay}") if f.name == "created_at" else F.lit(None)).cast(f.dataType).alias(f.name) for f in posts.schema])
+
+
+class BurstDetector(StatefulProcessor):
+    """Running mean and squared deviation (Welford) of a cluster's counts and engagement, and the costs of a burst automaton. State has a fixed size.
+
+    z of each window is taken against all before it. State j of the automaton emits Poisson counts at 2 ** j times the mean of the earlier windows (the count itself at the first);
+    a rise costs ln(windows so far) a level, a fall nothing; ties take the lower state.
+    """
+
+    STATES = 3
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("history", "n long, s double, q double")
+        self.state = handle.getValueState("history", "n long, mean_c double, dev_c double, mean_e double, dev_e double, costs array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        n, s, q = self.state.get() if self.state.exists() else (0, 0.0, 0.0)
+        n, mc, dc, me, de, costs = self.state.get() if self.state.exists() else (0, 0.0, 0.0, 0.0, 0.0, [0.0] * self.STATES)
         batch = pd.concat(list(rows)).sort_values("timestamp")
         out = []
-        for t, x in zip(batch["timestamp"], batch["tweet_count"], strict=True):
-            var = max(q / n - (s / n) ** 2, 0.0) if n else 0.0
-            z = (x - s / n) / var**0.5 if var > 1e-12 else 0.0
-            out.append((key[0], t, int(x), n, z, n >= 6 and round(z, 9) > 3))
-            n, s, q = n + 1, s + x, q + float(x) * x
-        self.state.update((n, s, q))
-        yield pd.DataFrame(out, columns=["cluster_id", "timestamp", "tweet_count", "n_prev", "z_score_count", "is_trigger"])
+        for t, x, e in zip(batch["timestamp"], batch["tweet_count"], batch["engagement"], strict=True):
+            x, e = float(x), float(e)
+            z = [(v - m) / (d / n) ** 0.5 if n and d / n > 1e-12 else 0.0 for v, m, d in ((x, mc, dc), (e, me, de))]
+            rate, climb = max(mc if n else x, 1e-9), math.log(n + 1)
+            costs = [min(c + climb * max(j - i, 0) for i, c in enumerate(costs)) + rate * 2**j - x * math.log(rate * 2**j) for j in range(self.STATES)]
+            out.append((key[0], t, int(x), n, *z, costs.index(min(costs)), n >= 6 and round(max(z), 9) > 3))
+            n += 1
+            mc, dc, me, de = mc + (x - mc) / n, dc + (x - mc) * (x - mc - (x - mc) / n), me + (e - me) / n, de + (e - me) * (e - me - (e - me) / n)
+        self.state.update((n, mc, dc, me, de, costs))
+        yield pd.DataFrame(out, columns=["cluster_id", "timestamp", "tweet_count", "n_prev", "z_score_count", "z_score_engagement", "burst_state", "is_trigger"])
 
     def close(self) -> None:
         pass
 
 
-DETECTED = "cluster_id long, timestamp timestamp, tweet_count long, n_prev long, z_score_count double, is_trigger boolean"
+DETECTED = "cluster_id long, timestamp timestamp, tweet_count long, n_prev long, z_score_count double, z_score_engagement double, burst_state int, is_trigger boolean"
 
 
 def detect(windows: DataFrame) -> DataFrame:
-    """Triggers on a stream of closed windows (cluster_id, timestamp, tweet_count), in time order within a cluster."""
-    return windows.groupBy("cluster_id").transformWithStateInPandas(statefulProcessor=ZScoreDetector(), outputStructType=DETECTED, outputMode="Append", timeMode="None")
+    """z-scores, burst state and triggers on a stream of closed windows (cluster_id, timestamp, tweet_count, engagement), in time order within a cluster.
+
+    Windows without ``engagement`` have none: 0.
+    """
+    windows = windows if "engagement" in windows.columns else windows.withColumn("engagement", F.lit(0).cast("long"))
+    return windows.groupBy("cluster_id").transformWithStateInPandas(statefulProcessor=BurstDetector(), outputStructType=DETECTED, outputMode="Append", timeMode="None")
+
+
+def _version(spark: SparkSession, path: str, schema: str, n: int) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{path}/version={n}") if n >= 0 else spark.createDataFrame([], schema)
+
+
+def _versioned(path: str, batch_id: int, table: DataFrame) -> None:
+    table.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+
+
+CLUSTERS = "cluster_id long, centroid array<double>, size long, representatives array<string>"
 
 
-def cluster_batches(vectors: DataFrame, state_path: str, checkpoint: str, threshold: float):
+def cluster_batches(vectors: DataFrame, state_path: str, checkpoint: str, threshold: float, most: int | None = None):
     """Online clustering as a sink: each micro-batch is assigned to the state's centroids, the rest forms clusters, and a new version is written.
 
-    Versions are named by batch id and replaced if a batch is run again, so a failed batch leaves nothing behind. ``vectors`` is (vec_id, vec).
+    With ``most`` clusters at most, only the largest new ones that still find room are kept; the other rows go to the nearest cluster of all, which counts
+    them but does not move. Versions are named by batch id and replaced if a batch is run again, so a failed batch leaves nothing behind. ``vectors`` is (vec_id, vec).
     """
-    schema = "cluster_id long, centroid array<double>, size long, representatives array<string>"
-
-    def version(spark: SparkSession, n: int) -> DataFrame:
-        return spark.read.schema(schema).parquet(f"{state_path}/version={n}") if n >= 0 else spark.createDataFrame([], schema)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state = version(spark, batch_id - 1)
-        found = assign(batch, "vec_id", state, threshold)
+        batch = cut(batch.select("vec_id", "vec"))
+        state = _version(batch.sparkSession, state_path, CLUSTERS, batch_id - 1)
+        found = cut(assign(batch, "vec_id", state, threshold))
         old = update_state(state, batch, "vec_id", found)
         rest = batch.join(found.filter("cluster_id < 0").select("vec_id"), "vec_id")
-        formed = rest.join(form_clusters(rest, "vec_id", threshold), "vec_id")
-        ids = formed.groupBy("cluster_id").agg(F.slice(F.array_sort(F.collect_list(F.col("vec_id").cast("string"))), 1, 10).alias("representatives"))
-        new = centroids(formed, "cluster_id").join(ids, "cluster_id").select("cluster_id", "centroid", "size", "representatives")
-        old.unionByName(new).write.mode("overwrite").parquet(f"{state_path}/version={batch_id}")
+        formed = form_clusters(rest.filter("vec is not null"), "vec_id", threshold)
+        room = None if most is None else max(0, most - state.count())
+        capped = formed.withColumn("over_cap", F.lit(False)) if room is None else cap_clusters(formed, "vec_id", room) if room else formed.withColumn("over_cap", F.lit(True))
+        capped = cut(capped)
+        new = rest.join(capped.filter("not over_cap").select("vec_id", "cluster_id"), "vec_id")
+        ids = new.groupBy("cluster_id").agg(F.slice(F.array_sort(F.collect_list(F.col("vec_id").cast("string"))), 1, 10).alias("representatives"))
+        made = centroids(new, "cluster_id").join(ids, "cluster_id").select("cluster_id", "centroid", "size", "representatives")
+        out = cut(old.unionByName(made))
+        extra = assign(rest.join(capped.filter("over_cap").select("vec_id"), "vec_id"), "vec_id", out, -1.0).filter("cluster_id >= 0").groupBy("cluster_id").agg(F.count("*").alias("more"))
+        _versioned(state_path, batch_id, out.join(extra, "cluster_id", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more"))
+        discard(batch, found, capped, out)
 
     return vectors.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+REGISTRY = "registry_id long, centroid array<double>, n_claims long, clusters array<long>"
+
+
+def register_claims(claims: DataFrame, state_path: str, checkpoint: str, threshold: float):
+    """A stateful claim registry as a sink: a claim near an entry's first claims joins it, others that are near each other make a new entry, named by the smallest claim id.
+
+    An entry keeps the mean vector of the claims that made it, their number and the list of their clusters. ``claims`` is (claim_id, cluster_id, vec); versions as in ``cluster_batches``.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch = cut(batch.select("claim_id", "cluster_id", "vec"))
+        state = _version(batch.sparkSession, state_path, REGISTRY, batch_id - 1)
+        known = state.select(F.col("registry_id").alias("cluster_id"), "centroid")
+        found = cut(assign(batch, "claim_id", known, threshold).select("claim_id", F.col("cluster_id").alias("registry_id")))
+        rest = batch.join(found.filter("registry_id < 0").select("claim_id"), "claim_id")
+        made = rest.join(form_clusters(rest, "claim_id", threshold).withColumnRenamed("cluster_id", "registry_id"), "claim_id")
+        vectors = centroids(made.select("registry_id", "vec"), "registry_id").select("registry_id", "centroid")
+        told = batch.join(found.filter("registry_id >= 0"), "claim_id").select("registry_id", "cluster_id").unionByName(made.select("registry_id", "cluster_id"))
+        told = told.groupBy("registry_id").agg(F.count("*").alias("n"), F.collect_set("cluster_id").alias("seen"))
+        entries = state.select("registry_id", "centroid", "n_claims", "clusters").unionByName(vectors.select("registry_id", "centroid", F.lit(0).cast("long").alias("n_claims"), F.array().cast("array<long>").alias("clusters")))
+        out = entries.join(told, "registry_id", "left")
+        _versioned(state_path, batch_id, out.select("registry_id", "centroid", (F.col("n_claims") + F.coalesce("n", F.lit(0))).alias("n_claims"), F.array_sort(F.array_union("clusters", F.coalesce("seen", F.array().cast("array<long>")))).alias("clusters")))
+        discard(batch, found)
+
+    return claims.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def new_texts(posts: DataFrame, delay: str = "1 day") -> DataFrame:
     """Posts whose text has not been seen within the watermark: the response cache of a stream."""
     return posts.withColumn("text_hash", F.xxhash64("text")).withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["text_hash"])
@@ -93,6 +156,14 @@ def cache_misses(posts: DataFrame, cache: DataFrame) -> DataFrame:
     return posts.withColumn("text_hash", h).dropDuplicates(["text_hash"]).join(cache.select("text_hash"), "text_hash", "left_anti")
 
 
+def counter_rows(query) -> list[tuple]:
+    """(stage, batch_id, counter, value) of a query's progress so far: its observed metrics, a few a batch, to be appended to a metrics table."""
+    return [(name, p.batchId, key, int(value)) for p in query.recentProgress for name, row in (p.observedMetrics or {}).items() for key, value in row.asDict().items() if value is not None]
+
+
+COUNTERS = "stage string, batch_id long, counter string, value long"
+
+
 def with_counters(posts: DataFrame, name: str, gate: str) -> DataFrame:
     """The stream with ``processed`` and ``passed`` observed; a query listener or ``lastProgress`` reads them."""
     return posts.observe(name, F.count(F.lit(1)).alias("processed"), F.sum(F.expr(gate).cast("int")).alias("passed"))
