@@ -23,9 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimscope.session import cut
+from claimscope.session import cut, discard, rows_up_to
 
-MIN_SUPPORT, GENERALISE, REMOVE, PART = 3, 0.8, 0.95, 256
+MIN_SUPPORT, GENERALISE, REMOVE, PART, BROADCAST_TERMS = 3, 0.8, 0.95, 256, 200_000
 KINDS = ("email", "ip", "card", "phone")
 
 # Each pattern is the contract's, made linear: a match starts at the first character of a run or where the
@@ -122,7 +122,7 @@ def term_spans(docs: DataFrame, min_support: int = MIN_SUPPORT, generalise: floa
 
     Entities in fewer than ``min_support`` distinct texts have no pair with that support and are left out first. Copies of a text
     are counted as one row with their number. Aggregations are by key, each with map-side partial sums: entity, (entity, term),
-    and term over the whole corpus.
+    and term over the whole corpus. The result is a table of the shared folder; those on the way to it are removed.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     with_spans = docs.filter("doc_id is not null").select("doc_id", text.alias("text")).filter(F.col("text").rlike(r"[0-9]|@")).withColumn("spans", base_spans(F.col("text"))).filter(F.size("spans") > 0)
@@ -130,22 +130,26 @@ def term_spans(docs: DataFrame, min_support: int = MIN_SUPPORT, generalise: floa
     with_spans = cut(with_spans)  # only documents with personal data
     names = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])))
     held = with_spans.select("doc_id", "content", F.explode(names).alias("entity")).distinct()
-    copies = held.groupBy("entity", "content").agg(F.count("*").alias("n"))
+    copies = cut(held.groupBy("entity", "content").agg(F.count("*").alias("n")))
     entities = copies.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("n_texts")).filter(F.col("n_texts") >= min_support).drop("n_texts")
-    copies = copies.join(entities.select("entity"), "entity")
+    counted = cut(copies.join(entities, "entity"))
+    discard(copies)
 
-    texts = with_spans.join(copies.select("content").distinct(), "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"))
+    texts = with_spans.join(counted.select("content").distinct(), "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"))
     texts = cut(texts.select("content", _masked(F.col("text")).alias("masked")))
-    pairs = texts.select("content", _terms(F.col("masked")).alias("terms")).join(copies, "content").select("content", "entity", "n", F.explode("terms").alias("term"))
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("support"), F.sum("n").alias("n_joint")).filter(F.col("support") >= min_support)
-    df = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    pairs = texts.select("content", _terms(F.col("masked")).alias("terms")).join(counted, "content").select("content", "entity", "n", "n_entity", F.explode("terms").alias("term"))
+    joint = cut(pairs.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("support"), F.sum("n").alias("n_joint")).filter(F.col("support") >= min_support))
+    wanted = joint.select("term").distinct()
+    few = rows_up_to(wanted, BROADCAST_TERMS) is not None  # then other terms need not be shuffled to be counted
+    df = docs.select(F.explode(_terms(F.col("text"))).alias("term")).join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     total = docs.agg(F.count("*").alias("n_docs"))  # one row
 
     strength = F.col("n_joint") / F.col("n_term")
     prior = F.col("n_entity") / F.col("n_docs")
-    scored = joint.join(entities, "entity").join(df, "term").crossJoin(F.broadcast(total))
-    scored = scored.filter(strength >= F.pow(prior, F.lit(1 - generalise))).select("entity", "term", F.when(strength >= F.pow(prior, F.lit(1 - remove)), 1).otherwise(0).alias("level"))
-    found = pairs.join(scored, ["entity", "term"]).groupBy("content", "term").agg(F.max("level").alias("level"))
+    scored = joint.join(df, "term").crossJoin(F.broadcast(total))
+    scored = cut(scored.filter(strength >= F.pow(prior, F.lit(1 - generalise))).select("entity", "term", F.when(strength >= F.pow(prior, F.lit(1 - remove)), 1).otherwise(0).alias("level")))
+    found = cut(pairs.join(scored, ["entity", "term"]).groupBy("content", "term").agg(F.max("level").alias("level")))
+    discard(joint, scored)
 
     # Every place of the found terms: a word ends where the lengths up to it add up to.
     pieces = F.arrays_zip(F.transform(F.split("masked", _WORD, -1), lambda x: F.length(x)).alias("gap"), F.regexp_extract_all("masked", F.lit(_WORD), F.lit(0)).alias("word"))
@@ -153,12 +157,14 @@ def term_spans(docs: DataFrame, min_support: int = MIN_SUPPORT, generalise: floa
     end = F.sum(F.col("w.gap") + F.length("w.word")).over(Window.partitionBy("content").orderBy("no"))
     words = words.withColumn("end", end.cast("int")).select("content", F.lower("w.word").alias("term"), (F.col("end") - F.length("w.word")).alias("start"), "end")
     hits = words.join(found, ["content", "term"]).select("content", "start", "end", "term", F.when(F.col("level") == 1, "remove").otherwise("generalise").alias("level"))
-    return with_spans.select("doc_id", "content").distinct().join(hits, "content").select("doc_id", "content", "start", "end", "term", "level")
+    out = cut(with_spans.select("doc_id", "content").distinct().join(hits, "content").select("doc_id", "content", "start", "end", "term", "level"))
+    discard(with_spans, counted, texts, found)
+    return out
 
 
 def _terms_per_doc(docs: DataFrame, **params) -> DataFrame:
     span = F.struct("start", "end", F.lit(len(KINDS)).alias("kind_no"), F.lit("term").alias("kind"), F.col("level").alias("value"))
-    return term_spans(docs, **params).groupBy("doc_id", F.col("content").alias("_pii_content")).agg(F.array_sort(F.collect_list(span)).alias("_pii_terms"))
+    return cut(term_spans(docs, **params).groupBy("doc_id", F.col("content").alias("_pii_content")).agg(F.array_sort(F.collect_list(span)).alias("_pii_terms")))
 
 
 def _digest(spans: Column) -> Column:
