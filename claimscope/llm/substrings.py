@@ -4,18 +4,18 @@ A window is 13 consecutive words. A word goes if a window that covers it also st
 
 1. Each window picks its minimizer, the smallest hash among its six 8-word grams. Equal windows pick the same one, so a window
    can only repeat where its minimizer is in at least two documents. One aggregation of minimizer hashes finds those.
-2. Neighbouring windows with one minimizer form an anchor: 13 to 18 words. Anchors whose minimizer repeats are kept; where all
-   anchors of a minimizer are word for word equal, the smallest document that has it decides for all its windows.
-3. The others are the reference text. It is dealt into shards by minimizer and, for minimizers with very many different anchors,
+2. Neighbouring windows with one minimizer form an anchor: 13 to 18 words. Anchors whose minimizer repeats are kept. Those of a minimizer in more than
+   ``HOT`` documents are cut into their windows, so that a passage that very many documents share in different contexts is one anchor.
+3. The anchors, each wording once a task with its smallest document, are the reference text. It is dealt into shards by minimizer and, for hot minimizers,
    by window. Each shard becomes suffix automata of bounded size whose states carry the smallest document; the anchors are
    streamed through, and the matching statistics give for each window the smallest document that has it.
 4. Decisions go back to the documents by id and the covered words are removed.
 
 The automata are co-located with what they are matched against instead of broadcast: the reference grows with the corpus, and a
 broadcast of it has no bound. A bitmap of repeated minimizer hashes of at most 64 MB is broadcast as a
-filter only; what passes it by chance is dropped later, and above that size a join takes its place.
+filter only; what passes it by chance is matched with itself alone, and above that size a join takes its place.
 
-Minimizers are compared by 64-bit and words by 48-bit hashes. Defined cases: null or empty text has no words, n_words 0; documents below 13 words keep all;
+Minimizers are compared by 64-bit and words by 40-bit hashes. Defined cases: null or empty text has no words, n_words 0; documents below 13 words keep all;
 null doc_id rows are compared with no one and lose nothing; a repeated id is one document to the rule (its rows do not count as
 smaller), and each of its rows is reported; an empty table gives no rows.
 """
@@ -27,16 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.llm.bitmap import Filter, bitmap, touched
-from claimscope.llm.hashing import chunks, few_rows, gram_hashes, word_hashes
+from claimscope.llm.hashing import chunks, few_rows, gram_hashes, mix64, word_hashes
+from claimscope.session import cut
 
 WINDOW, GRAM = 13, 8
 GRAMS = WINDOW - GRAM + 1
-WORD, HOT, AUTOMATON_WORDS = 6, 2_048, 20_000
+WORD, HOT, AUTOMATON_WORDS, SEEN = 5, 2_048, 20_000, 1 << 18
 
 
 def anchors(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -83,45 +83,64 @@ def _context(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.Array
     return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def _same(words: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A number that is equal for equal anchors, and the hash of every window."""
-    windows = gram_hashes(words, WINDOW)
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(windows, dtype=np.uint64)])
-    return total[first + count] - total[first] + count.astype(np.uint64), windows
+def _wordings(words: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A number that is equal for equal anchors."""
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(gram_hashes(words, WINDOW), dtype=np.uint64)])
+    return total[first + count] - total[first] + count.astype(np.uint64)
 
 
-def _places(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated(shared, hot):
+    """For the anchors of a slice whose minimizers are shared, those of hot ones cut into windows: their documents, rows and the arrays of each anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for ids, rows, words, at, doc, h, first, count in _texts(batches):
             keep = shared.value(h)
             doc, h, first, count = doc[keep], h[keep], first[keep], count[keep]
-            same, _ = _same(words, first, count)
+            if hot.value.bits is not None:
+                split = hot.value(h)
+                pieces = np.where(split, count, 1)
+                offset = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                doc, h, first, count, split = (np.repeat(x, pieces) for x in (doc, h, first, count, split))
+                first, count = first + offset, np.where(split, 1, count)
+            else:
+                split = np.zeros(len(h), dtype=bool)
+            yield ids, rows, words, at, doc, h, _wordings(words, first, count), first, count, split
+
+    return run
+
+
+def _places(shared, hot):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, rows, _, at, doc, h, same, first, count, _ in _repeated(shared, hot)(batches):
             cols = [ids.take(pa.array(doc)), rows.take(pa.array(doc)), *(pa.array(x.view(np.int64)) for x in (h, same)), *(pa.array(x.astype(np.int32)) for x in (first - at[doc], count))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "h", "same", "start", "n"])
 
     return run
 
 
-def _references(known, shared, shared_hot, salts: int):
-    """Anchors of a minimizer with several wordings, once per chunk with the smallest document; split by window where there are very many."""
+def _references(shared, hot, salts: int):
+    """Anchors with their words, a wording again only for a smaller document; those of hot minimizers are salted by wording."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, words, _, doc, h, first, count in _texts(batches):
-            keep = known.value(h) & shared.value(h)
-            h, first, count, owner = h[keep], first[keep], count[keep], ids.to_numpy(zero_copy_only=False)[doc[keep]]
-            same, windows = _same(words, first, count)
+        seen: dict[int, int] = {}
+        for ids, _, words, _, doc, h, same, first, count, split in _repeated(shared, hot)(batches):
+            owner = ids.to_numpy(zero_copy_only=False)[doc]
             order = np.lexsort((owner, same, h))
-            h, same, first, count, owner = (x[order] for x in (h, same, first, count, owner))
+            h, same, first, count, owner, split = (x[order] for x in (h, same, first, count, owner, split))
             once = np.ones(len(h), dtype=bool)
             once[1:] = (h[1:] != h[:-1]) | (same[1:] != same[:-1])
-            h, same, first, count, owner = (x[once] for x in (h, same, first, count, owner))
-            pieces = np.where(shared_hot.value(h), count, 1)
-            offset = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            h, same, first, count, owner, split = (np.repeat(x, pieces) for x in (h, same, first, count, owner, shared_hot.value(h)))
-            first = first + offset
-            salt = np.where(split, 1 + (windows[first] % np.uint64(salts)).astype(np.int64), 0) if len(h) else np.zeros(0)
-            cols = [*(pa.array(x.view(np.int64)) for x in (h, same)), *(pa.array(x.astype(np.int32)) for x in (salt, offset)), _context(words, first, np.where(split, WINDOW, count + WINDOW - 1)), pa.array(owner)]
-            yield pa.RecordBatch.from_arrays(cols, ["h", "same", "salt", "offset", "context", "doc"])
+            if len(seen) > SEEN:  # a bound on memory only: what was forgotten is sent again
+                seen.clear()
+            at = np.flatnonzero(once)
+            new = []
+            for i, key, d in zip(at.tolist(), (mix64(h[at]) ^ same[at]).tolist(), owner[at].tolist(), strict=True):
+                if d < seen.get(key, d + 1):
+                    seen[key] = d
+                    new.append(i)
+            h, same, first, count, owner, split = (x[new] for x in (h, same, first, count, owner, split))
+            salt = np.where(split, 1 + (same % np.uint64(salts)).astype(np.int64), 0) if len(h) else np.zeros(0)
+            cols = [*(pa.array(x.view(np.int64)) for x in (h, same)), pa.array(salt.astype(np.int32)), _context(words, first, count + WINDOW - 1), pa.array(owner)]
+            yield pa.RecordBatch.from_arrays(cols, ["h", "same", "salt", "context", "doc"])
 
     return run
 
@@ -204,23 +223,24 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton.add(words, doc)
         automaton.close()
         firsts = [automaton.match(words, WINDOW) for words, _ in held.values()]
-        cols = [pa.array([k[i] for k in held], type=t) for i, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int32()))]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(firsts, type=pa.list_(pa.int64()))], ["h", "same", "offset", "firsts"])
+        cols = [pa.array([k[i] for k in held], type=pa.int64()) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(firsts, type=pa.list_(pa.int64()))], ["h", "same", "firsts"])
 
     group = None
-    for batch in batches:
-        for h, same, salt, offset, context, doc in zip(*(batch.column(c).to_pylist() for c in ("h", "same", "salt", "offset", "context", "doc")), strict=True):
-            if (h, salt) != group and size >= AUTOMATON_WORDS:
-                yield flush()
-                held, size = {}, 0
-            group = (h, salt)
-            if (known := held.get((h, same, offset))) is not None:
-                known[1] = min(known[1], doc)
-                continue
-            raw = np.zeros((len(context) // WORD, 8), dtype=np.uint8)
-            raw[:, :WORD] = np.frombuffer(context, dtype=np.uint8).reshape(-1, WORD)
-            held[h, same, offset] = [raw.view(np.int64).ravel().tolist(), doc]
-            size += len(raw)
+    for large in batches:
+        for batch in few_rows([large], 4_096):
+            for h, same, salt, context, doc in zip(*(batch.column(c).to_pylist() for c in ("h", "same", "salt", "context", "doc")), strict=True):
+                if (h, salt) != group and size >= AUTOMATON_WORDS:
+                    yield flush()
+                    held, size = {}, 0
+                group = (h, salt)
+                if (known := held.get((h, same))) is not None:
+                    known[1] = min(known[1], doc)
+                    continue
+                raw = np.zeros((len(context) // WORD, 8), dtype=np.uint8)
+                raw[:, :WORD] = np.frombuffer(context, dtype=np.uint8).reshape(-1, WORD)
+                held[h, same] = [raw.view(np.int64).ravel().tolist(), doc]
+                size += len(raw)
     if held:
         yield flush()
 
@@ -235,32 +255,24 @@ def removals(keyed: DataFrame) -> DataFrame:
     """(doc_id, row, windows): first words of the windows to remove, for documents that have any."""
     broadcast = keyed.sparkSession.sparkContext.broadcast
     texts = keyed.filter("doc_id is not null and text is not null")
-    repeated = texts.mapInArrow(_minimizers, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    bits = bitmap(repeated.persist(StorageLevel.DISK_ONLY))
-    known = broadcast(Filter(bits))
-    found = texts.mapInArrow(_places(known), "doc_id long, row int, h long, same long, start int, n int")
+    repeated = cut(texts.mapInArrow(_minimizers, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
+    bits = bitmap(repeated.select("h"))
+    hot = repeated.filter(F.col("n") > HOT)
+    most = hot.agg(F.max("n")).first()[0] or 0
+    hot_bits = bitmap(hot.select("h"), 64) if most else None
+    known, split = broadcast(Filter(bits)), broadcast(Filter(hot_bits))
+
+    reference = texts.mapInArrow(_references(known, split, 1 + 6 * most // HOT), "h long, same long, salt int, context binary, doc long")
+    found = texts.mapInArrow(_places(known, split), "doc_id long, row int, h long, same long, start int, n int")
     if bits is None:
-        found = found.join(repeated, "h", "left_semi")
-
-    # One wording of a minimizer: its smallest document decides. Several: their anchors are matched.
-    wordings = found.groupBy("h").agg(F.min("doc_id").alias("doc"), F.min("same").alias("lo"), F.max("same").alias("hi"), F.count("*").alias("n")).persist(StorageLevel.DISK_ONLY)
-    key = lambda same: F.xxhash64("h", same).alias("key")
-    single = wordings.filter("lo = hi").select(key("lo"), F.lit(0).alias("offset"), F.lit(None).cast("array<long>").alias("firsts"), "doc")
-    several = wordings.filter("lo <> hi")
-    most = several.agg(F.max("n")).first()[0] or 0
-    filters = [broadcast(Filter(bitmap(x.select("h"), each))) for x, each in ((several, 64), (several.filter(F.col("n") > HOT), 64))]
-    reference = texts.mapInArrow(_references(known, *filters, 1 + 6 * most // HOT), "h long, same long, salt int, offset int, context binary, doc long")
-    dealt = reference.repartition("h", "salt").sortWithinPartitions("h", "salt")
-    matched = dealt.mapInArrow(_match, "h long, same long, offset int, firsts array<long>")
-    if filters[0].value.bits is None:
-        matched = matched.join(several, "h", "left_semi")
-    matched = matched.select(key("same"), "offset", "firsts", F.lit(None).cast("long").alias("doc"))
-
-    judged = found.select("doc_id", "row", "start", "n", key("same")).join(single.unionByName(matched), "key")
-    all_of = F.when(F.col("doc") < F.col("doc_id"), F.sequence(F.col("start"), F.col("start") + F.col("n") - 1))
-    some_of = F.filter(F.transform("firsts", lambda d, i: F.when(d < F.col("doc_id"), F.col("start") + F.col("offset") + i)), lambda x: x.isNotNull())
-    gone = judged.select("doc_id", "row", F.when(F.col("firsts").isNull(), all_of).otherwise(some_of).alias("windows")).filter(F.size("windows") > 0)
-    return gone.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("windows")).alias("windows"))
+        reference, found = (df.join(repeated.select("h"), "h", "left_semi").select(*df.columns) for df in (reference, found))
+    matched = reference.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_match, "h long, same long, firsts array<long>")
+
+    key = F.xxhash64("h", "same").alias("key")
+    judged = found.select("doc_id", "row", "start", key).join(matched.select("firsts", key), "key")
+    gone = F.filter(F.transform("firsts", lambda d, i: F.when(d < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
+    judged = judged.select("doc_id", "row", gone.alias("windows")).filter(F.size("windows") > 0)
+    return judged.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("windows")).alias("windows"))
 
 
 def _keep(with_text: bool, touching=None):
@@ -291,7 +303,7 @@ def _keep(with_text: bool, touching=None):
 def _judged(docs: DataFrame, with_text: bool) -> DataFrame:
     """Only the texts that may lose words, by a bitmap of their keys, are shuffled to their removals."""
     keyed, key = _keyed(docs), F.xxhash64("doc_id", "row").alias("h")
-    gone = removals(keyed).persist(StorageLevel.DISK_ONLY)
+    gone = cut(removals(keyed))
     shared = docs.sparkSession.sparkContext.broadcast(Filter(bitmap(gone.select(key), 64)))
     kind = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
     lost = keyed.select("doc_id", "text", "row", key).mapInArrow(touched(shared), "doc_id long, text string, row int").join(gone, ["doc_id", "row"], "left")
