@@ -63,19 +63,27 @@ def _valid(kind: str, value: Column) -> Column:
     }[kind]
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _folded(items: Column, start: Column, step, none: Column) -> Column:
     """``out`` of a fold over an array whose step gives (state, value): the values in order, without null ones.
 
     Appending to an array copies it, so values are gathered in parts of ``PART`` and these joined at the end.
     """
-    begin = F.struct(start.alias("at"), F.array(none).alias("out"))  # an array of parts; the first is empty
 
-    def part(acc, i):
-        inner = F.aggregate(F.slice(items, i * PART + 1, PART), F.struct(acc["at"].alias("at"), none.alias("out")), step)
-        return F.transform(F.array(inner), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))[0]
+    def whole(held: Column) -> Column:
+        def part(acc, i):
+            inner = F.aggregate(F.slice(held, i * PART + 1, PART), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+            return _let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
 
-    parts = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / PART).cast("int"))
-    return F.when(F.size(items) > 0, F.flatten(F.aggregate(parts, begin, part)["out"])).otherwise(none)
+        begin = F.struct(start.alias("at"), F.array(none).alias("out"))  # an array of parts; the first is empty
+        parts = F.sequence(F.lit(0), F.floor((F.size(held) - 1) / PART).cast("int"))
+        return F.when(F.size(held) > 0, F.flatten(F.aggregate(parts, begin, part)["out"])).otherwise(none)
+
+    return _let(items, whole)
 
 
 def _located(text: Column, pattern: str) -> Column:
@@ -209,12 +217,14 @@ def redact(text: Column, spans: Column) -> Column:
         add = F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece)).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), add.alias("out"))
 
-    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    cuts = _folded(spans, F.lit(0), step, none)
-    pieces = F.transform(cuts, lambda p: F.concat(F.array_join(F.slice(chars, p["start"], p["size"]), ""), p["tag"]))
-    last = F.array_max(F.transform(spans, lambda s: s["end"]))
-    rest = F.array_join(F.slice(chars, last + 1, F.greatest(F.length(text) - last, F.lit(0))), "")
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(pieces, ""), rest))
+    def cut_up(held: Column) -> Column:
+        chars, spans = held["chars"], held["spans"]
+        pieces = F.transform(_folded(spans, F.lit(0), step, none), lambda p: F.concat(F.array_join(F.slice(chars, p["start"], p["size"]), ""), p["tag"]))
+        rest = lambda last: F.array_join(F.slice(chars, last + 1, F.greatest(F.size(chars) - last, F.lit(0))), "")
+        return F.concat(F.array_join(pieces, ""), _let(F.array_max(F.transform(spans, lambda s: s["end"])), rest))
+
+    held = lambda spans: F.struct(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)).alias("chars"), spans.alias("spans"))
+    return _let(spans, lambda known: F.when(F.size(known) == 0, text).otherwise(_let(held(known), cut_up)))
 
 
 def sanitise(docs: DataFrame, **params) -> DataFrame:
