@@ -48,19 +48,14 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECAS
 
 
 class Node:
-    __slots__ = ("children", "commas", "drop", "held", "length", "links", "n_links", "own", "parent", "points", "score", "suspect", "tag")
+    __slots__ = ("children", "commas", "drop", "held", "length", "links", "n_links", "own", "parent", "points", "score", "suspect", "tag", "within")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool, suspect: int = 0):
         self.tag, self.parent, self.drop, self.suspect, self.children, self.held = tag, parent, drop, suspect, [], frozenset()
+        self.within = tag in ("article", "main") or parent is not None and parent.within  # an article
         self.score = self.points = self.links = self.n_links = self.length = self.own = self.commas = 0
 
 
-def _inside_article(n: Node | None) -> bool:
-    while n is not None and n.tag not in ("article", "main"):
-        n = n.parent
-    return n is not None
-
-
 def _named(value: str, tag: str, parent: Node) -> int:
     """2 if a name of the class or id tells of things beside an article, 1 if of page layout, else 0."""
     worst = 0
@@ -72,7 +67,7 @@ def _named(value: str, tag: str, parent: Node) -> int:
             if not ASIDE_WORDS.isdisjoint(words):
                 return 2
             if not LAYOUT_WORDS.isdisjoint(words) and words[-1] not in ARTICLE_WORDS and tag != "article":
-                own_header = words[-1] == "header" and (words[0] in ARTICLE_WORDS - {"page", "main"} or _inside_article(parent))
+                own_header = words[-1] == "header" and (words[0] in ARTICLE_WORDS - {"page", "main"} or parent.within)
                 worst = max(worst, 0 if own_header else 1)
     return worst
 
@@ -81,7 +76,7 @@ def _judge(tag: str, attrs: list, parent: Node) -> tuple[bool, int]:
     """Whether an element goes, and how far it is a suspect."""
     if tag in DROPPED:
         return True, 0
-    suspect = int(tag in SUSPECT and not (tag == "header" and _inside_article(parent)))
+    suspect = int(tag in SUSPECT and not (tag == "header" and parent.within))
     for k, v in attrs:
         v = v or ""
         if k in ("class", "id") and tag not in ("html", "body", "main"):

@@ -44,22 +44,26 @@ class Trie:
     """Forward scores along the path of the pre-token inserted last; insert in sorted order to share prefixes."""
 
     def __init__(self, pieces: dict[str, float]):
-        self.pieces, self.longest = pieces, max(map(len, pieces), default=1)
+        self.ends: dict[str, float | None] = {p[i:]: None for p in pieces for i in range(1, len(p))}  # what a piece may end with, and the pieces
+        self.ends |= pieces
         self.path, self.score, self.count = "", [0.0], [0]
         self.nodes = 0
 
     def insert(self, word: str) -> int:
         """Tokens of the best segmentation of ``word``."""
-        path, score, count, get = self.path, self.score, self.count, self.pieces.get
+        path, score, count, get = self.path, self.score, self.count, self.ends.get
         keep, most = 0, min(len(path), len(word))
         while keep < most and path[keep] == word[keep]:
             keep += 1
         del score[keep + 1 :], count[keep + 1 :]
         for end in range(keep + 1, len(word) + 1):
-            n_bytes = len(word[end - 1].encode("utf-8", "surrogatepass"))
+            c = word[end - 1]
+            n_bytes = 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
             best, tokens = score[end - 1] + UNKNOWN * n_bytes, count[end - 1] + n_bytes
-            for start in range(max(0, end - self.longest), end):
-                s = get(word[start:end])
+            for start in range(end - 1, -1, -1):
+                s = get(word[start:end], 0.0)  # piece scores are below 0
+                if s == 0.0:
+                    break
                 if s is not None:
                     s += score[start]
                     if s > best or s == best and count[start] + 1 < tokens:

@@ -77,3 +77,18 @@ def test_large_rates_keep_their_variance(spark):
     got = Counter(r.doc_id for r in mixing.mix(table(spark, ["a"] * 100), {"a": 1.0}, total=400_000).select("doc_id").collect())
     mean = sum(got.values()) / 100
     assert abs(mean - 4000) < 25 and 45 < math.sqrt(sum((n - mean) ** 2 for n in got.values()) / 99) < 82
+
+
+def test_columns_with_the_names_of_the_results_are_replaced(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", "a", "old", "old", 5) for i in range(50)], "doc_id long, text string, source string, copy string, mix_key string, _mix_n int")
+    out = mixing.mix(docs)
+    assert out.columns == ["doc_id", "text", "source", "copy", "mix_key"] and dict(out.dtypes)["copy"] == "int"
+    plain = mixing.mix(docs.select("doc_id", "text", "source"))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_large_distributions_are_not_broadcast(spark, monkeypatch):
+    docs = table(spark, ["a"] * 50 + ["b"] * 5)
+    one = sorted((r.doc_id, r.copy) for r in mixing.mix(docs).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_NUMBERS", 1)
+    assert sorted((r.doc_id, r.copy) for r in mixing.mix(docs).collect()) == one

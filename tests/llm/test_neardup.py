@@ -80,3 +80,34 @@ def test_signatures_estimate_similarity():
     doc = np.repeat([0, 1], 700)
     sig = neardup.signatures(doc, np.concatenate([common, a, common, b]), 2, 2000)
     assert abs((sig[0] == sig[1]).mean() - 600 / 800) < 0.05
+
+
+def test_recall_of_planted_near_copies(spark):
+    """Each copy keeps 80 to 95 percent of its text's shingles; a third stand in one group, so that it takes several blocks."""
+    rng = random.Random(11)
+    texts, planted = [], []
+    for i in range(40):
+        texts.append((i, " ".join(words(rng, 150, 9000))))
+        for k in range(120 if i == 0 else 6):
+            t = near(rng, texts[i][1], rng.randrange(1, 5) if k % 2 else 2)
+            a, b = shingles(texts[i][1]), shingles(t)
+            if 0.8 <= sum((a & b).values()) / sum((a | b).values()) <= 0.95:
+                planted.append((i, 1000 + 200 * i + k))
+            texts.append((1000 + 200 * i + k, t))
+    got = found(spark, texts)
+    caught = sum(got[a] == got[b] for a, b in planted)
+    assert len(planted) > 150 and caught >= 0.9 * len(planted)
+    assert len({got[i] for i in range(40)}) == 40
+
+
+def test_several_blocks_of_one_bucket_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng = random.Random(12)
+    base = " ".join(words(rng, 90, 9000))
+    texts = [(1, base), *((10 + i, near(rng, base, rng.choice([1, 2, 3, 6]))) for i in range(40)), *((100 + i, " ".join(words(rng, 60))) for i in range(5))]
+    assert found(spark, texts) == brute_force(texts)
+
+
+def test_common_units_count_repeats_as_often_as_both_have_them():
+    a, b = np.array([5, 5, 7, -1], dtype=np.int32), np.array([5, 7, 7, -1, 9], dtype=np.int32)
+    assert neardup.common_units([a, b], [b]).tolist() == [[3], [5]] and neardup.common_units([a, b])[0, 1] == 3

@@ -63,3 +63,32 @@ def test_scores_are_not_read_from_lang(spark, folder):
     m = langid.fit(docs)
     lie = docs.selectExpr("doc_id", "text", "'xx' AS lang")
     assert sorted(map(str, langid.predict(docs, m).collect())) == sorted(map(str, langid.predict(lie, m).collect()))
+
+
+def test_every_stage_equals_its_plain_definition(spark, folder):
+    from collections import Counter
+
+    from claimscope.llm import decontaminate
+    from tests.llm import test_decontaminate, test_mixing, test_neardup
+    from tests.llm.test_pii import base
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    kept = {i for i, r in rows.items() if any(c.isalpha() for c in r.text or "")}  # every text with letters here is clear
+    classes = test_neardup.brute_force([(i, rows[i].text) for i in kept])
+    kept = {i for i in kept if classes[i] == i}
+    items = [decontaminate.normalise(r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    kept = {i for i in kept if not any(test_decontaminate.distance(s, decontaminate.normalise(rows[i].text)) <= int(decontaminate.ERROR_RATE * len(s)) for s in items)}
+
+    def redacted(text):
+        out, at = [], 0
+        for kind, start, end in base(text):
+            out += [text[at:start], f"<{kind.upper()}>"]
+            at = end
+        return "".join(out) + text[at:]
+
+    sizes = Counter(rows[i].source for i in kept)
+    share = {s: n**0.5 / sum(m**0.5 for m in sizes.values()) for s, n in sizes.items()}
+    want = Counter({(i, redacted(rows[i].text)): test_mixing.count(i, share[rows[i].source] * len(kept) / sizes[rows[i].source]) for i in kept})
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.run(spark, folder).collect())
+    assert got == +want
