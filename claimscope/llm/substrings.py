@@ -36,7 +36,7 @@ from claimscope.session import cut
 
 WINDOW, GRAM = 13, 8
 GRAMS = WINDOW - GRAM + 1
-WORD, HOT, AUTOMATON_WORDS, SEEN = 5, 2_048, 20_000, 1 << 18
+WORD, HOT, AUTOMATON_WORDS, SEEN = 5, 2_048, 20_000, 1 << 20
 
 
 def anchors(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:

@@ -87,10 +87,11 @@ def test_recall_of_planted_near_copies(spark):
     rng = random.Random(11)
     texts, planted = [], []
     for i in range(40):
-        texts.append((i, " ".join(words(rng, 150, 9000))))
+        base = " ".join(words(rng, 150, 9000))
+        texts.append((i, base))
         for k in range(120 if i == 0 else 6):
-            t = near(rng, texts[i][1], rng.randrange(1, 5) if k % 2 else 2)
-            a, b = shingles(texts[i][1]), shingles(t)
+            t = near(rng, base, rng.randrange(1, 5) if k % 2 else 2)
+            a, b = shingles(base), shingles(t)
             if 0.8 <= sum((a & b).values()) / sum((a | b).values()) <= 0.95:
                 planted.append((i, 1000 + 200 * i + k))
             texts.append((1000 + 200 * i + k, t))
