@@ -58,11 +58,17 @@ def _occurrences(text: Column, listed: list[str]) -> Column:
 def language_tag(docs: DataFrame, profiles: dict[str, list[str]] | None = None) -> DataFrame:
     """(doc_id, tag, hits) for each row: the language with most stop words, ties to the first by name; ``unknown`` without any.
 
-    Profiles are lists of lower-case words of letters. Nothing is joined or shuffled: each list is one pattern.
+    Profiles are lists of lower-case words of letters. Nothing is joined or shuffled: a text's words that are in any list are kept, and counted for each.
     """
-    low = F.lower("text")
-    counts = F.array(*[F.struct((-_occurrences(low, ws)).alias("n"), F.lit(lang).alias("lang")) for lang, ws in sorted((profiles or STOP_WORDS).items())])
-    best = docs.select("doc_id", F.array_min(counts).alias("_best"))
+    lists = sorted((profiles or STOP_WORDS).items())
+    every = sorted({w for _, ws in lists for w in ws})
+    words_of = F.split(F.regexp_replace(F.lower("text"), r"\P{L}+", " "), " ", -1)
+    known = docs.select("doc_id", F.filter(words_of, lambda w: w.isin(every)).alias("_known"))
+
+    def hits(listed: list[str]) -> Column:
+        return F.coalesce(F.size(F.filter("_known", lambda w: w.isin(listed))), F.lit(0)).cast("long")
+
+    best = known.select("doc_id", F.array_min(F.array(*[F.struct((-hits(ws)).alias("n"), F.lit(lang).alias("lang")) for lang, ws in lists])).alias("_best"))
     return best.select("doc_id", F.when(F.col("_best.n") < 0, F.col("_best.lang")).otherwise("unknown").alias("tag"), (-F.col("_best.n")).alias("hits"))
 
 
