@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscope.llm import decontaminate, html, langid, licenses, mixing, neardup, pii, substrings, tokens, topk
+from claimscope.llm import decontaminate, html, langid, licenses, mixing, neardup, pii, runs, substrings, tokens, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +61,33 @@ def op10_substrings(spark, sf_dir):
     return substrings.report(_documents(spark, sf_dir))
 
 
+def _planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where one document in ten has a periodic tail: from its word a on, the next p words repeat to the end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n, g = F.size("words"), F.floor(h / 10)
+    a = (g % F.greatest(n, F.lit(1))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    words_then = F.concat(F.slice("words", F.lit(1), a), F.slice(tail, F.lit(1), n - a))
+    planted = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"))
+    return planted.select("doc_id", F.when(n > 0, F.array_join(words_then, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark, sf_dir):
+    found = runs.find_runs(_planted(_documents(spark, sf_dir)))
+    best = lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))
+    longest = F.array_min(F.transform("runs", best))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, length, period = F.col("best.start"), -F.col("best.less"), F.col("best.period")
+    named = start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli")
+    return found.select("doc_id", "n_runs", *named, "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict:
     """Callables by name."""
-    return {f.__name__: f for f in (op1_html, op2_pii, op3_mixing, op4_topk, op5_licenses, op6_langid, op7_tokens, op8_neardup, op9_decontaminate, op10_substrings)}
+    return {f.__name__: f for f in (op1_html, op2_pii, op3_mixing, op4_topk, op5_licenses, op6_langid, op7_tokens, op8_neardup, op9_decontaminate, op10_substrings, op11_runs)}
 
 
 ORACLE = {
