@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscope.llm import decontaminate, html, langid, licenses, mixing, neardup, pii, runs, substrings, tokens, topk
+from claimscope.llm import decontaminate, html, langid, licenses, mixing, neardup, negatives, pii, runs, substrings, tokens, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,9 +85,15 @@ def op11_runs(spark, sf_dir):
     return found.select("doc_id", "n_runs", *named, "runs_sha256", "collapsed_sha256")
 
 
+def op13_negatives(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", noisy), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict:
     """Callables by name."""
-    return {f.__name__: f for f in (op1_html, op2_pii, op3_mixing, op4_topk, op5_licenses, op6_langid, op7_tokens, op8_neardup, op9_decontaminate, op10_substrings, op11_runs)}
+    return {f.__name__: f for f in (op1_html, op2_pii, op3_mixing, op4_topk, op5_licenses, op6_langid, op7_tokens, op8_neardup, op9_decontaminate, op10_substrings, op11_runs, op13_negatives)}
 
 
 ORACLE = {
@@ -98,6 +104,15 @@ ORACLE = {
               FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+    "op13_negatives": """
+        WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+                   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+              FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT * FROM (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same) WHERE n <= 5),
+        m AS (SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+              FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM m WHERE rank <= 5""",
     "op10_substrings": r"""
         WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
         p AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),

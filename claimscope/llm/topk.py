@@ -30,7 +30,8 @@ def quantise(vector: Column, scale: int = 1024) -> Column:
     return F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
 
 
-def _usable(vector: Column) -> Column:
+def usable(vector: Column) -> Column:
+    """Not null and without a null or non-finite component."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     return vector.isNotNull() & ~F.exists(vector, bad)
 
@@ -84,8 +85,8 @@ def _search(k: int):
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of ``vectors`` for each row of ``queries``, its own id left out."""
-    docs = vectors.filter(F.col(id_col).isNotNull() & _usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("vec_id"), quantise(F.col(vector_col), scale).alias("v"))
-    asked = queries.filter(F.col(id_col).isNotNull() & _usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("vec_id"), quantise(F.col(vector_col), scale).alias("v"))
+    docs = vectors.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("vec_id"), quantise(F.col(vector_col), scale).alias("v"))
+    asked = queries.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("vec_id"), quantise(F.col(vector_col), scale).alias("v"))
     asked = asked.groupBy("vec_id").agg(F.min("v").alias("v"))
     shards = max(1, -(-docs.count() // SHARD_ROWS))
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
