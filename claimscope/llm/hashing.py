@@ -34,6 +34,14 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def polynomials(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of the bytes' polynomial modulo 2**64, and the factors that take a difference of two of them to its first byte."""
+    power, inverse = _power_tables(len(buf) + 1)
+    total = np.zeros(len(buf) + 1, dtype=np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], out=total[1:], dtype=np.uint64)
+    return total, inverse
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words ``[^\\x20\\x09-\\x0D]+`` of the texts in order, and the offsets of each text's words.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscope.llm import decontaminate, html, langid, licenses, mixing, neardup, negatives, pii, runs, substrings, tokens, topk
+from claimscope.llm import decontaminate, html, langid, licenses, mixing, neardup, negatives, pii, runs, spans, substrings, tokens, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +85,13 @@ def op11_runs(spark, sf_dir):
     return found.select("doc_id", "n_runs", *named, "runs_sha256", "collapsed_sha256")
 
 
+def op12_spans(spark, sf_dir):
+    out = spans.remove_repeats(_documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    n_bytes = (F.octet_length("kept") + removed).cast("long")
+    return out.select("doc_id", n_bytes.alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_negatives(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -93,7 +100,7 @@ def op13_negatives(spark, sf_dir):
 
 def queries() -> dict:
     """Callables by name."""
-    return {f.__name__: f for f in (op1_html, op2_pii, op3_mixing, op4_topk, op5_licenses, op6_langid, op7_tokens, op8_neardup, op9_decontaminate, op10_substrings, op11_runs, op13_negatives)}
+    return {f.__name__: f for f in (op1_html, op2_pii, op3_mixing, op4_topk, op5_licenses, op6_langid, op7_tokens, op8_neardup, op9_decontaminate, op10_substrings, op11_runs, op12_spans, op13_negatives)}
 
 
 ORACLE = {
