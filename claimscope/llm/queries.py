@@ -111,6 +111,20 @@ ORACLE = {
               FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+    "op12_spans": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        b AS (SELECT r, unnest(range(0, CAST(length(x) / 2 AS BIGINT) - 199, 256)) AS lo, x FROM d WHERE length(x) >= 400),
+        y AS MATERIALIZED (SELECT r, lo, x[2 * lo + 1 : 2 * lo + 910] AS y FROM b),
+        p AS (SELECT r, lo, unnest(range(0, CAST(length(y) / 2 AS BIGINT) - 199)) AS j, y FROM y),
+        g AS MATERIALIZED (SELECT r, lo + j AS i, md5_number(y[2 * j + 1 : 2 * j + 400]) AS s FROM p),
+        f AS (SELECT s FROM g GROUP BY s HAVING count(*) > 1),
+        w AS (SELECT r, i, i - lag(i, 1, -1000) OVER (PARTITION BY r ORDER BY i) > 200 AS new FROM g JOIN f USING (s)),
+        q AS (SELECT r, i, sum(CAST(new AS INT)) OVER (PARTITION BY r ORDER BY i) AS n FROM w),
+        s AS (SELECT r, n, min(i) AS lo, max(i) + 200 AS hi FROM q GROUP BY r, n),
+        k AS (SELECT r, list([lo, hi] ORDER BY lo) AS spans, sum(hi - lo) AS gone, count(*) AS n FROM s GROUP BY r)
+        SELECT doc_id, CAST(length(x) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+        sha256(unhex(CASE WHEN spans IS NULL THEN x ELSE array_to_string(list_transform(range(0, len(spans) + 1), lambda j: x[(CASE WHEN j = 0 THEN 0 ELSE 2 * spans[j][2] END) + 1 : CASE WHEN j = len(spans) THEN length(x) ELSE 2 * spans[j + 1][1] END]), '') END)) AS kept_sha256
+        FROM d LEFT JOIN k USING (r)""",
     "op13_negatives": """
         WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
                    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
