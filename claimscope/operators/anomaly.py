@@ -6,10 +6,14 @@ cluster's hours, so a run over many clusters needs one shuffle by cluster.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from claimscope.operators.timeseries import history
 
@@ -26,6 +30,16 @@ def _burst_path(counts: np.ndarray, scale: float, gamma: float, states: int) ->
     return out
 
 
+def _walked(series: DataFrame, name: str, kind: str, value: str, walk: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Adds a column that ``walk`` makes of one cluster's values in order of time; the other columns go along, so the series is read once."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("timestamp")
+        return rows.append_column(name, pa.array(walk(rows.column(value).to_numpy().astype(float))))
+
+    return series.groupBy("cluster_id").applyInArrow(run, StructType([*series.schema.fields, StructField(name, {"double": DoubleType(), "int": IntegerType()}[kind])]))
+
+
 def kleinberg_states(series: DataFrame, scale: float = 2.0, gamma: float = 1.0, states: int = 3) -> DataFrame:
     """Adds ``kleinberg_state``: the cheapest state at each window of the burst automaton (Kleinberg 2002), without look-ahead.
 
@@ -33,13 +47,7 @@ def kleinberg_states(series: DataFrame, scale: float = 2.0, gamma: float = 1.0,
     Ties take the lower state. A group is one cluster's hours, whose number is that of the hours observed; the walk over them is linear.
     """
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("timestamp")
-        return rows[["cluster_id", "timestamp"]].assign(kleinberg_state=_burst_path(rows["tweet_count"].to_numpy(dtype=float), scale, gamma, states))
-
-    kind = {f.name: f.dataType.simpleString() for f in series.schema}
-    path = series.select("cluster_id", "timestamp", "tweet_count").groupBy("cluster_id").applyInPandas(walk, f"cluster_id {kind['cluster_id']}, timestamp {kind['timestamp']}, kleinberg_state int")
-    return series.join(path, ["cluster_id", "timestamp"])
+    return _walked(series, "kleinberg_state", "int", "tweet_count", lambda x: _burst_path(x, scale, gamma, states))
 
 
 def simple_triggers(series: DataFrame, residual: float = 10.0, ratio: float = 3.0, velocity: float = 10.0) -> DataFrame:
@@ -78,20 +86,42 @@ def ensemble_trigger(scored: DataFrame, burst_state: int = 2) -> DataFrame:
     return scored.withColumn("trigger_type", kind)
 
 
-_NOTHING = 1e-9  # kernel weight that may be left out, far below the rounding of results
+def _weights(n: int, decay: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weight of each earlier window of a block for each later one, and what is left at each of the weights before the block."""
+    lag = np.arange(n)[:, None] - np.arange(n)[None, :]
+    return np.where(lag > 0, decay * (1 - decay) ** (np.maximum(lag, 1) - 1.0), 0.0), (1 - decay) ** np.arange(n, dtype=float)
 
 
-def _kernel_scores(x: np.ndarray, decay: float, gammas: list[float]) -> np.ndarray:
-    """(gammas, windows): 1 - decayed kernel mean similarity of each window to all before it whose weights are not nothing together."""
-    reach = len(x) if decay <= 0 else min(len(x), int(np.ceil(np.log(_NOTHING) / np.log1p(-decay))) if decay < 1 else 1)
-    out = np.ones((len(gammas), len(x)))
-    for lo in range(0, len(x), 256):
-        hi, first = min(lo + 256, len(x)), max(0, lo - reach)
-        lag = np.arange(lo, hi)[:, None] - np.arange(first, hi)[None, :]
-        weight = np.where((lag > 0) & (lag <= reach), decay * (1 - decay) ** (np.maximum(lag, 1) - 1), 0.0)
-        far = (x[lo:hi, None] - x[None, first:hi]) ** 2
+def _kernel_scores(x: np.ndarray, decay: float, gammas: list[float], step: int = 256) -> np.ndarray:
+    """(gammas, windows): 1 - decayed kernel mean similarity of each window to all before it.
+
+    Windows before a block of ``step`` count by value: each distinct value holds the decayed weight of all its windows, so nothing is left out and the
+    work is windows times distinct values.
+    """
+    values, code = np.unique(x, return_inverse=True)
+    held, out = np.zeros(len(values)), np.ones((len(gammas), len(x)))
+    for lo in range(0, len(x), step):
+        now = x[lo : lo + step]
+        weight, left = _weights(len(now), decay)
         for j, gamma in enumerate(gammas):
-            out[j, lo:hi] -= (weight * np.exp(-gamma * far)).sum(axis=1)
+            before = np.exp(-gamma * (now[:, None] - values[None, :]) ** 2) @ held
+            out[j, lo : lo + step] -= left * before + (weight * np.exp(-gamma * (now[:, None] - now[None, :]) ** 2)).sum(axis=1)
+        held *= (1 - decay) ** len(now)
+        np.add.at(held, code[lo : lo + step], decay * left[::-1])
+    return out
+
+
+def _fourier_scores(x: np.ndarray, decay: float, gamma: float, components: int, seed: int, step: int = 256) -> np.ndarray:
+    """Like ``_kernel_scores``, with random Fourier features: what is held of the past is their decayed mean."""
+    rng = np.random.default_rng(seed)
+    w, b = rng.normal(0.0, np.sqrt(2 * gamma), components), rng.uniform(0.0, 2 * np.pi, components)
+    held, out = np.zeros(components), np.ones(len(x))
+    for lo in range(0, len(x), step):
+        now = x[lo : lo + step]
+        weight, left = _weights(len(now), decay)
+        z = np.cos(now[:, None] * w + b) * np.sqrt(2 / components)
+        out[lo : lo + step] -= left * (z @ held) + (weight * (z @ z.T)).sum(axis=1)
+        held = held * (1 - decay) ** len(now) + (decay * left[::-1]) @ z
     return out
 
 
@@ -116,9 +146,16 @@ def expose_grid(series: DataFrame, decays: list[float], gammas: list[float], val
 def expose(series: DataFrame, value: str = "tweet_count", gamma: float = 0.1, decay: float = 0.1) -> DataFrame:
     """Adds ``expose_score`` = 1 - decayed kernel mean similarity to all earlier windows (after Schneider et al. 2016).
 
-    The exact Gaussian kernel takes the place of random features; weights are decay * (1 - decay) ** (windows between). A group is one cluster's hours.
+    The exact Gaussian kernel over the whole history; weights are decay * (1 - decay) ** (windows between). A group is one cluster's hours.
+    """
+    return _walked(series, "expose_score", "double", value, lambda x: _kernel_scores(x, decay, [gamma])[0])
+
+
+def expose_fourier(series: DataFrame, value: str = "tweet_count", gamma: float = 0.1, decay: float = 0.1, components: int = 20_000, seed: int = 42) -> DataFrame:
+    """Adds ``expose_score`` as ``expose`` does, from ``components`` random Fourier features: the work is linear in the windows whatever their values,
+    and the past is one vector, as a stream needs it. The error's standard deviation is at most 1 / sqrt(components).
     """
-    return series.join(expose_grid(series, [decay], [gamma], [value]).select("cluster_id", "timestamp", "expose_score"), ["cluster_id", "timestamp"])
+    return _walked(series, "expose_score", "double", value, lambda x: _fourier_scores(x, decay, gamma, components, seed))
 
 
 def trailing_baselines(series: DataFrame, rows: int = 12, random_p: float = 0.05) -> DataFrame:

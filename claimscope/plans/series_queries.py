@@ -214,6 +214,11 @@ num AS (SELECT cluster_id, timestamp, tweet_count AS x, row_number() OVER (PARTI
 ex AS (SELECT a.cluster_id, a.timestamp, a.t, 1 - coalesce(sum(0.1 * power(0.9, a.t - b.t - 1) * exp(-0.1 * power(a.x - b.x, 2))), 0) AS expose_score FROM num a LEFT JOIN num b ON a.cluster_id = b.cluster_id AND b.t < a.t GROUP BY ALL)"""
 
 
+@query()
+def n07_fourier(spark, sf_dir):
+    return rounded(anomaly.expose_fourier(_series(spark, sf_dir)).select("cluster_id", epoch("timestamp").alias("hour"), "expose_score"))
+
+
 @query("WITH" + SERIES + _EXPOSE + " SELECT cluster_id, CAST(epoch(timestamp) AS BIGINT) AS hour, round(expose_score, 6) AS expose_score FROM ex")
 def n07_expose(spark, sf_dir):
     return rounded(anomaly.expose(_series(spark, sf_dir)).select("cluster_id", epoch("timestamp").alias("hour"), "expose_score"))

@@ -47,13 +47,28 @@ def test_gini_equals_the_formula(spark):
         assert got[k] == pytest.approx((2 * sum(i * v for i, v in enumerate(x, 1)) - (n + 1) * s) / (n * s) if s else 0)
 
 
-def test_kernel_scores_of_a_long_history():
+@pytest.mark.parametrize("decay", [0.005, 0.05, 0.5, 1.0])
+def test_kernel_scores_of_a_long_history(decay):
     rng = np.random.default_rng(2)
-    x = rng.poisson(3, 700).astype(float)
-    got = anomaly._kernel_scores(x, 0.05, [0.25, 1.0])
-    for j, g in enumerate((0.25, 1.0)):
-        want = [1 - sum(0.05 * 0.95 ** (t - i - 1) * math.exp(-g * (x[t] - x[i]) ** 2) for i in range(t)) for t in range(len(x))]
-        assert np.allclose(got[j], want, atol=2e-9)
+    for x in (rng.poisson(3, 2000).astype(float), rng.normal(size=700)):
+        got = anomaly._kernel_scores(x, decay, [0.25, 1.0])
+        lag = np.arange(len(x))[:, None] - np.arange(len(x))[None, :]
+        weight = np.where(lag > 0, decay * (1 - decay) ** (np.maximum(lag, 1) - 1.0), 0)
+        for j, g in enumerate((0.25, 1.0)):
+            assert np.allclose(got[j], 1 - (weight * np.exp(-g * (x[:, None] - x[None, :]) ** 2)).sum(axis=1), rtol=0, atol=1e-12)
+
+
+def test_fourier_scores_lie_near_the_kernel(spark):
+    rng = np.random.default_rng(7)
+    x = rng.poisson(3, 1500).astype(float)
+    x[900:905] = 60
+    exact = anomaly._kernel_scores(x, 0.05, [0.1])[0]
+    for components in (2_000, 20_000):
+        off = np.abs(anomaly._fourier_scores(x, 0.05, 0.1, components, 42) - exact)
+        assert off.max() <= 4 / math.sqrt(components) and off.mean() <= 1 / math.sqrt(components)
+    rows = spark.createDataFrame([(c, i, int(v), "other") for c in (1, 2) for i, v in enumerate(x[: 300 * c])], "cluster_id long, timestamp long, tweet_count long, note string").repartition(3)
+    both = anomaly.expose(rows, decay=0.05).join(anomaly.expose_fourier(rows, decay=0.05).select("cluster_id", "timestamp", F.col("expose_score").alias("near")), ["cluster_id", "timestamp"])
+    assert both.count() == 900 and both.filter("abs(expose_score - near) > 0.03").count() == 0 and "note" in both.columns
 
 
 def test_loda_scores_outliers_highest(spark):
