@@ -1,7 +1,7 @@
 """Similarity joins, clusters and topics over vectors.
 
 Tables have an id and a ``vec`` column (array). The batch operators do not depend on row order. A similarity join within one
-table compares all pairs, by pairs of blocks of bounded size.
+table is exact: pairs are left out only where angles to pivots prove that they are not similar.
 """
 
 from __future__ import annotations
@@ -11,15 +11,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimscope.functions.vectors import cosine, euclid, norm, normalize
 from claimscope.operators.graph import connected_components
-from claimscope.session import rows_up_to
+from claimscope.session import cut, rows_up_to
 
 #: Rows of a block (all pairs of two blocks are compared at once), rows of it multiplied in one step, and rows of a corpus that may be broadcast.
 BRUTE_FORCE, STEP, BROADCAST = 2_000, 256, 8_192
+#: Pivots, rows they are chosen from, and blocks whose spans are compared at once.
+PIVOTS, SAMPLE, ZONES = 16, 2_048, 1_024
 
 
 def centroids(rows: DataFrame, by: str, unit: bool = True) -> DataFrame:
@@ -55,21 +58,118 @@ def _compare(threshold: float):
     return run
 
 
+def _reach(threshold: float) -> float:
+    """The angle of a similarity, a little wider than rounding."""
+    return float(np.arccos(np.clip(threshold - 1e-9, -1, 1))) + 1e-6
+
+
+def _pivots(unit: DataFrame, width: int) -> np.ndarray:
+    """PIVOTS rows that lie far apart, among the SAMPLE rows with the smallest hashes. They steer the work only: no result depends on them."""
+    sample = unit.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column("v").to_pylist()
+    x = np.array([np.pad(np.asarray(v, dtype=np.float64), (0, width - len(v))) for v in sample])
+    chosen, far = [0], np.arccos(np.clip(x @ x[0], -1, 1))
+    while len(chosen) < min(PIVOTS, len(x)):
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, np.arccos(np.clip(x @ x[chosen[-1]], -1, 1)))
+    return x[chosen]
+
+
+def _angles(pivots: np.ndarray):
+    """Adds each row's angles to the pivots, its nearest pivot and the angle to that. Shorter vectors are padded with zeros."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, flat = np.asarray(pc.list_value_length(batch.column("v"))), batch.column("v").flatten().to_numpy(zero_copy_only=False)
+            x = np.zeros((batch.num_rows, pivots.shape[1]))
+            x[np.arange(pivots.shape[1])[None, :] < size[:, None]] = flat
+            angle = np.arccos(np.clip(x @ pivots.T, -1, 1))
+            angles = pa.FixedSizeListArray.from_arrays(pa.array(angle.ravel()), len(pivots)).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, angles, pa.array(angle.argmin(axis=1).astype(np.int32)), pa.array(angle.min(axis=1))], ["id", "v", "angles", "region", "near"])
+
+    return run
+
+
+def _numbered(most: int):
+    """Rows sorted by region and angle get the number of their block: at most ``most`` neighbours of one region and partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size, last = TaskContext.get().partitionId() << 32, 0, None
+        for batch in batches:
+            region = batch.column("region").to_numpy()
+            numbers, lo = np.empty(len(region), dtype=np.int64), 0
+            while lo < len(region):
+                if region[lo] != last or size >= most:
+                    block, size, last = block + 1, 0, region[lo]
+                hi = min(lo + most - size, int(np.searchsorted(region, last, side="right")))
+                numbers[lo:hi] = block
+                size, lo = size + hi - lo, hi
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "v", "angles")), pa.array(numbers)], ["id", "v", "angles", "block"])
+
+    return run
+
+
+def _within_reach(reach: float, pivots: int):
+    """Pairs of blocks (p <= q) whose angles to every pivot lie within ``reach``, with what each side spans."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        sides = [(t.column("block").to_numpy(), *(_matrix(t.column(c).combine_chunks()) for c in ("low", "high"))) for t in (left, right)]
+        (p, p_low, p_high), (q, q_low, q_high) = sides
+        near = p[:, None] <= q[None, :]
+        for d in range(pivots):
+            near &= (p_low[:, d, None] - q_high[None, :, d] <= reach) & (q_low[None, :, d] - p_high[:, d, None] <= reach)
+        i, j = np.nonzero(near)
+        lists = [pa.array(list(m), pa.list_(pa.float64())) for m in (p_low[i], p_high[i], q_low[j], q_high[j])]
+        return pa.table([pa.array(p[i]), pa.array(q[j]), *lists], ["p", "q", "p_low", "p_high", "q_low", "q_high"])
+
+    return run
+
+
+def blocks_within_reach(unit: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Unit vectors (id, v) in blocks of neighbours (id, v, angles, block), and the pairs of blocks that may hold similar rows.
+
+    The angle between two vectors is at least the difference of their angles to any third. So pairs whose angles to a pivot are farther apart than
+    the threshold's angle are left out.
+    """
+    width = unit.agg(F.max(F.size("v"))).first()[0]
+    pivots = _pivots(unit, width)
+    kind = f"id {unit.schema['id'].dataType.simpleString()}, v array<double>, angles array<double>"
+    placed = unit.mapInArrow(_angles(pivots), f"{kind}, region int, near double")
+    order, parts = ("region", "near", "id"), max(1, -(-unit.count() // (8 * BRUTE_FORCE)))
+    blocks = cut(placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_numbered(BRUTE_FORCE), f"{kind}, block long"))
+    each = lambda f: F.array(*[f(F.get("angles", F.lit(d))) for d in range(len(pivots))])
+    zones = cut(blocks.groupBy("block").agg(each(F.min).alias("low"), each(F.max).alias("high")))
+    groups = max(1, -(-zones.count() // ZONES))
+    group = F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")
+    dealt, others = zones.withColumn("g", group), F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    own = [F.col(c).alias(c) for c in ("block", "low", "high")]
+    left, right = dealt.select(*own, F.col("g"), others.alias("h")), dealt.select(*own, F.col("g").alias("h"), others.alias("g"))
+    found = left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInArrow(_within_reach(_reach(threshold), len(pivots)), "p long, q long, " + ", ".join(f"{n} array<double>" for n in ("p_low", "p_high", "q_low", "q_high")))
+    return blocks, cut(found)
+
+
+def _reaching(blocks: DataFrame, pairs: DataFrame, side: str, other: str, reach: float) -> DataFrame:
+    """The rows of each pair's block ``side`` that may be similar to a row of the other."""
+    spans = pairs.select("p", "q", F.col(side).alias("block"), F.col(f"{other}_low").alias("low"), F.col(f"{other}_high").alias("high"))
+    outside = F.exists(F.arrays_zip("angles", "low", "high"), lambda z: (z["angles"] < z["low"] - reach) | (z["angles"] > z["high"] + reach))
+    return blocks.join(spans, "block").filter(~outside).select(*[F.col(c).alias(c) for c in ("id", "v", "p", "q")])  # attributes of their own on each side
+
+
 def similar_pairs(rows: DataFrame, key: str, threshold: float) -> DataFrame:
-    """(a, b, similarity) with a < b and cosine at or above the threshold: all pairs, at every size.
+    """(a, b, similarity) with a < b and cosine at or above the threshold: all of them, at every size.
 
-    Rows are dealt into blocks of about BRUTE_FORCE; each pair of blocks is one group, so no table is broadcast and memory stays the same.
+    Rows are laid out in blocks of about BRUTE_FORCE neighbours; pairs of blocks that angles to a few pivots rule out are skipped, and a row goes only to
+    blocks that it can reach. Each pair of blocks is one group, so no table is broadcast and memory stays the same.
     Rows without a vector, or with a missing or non-finite component, have no pairs; nor have vectors of different length.
     """
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     unit = rows.filter(F.col(key).isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", bad)).select(F.col(key).alias("id"), normalize(F.col("vec")).alias("v"))
-    blocks = max(1, -(-unit.count() // BRUTE_FORCE))
-    others = lambda lo, hi: F.explode(F.sequence(lo, hi))
-    dealt = unit.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    own = [F.col(c).alias(c) for c in ("id", "v")]  # attributes of their own on each side
-    left = dealt.select(*own, F.col("block").alias("p"), others(F.col("block"), F.lit(blocks - 1)).alias("q"))
-    right = dealt.select(*own, others(F.lit(0), F.col("block")).alias("p"), F.col("block").alias("q"))
     kind = unit.schema["id"].dataType.simpleString()
+    if unit.limit(BRUTE_FORCE + 1).count() <= BRUTE_FORCE:  # one block
+        one = unit.select("id", "v", F.lit(0).alias("p"), F.lit(0).alias("q"))
+        left, right = one, one.select(*[F.col(c).alias(c) for c in one.columns])  # attributes of their own on each side
+    else:
+        blocks, pairs = blocks_within_reach(unit, threshold)
+        left, right = (_reaching(blocks, pairs, *sides, _reach(threshold)) for sides in (("p", "q"), ("q", "p")))
     found = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(_compare(threshold), f"x {kind}, y {kind}, similarity double")
     return found.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity").distinct()
 

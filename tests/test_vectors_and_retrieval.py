@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from claimscope.operators import clustering, retrieval
 
@@ -28,6 +29,35 @@ def test_all_links_of_more_than_two_thousand_rows(spark, threshold):
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 300
 
 
+@pytest.mark.parametrize("threshold", [-0.2, 0.0, 0.5, 0.9])
+def test_pruned_pairs_equal_all_pairs(spark, monkeypatch, threshold):
+    """Clusters, zero vectors, copies, two lengths and several groups of blocks."""
+    monkeypatch.setattr(clustering, "BRUTE_FORCE", 25)
+    monkeypatch.setattr(clustering, "ZONES", 3)
+    rng = np.random.default_rng(8)
+    x = [list(map(float, c + rng.normal(0, 0.4, 6))) for c in rng.normal(size=(5, 6)) for _ in range(40)]
+    x += [[0.0] * 6] * 3 + [x[0]] * 60 + [[1.0, 2.0], [1.0, 2.1], [-1.0, 0.5]]
+    rows = spark.createDataFrame([(i, v, "c") for i, v in enumerate(x)] + [(None, x[0], "c"), (999, None, "c"), (998, [1.0, None] * 3, "c")], "id long, vec array<double>, block string")
+    unit = lambda v: np.array(v) / (np.linalg.norm(v) or 1.0)
+    expected = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if len(x[i]) == len(x[j]) and round(float(unit(x[i]) @ unit(x[j])), 9) >= threshold}
+    got = [(r.a, r.b) for r in clustering.similar_pairs(rows, "id", threshold).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_blocks_out_of_reach_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "BRUTE_FORCE", 50)
+    rng = np.random.default_rng(9)
+    x = [c + rng.normal(0, 0.05, 32) for c in rng.normal(size=(12, 32)) for _ in range(100)]
+    unit = spark.createDataFrame([(i, list(map(float, v / np.linalg.norm(v)))) for i, v in enumerate(x)], "id long, v array<double>")
+    blocks, pairs = clustering.blocks_within_reach(unit, 0.9)
+    n = blocks.select("block").distinct().count()
+    assert n >= 24 and pairs.count() <= 3 * n < n * (n + 1) / 2 / 3
+    sent = clustering._reaching(blocks, pairs, "p", "q", clustering._reach(0.9)).groupBy("id").count()
+    assert sent.agg(F.max("count")).first()[0] <= 6 < n
+    links = clustering.similar_pairs(unit.withColumnRenamed("v", "vec"), "id", 0.9)
+    assert links.count() == 12 * 100 * 99 / 2
+
+
 @pytest.mark.parametrize("block", [8_192, 40])
 def test_nearest_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(clustering, "BRUTE_FORCE", 25)
