@@ -5,10 +5,10 @@
    broadcast as a filter, and above that size a join takes its place.
 2. Neighbouring windows with one core form a fragment: the core, as one symbol, with at most 31 bytes on either side. A task sends each wording of a fragment once, and once more
    if it repeats. Fragments meet by core. Cores with more than ``HOT`` wordings are cut into their windows, each of them a core of its own.
-3. Fragments of some cores form a collection, dealt into shards. Each shard's suffixes are sorted to the length of a window (32 symbols) into a Burrows-Wheeler transform;
+3. Fragments of some cores form a collection, dealt into shards. Each shard's suffixes are sorted to the length of a window (32 symbols, taken four at a time as one) into a Burrows-Wheeler transform;
    the transforms are merged by refining the interleave: a stable distribution of its entries by the symbols of the transforms
    orders them by one symbol more, and an entry whose symbol or former interval differs from its predecessor's starts a new interval, whose common prefix is the number of the pass. No suffix is sorted again.
-   After 32 passes the intervals are the classes of equal windows, and those with two members or more are the repeated ones.
+   After eight passes the intervals are the classes of equal windows, and those with two members or more are the repeated ones.
 4. Covered spans go back to the documents by wording, are merged by document, and the bytes are removed.
 
 Cores and wordings are compared by 64-bit hashes. Defined cases: null or empty text has no bytes; texts below 200 bytes keep all; rows are
@@ -31,7 +31,7 @@ from claimscope.session import cut, discard
 
 WINDOW, STEPS = 200, 32
 CORE = WINDOW - STEPS + 1
-HOT, SYMBOLS, SHARDS, SEEN, PIECE, SLICE = 8_192, 1 << 16, 4, 1 << 18, 1 << 20, 1 << 18
+HOT, GRAM, SYMBOLS, SHARDS, SEEN, PIECE, SLICE = 8_192, 4, 1 << 16, 4, 1 << 18, 1 << 20, 1 << 18
 _AT = 28  # bits of a place in a slice
 
 
@@ -104,7 +104,8 @@ def _windows(data: bytes, first: np.ndarray, count: np.ndarray) -> tuple[np.ndar
 
 
 def _fragments(shared, hot=None):
-    """The fragments of each slice whose cores repeat, or the windows of those of hot cores. A task sends what stands before and after the core twice at most."""
+    """The fragments of each slice whose cores repeat, or the windows of those of hot cores. A task sends what stands before and after the core once, and once more that it came again:
+    a byte for the times and, the first time, one for the length of what stands before, and both sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
@@ -114,44 +115,51 @@ def _fragments(shared, hot=None):
             size = WINDOW if hot else CORE
             if len(seen) > SEEN:  # a bound on memory only: what was forgotten is sent again
                 seen.clear()
-            times = np.zeros(len(h), dtype=np.int32)
+            times, again = [0] * len(h), [False] * len(h)
             _, where, many = np.unique(mix64(h) ^ same, return_index=True, return_counts=True)
             for i, key, n in zip(where.tolist(), (mix64(h[where]) ^ same[where]).tolist(), many.tolist(), strict=True):
                 known = seen.get(key, 0)
                 if known < 2:
                     times[i] = min(n, 2 - known)
                     seen[key] = known + times[i]
+                    again[i] = known > 0
             piece = np.searchsorted(ends, first, side="right")
             rows, start, end = pa.array(text[piece]), first - np.append(0, ends)[piece] + base[piece], first + count + WINDOW - 1
-            sides = [pa.array([data[a:b] if n else None for a, b, n in zip(lo.tolist(), hi.tolist(), times.tolist(), strict=True)], pa.binary()) for lo, hi in ((first, at), (at + size, end))]
-            cols = [*(batch.column(c).take(rows) for c in ("doc", "row")), *(pa.array(a.view(np.int64)) for a in (h, same)), pa.array(start), *sides, pa.array(count.astype(np.int32)), pa.array(times)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc", "row", "h", "same", "start", "left", "right", "n", "times"])
+            wording: list[bytes | None] = [None] * len(h)
+            for i in np.flatnonzero(times).tolist():
+                a, core = int(first[i]), int(at[i])
+                wording[i] = bytes([times[i]]) if again[i] else bytes([times[i], core - a]) + data[a:core] + data[core + size : end[i]]
+            cols = [*(batch.column(c).take(rows) for c in ("doc", "row")), *(pa.array(a.view(np.int64)) for a in (h, same)), pa.array(start), pa.array(wording, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc", "row", "h", "same", "start", "wording"])
 
     return run
 
 
 class Shard:
-    """Symbol strings with their Burrows-Wheeler transform. Strings are circular and end in 0, which occurs nowhere else."""
-
-    def __init__(self, symbols: np.ndarray, ends: np.ndarray, depth: int = STEPS):
-        before = np.arange(-1, len(symbols) - 1)
-        before[np.append(0, ends[:-1])] = ends - 1
-        after = np.empty_like(before)
-        after[before] = np.arange(len(symbols))
-        rank, jump, width = symbols.astype(np.int64), after, 1
-        while True:  # doubling: order by twice as many symbols
-            key = rank * (rank.max() + 1) + rank[jump] if width < depth else rank
-            self.order = np.argsort(key, kind="stable")
-            if width >= depth:
-                break
-            sorted_key = key[self.order]
-            rank = np.empty_like(rank)
-            rank[self.order] = np.cumsum(np.append(False, sorted_key[1:] != sorted_key[:-1]))
-            jump, width = jump[jump], 2 * width
-        self.transform = symbols[before[self.order]]
-
-
-def merge(shards: list[Shard], depth: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbol strings with their Burrows-Wheeler transform; the alphabet is ``GRAM`` symbols wide, so a suffix is extended by GRAM places at a time.
+
+    Strings are circular and end in 0, which occurs nowhere else. ``grams`` ranks the GRAM symbols from each place on.
+    """
+
+    def __init__(self, grams: np.ndarray, before: np.ndarray, depth: int):
+        self.order = np.arange(len(grams))
+        for _ in range(depth):  # stable by the symbol in front: sorted by one more
+            self.order = before[self.order]
+            self.order = self.order[np.argsort(grams[self.order], kind="stable")]
+        self.transform = grams[before[self.order]]
+
+
+def ranked_grams(text: np.ndarray, begins: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of the GRAM symbols from each place on, place GRAM before it), both around the ends of circular strings."""
+    at, begin, length = np.arange(len(text)), np.repeat(begins, size), np.repeat(size, size)
+    packed = np.zeros(len(text), dtype=np.uint64)
+    for k in range(GRAM):
+        packed = packed << np.uint64(16) | text[begin + (at - begin + k) % length].astype(np.uint64)
+    names, ranks = np.unique(packed, return_inverse=True)
+    return ranks.astype(np.uint16 if len(names) <= 1 << 16 else np.uint32), begin + (at - begin - GRAM) % length
+
+
+def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, interval, prefix) of the merged order of all suffixes: its place among the shards' suffixes laid end to end, the number of its interval of
     suffixes that agree in ``depth`` symbols, and how many symbols it shares with the suffix before it, ``depth`` at most."""
     transform = np.concatenate([s.transform for s in shards])
@@ -171,28 +179,30 @@ def merge(shards: list[Shard], depth: int = STEPS) -> tuple[np.ndarray, np.ndarr
     return place, interval, prefix
 
 
-def repeated(found: list[tuple[int, bytes, bytes, int, int]]) -> list[np.ndarray]:
-    """For each fragment (core, left, right, windows, times) of a collection whether each of its windows occurs twice or more."""
+def repeated(found: list[tuple[int, bytes, bytes, int]]) -> list[np.ndarray]:
+    """For each fragment (core, left, right, times) of a collection whether each of its windows occurs twice or more. At most 2**16 - 257 cores."""
     names = {core: i for i, core in enumerate(dict.fromkeys(f[0] for f in found))}
-    kind = np.uint16 if len(names) + 257 <= 1 << 16 else np.uint32
-    size = np.array([len(f[1]) + len(f[2]) + 2 for f in found])
-    text = np.frombuffer(b"".join(f[1] + b"\0" + f[2] + b"\0" for f in found), dtype=np.uint8).astype(kind) + kind(1)
+    left = np.array([len(f[1]) for f in found])
+    size = left + [len(f[2]) + 2 for f in found]
+    text = np.frombuffer(b"".join(f[1] + b"\0" + f[2] + b"\0" for f in found), dtype=np.uint8).astype(np.uint16) + np.uint16(1)
     ends = np.cumsum(size)
-    text[ends - 1] = 0
     begins = ends - size
-    text[begins + [len(f[1]) for f in found]] = np.array([257 + names[f[0]] for f in found], dtype=kind)
+    text[ends - 1] = 0
+    text[begins + left] = np.array([257 + names[f[0]] for f in found], dtype=np.uint16)
+    grams, before = ranked_grams(text, begins, size)
     part = np.unique(np.append(np.searchsorted(ends, np.arange(1, SHARDS) * ends[-1] / SHARDS), len(found)))
     shards, offsets, lo = [], [], 0
     for hi in part[part > 0].tolist():
-        shards.append(Shard(text[begins[lo] : ends[hi - 1]], ends[lo:hi] - begins[lo]))
+        where = slice(begins[lo], ends[hi - 1])
+        shards.append(Shard(grams[where], before[where] - begins[lo], STEPS // GRAM))
         offsets.append(shards[-1].order + begins[lo])
         lo = hi
-    place, interval, _ = merge(shards)
+    place, interval, _ = merge(shards, STEPS // GRAM)
     at = np.concatenate(offsets)[place]
     of = np.repeat(np.arange(len(found)), size)[at]
-    count = np.array([f[3] for f in found])
+    count = np.maximum(size - 2 - (STEPS - 1) + 1, 1)  # a window that is its own core has no sides
     window = at - begins[of] < count[of]
-    weight = np.bincount(interval[window], weights=np.array([f[4] for f in found])[of[window]], minlength=int(interval[-1]) + 1)
+    weight = np.bincount(interval[window], weights=np.array([f[3] for f in found])[of[window]], minlength=int(interval[-1]) + 1)
     again = np.zeros(len(text), dtype=bool)
     again[at[window]] = weight[interval[window]] >= 2
     return [again[b : b + n] for b, n in zip(begins.tolist(), count.tolist(), strict=True)]
@@ -220,21 +230,22 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     core = None
     for large in batches:
         for batch in few_rows([large], 4_096):
-            for h, same, left, right, n, times in zip(*(batch.column(c).to_pylist() for c in ("h", "same", "left", "right", "n", "times")), strict=True):
+            for h, same, wording in zip(*(batch.column(c).to_pylist() for c in ("h", "same", "wording")), strict=True):
                 if h != core and size >= SYMBOLS:
                     yield flush()
                     held, size = {}, 0
                 core = h
-                if (known := held.get((h, same))) is not None:
-                    known[3] += times
-                    continue
-                held[h, same] = [left, right, n, times]
-                size += len(left) + len(right) + 2
+                known = held.setdefault((h, same), [None, None, 0])
+                known[2] += wording[0]
+                if len(wording) > 1 and known[0] is None:
+                    at = 2 + wording[1]
+                    known[0], known[1] = wording[2:at], wording[at:]
+                    size += len(wording)
     if held:
         yield flush()
 
 
-_FRAGMENT = "doc long, row long, h long, same long, start long, left binary, right binary, n int, times int"
+_FRAGMENT = "doc long, row long, h long, same long, start long, wording binary"
 
 
 def removals(keyed: DataFrame) -> DataFrame:
@@ -246,13 +257,13 @@ def removals(keyed: DataFrame) -> DataFrame:
     known = broadcast(Filter(bits))
     found = texts.mapInArrow(_fragments(known), _FRAGMENT)
     found = cut(found if bits is not None else found.join(cores, "h", "left_semi").select(*found.columns))
-    wordings = found.filter("times > 0").select("h", "same", "left", "right", "n", "times")
+    wordings = found.filter("wording is not null").select("h", "same", "wording")
     hot = cut(wordings.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("h"))
     if not hot.isEmpty():
         split = broadcast(Filter(bitmap(hot)))
         single = cut(texts.mapInArrow(_fragments(known, split), _FRAGMENT))
-        found = found.withColumn("key", F.col("h")).select("key", *found.columns).mapInArrow(_outside(split), _FRAGMENT).unionByName(single)
-        wordings = found.filter("times > 0").select("h", "same", "left", "right", "n", "times")
+        found = found.mapInArrow(_outside(split), _FRAGMENT).unionByName(single)
+        wordings = found.filter("wording is not null").select("h", "same", "wording")
     merged = wordings.repartition("h").sortWithinPartitions("h").mapInArrow(_merged, "h long, same long, spans array<int>")
     covered = found.select("doc", "row", "start", "h", "same").join(merged, ["h", "same"])
     placed = covered.select("doc", "row", F.transform("spans", lambda x: F.col("start") + x).alias("spans"))
@@ -262,11 +273,9 @@ def removals(keyed: DataFrame) -> DataFrame:
 
 
 def _outside(hot):
-    drop = touched(hot, False)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in drop(b.rename_columns(["h", *[c if c != "h" else "h_" for c in b.schema.names[1:]]]) for b in batches):
-            yield batch.rename_columns([c.rstrip("_") for c in batch.schema.names])
+        for batch in batches:
+            yield batch.filter(pa.array(~hot.value(batch.column("h").to_numpy().view(np.uint64))))
 
     return run
 

@@ -86,23 +86,26 @@ def test_long_texts_come_in_pieces():
         spans.PIECE = piece
 
 
-def test_merged_transforms_equal_sorted_suffixes():
+@pytest.mark.parametrize("depth", [1, 2, 4])
+def test_merged_transforms_equal_sorted_suffixes(depth):
     rng = random.Random(6)
-    for depth in (4, 8):
-        strings = [[rng.randrange(1, 3) for _ in range(rng.randrange(1, 30))] + [0] for _ in range(20)]
-        shards = []
-        for lo in range(0, 20, 7):
-            part = strings[lo : lo + 7]
-            shards.append(spans.Shard(np.array(sum(part, []), dtype=np.uint16), np.cumsum([len(s) for s in part]), depth))
-        place, interval, prefix = spans.merge(shards, depth)
-        rotations = [tuple((s * 40)[k : k + depth]) for s in strings for k in range(len(s))]
-        begins = np.cumsum([0, *(len(s.order) for s in shards)])
-        at = np.concatenate([s.order + b for s, b in zip(shards, begins)])[place]
-        merged = [rotations[i] for i in at]
-        assert merged == sorted(rotations)
-        common = [next((d for d in range(depth) if a[d] != b[d]), depth) for a, b in zip(merged, merged[1:])]
-        assert prefix[1:].tolist() == common
-        assert interval.tolist() == np.cumsum([0, *(c < depth for c in common)]).tolist()
+    strings = [[rng.randrange(1, 3) for _ in range(rng.randrange(1, 30))] + [0] for _ in range(20)]
+    size = np.array([len(s) for s in strings])
+    begins = np.cumsum(size) - size
+    grams, before = spans.ranked_grams(np.array(sum(strings, []), dtype=np.uint16), begins, size)
+    shards, offsets = [], []
+    for lo in range(0, 20, 7):
+        where = slice(begins[lo], begins[min(lo + 7, 20) - 1] + size[min(lo + 7, 20) - 1])
+        shards.append(spans.Shard(grams[where], before[where] - begins[lo], depth))
+        offsets.append(shards[-1].order + begins[lo])
+    place, interval, prefix = spans.merge(shards, depth)
+    rotations = [tuple((s * 40)[k : k + depth * spans.GRAM]) for s in strings for k in range(len(s))]
+    merged = [rotations[i] for i in np.concatenate(offsets)[place]]
+    assert merged == sorted(rotations)
+    units = [[r[k : k + spans.GRAM] for k in range(0, len(r), spans.GRAM)] for r in merged]
+    common = [next((d for d in range(depth) if a[d] != b[d]), depth) for a, b in zip(units, units[1:])]
+    assert prefix[1:].tolist() == common
+    assert interval.tolist() == np.cumsum([0, *(c < depth for c in common)]).tolist()
 
 
 def test_kept_bytes_and_spans(spark):
