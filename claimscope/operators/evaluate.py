@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimscope.operators.ranks import average_ranks, value_ranks, with_ranks
+
 
 def _div(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b).otherwise(0.0)
@@ -59,10 +61,7 @@ def ensembles(long: DataFrame, weights: DataFrame, temperatures: list[float]) ->
     ``weights`` is (model, w), a row a model. Confidence ties go to the first model by name.
     """
     p = F.col("prob")
-    order = Window.partitionBy("model").orderBy("prob")
-    ties = Window.partitionBy("model", "prob")
-    total = Window.partitionBy("model")
-    ranked = long.withColumn("r", (F.rank().over(order) + (F.count("*").over(ties) - 1) / 2) / F.count("*").over(total)).join(F.broadcast(weights), "model")
+    ranked = average_ranks(long, ["model"], "prob", "r", "of").withColumn("r", F.col("r") / F.col("of")).join(F.broadcast(weights), "model")
     logit = F.log(F.greatest(p, F.lit(1e-8)) / F.greatest(1 - p, F.lit(1e-8)))
     g = ranked.groupBy("sample_id", "label").agg(
         F.avg("prob").alias("soft"),
@@ -89,13 +88,10 @@ def reproduction_status(rows: DataFrame, value: str, published: str) -> DataFram
     return rows.withColumn("status", F.when(F.col(published).isNull() | (d <= 0.002), "reproduced").when(d <= 0.01, "close").otherwise("different"))
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
-
-
 def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks for ties; 0 where a side is constant."""
-    r = rows.select(*by, average_rank(x, by).alias("rx"), average_rank(y, by).alias("ry"))
+    r = rows.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    r = with_ranks(with_ranks(r, value_ranks(r, by, "_x"), by, "_x", "rx"), value_ranks(r, by, "_y"), by, "_y", "ry")
     c = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))
     return r.groupBy(*by).agg(F.coalesce(c, F.lit(0.0)).alias("rho"), F.count("*").alias("n"))
 
