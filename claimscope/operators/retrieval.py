@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -13,8 +11,9 @@ from pyspark.sql.types import LongType
 
 from claimscope.functions.text import jaccard
 from claimscope.functions.vectors import dot, normalize
+from claimscope.operators import postings
 from claimscope.operators.graph import connected_components
-from claimscope.session import rows_up_to
+from claimscope.session import cut
 
 
 def bm25(queries: DataFrame, corpus: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
@@ -36,65 +35,27 @@ def bm25(queries: DataFrame, corpus: DataFrame, k1: float = 1.5, b: float = 0.75
     return s.join(top, "q").select("q", "id", "score", (F.col("score") / F.when(F.col("top") > 0, F.col("top")).otherwise(1.0)).alias("norm"))
 
 
-def _scores_of(shared, k1: float, b: float, k: int):
-    """Each query's best documents of a partition's batches: one sparse row a document against the matrix of query weights."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, weights, queries, avgdl = shared.value
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids = part.column("id").to_numpy(zero_copy_only=False)
-                order = np.argsort(ids, kind="stable")
-                tf, length = np.zeros((len(ids), len(places))), np.zeros(len(ids))
-                for row, ws in enumerate(part.column("words").take(pa.array(order)).to_pylist()):
-                    length[row] = len(ws or ())
-                    for w in ws or ():
-                        if (p := places.get(w)) is not None:
-                            tf[row, p] += 1
-                ids = ids[order]
-                shares = (tf > 0).astype(np.float32) @ (weights != 0).astype(np.float32) > 0  # a word in common
-                scores = (tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[:, None] / avgdl))) @ weights
-                ranked = np.where(shares, np.round(scores, 9), -np.inf)
-                best = np.argsort(-ranked, axis=0, kind="stable")[:k]
-                i, q = np.nonzero(np.take_along_axis(ranked, best, axis=0) > -np.inf)
-                at = best[i, q]
-                yield pa.RecordBatch.from_arrays([pa.array(queries[q]), pa.array(ids[at]), pa.array(scores[at, q])], ["q", "id", "score"])
-
-    return run
+def bm25_top(queries: DataFrame, corpus: DataFrame | postings.Index, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """(q, id, score, norm) of the ``k`` best rows of ``bm25`` for each query, ties to the smaller id, from an index of the corpus, which is built here unless given."""
+    index = corpus if isinstance(corpus, postings.Index) else postings.build(corpus, k1, b)
+    weights = postings.term_weights(index, queries, epsilon).select("q", "w", (F.col("qf") * F.col("idf")).alias("on_part"), F.lit(0.0).alias("on_share"))
+    s = postings.search(index, weights, k)
+    top = F.max("part").over(Window.partitionBy("q"))  # k rows a query
+    return s.select("q", "id", F.col("part").alias("score"), (F.col("part") / F.when(top > 0, top).otherwise(1.0)).alias("norm"))
 
 
-def bm25_top(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, most_words: int = 200_000) -> DataFrame:
-    """(q, id, score, norm) of the ``k`` best rows of ``bm25`` for each query, ties to the smaller id.
+def hybrid_candidates(queries: DataFrame, corpus: DataFrame, first: int = 20, cos: float = 0.5, lexical: float = 0.3) -> DataFrame:
+    """(q, id, cos, bm25): for each query the ``first`` rows by ``cos`` times the cosine of word counts plus ``lexical`` times BM25 over its best, from one index.
 
-    Queries of together at most ``most_words`` different words, which is checked, are broadcast as weights (words by queries), in blocks of
-    256 queries; each document is scored where it lies and only the best of every 256 documents are shuffled. Beyond it the join of ``bm25`` takes its place.
-    Null words count as none. Keys are numbers.
+    Both are sums over common words, so one traversal finds the best of them together.
     """
-    spark = corpus.sparkSession
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.round("score", 9).desc(), "id"))
-    qf = queries.select("q", F.explode("words").alias("w")).groupBy("q", "w").agg(F.count("*").alias("qf"))
-    if rows_up_to(qf.select("w"), most_words) is None:
-        return bm25(queries, corpus, k1, b, epsilon).withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
-    df = corpus.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    size = corpus.filter("words is not null").agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))  # one row
-    idf = df.crossJoin(F.broadcast(size)).select("w", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    idf = idf.crossJoin(F.broadcast(idf.agg(F.avg("raw").alias("mean")))).select("w", "avgdl", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    rows = idf.join(F.broadcast(qf), "w").select("q", "w", "avgdl", (F.col("qf") * F.col("idf")).alias("weight")).toPandas()  # at most ``most_words``
-    kinds = {"q": queries.schema["q"].dataType.simpleString(), "id": corpus.schema["id"].dataType.simpleString()}
-    found = None
-    names = np.sort(rows["q"].unique())
-    for lo in range(0, max(len(names), 1), 256):
-        block = rows[rows["q"].isin(names[lo : lo + 256])]
-        places = {w: i for i, w in enumerate(sorted(block["w"].unique()))}
-        weights = np.zeros((len(places), len(names[lo : lo + 256])))
-        weights[block["w"].map(places).to_numpy(dtype=np.int64), np.searchsorted(names[lo : lo + 256], block["q"])] = block["weight"]
-        shared = spark.sparkContext.broadcast((places, weights, names[lo : lo + 256], float(rows["avgdl"].iloc[0]) if len(rows) else 1.0))
-        part = corpus.filter("words is not null and id is not null").select("id", "words").mapInArrow(_scores_of(shared, k1, b, k), f"q {kinds['q']}, id {kinds['id']}, score double")
-        found = part if found is None else found.unionByName(part)
-    s = found.withColumn("rank", rank).filter(F.col("rank") <= k)
-    top = F.max("score").over(Window.partitionBy("q"))
-    return s.select("q", "id", "score", (F.col("score") / F.when(top > 0, top).otherwise(1.0)).alias("norm"))
+    index = postings.build(corpus)
+    terms = cut(postings.term_weights(index, queries))
+    only = terms.select("q", "w", (F.col("qf") * F.col("idf")).alias("on_part"), F.lit(0.0).alias("on_share"))
+    top = postings.search(index, only, 1).select("q", F.when(F.col("part") > 0, F.col("part")).otherwise(1.0).alias("top"))  # a row a query
+    length = queries.select("q", F.explode("words").alias("w")).groupBy("q", "w").agg(F.count("*").alias("n")).groupBy("q").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
+    mixed = terms.join(top, "q").join(length, "q").select("q", "w", (F.col("qf") * F.col("idf") / F.col("top")).alias("on_part"), (F.col("qf") / F.col("length")).alias("on_share"))
+    return postings.search(index, mixed, first, lexical, cos).select("q", "id", F.col("share").alias("cos"), F.col("part").alias("bm25"))
 
 
 def topic_first(scored: DataFrame, k: int) -> DataFrame:
