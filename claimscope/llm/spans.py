@@ -31,7 +31,7 @@ from claimscope.session import cut, discard
 
 WINDOW, STEPS = 200, 32
 CORE = WINDOW - STEPS + 1
-HOT, GRAM, SYMBOLS, SHARDS, SEEN, PIECE, SLICE = 8_192, 4, 1 << 16, 4, 1 << 18, 1 << 20, 1 << 18
+HOT, GRAM, SYMBOLS, SHARDS, SEEN, PIECE, SLICE = 8_192, 4, 1 << 16, 4, 1 << 19, 1 << 20, 1 << 18
 _AT = 28  # bits of a place in a slice
 
 
@@ -179,8 +179,9 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.n
     return place, interval, prefix
 
 
-def repeated(found: list[tuple[int, bytes, bytes, int]]) -> list[np.ndarray]:
-    """For each fragment (core, left, right, times) of a collection whether each of its windows occurs twice or more. At most 2**16 - 257 cores."""
+def repeated(found: list[tuple[int, bytes, bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether the window at each place of a collection of fragments (core, left, right, times) occurs twice or more; each fragment's first place, and its
+    number of windows. At most 2**16 - 257 cores."""
     names = {core: i for i, core in enumerate(dict.fromkeys(f[0] for f in found))}
     left = np.array([len(f[1]) for f in found])
     size = left + [len(f[2]) + 2 for f in found]
@@ -205,15 +206,21 @@ def repeated(found: list[tuple[int, bytes, bytes, int]]) -> list[np.ndarray]:
     weight = np.bincount(interval[window], weights=np.array([f[3] for f in found])[of[window]], minlength=int(interval[-1]) + 1)
     again = np.zeros(len(text), dtype=bool)
     again[at[window]] = weight[interval[window]] >= 2
-    return [again[b : b + n] for b, n in zip(begins.tolist(), count.tolist(), strict=True)]
+    return again, begins, count
 
 
-def _spans(flags: np.ndarray) -> list[int]:
-    """Covered bytes of flagged windows as start, end, start, end ..."""
-    edge = np.flatnonzero(np.diff(flags, prepend=False, append=False))
-    starts, ends = edge[0::2], edge[1::2] + WINDOW - 1
-    split = np.flatnonzero(starts[1:] > ends[:-1])
-    return np.stack([starts[np.append(0, split + 1)], ends[np.append(split, len(ends) - 1)]], axis=1).ravel().tolist() if len(starts) else []
+def _spans(again: np.ndarray, begins: np.ndarray, count: np.ndarray) -> dict[int, list[int]]:
+    """Covered bytes of each fragment with repeated windows, as start, end, start, end ..."""
+    total = np.append(0, np.cumsum(again))
+    many = total[begins + count] - total[begins]
+    whole = many == count
+    spans = {i: [0, n + WINDOW - 1] for i, n in zip(np.flatnonzero(whole).tolist(), count[whole].tolist(), strict=True)}
+    for i in np.flatnonzero((many > 0) & ~whole).tolist():
+        edge = np.flatnonzero(np.diff(again[begins[i] : begins[i] + count[i]], prepend=False, append=False))
+        starts, ends = edge[0::2], edge[1::2] + WINDOW - 1
+        split = np.flatnonzero(starts[1:] > ends[:-1])
+        spans[i] = np.stack([starts[np.append(0, split + 1)], ends[np.append(split, len(ends) - 1)]], axis=1).ravel().tolist()
+    return spans
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,8 +229,8 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def flush() -> pa.RecordBatch:
-        flags = repeated([(h, *f) for (h, _), f in held.items()])
-        rows = [(h, same, _spans(f)) for (h, same), f in zip(held, flags, strict=True) if f.any()]
+        spans, keys = _spans(*repeated([(h, *f) for (h, _), f in held.items()])), list(held)
+        rows = [(*keys[i], s) for i, s in spans.items()]
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["h", "same", "spans"])
 
@@ -256,12 +263,12 @@ def removals(keyed: DataFrame) -> DataFrame:
     bits = bitmap(cores)
     known = broadcast(Filter(bits))
     found = texts.mapInArrow(_fragments(known), _FRAGMENT)
-    found = cut(found if bits is not None else found.join(cores, "h", "left_semi").select(*found.columns))
+    found = cut(found if bits is not None else found.join(cores, "h", "left_semi").select(*found.columns), compression="zstd")
     wordings = found.filter("wording is not null").select("h", "same", "wording")
     hot = cut(wordings.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("h"))
     if not hot.isEmpty():
         split = broadcast(Filter(bitmap(hot)))
-        single = cut(texts.mapInArrow(_fragments(known, split), _FRAGMENT))
+        single = cut(texts.mapInArrow(_fragments(known, split), _FRAGMENT), compression="zstd")
         found = found.mapInArrow(_outside(split), _FRAGMENT).unionByName(single)
         wordings = found.filter("wording is not null").select("h", "same", "wording")
     merged = wordings.repartition("h").sortWithinPartitions("h").mapInArrow(_merged, "h long, same long, spans array<int>")
@@ -301,7 +308,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Only texts that may lose bytes, by a bitmap of their keys, are shuffled to their spans.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.xxhash64("text").alias("row"))
+    once = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").isEmpty()
+    row = F.lit(0).cast("long") if once else F.xxhash64("text")  # tells apart rows of one id
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), row.alias("row"))
     gone, key = removals(keyed.select("doc", "row", "text")), F.xxhash64("doc", "row").alias("h")
     shared = docs.sparkSession.sparkContext.broadcast(Filter(bitmap(gone.select(key), 64)))
     texts = keyed.select("doc_id", "text", "doc", "row", key)
