@@ -1,9 +1,9 @@
 """An inverted index of word counts with score bounds by block of documents, and the exact best documents from it.
 
-The corpus is tokenised once: its counts are written, then grouped into posting lists of one word and one block of about ``BLOCK_DOCS`` documents, which carry
-the highest BM25 part and the highest share of a document's length that the list holds. For a query the bounds of its words add up to a bound for each block;
-blocks are scored from the highest bound down until it falls below the k-th score found. Groups hold ``SHARD_BLOCKS`` blocks and about
-``QUERIES`` queries; lists of words that no query of the group has are not sent.
+The corpus is tokenised once and dealt into blocks of about ``BLOCK_DOCS`` documents and shards of ``SHARD_BLOCKS`` blocks. A posting list is one row for a word and
+shard, in order of blocks, and carries for each block the highest BM25 part and the highest share of a document's length. For a query
+the bounds of its words add up to a bound for each block; blocks are scored from the highest bound down until it falls below the k-th score found.
+Groups hold a shard and about ``QUERIES`` queries; lists of words that no query of the group has are not sent.
 """
 
 from __future__ import annotations
@@ -20,82 +20,125 @@ from pyspark.sql import functions as F
 
 from claimscope.session import cut, discard
 
-BLOCK_DOCS, SHARD_BLOCKS, QUERIES = 128, 16, 64
+BLOCK_DOCS, SHARD_BLOCKS, QUERIES, TASKS = 128, 8, 128, 4_096
+
+
+#: What a list holds of a document, and of a block of them: packed, for lists are many and most of them short.
+POSTING = np.dtype([("id", "<i8"), ("part", "<f8"), ("share", "<f8")])
+BOUND = np.dtype([("block", "<i4"), ("size", "<i4"), ("top_part", "<f8"), ("top_share", "<f8")])
 
 
 class Index(NamedTuple):
-    """Posting lists (w, shard, block, ids, part, share, top_part, top_share), the number of documents and of shards."""
+    """Posting lists (w, shard, df, postings, bounds), the number of documents and of shards, and the type of ids."""
 
     lists: DataFrame
     documents: int
     shards: int
+    kind: str
+
+
+def _packed(dtype: np.dtype, offsets: np.ndarray, **columns: np.ndarray) -> pa.BinaryArray:
+    """The records between each two offsets as bytes."""
+    records = np.empty(int(offsets[-1]), dtype=dtype)
+    for name, values in columns.items():
+        records[name] = values
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * dtype.itemsize).astype(np.int32).tobytes()), pa.py_buffer(records.tobytes())])
+
+
+def _unpacked(column: pa.ChunkedArray, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All records of a column, and the number of each row's."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype), pc.binary_length(column).to_numpy() // dtype.itemsize
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, ``sizes`` of them."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, w, tf, len, norm) for each word of a document, and a row with a null word for the document itself."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 1_024):
-            part = batch.slice(lo, 1_024)
-            words = part.column("words")
-            flat, parent = pc.list_flatten(words), pc.list_parent_indices(words)
-            known = pc.is_valid(flat)
-            coded, parent = flat.filter(known).dictionary_encode(), parent.filter(known).to_numpy()
-            width = max(len(coded.dictionary), 1)
-            key, tf = np.unique(parent.astype(np.int64) * width + coded.indices.to_numpy(), return_counts=True)
-            row, length = key // width, pc.list_value_length(words).to_numpy()
-            norm = np.sqrt(np.bincount(row, weights=tf.astype(float) ** 2, minlength=part.num_rows))
-            each = np.append(row, np.arange(part.num_rows))
-            w = pa.concat_arrays([coded.dictionary.take(pa.array(key % width)), pa.nulls(part.num_rows, coded.dictionary.type)])
-            cols = [part.column("id").take(pa.array(each)), w, pa.array(np.append(tf, np.zeros(part.num_rows)).astype(np.int32)), pa.array(length[each].astype(np.int32)), pa.array(norm[each])]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "w", "tf", "len", "norm"])
+def _shard_lists(shard: int, rows: list[pa.RecordBatch], avgdl: float, k1: float, b: float) -> pa.RecordBatch | None:
+    """The posting lists of one shard's documents (id, block, words)."""
+    table = pa.Table.from_batches(rows).sort_by("block").combine_chunks()
+    words = table.column("words").combine_chunks()
+    flat, parent = pc.list_flatten(words), pc.list_parent_indices(words)
+    known = pc.is_valid(flat)
+    coded, parent = flat.filter(known).dictionary_encode(), parent.filter(known).to_numpy().astype(np.int64)
+    if not len(coded):
+        return None
+    docs, length = table.num_rows, pc.list_value_length(words).to_numpy()
+    key, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * docs + parent, return_counts=True)  # by word, then block
+    word, doc = key // docs, key % docs
+    norm = np.sqrt(np.bincount(doc, weights=tf.astype(float) ** 2, minlength=docs))
+    part, share = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / avgdl)), tf / norm[doc]
+    block = table.column("block").to_numpy()[doc]
+    new = np.append(True, (word[1:] != word[:-1]) | (block[1:] != block[:-1]))
+    at = np.flatnonzero(new)
+    sizes = np.diff(np.append(at, len(word)))
+    edges = np.searchsorted(word, np.arange(len(coded.dictionary) + 1))
+    postings = _packed(POSTING, edges, id=table.column("id").to_numpy()[doc], part=part, share=share)
+    bounds = _packed(BOUND, np.searchsorted(at, edges), block=block[at], size=sizes, top_part=np.maximum.reduceat(part, at), top_share=np.maximum.reduceat(share, at))
+    cols = [coded.dictionary, pa.array(np.full(len(edges) - 1, shard, dtype=np.int32)), pa.array(np.diff(edges).astype(np.int32)), postings, bounds]
+    return pa.RecordBatch.from_arrays(cols, ["w", "shard", "df", "postings", "bounds"])
+
+
+def _lists(avgdl: float, k1: float, b: float):
+    """Rows sorted by shard; a shard may straddle batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, shard = [], None
+        for batch in batches:
+            shards = batch.column("shard").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            for lo, hi in zip(edges, edges[1:]):
+                if hi > lo and shards[lo] != shard and held:
+                    if (out := _shard_lists(shard, held, avgdl, k1, b)) is not None:
+                        yield out
+                    held = []
+                if hi > lo:
+                    shard = int(shards[lo])
+                    held.append(batch.slice(lo, hi - lo).select(["id", "block", "words"]))
+        if held and (out := _shard_lists(shard, held, avgdl, k1, b)) is not None:
+            yield out
+
+    return run
 
 
 def build(corpus: DataFrame, k1: float = 1.5, b: float = 0.75) -> Index:
     """Index of a corpus (id, words); ids are numbers and occur once, rows with a null id or null words take no part, null words count in the length only."""
     kind = corpus.schema["id"].dataType.simpleString()
-    counted = cut(corpus.filter("words is not null and id is not null").select("id", "words").mapInArrow(_counted, f"id {kind}, w string, tf int, len int, norm double"))
-    n, avgdl = counted.filter("w is null").agg(F.count("*"), F.avg("len")).first()
+    tokens = cut(corpus.filter("words is not null and id is not null").select(F.col("id").cast("long").alias("id"), "words"))
+    n, avgdl = tokens.agg(F.count("*"), F.avg(F.size("words"))).first()
     blocks = max(1, -(-n // BLOCK_DOCS))
-    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(avgdl or 1.0)))
-    rows = counted.filter("w is not null").select("w", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.struct("id", part.alias("part"), (F.col("tf") / F.col("norm")).alias("share")).alias("p"))
-    lists = rows.groupBy("w", "block").agg(F.collect_list("p").alias("p"), F.max("p.part").alias("top_part"), F.max("p.share").alias("top_share"))  # at most the documents of a block
-    lists = cut(lists.select("w", F.floor(F.col("block") / SHARD_BLOCKS).cast("int").alias("shard"), "block", F.col("p.id").alias("ids"), F.col("p.part").alias("part"), F.col("p.share").alias("share"), "top_part", "top_share"))
-    discard(counted)
-    return Index(lists, n, -(-blocks // SHARD_BLOCKS))
+    shards = -(-blocks // SHARD_BLOCKS)
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    dealt = tokens.select("id", "words", block.alias("block")).withColumn("shard", F.floor(F.col("block") / SHARD_BLOCKS).cast("int"))
+    lists = cut(dealt.repartition(min(shards, TASKS), "shard").sortWithinPartitions("shard").mapInArrow(_lists(avgdl or 1.0, k1, b), "w string, shard int, df int, postings binary, bounds binary"))
+    discard(tokens)
+    return Index(lists, n, shards, kind)
 
 
 def term_weights(index: Index, queries: DataFrame, epsilon: float = 0.25) -> DataFrame:
     """(q, w, qf, idf) of the words of queries (q, words) that the index has: idf = ln(N - df + .5) - ln(df + .5), negative ones epsilon times the mean of all words."""
-    df = index.lists.groupBy("w").agg(F.sum(F.size("ids")).alias("df"))
+    df = index.lists.groupBy("w").agg(F.sum("df").alias("df"))
     idf = df.select("w", (F.log(F.lit(index.documents) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = idf.agg(F.avg("raw")).first()[0] or 0.0
     qf = queries.filter("q is not null").select("q", F.explode("words").alias("w")).groupBy("q", "w").agg(F.count("*").alias("qf"))
     return qf.join(idf, "w").select("q", "w", "qf", F.when(F.col("raw") < 0, epsilon * F.lit(mean)).otherwise(F.col("raw")).alias("idf"))
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The numbers from each start on, ``sizes`` of them."""
-    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-
-
 def _traverse(k: int, a: float, c: float):
     def run(key, lists: pa.Table, asked: pa.Table) -> pa.Table:
         out_q, out = [], ([], [], [], [])
-        kinds = [asked.schema.field("q").type, lists.schema.field("ids").type.value_type, *[pa.float64()] * 3]
+        kinds = [asked.schema.field("q").type, pa.int64(), *[pa.float64()] * 3]
         if len(lists) and len(asked):
             asked = asked.to_pandas()
-            code, names = pd.factorize(lists.column("w").to_pandas())
-            order = np.lexsort((lists.column("block").to_numpy(), code))
-            lists = lists.take(pa.array(order)).combine_chunks()
-            code, block = code[order], lists.column("block").to_numpy()
-            first = np.searchsorted(code, np.arange(len(names) + 1))
-            size = pc.list_value_length(lists.column("ids")).to_numpy()
+            place = {w: i for i, w in enumerate(lists.column("w").to_pylist())}
+            flat, _ = _unpacked(lists.column("postings"), POSTING)
+            bounds, own = _unpacked(lists.column("bounds"), BOUND)
+            first = np.append(0, np.cumsum(own))  # a word's blocks
+            size, top_part, top_share = (np.ascontiguousarray(bounds[n]) for n in ("size", "top_part", "top_share"))
             begin = np.cumsum(size) - size
-            flat = {n: pc.list_flatten(lists.column(n)).to_numpy() for n in ("ids", "part", "share")}
-            top_part, top_share = lists.column("top_part").to_numpy(), lists.column("top_share").to_numpy()
-            ids, doc = np.unique(flat["ids"], return_inverse=True)
-            place = {w: i for i, w in enumerate(names)}
-            blocks, at_block = np.unique(block, return_inverse=True)
+            ids, doc = np.unique(flat["id"], return_inverse=True)
+            blocks, at_block = np.unique(bounds["block"], return_inverse=True)
             for q, words in asked.groupby("q", sort=False):
                 words = words[words["w"].isin(place)]
                 terms = words["w"].map(place).to_numpy(dtype=np.int64)
@@ -138,7 +181,8 @@ def search(index: Index, weights: DataFrame, k: int, a: float = 1.0, c: float =
     asked = weights.withColumn("g", F.pmod(F.xxhash64("q"), F.lit(groups)).cast("int"))
     needed = index.lists.join(asked.select("w", "g").distinct(), "w")
     everywhere = asked.select(*[F.col(x).alias(x) for x in ("q", "w", "on_part", "on_share", "g")], F.explode(F.sequence(F.lit(0), F.lit(index.shards - 1))).alias("shard"))
-    kinds = [weights.schema["q"].dataType.simpleString(), index.lists.schema["ids"].dataType.elementType.simpleString()]
-    found = needed.groupBy("shard", "g").cogroup(everywhere.groupBy("shard", "g")).applyInArrow(_traverse(k, a, c), f"q {kinds[0]}, id {kinds[1]}, score double, part double, share double")
+    kind = weights.schema["q"].dataType.simpleString()
+    found = needed.groupBy("shard", "g").cogroup(everywhere.groupBy("shard", "g")).applyInArrow(_traverse(k, a, c), f"q {kind}, id long, score double, part double, share double")
+    found = found.withColumn("id", F.col("id").cast(index.kind))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
