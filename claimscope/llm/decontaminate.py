@@ -123,23 +123,24 @@ def _matcher(items: tuple, error_rate: float, short: int) -> Matcher:
     return Matcher(list(items), error_rate, short)
 
 
-def _scan(shared, error_rate: float, short: int):
+def _scan(shared, error_rate: float, short: int, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(shared.value, error_rate, short)
         for batch in few_rows(batches):
-            ids, nos, distances = [], [], []
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            rows, nos, distances = [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 for no, distance in matcher.find(normalise(text)).items():
-                    ids.append(i)
+                    rows.append(i)
                     nos.append(no)
                     distances.append(distance)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int64()), pa.array(distances, pa.int64())], ["doc_id", "item_id", "distance"])
+            held = [batch.column(c).take(pa.array(rows, pa.int32())) for c in keys]
+            yield pa.RecordBatch.from_arrays([*held, pa.array(nos, pa.int64()), pa.array(distances, pa.int64())], [*keys, "item_id", "distance"])
 
     return run
 
 
-def hits(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, short: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, item_id, distance): every document and item it holds within the item's budget; items below ``short`` characters, by default those whose budget is 0, have none."""
+def hits(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, short: int | None = None, block_chars: int = BLOCK_CHARS, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(doc_id, item_id, distance), with other ``keys`` in place of doc_id: every document and item it holds within the item's budget; items below ``short`` characters, by default those whose budget is 0, have none."""
     spark = docs.sparkSession
     short = math.ceil(1 / error_rate) if short is None and error_rate > 0 else short or 0
     items = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -149,7 +150,8 @@ def hits(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, shor
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toLocalIterator()  # about block_chars characters
         shared = spark.sparkContext.broadcast(tuple(sorted((r.item_id, r.text) for r in rows)))
-        found = docs.select("doc_id", "text").filter("text is not null").mapInArrow(_scan(shared, error_rate, short), "doc_id long, item_id long, distance long")
+        texts = docs.select(*[F.col(c).cast("long").alias(c) for c in keys], "text").filter("text is not null")
+        found = texts.mapInArrow(_scan(shared, error_rate, short, list(keys)), ", ".join(f"{c} long" for c in (*keys, "item_id", "distance")))
         if blocks > 1:
             found = cut(found)
             shared.unpersist()
@@ -164,6 +166,8 @@ def contaminated(docs: DataFrame, items: DataFrame, **params) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **params) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item. Rows with null doc_id stay."""
-    gone = hits(docs, items, **params).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows that hold a benchmark item; other texts of their ids stay. Rows with null doc_id stay."""
+    row = F.xxhash64("text")
+    found = hits(docs.select("doc_id", row.alias("row"), "text"), items, keys=("doc_id", "row"), **params)
+    gone = found.select(F.col("doc_id").alias("_gone_id"), F.col("row").alias("_gone_row")).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col("_gone_id")) & (row == F.col("_gone_row")), "left_anti")

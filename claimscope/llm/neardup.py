@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from claimscope.llm.bitmap import Filter, bitmap, touched
 from claimscope.llm.hashing import chunks, few_rows, gram_hashes, mix64, word_hashes
 from claimscope.operators.graph import connected_components
+from claimscope.operators.keyed import number_rows
 from claimscope.session import cut, discard
 
 SHINGLE, BANDS, ROWS, BLOCK = 5, 24, 5, 256
@@ -340,6 +341,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``docs`` without the documents whose class has a smaller doc_id. Rows with null doc_id stay."""
-    gone = near_duplicates(docs, threshold).filter("class_id < doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose class has a smaller doc_id. Rows with null doc_id stay, and repeated rows stay together.
+
+    Where one id has several texts each of them is judged: they are numbered in the order of ids, and the numbers take the place of ids.
+    """
+    row = F.xxhash64("text")
+    twice = docs.filter("doc_id is not null").select("doc_id", row.alias("row")).groupBy("doc_id").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).filter("not lo <=> hi")
+    if twice.isEmpty():
+        gone = near_duplicates(docs, threshold).filter("class_id < doc_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    texts = docs.select("doc_id", "text").filter("doc_id is not null").withColumn("row", row)
+    numbers = cut(number_rows(texts.select("doc_id", "row").distinct(), "doc_id", "number"))
+    found = near_duplicates(texts.join(numbers, ["doc_id", "row"]).select(F.col("number").alias("doc_id"), "text"), threshold)
+    first = numbers.select(F.col("number").alias("class_id"), F.col("doc_id").alias("first"))
+    gone = found.withColumnRenamed("doc_id", "number").join(first, "class_id").join(numbers, "number").filter("first < doc_id").select(F.col("doc_id").alias("_gone_id"), F.col("row").alias("_gone_row"))
+    return docs.join(gone, (F.col("doc_id") == F.col("_gone_id")) & (row == F.col("_gone_row")), "left_anti")

@@ -10,7 +10,8 @@ kind and value. For a term t in a document that holds an entity e the corpus giv
     t discloses e at level a  when  PMI(t; e) >= a * IC(e),  that is  p(e|t) >= p(e) ** (1 - a)
 
 with p(e) = documents with e / documents. A pair needs ``MIN_SUPPORT`` distinct texts, so copies of one
-text prove nothing. Terms at or above ``GENERALISE`` become a tag, at or above ``REMOVE`` they go; all
+text prove nothing. Terms are runs of three letters or more outside e-mail addresses: shorter ones are too common to be told from
+chance and stay. Terms at or above ``GENERALISE`` become a tag, at or above ``REMOVE`` they go; all
 their occurrences are touched in each document that holds the entity they disclose.
 
 Defined cases: null text is empty (no spans, hash of the empty string); a text without spans keeps
@@ -133,7 +134,7 @@ def term_spans(docs: DataFrame, min_support: int = MIN_SUPPORT, generalise: floa
     and term over the whole corpus. The result is a table of the shared folder; those on the way to it are removed.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    with_spans = docs.filter("doc_id is not null").select("doc_id", text.alias("text")).filter(F.col("text").rlike(r"[0-9]|@")).withColumn("spans", base_spans(F.col("text"))).filter(F.size("spans") > 0)
+    with_spans = docs.select("doc_id", text.alias("text")).filter(F.col("text").rlike(r"[0-9]|@")).withColumn("spans", base_spans(F.col("text"))).filter(F.size("spans") > 0)
     with_spans = with_spans.select("doc_id", F.xxhash64("text").alias("content"), "text", "spans")
     with_spans = cut(with_spans)  # only documents with personal data
     names = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])))
@@ -149,7 +150,7 @@ def term_spans(docs: DataFrame, min_support: int = MIN_SUPPORT, generalise: floa
     joint = cut(pairs.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("support"), F.sum("n").alias("n_joint")).filter(F.col("support") >= min_support))
     wanted = joint.select("term").distinct()
     few = rows_up_to(wanted, BROADCAST_TERMS) is not None  # then other terms need not be shuffled to be counted
-    df = docs.select(F.explode(_terms(F.col("text"))).alias("term")).join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    df = docs.select(F.explode(_terms(_masked(F.col("text")))).alias("term")).join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     total = docs.agg(F.count("*").alias("n_docs"))  # one row
 
     strength = F.col("n_joint") / F.col("n_term")
@@ -172,7 +173,11 @@ def term_spans(docs: DataFrame, min_support: int = MIN_SUPPORT, generalise: floa
 
 def _terms_per_doc(docs: DataFrame, **params) -> DataFrame:
     span = F.struct("start", "end", F.lit(len(KINDS)).alias("kind_no"), F.lit("term").alias("kind"), F.col("level").alias("value"))
-    return cut(term_spans(docs, **params).groupBy("doc_id", F.col("content").alias("_pii_content")).agg(F.array_sort(F.collect_list(span)).alias("_pii_terms")))
+    return cut(term_spans(docs, **params).groupBy(F.col("doc_id").alias("_pii_id"), F.col("content").alias("_pii_found")).agg(F.array_sort(F.collect_list(span)).alias("_pii_terms")))
+
+
+def _same_row() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("_pii_id")) & (F.col("_pii_content") == F.col("_pii_found"))
 
 
 def _digest(spans: Column) -> Column:
@@ -193,7 +198,7 @@ def find(docs: DataFrame, **params) -> DataFrame:
     Texts are never shuffled: only spans meet in the join.
     """
     base = docs.select("doc_id", _content().alias("_pii_content"), base_spans(F.col("text")).alias("_pii_base"))
-    out = base.join(_terms_per_doc(docs, **params), ["doc_id", "_pii_content"], "left")
+    out = base.join(_terms_per_doc(docs, **params), _same_row(), "left")
     count = lambda kind: F.size(F.filter("_pii_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select(
         "doc_id",
@@ -230,6 +235,6 @@ def redact(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, **params) -> DataFrame:
     """``docs`` with ``text`` redacted and the other columns as they were. Null texts stay null."""
     held = docs.withColumn("_pii_base", base_spans(F.col("text"))).withColumn("_pii_content", _content())
-    held = held.join(_terms_per_doc(docs, **params), ["doc_id", "_pii_content"], "left")
+    held = held.join(_terms_per_doc(docs, **params), _same_row(), "left")
     held = held.withColumn("text", redact(F.col("text"), _add_terms(F.col("_pii_base"), F.col("_pii_terms"))))
     return held.select(*docs.columns)

@@ -75,3 +75,12 @@ def test_edges(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 10, 2, 3, 4, 7, None]
     assert d.hits(docs, items.limit(0)).count() == 0 and d.hits(docs.limit(0), items).count() == 0
     assert d.contaminated(docs, items).filter("doc_id = 6").first().item_ids == [1]
+
+
+def test_other_texts_of_an_id_stay(spark):
+    rng = random.Random(9)
+    item = " ".join(words(rng, 30))
+    texts = [(1, f"a {item} b"), (1, "clean"), (1, "clean"), (2, item), (2, None), (3, "own words"), (None, item)]
+    items = spark.createDataFrame([(5, item)], "item_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in d.decontaminate(documents(spark, texts), items).collect()), key=str)
+    assert kept == sorted([(1, "clean"), (1, "clean"), (2, None), (3, "own words"), (None, item)], key=str)

@@ -112,3 +112,12 @@ def test_several_blocks_of_one_bucket_equal_brute_force(spark, monkeypatch):
 def test_common_units_count_repeats_as_often_as_both_have_them():
     a, b = np.array([5, 5, 7, -1], dtype=np.int32), np.array([5, 7, 7, -1, 9], dtype=np.int32)
     assert neardup.common_units([a, b], [b]).tolist() == [[3], [5]] and neardup.common_units([a, b])[0, 1] == 3
+
+
+def test_keep_one_judges_each_text_of_an_id(spark):
+    rng = random.Random(8)
+    one, two, three = (" ".join(words(rng, 60, 3000)) for _ in range(3))
+    near = one.replace(" ", "  ", 1) + " end"
+    texts = [(1, one), (2, near), (2, two), (2, two), (2, None), (3, two), (3, three), (4, three), (None, one), (0, "x")]
+    kept = sorted(((r.doc_id, r.text) for r in neardup.keep_one(documents(spark, texts)).collect()), key=str)
+    assert kept == sorted([(1, one), (2, two), (2, two), (2, None), (3, three), (None, one), (0, "x")], key=str)

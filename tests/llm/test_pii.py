@@ -99,3 +99,19 @@ def test_terms_far_from_the_entity_and_all_their_places_are_found(spark):
     spans = {r.doc_id: r.spans for r in pii.find(docs).collect()}
     last = len(texts[0][1])
     assert f"term:{last - 6}:{last}" in spans[0] and "term:0:6" in spans[4] and spans[10] == ""
+
+
+def test_rows_without_an_id_lose_the_same_terms(spark):
+    filler = ["one two three four", "five six seven", "eight nine", "ten eleven twelve", "some other prose", "more of it"]
+    texts = [(i, f"{filler[i % 6]} n{i} of Zorblatt at +49 170 555 01 99 {'abc' * (i + 1)}") for i in range(6)] + [(None, f"Zorblatt again at +49 170 555 01 99 {x}") for x in filler[:2]]
+    texts += [(100 + i, f"plain text {i} {x}") for i, x in enumerate(filler * 9)]
+    kept = [r.text for r in pii.sanitise(documents(spark, texts)).collect() if r.text and "<PHONE>" in r.text]
+    assert len(kept) == 8 and not any("Zorblatt" in t for t in kept)
+
+
+def test_terms_inside_addresses_do_not_count(spark):
+    """A name of texts with one phone stays found when other texts hold it in an e-mail address only."""
+    texts = [(i, f"{'abc' * (i + 1)} of Zorblatt at +49 170 555 01 99") for i in range(6)] + [(100 + i, f"plain words number {i} and more") for i in range(60)]
+    texts += [(200 + i, f"write to zorblatt@host{i}.org {i}") for i in range(30)]
+    kept = {r.doc_id: r.text for r in pii.sanitise(documents(spark, texts)).collect()}
+    assert not any("Zorblatt" in kept[i] for i in range(6))
