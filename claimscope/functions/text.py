@@ -93,3 +93,11 @@ def replace_non_finite(c: Column, nan: float, posinf: float, neginf: float) -> C
 
 def clip(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
+
+
+def count_cosine(a: Column, b: Column) -> Column:
+    """Cosine of the word counts of two short word arrays; 0 if a side is empty."""
+    times = lambda ws, w: F.size(F.filter(ws, lambda x: x == w)).cast("double")
+    total = lambda x, y: F.aggregate(F.array_distinct(x), F.lit(0.0), lambda s, w: s + times(x, w) * times(y, w))
+    norm = F.sqrt(total(a, a)) * F.sqrt(total(b, b))
+    return F.when(norm > 0, total(a, b) / norm).otherwise(0.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from claimscope.functions.text import extract_entities
+from claimscope.functions.text import count_cosine, extract_entities
 from claimscope.functions.vectors import cosine, dot, euclid, norm, normalize
 from claimscope.operators import clustering, ingest, retrieval
 from claimscope.plans.fixtures import table
@@ -203,10 +203,6 @@ def _bm25_sides(spark, sf_dir):
     return q, docs
 
 
-def _bm25(spark, sf_dir):
-    return retrieval.bm25(*_bm25_sides(spark, sf_dir))
-
-
 @query(f"WITH {_BM}, r AS (SELECT *, score / CASE WHEN max(score) OVER (PARTITION BY q) > 0 THEN max(score) OVER (PARTITION BY q) ELSE 1 END AS norm, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id) AS rank FROM sc) SELECT q, id, round(score, 6) AS score, round(norm, 6) AS norm FROM r WHERE rank <= 10")
 def v10_bm25(spark, sf_dir):
     return rounded(retrieval.bm25_top(*_bm25_sides(spark, sf_dir), 10))
@@ -224,17 +220,23 @@ def v12_two_stage(spark, sf_dir):
     return rounded(retrieval.two_stage(cand, 0.2, 0.0))
 
 
-@query(f"""WITH {_BM}, nm AS (SELECT q, id, round(score / CASE WHEN max(score) OVER (PARTITION BY q) > 0 THEN max(score) OVER (PARTITION BY q) ELSE 1 END, 9) AS bm25 FROM sc), be AS (SELECT item_id AS q, {_ENT} AS eq FROM benchmark), de AS (SELECT doc_id AS id, {_ENT} AS ec FROM documents WHERE text IS NOT NULL),
-cd AS (SELECT q, id, (q * 31 + id * 17) % 101 / 101.0 AS cos, bm25, (q * 7 + id * 3) % 11 / 11.0 AS claim_sim FROM nm), pre AS (SELECT *, round(0.5 * cos + 0.3 * bm25, 9) AS pre FROM cd), f AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY pre DESC, id) AS r FROM pre),
-fu AS (SELECT f.*, round(pre + 0.2 * CASE WHEN len(eq) = 0 AND len(ec) = 0 THEN 0.5 WHEN len(eq) = 0 OR len(ec) = 0 THEN 0 ELSE len(list_intersect(eq, ec)) / len(list_distinct(list_concat(eq, ec))) END, 9) AS combined FROM f JOIN be USING (q) JOIN de USING (id) WHERE r <= 20),
-k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY combined DESC, id) AS rank FROM fu), h AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY combined DESC, id) AS h FROM k WHERE rank <= 5 AND claim_sim >= 0.5) SELECT q, id, round((combined + claim_sim) / 2, 6) AS score FROM h WHERE h = 1""")
+_CLAIM = r"regexp_extract_all(lower(substr({0}, 1, 200)), '\p{{L}}+')"
+_COUNTS = "list_sum(list_transform(list_distinct({0}), lambda w: len(list_filter({0}, lambda x: x = w)) * len(list_filter({1}, lambda x: x = w))))"
+_CLAIM_COS = f"coalesce({_COUNTS.format('cq', 'cd')} / nullif(sqrt({_COUNTS.format('cq', 'cq')}) * sqrt({_COUNTS.format('cd', 'cd')}), 0), 0)"
+
+
+@query(f"""WITH {_BM}, qn AS (SELECT q, sqrt(sum(qf * qf)) AS qn FROM qf GROUP BY q), dn AS (SELECT id, sqrt(sum(tf * tf)) AS dn FROM tf GROUP BY id), dt AS (SELECT q, id, sum(qf * tf) AS d FROM qf JOIN tf USING (w) GROUP BY q, id),
+pre AS (SELECT q, id, round(0.5 * d / (qn * dn) + 0.3 * score / CASE WHEN max(score) OVER (PARTITION BY q) > 0 THEN max(score) OVER (PARTITION BY q) ELSE 1 END, 9) AS pre FROM sc JOIN dt USING (q, id) JOIN qn USING (q) JOIN dn USING (id)),
+f AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY pre DESC, id) AS r FROM pre), be AS (SELECT item_id AS q, {_ENT} AS eq, {_CLAIM.format('text')} AS cq FROM benchmark), de AS (SELECT doc_id AS id, {_ENT} AS ec, {_CLAIM.format('text')} AS cd FROM documents WHERE text IS NOT NULL),
+fu AS (SELECT q, id, round({_CLAIM_COS}, 9) AS claim_sim, round(pre + 0.2 * CASE WHEN len(eq) = 0 AND len(ec) = 0 THEN 0.5 WHEN len(eq) = 0 OR len(ec) = 0 THEN 0 ELSE len(list_intersect(eq, ec)) / len(list_distinct(list_concat(eq, ec))) END, 9) AS combined FROM f JOIN be USING (q) JOIN de USING (id) WHERE r <= 20),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY combined DESC, id) AS rank FROM fu), h AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY combined DESC, id) AS h FROM k WHERE rank <= 5 AND claim_sim >= 0.2) SELECT q, id, round((combined + claim_sim) / 2, 6) AS score FROM h WHERE h = 1""")
 def v13_hybrid(spark, sf_dir):
-    s = _bm25(spark, sf_dir).select("q", "id", F.round("norm", 9).alias("bm25"))
-    q, i = F.col("q"), F.col("id")
-    cand = s.select("q", "id", ((q * 31 + i * 17) % 101 / 101.0).alias("cos"), "bm25", ((q * 7 + i * 3) % 11 / 11.0).alias("claim_sim"))
-    be = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), extract_entities(F.col("text")).alias("eq"))
-    de = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), extract_entities(F.col("text")).alias("ec"))
-    return rounded(retrieval.hybrid(cand.join(be, "q").join(de, "id"), 0.5))
+    found = retrieval.hybrid_candidates(*_bm25_sides(spark, sf_dir))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("asked"))
+    held = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), "text")
+    claim = lambda c: ingest.words(F.substring(c, 1, 200))
+    signals = extract_entities(F.col("asked")).alias("eq"), extract_entities(F.col("text")).alias("ec"), F.round(count_cosine(claim("asked"), claim("text")), 9).alias("claim_sim")
+    return rounded(retrieval.hybrid(found.join(asked, "q").join(held, "id").select("q", "id", "cos", "bm25", *signals), 0.2))
 
 
 @query(f"WITH {_UNIT}, p AS (SELECT a.label AS grp, a.vec_id AS id, {_DOT.format(a='a.v', b='b.v')} AS s FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id), m AS (SELECT grp, id, round(avg(s), 9) AS mean_sim FROM p GROUP BY grp, id), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY mean_sim DESC, id) AS r FROM m) SELECT grp, id, round(mean_sim, 6) AS mean_sim FROM r WHERE r = 1")

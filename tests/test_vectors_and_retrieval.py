@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,35 @@ def test_profile_of_clusterings(spark):
     x = np.array([[1.0, 0], [1, 0], [0, 1], [0, 1], [5, 5]])
     s = clustering.similarity_statistics(rows_of(spark, x, by=np.array([1, 1, 2, 2, 3])), "by").first()
     assert s.n == 2 and s.mean_similarity == pytest.approx(1) and s.std_similarity == pytest.approx(0, abs=1e-9)
+
+
+def test_hybrid_candidates_equal_all_rows(spark, monkeypatch):
+    for name, value in (("BLOCK_DOCS", 7), ("SHARD_BLOCKS", 3), ("QUERIES", 4)):
+        monkeypatch.setattr(postings, name, value)
+    rng = random.Random(5)
+    text = lambda n: [f"w{int(rng.paretovariate(1))}" for _ in range(n)]
+    texts = {i: text(rng.randrange(1, 25)) for i in range(300)}
+    docs = spark.createDataFrame([*texts.items(), (900, []), (901, None)], "id long, words array<string>")
+    asked = {i: text(6) for i in range(9)} | {20: ["never"], 21: []}
+    q = spark.createDataFrame(list(asked.items()), "q long, words array<string>")
+    lexical = {(r.q, r.id): r.norm for r in retrieval.bm25(q, docs.filter("words is not null")).collect()}
+    count = lambda a, b: sum(a.count(w) * b.count(w) for w in set(a))
+    want = {}
+    for (i, j), b in lexical.items():
+        cos = count(asked[i], texts[j]) / (count(asked[i], asked[i]) * count(texts[j], texts[j])) ** 0.5
+        want.setdefault(i, []).append((-round(0.5 * cos + 0.3 * b, 9), j, cos, b))
+    got = retrieval.hybrid_candidates(q, docs, first=6).collect()
+    assert {(r.q, r.id): (pytest.approx(r.cos), pytest.approx(r.bm25)) for r in got} == {(i, j): (0.5 * c / 0.5, b) for i, rows in want.items() for _, j, c, b in sorted(rows)[:6]}
+
+
+def test_blocks_below_the_threshold_are_not_scored(monkeypatch):
+    """One block holds all of a rare word: the others' bounds fall below the second best score."""
+    n = 2_000
+    rows = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([i // 100 for i in range(n)], pa.int32()), pa.array([["common", "rare"] if i < 5 else ["common"] * 3 for i in range(n)])], ["id", "block", "words"])
+    lists = pa.Table.from_batches([postings._shard_lists(0, [rows], 3.0, 1.5, 0.75)])
+    scored = []
+    true_ranges = postings._ranges
+    monkeypatch.setattr(postings, "_ranges", lambda starts, sizes: scored.append(int(sizes.sum())) or true_ranges(starts, sizes))
+    asked = pa.table({"q": [1, 1], "w": ["common", "rare"], "on_part": [0.01, 5.0], "on_share": [0.0, 0.0]})
+    out = postings._traverse(2, 1.0, 0.0)(None, lists, asked).to_pydict()
+    assert out["id"] == [0, 1] and sum(scored[1:]) <= 2 * 100 + 5
