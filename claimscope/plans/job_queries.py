@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimscope.operators import anomaly, evaluate, models, quality, sequences, timeseries
@@ -296,6 +299,30 @@ def st01_closed_hours(spark, sf_dir):
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
+@contextmanager
+def _rocksdb(spark):
+    """The state store that arbitrary state needs, for the time of a stream."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+
+
+@query("WITH" + SERIES + """,
+h AS (SELECT cluster_id, CAST(epoch(timestamp) AS BIGINT) AS hour, CAST(tweet_count AS BIGINT) AS n, CAST(engagement AS BIGINT) AS e FROM ts),
+g AS (SELECT *, CASE WHEN hour - lag(hour, 1, 0) OVER (PARTITION BY cluster_id ORDER BY hour) > 24 * 3600 THEN 1 ELSE 0 END AS new FROM h),
+s AS (SELECT *, sum(new) OVER (PARTITION BY cluster_id ORDER BY hour) AS session FROM g),
+b AS (SELECT cluster_id, session, min(hour) AS lo, least(max(hour) + 24 * 3600, (SELECT max(hour) FROM h)) AS hi FROM s GROUP BY ALL),
+d AS (SELECT cluster_id, session, unnest(generate_series(lo, hi, 3600)) AS hour FROM b),
+f AS (SELECT cluster_id, hour, coalesce(n, 0) AS n, coalesce(e, 0) AS e, count(*) OVER w AS n_prev, avg(coalesce(n, 0)) OVER w AS m, var_pop(coalesce(n, 0)) OVER w AS v FROM d LEFT JOIN h USING (cluster_id, hour) WINDOW w AS (PARTITION BY cluster_id, session ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT cluster_id, hour, n AS tweet_count, e AS engagement, n_prev, round(CASE WHEN v > 1e-9 THEN (n - m) / sqrt(v) ELSE 0 END, 6) AS z_score_count FROM f""")
+def st03_hours_by_timer(spark, sf_dir):
+    with _rocksdb(spark):
+        return rounded(_streamed(spark, sf_dir, jobs.detect_hours))
+
+
 @query("WITH RECURSIVE" + SCORED + """,
 kb AS (SELECT cluster_id, timestamp, tweet_count AS x, n_prev + 1 AS i, coalesce(mean_count, tweet_count) AS m, ln(n_prev + 1) AS g FROM scored),
 walk AS (SELECT cluster_id, i, m - x * ln(m) AS c0, 2 * m - x * ln(2 * m) AS c1, 4 * m - x * ln(4 * m) AS c2 FROM kb WHERE i = 1
@@ -305,16 +332,12 @@ z AS (SELECT *, CASE WHEN std_count > 1e-6 THEN (tweet_count - mean_count) / std
 SELECT z.cluster_id, CAST(epoch(timestamp) AS BIGINT) AS hour, tweet_count, n_prev, round(zc, 6) AS z_score_count, round(ze, 6) AS z_score_engagement, CAST(CASE WHEN c0 <= least(c0, c1, c2) THEN 0 WHEN c1 <= least(c0, c1, c2) THEN 1 ELSE 2 END AS INTEGER) AS burst_state,
   n_prev >= 6 AND round(greatest(zc, ze), 9) > 3 AS is_trigger FROM z JOIN walk w ON w.cluster_id = z.cluster_id AND w.i = n_prev + 1""")
 def st03_stateful_detector(spark, sf_dir):
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # the operator needs it
-    try:
+    with _rocksdb(spark):
         source, sink = _new_path(spark, "windows"), _new_path(spark, "sink")
         s = _series(spark, sf_dir).select("cluster_id", F.col("timestamp").cast("timestamp").alias("timestamp"), "tweet_count", "engagement")
         s.write.parquet(source)
         stream = jobs.detect(jobs.replay(spark, source, s.schema, 10_000))
         stream.writeStream.outputMode("append").option("checkpointLocation", _new_path(spark, "progress")).trigger(availableNow=True).format("parquet").start(sink).awaitTermination()
-    finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
     out = spark.read.schema(jobs.DETECTED).parquet(sink)
     return rounded(out.select("cluster_id", epoch("timestamp").alias("hour"), "tweet_count", "n_prev", "z_score_count", "z_score_engagement", "burst_state", "is_trigger"))
 
@@ -358,3 +381,40 @@ def st06_stage_counters(spark, sf_dir):
     posts = tweets(spark, sf_dir)
     posts.observe(seen, F.count(F.lit(1)).alias("processed"), F.sum((F.col("like_count") >= 100).cast("int")).alias("passed")).write.format("noop").mode("overwrite").save()
     return spark.createDataFrame([(seen.get["processed"], seen.get["passed"])], "processed long, passed long")
+
+
+@query("""WITH f AS (SELECT text, min(doc_id % 3) AS b FROM documents WHERE text IS NOT NULL GROUP BY text), m AS (SELECT b, count(*) AS misses FROM f GROUP BY b), n AS (SELECT doc_id % 3 AS b, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1)
+SELECT n.b AS batch_id, n - coalesce(misses, 0) AS hits, coalesce(misses, 0) AS misses, CAST(sum(coalesce(misses, 0)) OVER (ORDER BY n.b) AS BIGINT) AS size FROM n LEFT JOIN m USING (b)""")
+def st05_cache_counts(spark, sf_dir):
+    """Documents in three parts, a part a micro-batch, through the response cache: what each batch hit and missed, and what the cache then holds."""
+    source, out = _new_path(spark, "texts"), _new_path(spark, "cache")
+    posts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.timestamp_seconds(1_700_000_000 + F.col("doc_id") % 3).alias("created_at"))
+    for part in range(3):
+        posts.filter(F.col("id") % 3 == part).repartition(4).write.mode("append").parquet(source)
+
+    def keep(batch, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(out)
+
+    with _rocksdb(spark):
+        jobs.cached(jobs.replay(spark, source, posts.schema, 4)).writeStream.foreachBatch(keep).option("checkpointLocation", _new_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(f"{jobs.CACHE}, batch_id long").parquet(out)
+    sizes = rows.select("part", "batch_id", (F.col("size") - F.lag("size", 1, 0).over(Window.partitionBy("part").orderBy("batch_id"))).alias("more"), "hits", "misses")
+    batches = sizes.groupBy("batch_id").agg(*[F.sum(c).alias(c) for c in ("hits", "misses", "more")])
+    return batches.select("batch_id", "hits", "misses", F.sum("more").over(Window.orderBy("batch_id")).alias("size"))  # a row a batch
+
+
+@query("WITH" + TWEETS + ", n AS (SELECT count(*) AS processed, CAST(sum(CASE WHEN like_count >= 100 THEN 1 ELSE 0 END) AS BIGINT) AS passed FROM tweets) SELECT 'posts' AS stage, 'processed' AS counter, processed AS value FROM n UNION ALL SELECT 'posts', 'passed', passed FROM n")
+def st06_stream_counters(spark, sf_dir):
+    """Counters of a stream's micro-batches, as a listener appended them to a table, summed."""
+    source, path = _new_path(spark, "posts"), _new_path(spark, "counters")
+    posts = tweets(spark, sf_dir).select("cluster_id", "like_count")
+    posts.repartition(4).write.parquet(source)
+    listener = jobs.CounterTable(path)
+    spark.streams.addListener(listener)
+    try:
+        q = jobs.with_counters(jobs.replay(spark, source, posts.schema, 2), "posts", "like_count >= 100").writeStream.option("checkpointLocation", _new_path(spark, "progress")).trigger(availableNow=True).format("noop").start()
+        q.awaitTermination()
+        listener.wait(q)
+    finally:
+        spark.streams.removeListener(listener)
+    return spark.read.schema(jobs.COUNTERS).parquet(path).groupBy("stage", "counter").agg(F.sum("value").alias("value"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from claimscope.operators.clustering import assign, cap_clusters, centroids, form_clusters, update_state
 from claimscope.session import cut, discard
@@ -79,6 +80,94 @@ def detect(windows: DataFrame) -> DataFrame:
     return windows.groupBy("cluster_id").transformWithStateInPandas(statefulProcessor=BurstDetector(), outputStructType=DETECTED, outputMode="Append", timeMode="None")
 
 
+_HOUR, _NO_CLUSTER = 3_600_000, -(1 << 63)  # a null among keys would make the others floats on their way to Python
+
+
+class HourlyDetector(StatefulProcessor):
+    """Hours of a cluster, closed by event-time timers, and their z-scores against the session's earlier hours.
+
+    Posts are added to the open hour they fall in. When the watermark passes an hour's end its timer closes it and gives a row, with 0 posts for an hour without
+    any. After ``idle`` empty hours in a row the session ends: its history goes, and with no open hours the whole state. Posts of closed hours are late and
+    left out, as Spark leaves out rows behind the watermark. The rows do not depend on how posts fall into batches.
+    """
+
+    def __init__(self, idle: int):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "hour long", "tweet_count long, engagement long")
+        self.session = handle.getValueState("session", "next long, n long, mean double, dev double, empty long")
+
+    def _plan(self, next_hour: int | None) -> None:
+        """One timer: the end of the next hour to close."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if next_hour is None and self.open.exists():
+            next_hour = min(k[0] for k in self.open.keys())
+        if next_hour is not None:
+            self.handle.registerTimer(next_hour + _HOUR)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        closed = self.session.get()[0] if self.session.exists() else None
+        for batch in () if key[0] == _NO_CLUSTER else rows:
+            hours = batch["hour"].astype("int64")
+            sums = batch.groupby(hours).agg(n=("hour", "size"), e=("engagement", "sum"))
+            for hour, n, e in sums.itertuples():
+                if closed is not None and hour < closed:
+                    continue
+                known = self.open.getValue((hour,)) if self.open.containsKey((hour,)) else (0, 0)
+                self.open.updateValue((hour,), (int(known[0] + n), int(known[1] + e)))
+        self._plan(closed)
+        yield pd.DataFrame({c: pd.Series(dtype=t) for c, t in _CLOSED.items()})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        at, n, mean, dev, empty = self.session.get() if self.session.exists() else (None, 0, 0.0, 0.0, 0)
+        out = []
+        while True:
+            if at is None:
+                if not self.open.exists():
+                    break
+                at, n, mean, dev, empty = min(k[0] for k in self.open.keys()), 0, 0.0, 0.0, 0
+            if at + _HOUR > now:
+                break
+            x, e = self.open.getValue((at,)) if self.open.containsKey((at,)) else (0, 0)
+            if x:
+                self.open.removeKey((at,))
+            z = (x - mean) / (dev / n) ** 0.5 if n and dev / n > 1e-12 else 0.0
+            out.append((key[0], at // 1000, x, e, n, z))
+            n += 1
+            mean, dev = mean + (x - mean) / n, dev + (x - mean) * (x - mean - (x - mean) / n)
+            empty, at = 0 if x else empty + 1, at + _HOUR
+            if empty >= self.idle:
+                at = None
+        if at is None or n == 0:
+            self.session.clear()
+        else:
+            self.session.update((at, n, mean, dev, empty))
+        self._plan(at)
+        yield pd.DataFrame(out, columns=list(_CLOSED)).astype(_CLOSED)
+
+    def close(self) -> None:
+        pass
+
+
+_CLOSED = {"cluster_id": "int64", "hour": "int64", "tweet_count": "int64", "engagement": "int64", "n_prev": "int64", "z_score_count": "float64"}
+HOURS = "cluster_id long, hour long, tweet_count long, engagement long, n_prev long, z_score_count double"
+
+
+def detect_hours(posts: DataFrame, delay: str = "2 hours", idle: int = 24) -> DataFrame:
+    """(cluster_id, hour, tweet_count, engagement, n_prev, z_score_count) of every hour of a stream of posts, empty ones too, as the watermark closes it; ``hour`` in seconds since 1970.
+
+    A session runs from its first hour to ``idle`` empty hours after the last post. Posts without a cluster only move the watermark.
+    """
+    when = F.col("created_at").cast("timestamp")
+    rows = posts.select(F.coalesce("cluster_id", F.lit(_NO_CLUSTER)).alias("cluster_id"), when.alias("created_at"), (F.col("like_count") + F.col("retweet_count")).alias("engagement"))
+    rows = rows.withWatermark("created_at", delay).withColumn("hour", F.unix_millis(F.date_trunc("hour", "created_at")))
+    return rows.groupBy("cluster_id").transformWithStateInPandas(statefulProcessor=HourlyDetector(idle), outputStructType=HOURS, outputMode="Append", timeMode="EventTime")
+
+
 def _version(spark: SparkSession, path: str, schema: str, n: int) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/version={n}") if n >= 0 else spark.createDataFrame([], schema)
 
@@ -150,6 +239,65 @@ def new_texts(posts: DataFrame, delay: str = "1 day") -> DataFrame:
     return posts.withColumn("text_hash", F.xxhash64("text")).withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["text_hash"])
 
 
+class ResponseCache(StatefulProcessor):
+    """Texts that have been answered, in one part of the cache, with the time until which each is held: a text not held is a miss and is held from then on, the rest are hits.
+
+    Event-time timers on the hour remove what the watermark has passed; the size is kept beside the map, so no batch walks the cache.
+    """
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "text_hash string", "until long")
+        self.size = handle.getValueState("size", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        hits = misses = 0
+        n, ends = self.size.get()[0] if self.size.exists() else 0, set()
+        batch = pd.concat(list(rows)).sort_values(["at", "id"])
+        for text, at in zip(batch["text_hash"], batch["at"].astype("int64"), strict=True):
+            known = self.held.getValue((text,))[0] if self.held.containsKey((text,)) else None
+            if known is not None and at < known:
+                hits += 1
+                continue
+            misses, n = misses + 1, n + (known is None)
+            until = int(at) + self.keep_ms
+            self.held.updateValue((text,), (until,))
+            ends.add((until // _HOUR + 1) * _HOUR)
+        for t in ends:
+            self.handle.registerTimer(t)
+        self.size.update((n,))
+        yield pd.DataFrame({"part": [key[0]], "hits": [hits], "misses": [misses], "size": [n]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        gone = [text for (text,), (until,) in self.held.iterator() if until <= now]
+        for text in gone:
+            self.held.removeKey((text,))
+        n = (self.size.get()[0] if self.size.exists() else 0) - len(gone)
+        self.size.update((n,))
+        yield pd.DataFrame({"part": [key[0]], "hits": [0], "misses": [0], "size": [n]})
+
+    def close(self) -> None:
+        pass
+
+
+CACHE = "part int, hits long, misses long, size long"
+
+
+def cached(posts: DataFrame, parts: int = 64, keep_ms: int = 86_400_000, delay: str = "2 hours") -> DataFrame:
+    """(part, hits, misses, size) of the response cache after each micro-batch: a row for each part of the cache that the batch touched, or that lost texts whose time was over.
+
+    ``posts`` is (id, text, created_at); a text is answered once in ``keep_ms`` of event time. Null texts are not answered.
+    """
+    when = F.col("created_at").cast("timestamp")
+    rows = posts.filter("text is not null").select(F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int").alias("part"), F.sha2("text", 256).alias("text_hash"), "id", when.alias("created_at"))
+    rows = rows.withWatermark("created_at", delay).withColumn("at", F.unix_millis("created_at"))
+    return rows.groupBy("part").transformWithStateInPandas(statefulProcessor=ResponseCache(keep_ms), outputStructType=CACHE, outputMode="Append", timeMode="EventTime")
+
+
 def cache_misses(posts: DataFrame, cache: DataFrame) -> DataFrame:
     """Batch twin: posts whose text is not in the cache table, a text once."""
     h = F.sha2("text", 256)
@@ -167,3 +315,36 @@ COUNTERS = "stage string, batch_id long, counter string, value long"
 def with_counters(posts: DataFrame, name: str, gate: str) -> DataFrame:
     """The stream with ``processed`` and ``passed`` observed; a query listener or ``lastProgress`` reads them."""
     return posts.observe(name, F.count(F.lit(1)).alias("processed"), F.sum(F.expr(gate).cast("int")).alias("passed"))
+
+
+class CounterTable(StreamingQueryListener):
+    """Appends the observed counters of every finished micro-batch to a table (stage, batch_id, counter, value)."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.written: set[tuple] = set()
+
+    def wait(self, query, seconds: float = 60) -> None:
+        """Until the counters of an ended query's last batches are in the table: its events arrive after it ended."""
+        expected = {(str(p.runId), p.batchId) for p in query.recentProgress if p.observedMetrics}
+        until = time.monotonic() + seconds
+        while not expected <= self.written:
+            if time.monotonic() > until:
+                raise TimeoutError(f"no progress events for {expected - self.written}")
+            time.sleep(0.1)
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        progress = event.progress
+        rows = [(name, progress.batchId, key, int(value)) for name, row in (progress.observedMetrics or {}).items() for key, value in row.asDict().items() if value is not None]
+        if rows:
+            SparkSession.active().createDataFrame(rows, COUNTERS).coalesce(1).write.mode("append").parquet(self.path)
+        self.written.add((str(progress.runId), progress.batchId))
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
