@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimscope.operators.ordered import gap_statistics
+
 from claimscope.operators.timeseries import until_detection
 
 
@@ -101,10 +103,7 @@ def series_features(seen: DataFrame) -> DataFrame:
 
 def arrival_features(seen: DataFrame) -> DataFrame:
     """Burstiness and inter-arrival times of posts; 0 below three posts."""
-    w = Window.partitionBy("cluster_id").orderBy("created_at", "id")
-    at = F.unix_micros(F.col("created_at").cast("timestamp")) / 1e6
-    gaps = seen.select("cluster_id", (at - F.lag(at).over(w)).alias("gap"))
-    g = gaps.groupBy("cluster_id").agg(F.count("*").alias("n"), F.avg("gap").alias("m"), F.stddev_pop("gap").alias("s"))
+    g = gap_statistics(seen, "cluster_id", F.col("created_at"))
     ok, m, s = F.col("n") >= 3, F.col("m"), F.col("s")
     return g.select(
         "cluster_id",

@@ -17,7 +17,7 @@ from claimscope.session import cut
 RANGE_ROWS, RANGES, HEAVY = 1 << 17, 1_024, 1_000
 
 
-def _ranged(counts: DataFrame, ranges: int) -> DataFrame:
+def ranged(counts: DataFrame, ranges: int) -> DataFrame:
     """Adds ``_range``: which of about equal ranges of values a row lies in; nulls come first and NaN last, as in sorting."""
     v = F.col("_v").cast("double")
     cuts = counts.agg(F.percentile_approx(v, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] if ranges > 1 else None  # at most RANGES numbers
@@ -33,7 +33,7 @@ def value_ranks(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     keys = [f"_k{i}" for i in range(len(by))]
     named = rows.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(value).alias("_v"))
     counts = cut(named.groupBy(*keys, "_v").agg(F.count("*").alias("_n")))
-    counts = _ranged(counts, min(RANGES, max(1, -(-counts.count() // RANGE_ROWS))))
+    counts = ranged(counts, min(RANGES, max(1, -(-counts.count() // RANGE_ROWS))))
     group = Window.partitionBy(*keys)
     sizes = counts.groupBy(*keys, "_range").agg(F.sum("_n").alias("_s"))
     lower = F.coalesce(F.sum("_s").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

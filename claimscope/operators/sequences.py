@@ -21,16 +21,23 @@ def series_tensor(series: DataFrame, channels: list[str], length: int = 24, leas
     return g.filter(F.col("n") >= least).select("cluster_id", "n", *[padded(c) for c in channels])
 
 
-def arrival_offsets(seen: DataFrame, least: int = 5) -> DataFrame:
-    """(cluster_id, offsets, last_offset, branching): seconds of posts since the first, for clusters with ``least`` posts.
+def arrival_offsets(seen: DataFrame) -> DataFrame:
+    """(cluster_id, hour, offsets): seconds of posts since the cluster's first, in order, as one array for each hour with posts. No array holds all posts of a cluster."""
+    at, hour = F.unix_micros(F.col("created_at").cast("timestamp")), F.date_trunc("hour", "created_at")
+    hours = seen.filter("created_at is not null").groupBy("cluster_id", hour.alias("hour")).agg(F.array_sort(F.collect_list(at)).alias("ts"))
+    first = hours.groupBy("cluster_id").agg(F.min(F.element_at("ts", 1)).alias("first"))
+    return hours.join(first, "cluster_id").select("cluster_id", "hour", F.transform("ts", lambda t: F.round((t - F.col("first")) / 1e6, 6)).alias("offsets"))
+
+
+def arrival_figures(seen: DataFrame, least: int = 5) -> DataFrame:
+    """(cluster_id, last_offset, branching) for clusters with ``least`` posts: seconds from the first post to the last, and the branching ratio.
 
     The branching ratio is 1 - 1 / sqrt(var / mean) of hourly counts, 0 where that is not above (Hardiman and Bouchaud 2014).
     """
     at = F.unix_micros(F.col("created_at").cast("timestamp")) / 1e6
-    g = seen.groupBy("cluster_id").agg(F.array_sort(F.collect_list(at)).alias("ts"), F.count("*").alias("n")).filter(F.col("n") >= least)
-    hours = seen.groupBy("cluster_id", F.date_trunc("hour", "created_at").alias("h")).agg(F.count("*").alias("c")).groupBy("cluster_id").agg((F.var_pop("c") / F.avg("c")).alias("f"))
-    offsets = F.transform("ts", lambda t: F.round(t - F.element_at("ts", 1), 6))
-    return g.join(hours, "cluster_id").select("cluster_id", offsets.alias("offsets"), F.element_at(offsets, -1).alias("last_offset"), F.when(F.col("f") > 1, 1 - 1 / F.sqrt(F.greatest("f", F.lit(1e-12)))).otherwise(0.0).alias("branching"))
+    hours = seen.groupBy("cluster_id", F.date_trunc("hour", "created_at").alias("h")).agg(F.count("*").alias("c"), F.min(at).alias("lo"), F.max(at).alias("hi"))
+    g = hours.groupBy("cluster_id").agg(F.sum("c").alias("n"), (F.max("hi") - F.min("lo")).alias("last"), (F.var_pop("c") / F.avg("c")).alias("f")).filter(F.col("n") >= least)
+    return g.select("cluster_id", F.round("last", 6).alias("last_offset"), F.when(F.col("f") > 1, 1 - 1 / F.sqrt(F.greatest("f", F.lit(1e-12)))).otherwise(0.0).alias("branching"))
 
 
 def representative_text(posts: DataFrame, n: int = 5, found: DataFrame | None = None, limit: int | None = None) -> DataFrame:

@@ -85,7 +85,7 @@ h AS (SELECT cluster_id, var_pop(c) / avg(c) AS f FROM (SELECT cluster_id, date_
 def w08_arrival_offsets(spark, sf_dir):
     _, found = _detected(spark, sf_dir)
     seen = timeseries.until_detection(tweets(spark, sf_dir), found, "created_at")
-    return rounded(sequences.arrival_offsets(seen).select("cluster_id", "last_offset", "branching"))
+    return rounded(sequences.arrival_figures(seen))
 
 
 _POSTS = "ps AS (SELECT doc_id AS id, doc_id % 25 AS cluster_id, TIMESTAMP '2024-01-01' + to_minutes(doc_id * 37 % 5000) AS created_at, text FROM documents)"

@@ -40,7 +40,7 @@ def test_ranges_are_bounded_and_no_window_spans_a_group(spark, monkeypatch):
     monkeypatch.setattr(ranks, "RANGE_ROWS", 50)
     df = spark.range(5000).select(F.lit("all").alias("g"), (F.col("id") % 2500).alias("x"))
     counts = df.groupBy(F.col("g").alias("_k0"), F.col("x").alias("_v")).agg(F.count("*").alias("_n"))
-    sizes = [r["count"] for r in ranks._ranged(counts, 50).groupBy("_range").count().collect()]
+    sizes = [r["count"] for r in ranks.ranged(counts, 50).groupBy("_range").count().collect()]
     assert len(sizes) >= 40 and max(sizes) < 200
 
 
