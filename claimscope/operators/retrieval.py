@@ -11,7 +11,7 @@ from pyspark.sql.types import LongType
 
 from claimscope.functions.text import jaccard
 from claimscope.functions.vectors import dot, normalize
-from claimscope.operators import postings
+from claimscope.operators import clustering, postings
 from claimscope.operators.graph import connected_components
 from claimscope.session import cut
 
@@ -161,6 +161,25 @@ def contrastive_pools(log: DataFrame, good: float = 0.7, bad: float = 0.3, most_
     return up.union(down)
 
 
+def bad_examples(queries: DataFrame, pool: DataFrame, similar: int = 3, random: int = 2) -> DataFrame:
+    """(q, id, kind, rank): for each query (q, v) the ``similar`` most similar rows of the pool of bad examples (id, v), then ``random`` others, none twice and never the query's own id.
+
+    Random ones follow each other, from a place that the query's hash gives, in the pool's order of hashes. The pool is that of ``contrastive_pools``, which
+    bounds it, and is broadcast; queries are not shuffled for it. Keys are numbers.
+    """
+    near = clustering.nearest(queries.select("q", "v"), pool.select("id", "v"), similar).select("q", "id", "rank")
+    order = Window.orderBy(F.md5(F.col("id").cast("string")), "id")  # over the pool's few hundred rows
+    placed = cut(pool.filter("id is not null and v is not null").select("id", (F.row_number().over(order) - 1).alias("place")))
+    size = placed.count()
+    start = F.pmod(F.conv(F.substring(F.md5(F.col("q").cast("string")), 1, 8), 16, 10).cast("long"), F.lit(max(size, 1)))
+    tries = min(size, similar + random + 1)  # the similar ones and the query itself may be among them
+    asked = queries.filter("q is not null and v is not null").select("q", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda i: (start + i) % size)).alias("no", "place")) if tries else near.select("q", F.lit(0).alias("no"), F.lit(0).alias("place")).limit(0)
+    drawn = asked.join(F.broadcast(placed), "place").filter("q <> id").join(near.select("q", "id"), ["q", "id"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("no"))
+    drawn = drawn.withColumn("rank", rank).filter(F.col("rank") <= random)
+    return near.select("q", "id", F.lit("similar").alias("kind"), "rank").unionByName(drawn.select("q", "id", F.lit("random").alias("kind"), "rank"))
+
+
 def claim_registry(claims: DataFrame, links: DataFrame) -> DataFrame:
     """(registry_id, n_claims, clusters): near-duplicate claims share an entry named by the smallest id, with their clusters.
 

@@ -244,11 +244,33 @@ def v14_self_consistency(spark, sf_dir):
     return rounded(retrieval.consistent_vectors(_vectors(spark, sf_dir), "label", "vec_id"))
 
 
-@query("WITH l AS (SELECT doc_id AS id, CASE WHEN doc_id % 17 = 0 THEN 'ERROR: x' WHEN doc_id % 19 = 0 THEN 'TIMEOUT: y' ELSE 'ok' END AS p, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE doc_id % 100 / 100.0 END AS score FROM documents), r AS (SELECT id, coalesce(score, 0) AS s FROM l WHERE p = 'ok') SELECT id, 'good' AS pool FROM r WHERE s >= 0.7 UNION ALL (SELECT id, 'bad' FROM r WHERE s <= 0.3 ORDER BY md5(CAST(id AS VARCHAR)), id LIMIT 500)")
+_LOG = _CENT + f""", l AS (SELECT n.vec_id AS id, n.v, round({_DOT.format(a="n.v", b="c.c")}, 9) AS score FROM n JOIN c USING (label) WHERE n.vec_id % 17 <> 0),
+pool AS (SELECT id, v, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), id) - 1 AS place FROM l WHERE score <= 0.05 QUALIFY place < 500)"""
+
+
+def _pools(spark, sf_dir):
+    """Rows scored by the cosine to their label's centroid; every seventeenth failed."""
+    v = _vectors(spark, sf_dir)
+    cents = clustering.centroids(v.select("label", normalize(F.col("vec")).alias("vec")), "label")
+    failed = F.when(F.col("vec_id") % 17 == 0, "TIMEOUT: 60 s").otherwise("ok")
+    log = v.join(cents, "label").select(F.col("vec_id").alias("id"), failed.alias("prediction"), F.round(cosine(F.col("vec"), F.col("centroid")), 9).alias("score"))
+    return v, retrieval.contrastive_pools(log, 0.2, 0.05)
+
+
+@query(f"WITH {_LOG} SELECT id, 'good' AS pool FROM l WHERE score >= 0.2 UNION ALL SELECT id, 'bad' FROM pool")
 def v15_contrastive_pools(spark, sf_dir):
-    r = F.col("doc_id")
-    log = table(spark, sf_dir, "documents").select(r.alias("id"), F.when(r % 17 == 0, "ERROR: x").when(r % 19 == 0, "TIMEOUT: y").otherwise("ok").alias("prediction"), F.when(r % 13 != 0, r % 100 / 100.0).alias("score"))
-    return retrieval.contrastive_pools(log)
+    return _pools(spark, sf_dir)[1]
+
+
+@query(f"""WITH {_LOG}, sz AS (SELECT count(*) AS size FROM pool), s AS (SELECT q.vec_id AS q, p.id, round({_DOT.format(a="q.v", b="p.v")}, 9) AS s FROM n q JOIN pool p ON q.vec_id <> p.id),
+near AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY s DESC, id) AS rank FROM s QUALIFY rank <= 3),
+dr AS (SELECT q, no, (CAST('0x' || substr(md5(CAST(q AS VARCHAR)), 1, 8) AS BIGINT) + no) % size AS place FROM (SELECT vec_id AS q, unnest(range(6)) AS no FROM n), sz WHERE no < size),
+r AS (SELECT dr.q, pool.id, row_number() OVER (PARTITION BY dr.q ORDER BY no) AS rk FROM dr JOIN pool USING (place) LEFT JOIN near ON near.q = dr.q AND near.id = pool.id WHERE dr.q <> pool.id AND near.id IS NULL QUALIFY rk <= 2)
+SELECT q, id, 'similar' AS kind, CAST(rank AS INTEGER) AS rank FROM near UNION ALL SELECT q, id, 'random', CAST(rk AS INTEGER) FROM r""")
+def v15_bad_examples(spark, sf_dir):
+    v, pools = _pools(spark, sf_dir)
+    rows = v.select(F.col("vec_id").alias("id"), F.col("vec").alias("v"))
+    return retrieval.bad_examples(rows.withColumnRenamed("id", "q"), rows.join(pools.filter("pool = 'bad'"), "id").select("id", "v"))
 
 
 _REG = _COMP + ", rg AS (SELECT cluster_id AS registry_id, count(*) AS n_claims, list_sort(list(DISTINCT label)) AS clusters FROM comp JOIN embeddings USING (vec_id) GROUP BY cluster_id)"

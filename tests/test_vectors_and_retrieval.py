@@ -177,3 +177,20 @@ def test_blocks_below_the_threshold_are_not_scored(monkeypatch):
     asked = pa.table({"q": [1, 1], "w": ["common", "rare"], "on_part": [0.01, 5.0], "on_share": [0.0, 0.0]})
     out = postings._traverse(2, 1.0, 0.0)(None, lists, asked).to_pydict()
     assert out["id"] == [0, 1] and sum(scored[1:]) <= 2 * 100 + 5
+
+
+@pytest.mark.parametrize("size", [0, 1, 4, 30])
+def test_bad_examples_fill_up_without_repeats(spark, size):
+    x = np.random.default_rng(6).normal(size=(40, 4))
+    queries = rows_of(spark, x, key="q", name="v")
+    found: dict = {}
+    for r in retrieval.bad_examples(queries, rows_of(spark, x[:size], name="v"), 3, 2).collect():
+        found.setdefault(r.q, []).append((r.kind, r["rank"], r.id))
+    for q in range(40):
+        others = [i for i in range(size) if i != q]
+        mine = sorted(found.get(q, []), reverse=True)
+        assert q not in [i for *_, i in mine] and len({i for *_, i in mine}) == len(mine) == min(5, len(others))
+        near = sorted(others, key=lambda i: (-round(float(unit(x)[q] @ unit(x)[i]), 9), i))[:3]
+        assert [i for kind, _, i in sorted(mine, key=lambda m: m[1]) if kind == "similar"] == near
+    if size == 30:
+        assert len({tuple(i for kind, _, i in sorted(v) if kind == "random") for v in found.values()}) > 10  # not the same for all
