@@ -10,6 +10,10 @@ Boilerplate neither scores nor stays. Scripts, menus, footers, controls, hidden
 class or id names boilerplate are only suspects: a name counts by its words, not if one of them negates or describes (``no-sidebar``,
 ``page-with-sidebar``) or its last is the article (``header-article``). A suspect stays if it holds ``main``, or at least half of the page's
 text and itself the article or, on a page that marks none elsewhere, too little would be left without it. The header of an article or main stays.
+Inside an article a name must tell of boilerplate by all its words (``share-buttons``, not ``market-share-table``), and an element named by a word that
+may be its topic alone (``copyright``) stays if its text is long, has few links and is not the last of its parent. Articles beside the best one stay
+as parts of it if they hold a fifth of its points and have few links. Points reach the twelve nearest containers: what is beyond gets less than a
+thirteenth of them.
 
 Defined cases: null or empty html gives an empty text; a page without paragraphs gives the text of its body without boilerplate;
 unclosed and stray tags are tolerated; ``br`` is white space; any nesting depth works, for nothing recurses; repeated rows
@@ -38,7 +42,9 @@ CONTAINER = frozenset("article div dl main ol section table td ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 LAYOUT_WORDS = frozenset("banner dialog footer header masthead menu modal nav navbar navigation notice notices overlay sidebar toolbar widget".split())
-ASIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment commentlist comments consent cookie cookies copyright disclaimer disqus login newsletter pager pagination popup promo promoted promotion recommended related replies reply respond share sharing signup skip social sponsor sponsored subscribe subscription".split())
+ASIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising alert alerts breadcrumb breadcrumbs comment commentlist comments consent cookie cookies copyright disclaimer discussion discussions disqus login newsletter pager pagination popup promo promoted promotion recommended related replies reply respond share sharing signup skip social sponsor sponsored subscribe subscription".split())
+TOPIC_WORDS = frozenset("copyright discussion share sharing social".split())  # of which an article may treat, too
+PART_WORDS = frozenset("area article articles bar block bottom box button buttons container content entry form group icons inline inner item items left link links list message module note page panel post posts right row section site slot story text tools top unit user wrap wrapper".split())
 DESCRIBING = frozenset("disable disabled enable enabled free has layout no non not open show supports toggle with without".split())
 ARTICLE_WORDS = frozenset("article entry main page post story".split())
 HIDDEN_NAMES = frozenset({("hidden",), ("is", "hidden"), ("visually", "hidden"), ("sr", "only")})
@@ -48,10 +54,11 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECAS
 
 
 class Node:
-    __slots__ = ("children", "commas", "drop", "held", "length", "links", "n_links", "own", "parent", "points", "score", "suspect", "tag", "within")
+    __slots__ = ("children", "commas", "drop", "held", "length", "links", "n_links", "own", "parent", "points", "score", "suspect", "tag", "topic", "within")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool, suspect: int = 0):
         self.tag, self.parent, self.drop, self.suspect, self.children, self.held = tag, parent, drop, suspect, [], frozenset()
+        self.topic = False  # its name may as well be what the text is about
         self.within = tag in ("article", "main") or parent is not None and parent.within  # an article
         self.score = self.points = self.links = self.n_links = self.length = self.own = self.commas = 0
 
@@ -64,8 +71,8 @@ def _named(value: str, tag: str, parent: Node) -> int:
         if tuple(words) in HIDDEN_NAMES:
             return 2
         if DESCRIBING.isdisjoint(words):
-            if not ASIDE_WORDS.isdisjoint(words):
-                return 2
+            if not ASIDE_WORDS.isdisjoint(words) and not (parent.within and not set(words) <= ASIDE_WORDS | LAYOUT_WORDS | PART_WORDS):
+                return 2  # inside an article the whole name must tell of it
             if not LAYOUT_WORDS.isdisjoint(words) and words[-1] not in ARTICLE_WORDS and tag != "article":
                 own_header = words[-1] == "header" and (words[0] in ARTICLE_WORDS - {"page", "main"} or parent.within)
                 worst = max(worst, 0 if own_header else 1)
@@ -126,6 +133,7 @@ class _Tree(HTMLParser):
             self._close({"head"}, set())
         tag = next((v.lower() for k, v in attrs if k == "role" and v and v.lower() in ("main", "article") and tag in ("div", "section")), tag)
         n = Node(tag, self.at, *_judge(tag, attrs, self.at))
+        n.topic = n.suspect == 2 and self.at.within and all(v in TOPIC_WORDS for k, v in attrs if k in ("class", "id"))
         self.at.children.append(n)
         self.order.append(n)
         self.open[tag] += 1
@@ -186,10 +194,13 @@ def _settle(order: list[Node]) -> None:
                 inside.add(id(n))
                 told = told or n.own > 0
     rest += root.own
+    followed = set()  # parents with an element of the text behind the one looked at
     poor = {1: not told and rest < max(100, 0.1 * total), 2: not told and rest < 40}
     for n in reversed(order):
         if n.drop:
             continue
+        if n.topic and n.length >= 80 and n.links < 0.2 * n.length and id(n.parent) in followed:
+            n.suspect = 0
         held = {n.tag} & {"main", "article", "h1"} if not n.suspect else set()
         for c in n.children:
             if isinstance(c, Node) and not c.drop:
@@ -198,6 +209,8 @@ def _settle(order: list[Node]) -> None:
             half = n.length - n.links >= 0.5 * total > 0
             n.drop = not ("main" in held or half and (poor[n.suspect] or n.suspect == 1 and bool(held)))
         n.held = frozenset() if n.drop else frozenset(held)
+        if n.length and not n.suspect and n.parent is not None:
+            followed.add(id(n.parent))
     _lengths(order)
 
 
@@ -267,7 +280,8 @@ def _kept(best: Node) -> list:
                 if isinstance(c, Node) and not c.drop:
                     c.drop = c.tag in CONTAINER and c.n_links > 1 and not _few_links(c, 0.6)
                     stack.append(c)
-        return [edge]
+        alike = edge.parent.children if edge.tag == "article" and edge.parent is not None else [edge]  # an article in parts
+        return [c for c in alike if c is edge or isinstance(c, Node) and c.tag == "article" and not c.drop and c.points >= 0.2 * edge.points and _few_links(c, 0.25)]
     tops, n = [best], best
     while n.parent is not None and n.tag != "body":
         kept, beside = [], n is best

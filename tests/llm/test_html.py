@@ -67,6 +67,15 @@ WANT = "First para, with words, and more of it here for length.\nSecond para, al
         ('<div>{}</div><div class="comments"><p>' + "I say, you say, no. " * 50 + "</p></div>", WANT),
         ('<article>{}<ul><li><a href=a>More here</a></li><li><a href=b>And there</a></li></ul></article>', WANT),
         ('<article>{}<div class="related-post"><p>Read, also, this</p></div><div class="ad-container">Buy</div></article>', WANT),
+        ('<article><div class="market-share-table">Shares of the market</div>{}</article>', f"Shares of the market\n{WANT}"),
+        ('<article><section class="social-policy"><h2>Policy</h2><p>On social policy, and more.</p></section>{}</article>', f"Policy\nOn social policy, and more.\n{WANT}"),
+        ('<article><p class="copyright">' + "Copyright law protects works, songs and texts. " * 3 + "</p>{}</article>", ("Copyright law protects works, songs and texts. " * 3).strip() + f"\n{WANT}"),
+        ('<article>{}<p class="copyright">Copyright 2024 by the house, all rights reserved, and no part of this page may be copied.</p></article>', WANT),
+        ('<article>{}<div class="share-buttons">Share this</div><div class="social">Follow</div></article>', WANT),
+        ('<div class="alert">We use cookies, as all do.</div><article>{}</article>', WANT),
+        ('<div class="post">{}</div><div class="user-discussion"><p>I say, you say, no.</p></div>', WANT),
+        ("<article>{}</article><article>" + PARAS + "</article>", f"{WANT}\n{WANT}"),
+        ("<article>{}</article><article><h3><a href=x>Another story, elsewhere</a></h3></article>", WANT),
     ],
 )
 def test_names_of_wrappers_and_split_texts(body, want):
