@@ -7,7 +7,8 @@ from contextlib import contextmanager
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from claimscope.operators import anomaly, evaluate, models, quality, sequences, timeseries
+from claimscope.functions.text import count_cosine
+from claimscope.operators import anomaly, evaluate, ingest, models, quality, sequences, timeseries
 from claimscope.plans.fixtures import DETECTED, SCORED, SERIES, TWEETS, table, tweets
 from claimscope.plans.registry import epoch, query, rounded
 from claimscope.plans.series_queries import _TOPS, _detected, _scored, _series
@@ -102,9 +103,20 @@ def w09_representative_text(spark, sf_dir):
     return sequences.representative_text(_posts(spark, sf_dir))
 
 
-@query(f"WITH {_POSTS}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY (id * 31 % 97) / 97.0 DESC, id) AS r FROM ps) SELECT cluster_id, string_agg(text, chr(10) || chr(10) ORDER BY r) AS text FROM r WHERE r <= 4 GROUP BY cluster_id")
+_CLAIM = r"regexp_extract_all(lower(substr({0}, 1, 200)), '\p{{L}}+')"
+_COUNTS = "list_sum(list_transform(list_distinct({0}), lambda w: len(list_filter({0}, lambda x: x = w)) * len(list_filter({1}, lambda x: x = w))))"
+
+
+@query(f"""WITH {_POSTS}, f AS (SELECT cluster_id, text AS title FROM ps WHERE length(trim(text)) > 0 QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY created_at, id) = 1),
+s AS (SELECT id, cluster_id, text, {_CLAIM.format('text')} AS a, {_CLAIM.format('title')} AS b FROM ps JOIN f USING (cluster_id) WHERE text IS NOT NULL),
+r AS (SELECT cluster_id, text, row_number() OVER (PARTITION BY cluster_id ORDER BY round(coalesce({_COUNTS.format('a', 'b')} / nullif(sqrt({_COUNTS.format('a', 'a')}) * sqrt({_COUNTS.format('b', 'b')}), 0), 0), 9) DESC, id) AS r FROM s)
+SELECT cluster_id, string_agg(text, chr(10) || chr(10) ORDER BY r) AS text FROM r WHERE r <= 4 GROUP BY cluster_id""")
 def w10_top_posts(spark, sf_dir):
-    return sequences.top_posts(_posts(spark, sf_dir).withColumn("similarity", (F.col("id") * 31) % 97 / 97.0), "cluster_id", 4)
+    posts = _posts(spark, sf_dir).filter("text is not null")
+    claim = lambda c: ingest.words(F.substring(c, 1, 200))
+    titles = sequences.representative_text(posts, 1).withColumnRenamed("text", "title")
+    similarity = F.round(count_cosine(claim("text"), claim("title")), 9)
+    return sequences.top_posts(posts.join(titles, "cluster_id").withColumn("similarity", similarity), "cluster_id", 4)
 
 
 _PEEK = """pk6 AS (SELECT t.*, like_count + retweet_count AS e, z_score_at_detection, detection_time, (floor(epoch(created_at)) - epoch(detection_time)) / 3600 AS h, id % 3 = 0 AS has_url, id % 4 = 0 AS has_media, id % 5 AS n_hashtags, id % 10 = 0 AS verified FROM tweets t JOIN (SELECT cluster_id, detection_time, z_score AS z_score_at_detection FROM detected JOIN scored USING (cluster_id) WHERE timestamp = detection_time) d USING (cluster_id)),

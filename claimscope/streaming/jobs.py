@@ -7,7 +7,7 @@ import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
@@ -197,7 +197,9 @@ def cluster_batches(vectors: DataFrame, state_path: str, checkpoint: str, thresh
         capped = formed.withColumn("over_cap", F.lit(False)) if room is None else cap_clusters(formed, "vec_id", room) if room else formed.withColumn("over_cap", F.lit(True))
         capped = cut(capped)
         new = rest.join(capped.filter("not over_cap").select("vec_id", "cluster_id"), "vec_id")
-        ids = new.groupBy("cluster_id").agg(F.slice(F.array_sort(F.collect_list(F.col("vec_id").cast("string"))), 1, 10).alias("representatives"))
+        name = F.col("vec_id").cast("string")
+        first = new.select("cluster_id", name.alias("name"), F.row_number().over(Window.partitionBy("cluster_id").orderBy(name)).alias("r")).filter("r <= 10")
+        ids = first.groupBy("cluster_id").agg(F.array_sort(F.collect_list("name")).alias("representatives"))
         made = centroids(new, "cluster_id").join(ids, "cluster_id").select("cluster_id", "centroid", "size", "representatives")
         out = cut(old.unionByName(made))
         extra = assign(rest.join(capped.filter("over_cap").select("vec_id"), "vec_id"), "vec_id", out, -1.0).filter("cluster_id >= 0").groupBy("cluster_id").agg(F.count("*").alias("more"))
