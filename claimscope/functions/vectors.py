@@ -11,13 +11,13 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
 def normalize(a: Column) -> Column:
-    """Unit length; a zero vector stays as it is."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    """Unit length; a zero vector stays as it is. Vector and norm are bound once: a norm named inside the inner lambda would be evaluated for every component."""
+    scaled = lambda v, n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    return F.get(F.transform(F.array(a), lambda v: F.get(F.transform(F.array(norm(v)), lambda n: scaled(v, n)), 0)), 0)
 
 
 def cosine(a: Column, b: Column) -> Column:

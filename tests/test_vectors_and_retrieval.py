@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from claimscope.functions.vectors import normalize
 from claimscope.operators import clustering, postings, retrieval
 
 
@@ -194,3 +195,12 @@ def test_bad_examples_fill_up_without_repeats(spark, size):
         assert [i for kind, _, i in sorted(mine, key=lambda m: m[1]) if kind == "similar"] == near
     if size == 30:
         assert len({tuple(i for kind, _, i in sorted(v) if kind == "random") for v in found.values()}) > 10  # not the same for all
+
+
+def test_nested_unit_vectors_are_taken_once(spark):
+    """A norm inside the lambda over components would make a unit vector of a unit vector cost the fourth power of its length."""
+    assert str(normalize(normalize(F.col("vec")))).count("vec") == 1
+    x = np.random.default_rng(3).normal(size=(20, 64))
+    rows = rows_of(spark, x).union(spark.createDataFrame([(90, None), (91, [0.0, 0.0])], "id long, vec array<double>"))
+    got = {r.id: r.v for r in rows.select("id", normalize(normalize(F.col("vec"))).alias("v")).collect()}
+    assert np.allclose([got[i] for i in range(20)], unit(x)) and got[90] is None and got[91] == [0.0, 0.0]
