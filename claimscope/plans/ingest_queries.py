@@ -295,7 +295,7 @@ def a02_sample_share(spark, sf_dir):
     return rounded(sampling.shares(s, ["grp"]).select("grp", "n", (F.col("pct") / 100).alias("share")))
 
 
-@query("SELECT count(*) AS n, CAST(epoch(min(ts)) AS BIGINT) AS first, CAST(epoch(max(ts)) AS BIGINT) AS last FROM events")
+@query("SELECT count(*) AS n, CAST(floor(epoch(min(ts))) AS BIGINT) AS first, CAST(floor(epoch(max(ts))) AS BIGINT) AS last FROM events")
 def a03_corpus_span(spark, sf_dir):
     return table(spark, sf_dir, "events").agg(F.count("*").alias("n"), epoch(F.min("ts")).alias("first"), epoch(F.max("ts")).alias("last"))
 

@@ -185,3 +185,16 @@ def test_similar_pairs_near_the_threshold_in_many_blocks(spark, monkeypatch):
     got = clustering.similar_pairs(rows, "id", 0.5).collect()
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
     assert all(abs(r.similarity - s[int(r.a[1:]), int(r.b[1:])]) < 1e-9 for r in got)
+
+
+def test_span_of_the_corpus_equals_its_sql(spark, tmp_path):
+    """Whole seconds are cut, not rounded."""
+    import duckdb
+
+    from claimscope.plans.all import QUERIES, SQL
+
+    duckdb.sql(f"COPY (SELECT TIMESTAMP '2024-01-01 00:00:00.7' AS ts UNION ALL SELECT TIMESTAMP '2024-01-02 00:00:00.9') TO '{tmp_path}/events.parquet'")
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+        want = db.sql(SQL["a03_corpus_span"]).fetchall()
+    assert [tuple(r) for r in QUERIES["a03_corpus_span"](spark, str(tmp_path)).collect()] == want == [(2, 1704067200, 1704153600)]
