@@ -17,10 +17,14 @@ from pyspark.sql import functions as F
 
 from claimscope.functions.vectors import cosine, euclid, norm, normalize
 from claimscope.operators.graph import connected_components
-from claimscope.session import cut, rows_up_to
+from claimscope.session import cut, discard, rows_up_to
 
-#: Rows of a block (all pairs of two blocks are compared at once), rows of it multiplied in one step, and rows of a corpus that may be broadcast.
+#: Least rows of a block (all pairs of two blocks are compared at once), rows of it multiplied in one step, and rows of a corpus that may be broadcast.
 BRUTE_FORCE, STEP, BROADCAST = 2_000, 256, 8_192
+#: Blocks that a table is dealt into, so that a row is sent to as many at every size; a block's vectors have at most this many bytes, beyond which there are more blocks.
+LAYOUT, BLOCK_BYTES = 16, 1 << 24
+#: Pairs that a task passes on at once.
+EMIT = 1 << 18
 #: Pivots, rows they are chosen from, and blocks whose spans are compared at once.
 PIVOTS, SAMPLE, ZONES = 16, 2_048, 1_024
 
@@ -33,27 +37,73 @@ def centroids(rows: DataFrame, by: str, unit: bool = True) -> DataFrame:
     return g.withColumn("centroid", normalize(F.col("centroid"))) if unit else g
 
 
+def _block_rows(n: int, width: int) -> int:
+    """Rows of a block of ``n`` vectors of ``width`` components."""
+    return max(BRUTE_FORCE, min(-(-n // LAYOUT), BLOCK_BYTES // (8 * max(width, 1))))
+
+
+def _pairs_of_blocks(own: bool, batches: Iterator[pa.RecordBatch], least: float) -> Iterator[tuple]:
+    """First the ids of a block pair's rows (id, v, other), in order, then places (i, j) and similarities of pairs that reach ``least``: of rows with ``other`` ones, or a block's own pairs once."""
+    table = pa.Table.from_batches(batches)
+    table = table.sort_by("id") if table.num_rows else table
+    other, width, v = table.column("other").to_numpy(), np.asarray(pc.list_value_length(table.column("v"))), table.column("v")
+    yield table.column("id")
+    flat = lambda at: _matrix(v.take(pa.array(at)).combine_chunks())
+    for n in np.unique(width):
+        rows = np.flatnonzero((width == n) & ~other)
+        cols = rows if own else np.flatnonzero((width == n) & other)
+        if not len(rows) or not len(cols):
+            continue
+        left, right = flat(rows), flat(cols).T
+        for lo in range(0, len(rows), STEP):
+            s = left[lo : lo + STEP] @ right
+            i, j = np.divmod(np.flatnonzero(s >= least - 1e-9), len(cols))
+            s = s[i, j]
+            keep = np.round(s, 9) >= least
+            if own:
+                keep &= lo + i < j
+            yield rows[lo + i[keep]], cols[j[keep]], s[keep]
+
+
 def _compare(threshold: float):
     """Similar pairs (x, y) between the rows of a block pair; the block's own pairs once."""
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        xs, ys, found = left.column("id"), right.column("id"), []
-        own = key[0].as_py() == key[1].as_py()
-        if len(xs) and len(ys):
-            sides, width = (np.asarray(pc.list_value_length(t.column("v"))) for t in (left, right))
-            by_width = {n: np.flatnonzero(width == n) for n in np.unique(width)}
-            flat = lambda t, at: _matrix(t.column("v").take(pa.array(at)).combine_chunks())
-            for n, cols in by_width.items():
-                rows, r = np.flatnonzero(sides == n), flat(right, cols)
-                for lo in range(0, len(rows), STEP):
-                    at = rows[lo : lo + STEP]
-                    s = flat(left, at) @ r.T
-                    i, j = np.nonzero(np.round(s, 9) >= threshold)
-                    s, i, j = s[i, j], at[i], cols[j]
-                    once = i < j if own else np.ones(len(i), dtype=bool)
-                    found.append((i[once], j[once], s[once]))
-        i, j, s = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0),)
-        return pa.table({"x": xs.take(pa.array(i)), "y": ys.take(pa.array(j)), "similarity": pa.array(s)})
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _pairs_of_blocks(key[0] == key[1], batches, threshold)
+        ids = next(found).combine_chunks()
+        for i, j, s in found:
+            for lo in range(0, len(i), EMIT):
+                x, y = (ids.take(pa.array(c[lo : lo + EMIT])) for c in (i, j))
+                yield pa.RecordBatch.from_arrays([x, y, pa.array(s[lo : lo + EMIT])], ["x", "y", "similarity"])
+
+    return run
+
+
+def _join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the sets of each pair (i, j); ``root`` holds the first member of each row's set."""
+    while len(i):
+        a, b = root[i], root[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        root[np.maximum(a, b)] = np.minimum(a, b)
+        while not np.array_equal(up := root[root], root):
+            root[:] = up
+
+
+def _joined(thresholds: list[float]):
+    """For each threshold (level), links (x, y) that join the same rows of a block pair as all its similar pairs do: each row of a set with the set's first, so fewer than rows."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _pairs_of_blocks(key[0] == key[1], batches, min(thresholds))
+        ids = next(found).combine_chunks()
+        roots = [np.arange(len(ids)) for _ in thresholds]
+        for i, j, s in found:
+            s = np.round(s, 9)
+            for t, root in zip(thresholds, roots, strict=True):
+                _join(root, i[s >= t], j[s >= t])
+        for level, root in enumerate(roots):
+            i = np.flatnonzero(root < np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), level, dtype=np.int32)), ids.take(pa.array(root[i])), ids.take(pa.array(i))], ["level", "x", "y"])
 
     return run
 
@@ -134,8 +184,10 @@ def blocks_within_reach(unit: DataFrame, threshold: float) -> tuple[DataFrame, D
     pivots = _pivots(unit, width)
     kind = f"id {unit.schema['id'].dataType.simpleString()}, v array<double>, angles array<double>"
     placed = unit.mapInArrow(_angles(pivots), f"{kind}, region int, near double")
-    order, parts = ("region", "near", "id"), max(1, -(-unit.count() // (8 * BRUTE_FORCE)))
-    blocks = cut(placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_numbered(BRUTE_FORCE), f"{kind}, block long"))
+    n, order = unit.count(), ("region", "near", "id")
+    most = _block_rows(n, width)
+    parts = max(1, min(LAYOUT // 2, -(-n // (8 * BRUTE_FORCE))), -(-n // (4 * most)) if n > LAYOUT * most else 0)
+    blocks = cut(placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_numbered(most), f"{kind}, block long"))
     each = lambda f: F.array(*[f(F.get("angles", F.lit(d))) for d in range(len(pivots))])
     zones = cut(blocks.groupBy("block").agg(each(F.min).alias("low"), each(F.max).alias("high")))
     groups = max(1, -(-zones.count() // ZONES))
@@ -154,24 +206,42 @@ def _reaching(blocks: DataFrame, pairs: DataFrame, side: str, other: str, reach:
     return blocks.join(spans, "block").filter(~outside).select(*[F.col(c).alias(c) for c in ("id", "v", "p", "q")])  # attributes of their own on each side
 
 
-def similar_pairs(rows: DataFrame, key: str, threshold: float) -> DataFrame:
-    """(a, b, similarity) with a < b and cosine at or above the threshold: all of them, at every size.
+def _block_pairs(rows: DataFrame, key: str, threshold: float) -> DataFrame:
+    """Unit vectors (id, v, p, q, other) of each pair of blocks (p, q) that may hold similar rows; of a block with itself only once.
 
-    Rows are laid out in blocks of about BRUTE_FORCE neighbours; pairs of blocks that angles to a few pivots rule out are skipped, and a row goes only to
-    blocks that it can reach. Each pair of blocks is one group, so no table is broadcast and memory stays the same.
-    Rows without a vector, or with a missing or non-finite component, have no pairs; nor have vectors of different length.
+    Rows are laid out in blocks of neighbours; pairs of blocks that angles to a few pivots rule out are skipped, and a row goes only to
+    blocks that it can reach. Each pair of blocks is one group, so no table is broadcast. There are about LAYOUT blocks and as many as there are pivots at most sizes, so what is sent grows
+    with the rows; a block's size is bounded by BLOCK_BYTES.
+    Rows without a vector, or with a missing or non-finite component, take no part.
     """
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     unit = rows.filter(F.col(key).isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", bad)).select(F.col(key).alias("id"), normalize(F.col("vec")).alias("v"))
-    kind = unit.schema["id"].dataType.simpleString()
     if unit.limit(BRUTE_FORCE + 1).count() <= BRUTE_FORCE:  # one block
-        one = unit.select("id", "v", F.lit(0).alias("p"), F.lit(0).alias("q"))
-        left, right = one, one.select(*[F.col(c).alias(c) for c in one.columns])  # attributes of their own on each side
-    else:
-        blocks, pairs = blocks_within_reach(unit, threshold)
-        left, right = (_reaching(blocks, pairs, *sides, _reach(threshold)) for sides in (("p", "q"), ("q", "p")))
-    found = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(_compare(threshold), f"x {kind}, y {kind}, similarity double")
-    return found.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity").distinct()
+        return unit.select("id", "v", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(False).alias("other"))
+    blocks, pairs = blocks_within_reach(cut(unit), threshold)
+    left, right = (_reaching(blocks, of, *sides, _reach(threshold)) for of, sides in ((pairs, ("p", "q")), (pairs.filter("p <> q"), ("q", "p"))))
+    return left.withColumn("other", F.lit(False)).unionByName(right.withColumn("other", F.lit(True)))
+
+
+def similar_pairs(rows: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(a, b, similarity) with a < b and cosine at or above the threshold: all of them, at every size.
+
+    Rows of ``_block_pairs`` are compared; vectors of different length are not similar. Pairs leave a task as they are found. If an id occurs twice, its pairs are made distinct.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    found = _block_pairs(rows, key, threshold).groupBy("p", "q").applyInArrow(_compare(threshold), f"x {kind}, y {kind}, similarity double")
+    pairs = found.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    return pairs if rows.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").isEmpty() else pairs.distinct()
+
+
+def joining_links(rows: DataFrame, key: str, thresholds: list[float]) -> DataFrame:
+    """(level, a, b): for the threshold of each number (level), links that have the components of all its similar pairs, in a table of the shared folder.
+
+    Rows are compared once for all thresholds. A pair of blocks gives fewer links than it has rows, so their number grows with the rows and not with the pairs.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    found = _block_pairs(rows, key, min(thresholds)).groupBy("p", "q").applyInArrow(_joined(thresholds), f"level int, x {kind}, y {kind}")
+    return cut(found.filter("x <> y").select("level", F.col("x").alias("a"), F.col("y").alias("b")), "level")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -278,8 +348,17 @@ def update_state(state: DataFrame, rows: DataFrame, key: str, assigned: DataFram
 
 def form_clusters(rows: DataFrame, key: str, threshold: float) -> DataFrame:
     """(key, cluster_id): components of rows that are similar; a cluster is named by its smallest id."""
-    links = similar_pairs(rows, key, threshold)
-    return rows.select(key).join(connected_components(links, "a", "b"), F.col(key) == F.col("node"), "left").select(key, F.coalesce("component", key).alias("cluster_id"))
+    return form_clusters_at(rows, key, [threshold])[0]
+
+
+def form_clusters_at(rows: DataFrame, key: str, thresholds: list[float]) -> list[DataFrame]:
+    """``form_clusters`` at each threshold; rows are compared once for all of them."""
+    links, out = joining_links(rows, key, thresholds), []
+    for level in range(len(thresholds)):
+        components = connected_components(links.filter(F.col("level") == level), "a", "b")
+        out.append(rows.select(key).join(components, F.col(key) == F.col("node"), "left").select(key, F.coalesce("component", key).alias("cluster_id")))
+    discard(links)
+    return out
 
 
 def cap_clusters(formed: DataFrame, key: str, most: int) -> DataFrame:

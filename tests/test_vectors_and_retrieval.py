@@ -204,3 +204,22 @@ def test_nested_unit_vectors_are_taken_once(spark):
     rows = rows_of(spark, x).union(spark.createDataFrame([(90, None), (91, [0.0, 0.0])], "id long, vec array<double>"))
     got = {r.id: r.v for r in rows.select("id", normalize(normalize(F.col("vec"))).alias("v")).collect()}
     assert np.allclose([got[i] for i in range(20)], unit(x)) and got[90] is None and got[91] == [0.0, 0.0]
+
+
+def test_joining_links_are_fewer_than_pairs_and_rows_go_to_few_blocks(spark, monkeypatch):
+    """Links grow with the rows, and so does what is sent, where pairs grow with their square."""
+    monkeypatch.setattr(clustering, "BRUTE_FORCE", 20)
+    x = np.random.default_rng(5).normal(size=(900, 6))
+    rows = rows_of(spark, x)
+    sent = clustering._block_pairs(rows, "id", 0.4)
+    assert sent.groupBy("id").count().agg(F.max("count")).first()[0] <= 2 * (clustering.LAYOUT + clustering.PIVOTS)
+    s = np.round(unit(x) @ unit(x).T, 9)
+    levels = [0.4, 0.9, 0.97]
+    links = clustering.joining_links(rows, "id", levels).collect()
+    assert len(links) < 3 * sent.count() and np.triu(s >= 0.4, 1).sum() > 100 * 900 / 2
+    for formed, t in zip(clustering.form_clusters_at(rows, "id", levels), levels, strict=True):
+        least = np.arange(900)
+        while (new := np.where(s >= t, least[None, :], 900).min(axis=1).clip(max=least)).tolist() != least.tolist():
+            least = new
+        got = {r.id: r.cluster_id for r in formed.collect()}
+        assert [got[i] for i in range(900)] == least.tolist()
