@@ -117,9 +117,9 @@ _THRESHOLDS = (0.25, 0.3, 0.35, 0.5)
 
 @query(_profile_sql(_THRESHOLDS))
 def a08_cluster_profile(spark, sf_dir):
-    v, sizes = _vectors(spark, sf_dir), None
-    for t in _THRESHOLDS:
-        s = clustering.form_clusters(v, "vec_id", t).groupBy("cluster_id").agg(F.count("*").alias("size")).withColumn("threshold", F.lit(t))
+    sizes = None
+    for t, formed in zip(_THRESHOLDS, clustering.form_clusters_at(_vectors(spark, sf_dir), "vec_id", list(_THRESHOLDS)), strict=True):
+        s = formed.groupBy("cluster_id").agg(F.count("*").alias("size")).withColumn("threshold", F.lit(t))
         sizes = s if sizes is None else sizes.unionByName(s)
     return rounded(clustering.threshold_profile(sizes, "threshold"))
 
