@@ -278,7 +278,7 @@ _REG = _COMP + ", rg AS (SELECT cluster_id AS registry_id, count(*) AS n_claims,
 
 def _registry(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return retrieval.claim_registry(v.select(F.col("vec_id").alias("claim_id"), F.col("label").alias("cluster_id")), clustering.similar_pairs(v, "vec_id", 0.5))
+    return retrieval.claim_registry(v.select(F.col("vec_id").alias("claim_id"), F.col("label").alias("cluster_id")), clustering.joining_links(v, "vec_id", [0.5]))
 
 
 @query(_REG + " SELECT registry_id, n_claims, array_to_string(clusters, ',') AS clusters FROM rg")
