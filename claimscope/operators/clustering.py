@@ -251,16 +251,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _best(q: np.ndarray, c: np.ndarray, ids: np.ndarray, own: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query place, corpus place, similarity) of the ``k`` best corpus rows of each query, ties to the smaller id; ``ids`` ascend."""
-    found = []
+    """(query place, corpus place, similarity) of the ``k`` best corpus rows of each query, ties to the smaller id; ``ids`` ascend.
+
+    Only rows that may reach the k-th similarity are rounded and sorted: columns are taken ``fold`` at a time, and the k-th of their maxima is at most the k-th similarity.
+    """
+    found, n = [], c.shape[0]
+    fold = max(1, min(64, n // (4 * k)))
+    wide = n // fold
     for lo in range(0, len(q), STEP):
-        s = np.round(q[lo : lo + STEP] @ c.T, 9)
+        s = q[lo : lo + STEP] @ c.T
         if own is not None:
-            s = np.where(ids[None, :] == own[lo : lo + STEP, None], -np.inf, s)
-        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        top = np.take_along_axis(s, order, axis=1)
-        i, j = np.nonzero(top > -np.inf)
-        found.append((i + lo, order[i, j], top[i, j]))
+            at = np.searchsorted(ids, own[lo : lo + STEP])
+            last = np.searchsorted(ids, own[lo : lo + STEP], side="right")
+            for row in np.flatnonzero(last > at):
+                s[row, at[row] : last[row]] = -np.inf
+        tops = s[:, : wide * fold].reshape(len(s), fold, wide).max(axis=1)
+        floor = np.full(len(s), -np.inf) if n <= k else np.partition(tops, wide - k, axis=1)[:, wide - k]
+        i, j = np.divmod(np.flatnonzero(s >= floor[:, None] - 2e-9), n)
+        top = np.round(s[i, j], 9)
+        order = np.lexsort((j, -top, i))
+        i, j, top = i[order], j[order], top[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        keep = (place < k) & (top > -np.inf)
+        found.append((i[keep] + lo, j[keep], top[keep]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0),)
 
 
@@ -299,10 +312,17 @@ def _usable(vector: Column, width: int) -> Column:
     return vector.isNotNull() & (F.size(vector) == width) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
 
 
+def grid(queries: int, corpus: int, width: int) -> tuple[int, int]:
+    """Blocks of queries and of a corpus: few blocks of the corpus, so that queries are sent to as many at every size until a block would have more than BLOCK_BYTES."""
+    most = max(1, BLOCK_BYTES // (8 * max(width, 1)))
+    count = lambda n, few: max(1, min(few, -(-n // BRUTE_FORCE)), -(-n // most))
+    return count(queries, 2 * LAYOUT), count(corpus, LAYOUT // 4)
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, same_key: bool = True, block: int = BROADCAST) -> DataFrame:
     """(q, id, similarity, rank): the k most similar corpus rows (id, v) of each query (q, v), ties to the smaller id; with ``same_key`` a row is not its own answer.
 
-    A corpus of at most ``block`` rows is broadcast and the queries are not shuffled. Beyond that both sides are dealt into blocks: each pair of blocks
+    A corpus of at most ``block`` rows is broadcast and the queries are not shuffled. Beyond that both sides are dealt into blocks by ``grid``: each pair of blocks
     gives at most k rows a query, which are merged. Keys are numbers. Rows without a vector, with a missing or non-finite component, or of another length than the
     corpus's longest take no part.
     """
@@ -316,7 +336,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, same_key: bool = True
         shared = held.sparkSession.sparkContext.broadcast((table.column("id").to_numpy(), c))
         found = asked.mapInArrow(_best_of(shared, k, same_key), schema)
     else:
-        n_q, n_c = (max(1, -(-df.count() // BRUTE_FORCE)) for df in (asked, held))
+        n_q, n_c = grid(asked.count(), held.count(), width)
         number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         left = asked.withColumn("p", F.pmod(F.xxhash64("q"), F.lit(n_q)).cast("int")).withColumn("r", number(n_c))
         right = held.withColumn("r", F.pmod(F.xxhash64("id"), F.lit(n_c)).cast("int")).withColumn("p", number(n_q))

@@ -223,3 +223,41 @@ def test_joining_links_are_fewer_than_pairs_and_rows_go_to_few_blocks(spark, mon
             least = new
         got = {r.id: r.cluster_id for r in formed.collect()}
         assert [got[i] for i in range(900)] == least.tolist()
+
+
+def test_blocks_of_a_search_do_not_multiply_with_its_rows():
+    """Each query goes to every block of the corpus, so what is sent grows with the rows only if the blocks do not."""
+    few, many = clustering.grid(20_000, 20_000, 64), clustering.grid(130_000, 130_000, 64)
+    assert sum(many) <= 2 * clustering.LAYOUT + clustering.LAYOUT // 4 and sum(few) <= sum(many)
+    assert clustering.grid(10**6, 10**6, 64)[1] * clustering.BLOCK_BYTES >= 10**6 * 64 * 8  # bounded blocks
+
+
+@pytest.mark.parametrize("n", [1, 5, 6, 300, 2_000])
+def test_best_rows_of_a_block_equal_a_full_sort(n):
+    rng = np.random.default_rng(n)
+    c, q = unit(rng.normal(size=(n, 4)).round(1) + 0.01), unit(rng.normal(size=(600, 4)).round(1) + 0.01)  # many ties
+    ids, own = np.arange(n) * 3, rng.integers(0, 3 * n, 600)
+    s = np.where(ids[None, :] == own[:, None], -np.inf, np.round(q @ c.T, 9))
+    order = np.argsort(-s, axis=1, kind="stable")[:, :5]
+    want = [(i, int(j)) for i in range(600) for j in order[i] if s[i, j] > -np.inf]
+    i, j, _ = clustering._best(q, c, ids, own, 5)
+    assert list(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
+def test_topic_search_fills_up_from_other_topics(spark):
+    """Topics with fewer posts than asked for, rows without a topic, and many rows of one post."""
+    rng = np.random.default_rng(6)
+    x, k = rng.normal(size=(400, 8)), 6
+    topic = [None if i % 50 == 7 else 0 if i % 80 == 0 else 1 for i in range(400)]
+    post = [1 if i % 4 else i for i in range(400)]
+    corpus = spark.createDataFrame([(i, v.tolist(), t, p) for i, (v, t, p) in enumerate(zip(x, topic, post, strict=True))], "id long, v array<double>, topic int, post long")
+    s = np.round(unit(x) @ unit(x).T, 9)
+    got = {(r.q, r.rank): r.id for r in retrieval.topic_search(corpus.withColumnRenamed("id", "q"), corpus, k).collect()}
+    want = {}
+    for q in range(400):
+        seen: list = []
+        for i in sorted((i for i in range(400) if i != q), key=lambda i: (topic[q] is None or topic[i] != topic[q], -s[q, i], i)):
+            if len(seen) < k and post[i] not in [post[o] for o in seen]:
+                seen.append(i)
+        want |= {(q, r): i for r, i in enumerate(seen, 1)}
+    assert got == want
