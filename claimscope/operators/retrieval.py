@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -65,6 +66,26 @@ def topic_first(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("_o", F.row_number().over(once)).filter("_o = 1").drop("_o").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
 
+def _best_posts(q: np.ndarray, c: np.ndarray, ids: np.ndarray, posts: np.ndarray, own: np.ndarray, k: int) -> list[list[tuple]]:
+    """For each query the ``k`` best (id, post, similarity), a post once and not its own id, ties to the smaller id; ``ids`` ascend. The best rows are taken, more of them while they have too few posts."""
+    out: list[list[tuple]] = [[] for _ in q]
+    open_, depth = np.arange(len(q)), 2 * k
+    while len(open_) and len(ids):
+        i, j, s = clustering._best(q[open_], c, ids, own[open_], min(depth, len(ids)))
+        edges, left = np.searchsorted(i, np.arange(len(open_) + 1)), []
+        for row, at in enumerate(open_):
+            best: dict = {}
+            for x in range(edges[row], edges[row + 1]):
+                best.setdefault(posts[j[x]], (ids[j[x]], posts[j[x]], s[x]))
+                if len(best) == k:
+                    break
+            out[at] = list(best.values())
+            if len(best) < k and depth < len(ids):
+                left.append(at)
+        open_, depth = np.array(left, dtype=np.int64), 8 * depth
+    return out
+
+
 def _topic_blocks(k: int):
     def run(key, queries: pa.Table, corpus: pa.Table) -> pa.Table:
         found = []
@@ -73,16 +94,19 @@ def _topic_blocks(k: int):
             ids, topics, posts = (corpus.column(c).to_numpy() for c in ("id", "topic", "post"))
             qs, own = queries.column("q").to_numpy(), queries.column("topic").to_numpy()
             side = lambda t: t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-            c = side(corpus)
-            for row, q in enumerate(side(queries)):
-                s, same = np.round(c @ q, 9), topics == own[row]
-                taken: set = set()
-                for i in np.lexsort((ids, -s, ~same)):
-                    if len(taken) == k:
-                        break
-                    if ids[i] != qs[row] and posts[i] not in taken:
-                        taken.add(posts[i])
-                        found.append((qs[row], ids[i], posts[i], int(same[i]), s[i]))
+            asks, c = side(queries), side(corpus)
+            missing = pc.is_null(queries.column("topic"), nan_is_null=True).to_numpy()
+            groups = [(t, np.flatnonzero(own == t)) for t in np.unique(own[~missing])] + [(None, np.flatnonzero(missing))]
+            for topic, rows in groups:
+                like = np.zeros(len(ids), dtype=bool) if topic is None else topics == topic
+                taken: list[dict] = [{} for _ in rows]
+                for same, at in ((1, np.flatnonzero(like)), (0, np.flatnonzero(~like))):  # the topic's rows, then the others where posts are wanting
+                    short = np.array([n for n, posts_of in enumerate(taken) if len(posts_of) < k], dtype=np.int64)
+                    for n, best in zip(short, _best_posts(asks[rows[short]], c[at], ids[at], posts[at], qs[rows[short]], k), strict=True):
+                        for id_, post, s in best:
+                            if len(taken[n]) < k:
+                                taken[n].setdefault(post, (qs[rows[n]], id_, post, same, s))
+                found += [x for posts_of in taken for x in posts_of.values()]
         cols = list(zip(*found, strict=True)) if found else [()] * 5
         kinds = [queries.schema.field("q").type, corpus.schema.field("id").type, corpus.schema.field("post").type, pa.int32(), pa.float64()]
         return pa.table({n: pa.array(x, t) for n, x, t in zip(("q", "id", "post", "same_topic", "similarity"), cols, kinds, strict=True)})
@@ -98,7 +122,7 @@ def topic_search(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """
     unit = lambda df, key: df.filter("v is not null").withColumn("v", normalize(F.col("v"))).select(*[F.col(c).alias(c) for c in (key, "v", "topic", *(["post"] if key == "id" else []))])
     asked, held = unit(queries, "q"), unit(corpus, "id")
-    n_q, n_c = (max(1, -(-df.count() // 2_000)) for df in (asked, held))
+    n_q, n_c = clustering.grid(asked.count(), held.count(), held.agg(F.max(F.size("v"))).first()[0] or 0)
     number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.withColumn("p", F.pmod(F.xxhash64("q"), F.lit(n_q)).cast("int")).withColumn("r", number(n_c))
     right = held.withColumn("r", F.pmod(F.xxhash64("id"), F.lit(n_c)).cast("int")).withColumn("p", number(n_q))
