@@ -96,8 +96,12 @@ def clip(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 
 def count_cosine(a: Column, b: Column) -> Column:
-    """Cosine of the word counts of two short word arrays; 0 if a side is empty."""
+    """Cosine of the word counts of two short word arrays; 0 if a side is empty. Both are bound once: named inside the lambdas they would be made anew for every word."""
     times = lambda ws, w: F.size(F.filter(ws, lambda x: x == w)).cast("double")
     total = lambda x, y: F.aggregate(F.array_distinct(x), F.lit(0.0), lambda s, w: s + times(x, w) * times(y, w))
-    norm = F.sqrt(total(a, a)) * F.sqrt(total(b, b))
-    return F.when(norm > 0, total(a, b) / norm).otherwise(0.0)
+
+    def cosine(x: Column, y: Column) -> Column:
+        norm = F.sqrt(total(x, x)) * F.sqrt(total(y, y))
+        return F.when(norm > 0, total(x, y) / norm).otherwise(0.0)
+
+    return F.get(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda p: cosine(p["a"], p["b"])), 0)

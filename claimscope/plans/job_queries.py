@@ -114,9 +114,9 @@ SELECT cluster_id, string_agg(text, chr(10) || chr(10) ORDER BY r) AS text FROM
 def w10_top_posts(spark, sf_dir):
     posts = _posts(spark, sf_dir).filter("text is not null")
     claim = lambda c: ingest.words(F.substring(c, 1, 200))
-    titles = sequences.representative_text(posts, 1).withColumnRenamed("text", "title")
+    titles = sequences.representative_text(posts, 1).select("cluster_id", F.substring("text", 1, 200).alias("title"))  # a row for each of 25 topics, so posts are scored where they are read
     similarity = F.round(count_cosine(claim("text"), claim("title")), 9)
-    return sequences.top_posts(posts.join(titles, "cluster_id").withColumn("similarity", similarity), "cluster_id", 4)
+    return sequences.top_posts(posts.join(F.broadcast(titles), "cluster_id").withColumn("similarity", similarity), "cluster_id", 4)
 
 
 _PEEK = """pk6 AS (SELECT t.*, like_count + retweet_count AS e, z_score_at_detection, detection_time, (floor(epoch(created_at)) - epoch(detection_time)) / 3600 AS h, id % 3 = 0 AS has_url, id % 4 = 0 AS has_media, id % 5 AS n_hashtags, id % 10 = 0 AS verified FROM tweets t JOIN (SELECT cluster_id, detection_time, z_score AS z_score_at_detection FROM detected JOIN scored USING (cluster_id) WHERE timestamp = detection_time) d USING (cluster_id)),

@@ -198,3 +198,13 @@ def test_span_of_the_corpus_equals_its_sql(spark, tmp_path):
         db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
         want = db.sql(SQL["a03_corpus_span"]).fetchall()
     assert [tuple(r) for r in QUERIES["a03_corpus_span"](spark, str(tmp_path)).collect()] == want == [(2, 1704067200, 1704153600)]
+
+
+def test_count_cosine_makes_its_words_once(spark):
+    from claimscope.functions.text import count_cosine
+
+    words = F.split(F.col("text"), " ")
+    assert str(count_cosine(words, F.split(F.col("title"), " "))).count("text") == 1
+    rows = spark.createDataFrame([("a b a", "a c"), ("x", "y"), (None, "a"), ("a b", "b a")], "text string, title string")
+    got = [r[0] for r in rows.select(F.round(count_cosine(words, F.split(F.col("title"), " ")), 6)).collect()]
+    assert got == [round(2 / (5**0.5 * 2**0.5), 6), 0.0, 0.0, 1.0]
