@@ -55,7 +55,7 @@ def hybrid_candidates(queries: DataFrame, corpus: DataFrame, first: int = 20, co
     only = terms.select("q", "w", (F.col("qf") * F.col("idf")).alias("on_part"), F.lit(0.0).alias("on_share"))
     top = postings.search(index, only, 1).select("q", F.when(F.col("part") > 0, F.col("part")).otherwise(1.0).alias("top"))  # a row a query
     length = queries.select("q", F.explode("words").alias("w")).groupBy("q", "w").agg(F.count("*").alias("n")).groupBy("q").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
-    mixed = terms.join(top, "q").join(length, "q").select("q", "w", (F.col("qf") * F.col("idf") / F.col("top")).alias("on_part"), (F.col("qf") / F.col("length")).alias("on_share"))
+    mixed = cut(terms.join(top, "q").join(length, "q").select("q", "w", (F.col("qf") * F.col("idf") / F.col("top")).alias("on_part"), (F.col("qf") / F.col("length")).alias("on_share")))  # read several times, and the first search is behind it
     return postings.search(index, mixed, first, lexical, cos).select("q", "id", F.col("share").alias("cos"), F.col("part").alias("bm25"))
 
 

@@ -261,3 +261,13 @@ def test_topic_search_fills_up_from_other_topics(spark):
                 seen.append(i)
         want |= {(q, r): i for r, i in enumerate(seen, 1)}
     assert got == want
+
+
+def test_hybrid_candidates_search_twice(spark, monkeypatch):
+    """The weights of the second search are a table, so the first search is not run again for each reader of them."""
+    seen = []
+    search = postings.search
+    monkeypatch.setattr(postings, "search", lambda index, weights, *more: seen.append(weights) or search(index, weights, *more))
+    docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c"])], "id long, words array<string>")
+    retrieval.hybrid_candidates(spark.createDataFrame([(7, ["b", "a"])], "q long, words array<string>"), docs).collect()
+    assert len(seen) == 2 and "FlatMapCoGroupsInArrow" not in seen[1]._jdf.queryExecution().toString()
