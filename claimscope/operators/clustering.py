@@ -113,10 +113,14 @@ def _reach(threshold: float) -> float:
     return float(np.arccos(np.clip(threshold - 1e-9, -1, 1))) + 1e-6
 
 
-def _pivots(unit: DataFrame, width: int) -> np.ndarray:
-    """PIVOTS rows that lie far apart, among the SAMPLE rows with the smallest hashes. They steer the work only: no result depends on them."""
+def _sample(unit: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The SAMPLE rows with the smallest hashes, padded to ``width``, and their lengths. They steer the work only: no result depends on them."""
     sample = unit.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column("v").to_pylist()
-    x = np.array([np.pad(np.asarray(v, dtype=np.float64), (0, width - len(v))) for v in sample])
+    return np.array([np.pad(np.asarray(v, dtype=np.float64), (0, width - len(v))) for v in sample]), np.array([len(v) for v in sample])
+
+
+def _pivots(x: np.ndarray) -> np.ndarray:
+    """PIVOTS rows of a sample that lie far apart."""
     chosen, far = [0], np.arccos(np.clip(x @ x[0], -1, 1))
     while len(chosen) < min(PIVOTS, len(x)):
         chosen.append(int(far.argmax()))
@@ -124,8 +128,23 @@ def _pivots(unit: DataFrame, width: int) -> np.ndarray:
     return x[chosen]
 
 
-def _angles(pivots: np.ndarray):
-    """Adds each row's angles to the pivots, its nearest pivot and the angle to that. Shorter vectors are padded with zeros."""
+def _hubs(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a sample in its large components at a threshold, at most LAYOUT of them, and the number of each row's component."""
+    root = np.arange(len(x))
+    for lo in range(0, len(x), STEP):
+        i, j = np.nonzero(x[lo : lo + STEP] @ x.T >= threshold + 1e-9)
+        _join(root, lo + i, j)
+    size = np.bincount(root, minlength=len(x))
+    large = np.flatnonzero(size >= max(2, -(-len(x) // LAYOUT)))
+    rows = np.flatnonzero(np.isin(root, large))
+    return x[rows], np.searchsorted(large, root[rows]).astype(np.int32)
+
+
+def _angles(pivots: np.ndarray, hubs: np.ndarray, parts: np.ndarray, threshold: float):
+    """Adds each row's angles to the pivots, its part, its region (a part's rows about a pivot) and the angle to the nearest pivot. Shorter vectors are padded with zeros.
+
+    A row that is similar to a hub has the hub's part: a part's rows are of one component. Other rows have part -1.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +153,14 @@ def _angles(pivots: np.ndarray):
             x[np.arange(pivots.shape[1])[None, :] < size[:, None]] = flat
             angle = np.arccos(np.clip(x @ pivots.T, -1, 1))
             angles = pa.FixedSizeListArray.from_arrays(pa.array(angle.ravel()), len(pivots)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, angles, pa.array(angle.argmin(axis=1).astype(np.int32)), pa.array(angle.min(axis=1))], ["id", "v", "angles", "region", "near"])
+            part, left = np.full(batch.num_rows, -1, dtype=np.int32), np.flatnonzero(size == pivots.shape[1])
+            for lo in range(0, len(hubs), STEP):
+                hit = x[left] @ hubs[lo : lo + STEP].T >= threshold + 1e-9
+                some = hit.any(axis=1)
+                part[left[some]] = parts[lo + hit[some].argmax(axis=1)]
+                left = left[~some]
+            region = ((part + 1) * len(pivots) + angle.argmin(axis=1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, angles, pa.array(part), pa.array(region), pa.array(angle.min(axis=1))], ["id", "v", "angles", "part", "region", "near"])
 
     return run
 
@@ -153,18 +179,18 @@ def _numbered(most: int):
                 hi = min(lo + most - size, int(np.searchsorted(region, last, side="right")))
                 numbers[lo:hi] = block
                 size, lo = size + hi - lo, hi
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "v", "angles")), pa.array(numbers)], ["id", "v", "angles", "block"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "v", "angles", "part")), pa.array(numbers)], ["id", "v", "angles", "part", "block"])
 
     return run
 
 
 def _within_reach(reach: float, pivots: int):
-    """Pairs of blocks (p <= q) whose angles to every pivot lie within ``reach``, with what each side spans."""
+    """Pairs of blocks (p <= q), not of one part, whose angles to every pivot lie within ``reach``, with what each side spans."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        sides = [(t.column("block").to_numpy(), *(_matrix(t.column(c).combine_chunks()) for c in ("low", "high"))) for t in (left, right)]
-        (p, p_low, p_high), (q, q_low, q_high) = sides
-        near = p[:, None] <= q[None, :]
+        sides = [(t.column("block").to_numpy(), t.column("part").to_numpy(), *(_matrix(t.column(c).combine_chunks()) for c in ("low", "high"))) for t in (left, right)]
+        (p, p_part, p_low, p_high), (q, q_part, q_low, q_high) = sides
+        near = (p[:, None] <= q[None, :]) & ((p_part[:, None] != q_part[None, :]) | (p_part[:, None] < 0))
         for d in range(pivots):
             near &= (p_low[:, d, None] - q_high[None, :, d] <= reach) & (q_low[None, :, d] - p_high[:, d, None] <= reach)
         i, j = np.nonzero(near)
@@ -174,26 +200,39 @@ def _within_reach(reach: float, pivots: int):
     return run
 
 
-def blocks_within_reach(unit: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Unit vectors (id, v) in blocks of neighbours (id, v, angles, block), and the pairs of blocks that may hold similar rows.
+def blocks_within_reach(unit: DataFrame, threshold: float, joined: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Unit vectors (id, v) in blocks of neighbours (id, v, angles, part, block), and the pairs of blocks that may hold similar rows.
 
     The angle between two vectors is at least the difference of their angles to any third. So pairs whose angles to a pivot are farther apart than
-    the threshold's angle are left out.
+    the threshold's angle are left out. With ``joined``, rows that are similar at that threshold to rows of one large component of a sample form a part, and
+    pairs of blocks of one part are left out too: its rows are of one component.
     """
     width = unit.agg(F.max(F.size("v"))).first()[0]
-    pivots = _pivots(unit, width)
-    kind = f"id {unit.schema['id'].dataType.simpleString()}, v array<double>, angles array<double>"
-    placed = unit.mapInArrow(_angles(pivots), f"{kind}, region int, near double")
-    n, order = unit.count(), ("region", "near", "id")
+    sample, length = _sample(unit, width)
+    pivots = _pivots(sample)
+    hubs, parts_of = _hubs(sample[length == width], joined) if joined is not None else (sample[:0], np.zeros(0, dtype=np.int32))
+    kind = f"id {unit.schema['id'].dataType.simpleString()}, v array<double>, angles array<double>, part int"
+    placed = unit.mapInArrow(_angles(pivots, hubs, parts_of, joined or 0.0), f"{kind}, region int, near double")
+    written = []
+    if len(hubs):
+        placed = cut(placed)
+        written = [placed]
+        n, free = placed.agg(F.count("*"), F.count(F.when(F.col("part") < 0, 1))).first()
+        if free <= BRUTE_FORCE:  # one block
+            placed = placed.withColumn("region", F.when(F.col("part") < 0, 0).otherwise(F.col("region")))
+    else:
+        n = unit.count()
+    order = ("region", "near", "id")
     most = _block_rows(n, width)
     parts = max(1, min(LAYOUT // 2, -(-n // (8 * BRUTE_FORCE))), -(-n // (4 * most)) if n > LAYOUT * most else 0)
     blocks = cut(placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_numbered(most), f"{kind}, block long"))
+    discard(*written)
     each = lambda f: F.array(*[f(F.get("angles", F.lit(d))) for d in range(len(pivots))])
-    zones = cut(blocks.groupBy("block").agg(each(F.min).alias("low"), each(F.max).alias("high")))
+    zones = cut(blocks.groupBy("block").agg(F.min("part").alias("part"), each(F.min).alias("low"), each(F.max).alias("high")))
     groups = max(1, -(-zones.count() // ZONES))
     group = F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")
     dealt, others = zones.withColumn("g", group), F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    own = [F.col(c).alias(c) for c in ("block", "low", "high")]
+    own = [F.col(c).alias(c) for c in ("block", "part", "low", "high")]
     left, right = dealt.select(*own, F.col("g"), others.alias("h")), dealt.select(*own, F.col("g").alias("h"), others.alias("g"))
     found = left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInArrow(_within_reach(_reach(threshold), len(pivots)), "p long, q long, " + ", ".join(f"{n} array<double>" for n in ("p_low", "p_high", "q_low", "q_high")))
     return blocks, cut(found)
@@ -206,21 +245,33 @@ def _reaching(blocks: DataFrame, pairs: DataFrame, side: str, other: str, reach:
     return blocks.join(spans, "block").filter(~outside).select(*[F.col(c).alias(c) for c in ("id", "v", "p", "q")])  # attributes of their own on each side
 
 
+def _unit_rows(rows: DataFrame, key: str) -> DataFrame:
+    """Unit vectors (id, v). Rows without a vector, or with a missing or non-finite component, take no part."""
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return rows.filter(F.col(key).isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", bad)).select(F.col(key).alias("id"), normalize(F.col("vec")).alias("v"))
+
+
+def _one_block(unit: DataFrame) -> DataFrame | None:
+    """The rows of ``_block_pairs`` if one block has room for all."""
+    return unit.select("id", "v", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(False).alias("other")) if rows_up_to(unit, BRUTE_FORCE) is not None else None
+
+
+def _sent(blocks: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    left, right = (_reaching(blocks, of, *sides, _reach(threshold)) for of, sides in ((pairs, ("p", "q")), (pairs.filter("p <> q"), ("q", "p"))))
+    return left.withColumn("other", F.lit(False)).unionByName(right.withColumn("other", F.lit(True)))
+
+
 def _block_pairs(rows: DataFrame, key: str, threshold: float) -> DataFrame:
     """Unit vectors (id, v, p, q, other) of each pair of blocks (p, q) that may hold similar rows; of a block with itself only once.
 
     Rows are laid out in blocks of neighbours; pairs of blocks that angles to a few pivots rule out are skipped, and a row goes only to
     blocks that it can reach. Each pair of blocks is one group, so no table is broadcast. There are about LAYOUT blocks and as many as there are pivots at most sizes, so what is sent grows
     with the rows; a block's size is bounded by BLOCK_BYTES.
-    Rows without a vector, or with a missing or non-finite component, take no part.
     """
-    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    unit = rows.filter(F.col(key).isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", bad)).select(F.col(key).alias("id"), normalize(F.col("vec")).alias("v"))
-    if unit.limit(BRUTE_FORCE + 1).count() <= BRUTE_FORCE:  # one block
-        return unit.select("id", "v", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(False).alias("other"))
-    blocks, pairs = blocks_within_reach(cut(unit), threshold)
-    left, right = (_reaching(blocks, of, *sides, _reach(threshold)) for of, sides in ((pairs, ("p", "q")), (pairs.filter("p <> q"), ("q", "p"))))
-    return left.withColumn("other", F.lit(False)).unionByName(right.withColumn("other", F.lit(True)))
+    unit = _unit_rows(rows, key)
+    if (one := _one_block(unit)) is not None:
+        return one
+    return _sent(*blocks_within_reach(cut(unit), threshold), threshold)
 
 
 def similar_pairs(rows: DataFrame, key: str, threshold: float) -> DataFrame:
@@ -237,11 +288,23 @@ def similar_pairs(rows: DataFrame, key: str, threshold: float) -> DataFrame:
 def joining_links(rows: DataFrame, key: str, thresholds: list[float]) -> DataFrame:
     """(level, a, b): for the threshold of each number (level), links that have the components of all its similar pairs, in a table of the shared folder.
 
-    Rows are compared once for all thresholds. A pair of blocks gives fewer links than it has rows, so their number grows with the rows and not with the pairs.
+    Rows are compared once for all thresholds, but not with rows of their own part (``blocks_within_reach``), which the part's smallest id joins: where most rows are
+    of a few large components, the work grows with the rows. A pair of blocks gives fewer links than it has rows, so their number grows with the rows and not with the pairs.
     """
-    kind = rows.schema[key].dataType.simpleString()
-    found = _block_pairs(rows, key, min(thresholds)).groupBy("p", "q").applyInArrow(_joined(thresholds), f"level int, x {kind}, y {kind}")
-    return cut(found.filter("x <> y").select("level", F.col("x").alias("a"), F.col("y").alias("b")), "level")
+    kind, held, unit = rows.schema[key].dataType.simpleString(), [], _unit_rows(rows, key)
+    if (sent := _one_block(unit)) is None:
+        whole = cut(unit)
+        blocks, pairs = blocks_within_reach(whole, min(thresholds), max(thresholds))
+        sent, held = _sent(blocks, pairs, min(thresholds)), [whole, blocks, pairs]
+    found = sent.groupBy("p", "q").applyInArrow(_joined(thresholds), f"level int, x {kind}, y {kind}").filter("x <> y").select("level", F.col("x").alias("a"), F.col("y").alias("b"))
+    if held:
+        parts = blocks.filter("part >= 0")
+        first = F.broadcast(parts.groupBy("part").agg(F.min("id").alias("a")))  # at most LAYOUT rows
+        stars = parts.join(first, "part").filter("a <> id").select(F.explode(F.array(*[F.lit(n) for n in range(len(thresholds))])).alias("level"), "a", F.col("id").alias("b"))
+        found = found.unionByName(stars)
+    out = cut(found, "level")
+    discard(*held)
+    return out
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -219,7 +219,7 @@ def register_claims(claims: DataFrame, state_path: str, checkpoint: str, thresho
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch = cut(batch.select("claim_id", "cluster_id", "vec"))
+        batch = cut(batch.select("claim_id", "cluster_id", "vec").repartition("claim_id"))  # a batch may be one file
         state = _version(batch.sparkSession, state_path, REGISTRY, batch_id - 1)
         known = state.select(F.col("registry_id").alias("cluster_id"), "centroid")
         found = cut(assign(batch, "claim_id", known, threshold).select("claim_id", F.col("cluster_id").alias("registry_id")))

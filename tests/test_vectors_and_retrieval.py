@@ -225,6 +225,33 @@ def test_joining_links_are_fewer_than_pairs_and_rows_go_to_few_blocks(spark, mon
         assert [got[i] for i in range(900)] == least.tolist()
 
 
+@pytest.mark.parametrize("sample", [60, 2_048])
+def test_rows_of_large_components_are_not_compared(spark, monkeypatch, sample):
+    """Two large components, a row that joins them at the lower level only, strays, copies, a zero vector and shorter vectors."""
+    monkeypatch.setattr(clustering, "BRUTE_FORCE", 20)
+    monkeypatch.setattr(clustering, "SAMPLE", sample)
+    rng = np.random.default_rng(6)
+    a, b = np.eye(16)[0], np.eye(16)[1]
+    x = [c + rng.normal(0, 0.2, 16) for c in (a, b) for _ in range(400)] + [(a + b) + rng.normal(0, 0.05, 16)] + list(rng.normal(size=(40, 16)))
+    x += [x[3]] * 30 + [np.zeros(16)] + [np.array(v) for v in ((1.0, 0.0), (1.0, 0.1), (-1.0, 0.5))]
+    ids = [f"k{7 * i % 1009:04d}" for i in range(len(x))]  # in another order than the rows
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)] + [("n", None)], "id string, vec array<double>")
+    v = np.array([np.pad(c / (np.linalg.norm(c) or 1.0), (0, 16 - len(c))) for c in x])
+    same = np.equal.outer([len(c) for c in x], [len(c) for c in x])
+    order = np.argsort(np.argsort(ids))
+    for levels in ([0.6], [0.72, 0.6]):
+        for formed, t in zip(clustering.form_clusters_at(rows, "id", levels), levels, strict=True):
+            near, least = (np.round(v @ v.T, 9) >= t) & same | np.eye(len(x), dtype=bool), order
+            while (new := np.where(near, least[None, :], len(x)).min(axis=1)).tolist() != least.tolist():
+                least = new
+            got = {r.id: r.cluster_id for r in formed.collect()}
+            assert [got[i] for i in ids] == [sorted(ids)[k] for k in least] and got["n"] == "n"
+    blocks, pairs = clustering.blocks_within_reach(rows.filter("vec is not null").select("id", normalize(F.col("vec")).alias("v")), 0.6, 0.6)
+    size, part = ({r[0]: r[1] for r in blocks.groupBy("block").agg(f).collect()} for f in (F.count("*"), F.min("part")))
+    compared = [(p, q) for p, q in pairs.select("p", "q").collect()]
+    assert sum(n for k, n in size.items() if part[k] >= 0) > 700 and not any(part[p] == part[q] >= 0 for p, q in compared)
+
+
 def test_blocks_of_a_search_do_not_multiply_with_its_rows():
     """Each query goes to every block of the corpus, so what is sent grows with the rows only if the blocks do not."""
     few, many = clustering.grid(20_000, 20_000, 64), clustering.grid(130_000, 130_000, 64)
