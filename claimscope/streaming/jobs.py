@@ -187,7 +187,7 @@ def cluster_batches(vectors: DataFrame, state_path: str, checkpoint: str, thresh
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch = cut(batch.select("vec_id", "vec"))
+        batch = cut(batch.select("vec_id", "vec").repartition("vec_id"))  # a batch may be one file
         state = _version(batch.sparkSession, state_path, CLUSTERS, batch_id - 1)
         found = cut(assign(batch, "vec_id", state, threshold))
         old = update_state(state, batch, "vec_id", found)
