@@ -1,6 +1,6 @@
 """An inverted index of word counts with score bounds by block of documents, and the exact best documents from it.
 
-The corpus is tokenised once and dealt into blocks of about ``BLOCK_DOCS`` documents and shards of ``SHARD_BLOCKS`` blocks. A posting list is one row for a word and
+The corpus is tokenised once and written in files of a shard: ``SHARD_BLOCKS`` blocks of ``BLOCK_DOCS`` documents, as they come, so that words are not shuffled. A posting list is one row for a word and
 shard, in order of blocks, and carries for each block the highest BM25 part and the highest share of a document's length. For a query
 the bounds of its words add up to a bound for each block; blocks are scored from the highest bound down until it falls below the k-th score found.
 Groups hold a shard and about ``QUERIES`` queries; lists of words that no query of the group has are not sent.
@@ -15,12 +15,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimscope.session import cut, discard
+from claimscope.session import cut, discard, rows_up_to
 
-BLOCK_DOCS, SHARD_BLOCKS, QUERIES, TASKS = 128, 8, 128, 4_096
+BLOCK_DOCS, SHARD_BLOCKS, QUERIES, WORDS = 128, 8, 128, 65_536  # words: of all groups, that may be broadcast
 
 
 #: What a list holds of a document, and of a block of them: packed, for lists are many and most of them short.
@@ -29,11 +30,10 @@ BOUND = np.dtype([("block", "<i4"), ("size", "<i4"), ("top_part", "<f8"), ("top_
 
 
 class Index(NamedTuple):
-    """Posting lists (w, shard, df, postings, bounds), the number of documents and of shards, and the type of ids."""
+    """Posting lists (w, shard, df, postings, bounds), the number of documents, and the type of ids."""
 
     lists: DataFrame
     documents: int
-    shards: int
     kind: str
 
 
@@ -55,9 +55,9 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
-def _shard_lists(shard: int, rows: list[pa.RecordBatch], avgdl: float, k1: float, b: float) -> pa.RecordBatch | None:
-    """The posting lists of one shard's documents (id, block, words)."""
-    table = pa.Table.from_batches(rows).sort_by("block").combine_chunks()
+def _shard_lists(shard: int, rows: list[pa.RecordBatch], block_docs: int, avgdl: float, k1: float, b: float) -> pa.RecordBatch | None:
+    """The posting lists of one shard's documents (id, words)."""
+    table = pa.Table.from_batches(rows).combine_chunks()
     words = table.column("words").combine_chunks()
     flat, parent = pc.list_flatten(words), pc.list_parent_indices(words)
     known = pc.is_valid(flat)
@@ -69,34 +69,31 @@ def _shard_lists(shard: int, rows: list[pa.RecordBatch], avgdl: float, k1: float
     word, doc = key // docs, key % docs
     norm = np.sqrt(np.bincount(doc, weights=tf.astype(float) ** 2, minlength=docs))
     part, share = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / avgdl)), tf / norm[doc]
-    block = table.column("block").to_numpy()[doc]
+    block = doc // block_docs
     new = np.append(True, (word[1:] != word[:-1]) | (block[1:] != block[:-1]))
     at = np.flatnonzero(new)
     sizes = np.diff(np.append(at, len(word)))
     edges = np.searchsorted(word, np.arange(len(coded.dictionary) + 1))
     postings = _packed(POSTING, edges, id=table.column("id").to_numpy()[doc], part=part, share=share)
     bounds = _packed(BOUND, np.searchsorted(at, edges), block=block[at], size=sizes, top_part=np.maximum.reduceat(part, at), top_share=np.maximum.reduceat(share, at))
-    cols = [coded.dictionary, pa.array(np.full(len(edges) - 1, shard, dtype=np.int32)), pa.array(np.diff(edges).astype(np.int32)), postings, bounds]
+    cols = [coded.dictionary, pa.array(np.full(len(edges) - 1, shard, dtype=np.int64)), pa.array(np.diff(edges).astype(np.int32)), postings, bounds]
     return pa.RecordBatch.from_arrays(cols, ["w", "shard", "df", "postings", "bounds"])
 
 
-def _lists(avgdl: float, k1: float, b: float):
-    """Rows sorted by shard; a shard may straddle batches."""
+def _lists(block_docs: int, blocks: int, avgdl: float, k1: float, b: float):
+    """Each ``blocks`` times ``block_docs`` documents of a partition are a shard; a shard may straddle batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, shard = [], None
+        shard, room, held = TaskContext.get().partitionId() << 32, block_docs * blocks, []
         for batch in batches:
-            shards = batch.column("shard").to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
-            for lo, hi in zip(edges, edges[1:]):
-                if hi > lo and shards[lo] != shard and held:
-                    if (out := _shard_lists(shard, held, avgdl, k1, b)) is not None:
+            while batch.num_rows:
+                held.append(batch.slice(0, room))
+                room, batch = room - held[-1].num_rows, batch.slice(held[-1].num_rows)
+                if not room:
+                    if (out := _shard_lists(shard, held, block_docs, avgdl, k1, b)) is not None:
                         yield out
-                    held = []
-                if hi > lo:
-                    shard = int(shards[lo])
-                    held.append(batch.slice(lo, hi - lo).select(["id", "block", "words"]))
-        if held and (out := _shard_lists(shard, held, avgdl, k1, b)) is not None:
+                    shard, room, held = shard + 1, block_docs * blocks, []
+        if held and (out := _shard_lists(shard, held, block_docs, avgdl, k1, b)) is not None:
             yield out
 
     return run
@@ -105,21 +102,17 @@ def _lists(avgdl: float, k1: float, b: float):
 def build(corpus: DataFrame, k1: float = 1.5, b: float = 0.75) -> Index:
     """Index of a corpus (id, words); ids are numbers and occur once, rows with a null id or null words take no part, null words count in the length only."""
     kind = corpus.schema["id"].dataType.simpleString()
-    tokens = cut(corpus.filter("words is not null and id is not null").select(F.col("id").cast("long").alias("id"), "words"))
+    tokens = cut(corpus.filter("words is not null and id is not null").select(F.col("id").cast("long").alias("id"), "words"), rows=BLOCK_DOCS * SHARD_BLOCKS)
     n, avgdl = tokens.agg(F.count("*"), F.avg(F.size("words"))).first()
-    blocks = max(1, -(-n // BLOCK_DOCS))
-    shards = -(-blocks // SHARD_BLOCKS)
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    dealt = tokens.select("id", "words", block.alias("block")).withColumn("shard", F.floor(F.col("block") / SHARD_BLOCKS).cast("int"))
-    lists = cut(dealt.repartition(min(shards, TASKS), "shard").sortWithinPartitions("shard").mapInArrow(_lists(avgdl or 1.0, k1, b), "w string, shard int, df int, postings binary, bounds binary"))
+    lists = cut(tokens.mapInArrow(_lists(BLOCK_DOCS, SHARD_BLOCKS, avgdl or 1.0, k1, b), "w string, shard long, df int, postings binary, bounds binary"))
     discard(tokens)
-    return Index(lists, n, shards, kind)
+    return Index(lists, n, kind)
 
 
 def term_weights(index: Index, queries: DataFrame, epsilon: float = 0.25) -> DataFrame:
     """(q, w, qf, idf) of the words of queries (q, words) that the index has: idf = ln(N - df + .5) - ln(df + .5), negative ones epsilon times the mean of all words."""
     df = index.lists.groupBy("w").agg(F.sum("df").alias("df"))
-    idf = df.select("w", (F.log(F.lit(index.documents) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    idf = cut(df.select("w", (F.log(F.lit(index.documents) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))  # read for the mean, and for each use of the weights
     mean = idf.agg(F.avg("raw")).first()[0] or 0.0
     qf = queries.filter("q is not null").select("q", F.explode("words").alias("w")).groupBy("q", "w").agg(F.count("*").alias("qf"))
     return qf.join(idf, "w").select("q", "w", "qf", F.when(F.col("raw") < 0, epsilon * F.lit(mean)).otherwise(F.col("raw")).alias("idf"))
@@ -177,10 +170,13 @@ def search(index: Index, weights: DataFrame, k: int, a: float = 1.0, c: float =
 
     ``weights`` is (q, w, on_part, on_share); part and share are the weighted sums over the words of what the posting lists hold.
     """
+    weights = cut(weights)
     groups = max(1, -(-weights.select("q").distinct().count() // QUERIES))
     asked = weights.withColumn("g", F.pmod(F.xxhash64("q"), F.lit(groups)).cast("int"))
-    needed = index.lists.join(asked.select("w", "g").distinct(), "w")
-    everywhere = asked.select(*[F.col(x).alias(x) for x in ("q", "w", "on_part", "on_share", "g")], F.explode(F.sequence(F.lit(0), F.lit(index.shards - 1))).alias("shard"))
+    words = cut(asked.select("w", "g").distinct())
+    needed = index.lists.join(words if rows_up_to(words, WORDS) is None else F.broadcast(words), "w")  # else all lists would be shuffled
+    shards = F.broadcast(index.lists.select(F.col("shard").alias("shard")).distinct())  # a row about a thousand documents
+    everywhere = asked.crossJoin(shards).select(*[F.col(x).alias(x) for x in ("q", "w", "on_part", "on_share", "g", "shard")])
     kind = weights.schema["q"].dataType.simpleString()
     found = needed.groupBy("shard", "g").cogroup(everywhere.groupBy("shard", "g")).applyInArrow(_traverse(k, a, c), f"q {kind}, id long, score double, part double, share double")
     found = found.withColumn("id", F.col("id").cast(index.kind))

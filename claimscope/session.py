@@ -32,13 +32,13 @@ def new_path(spark: SparkSession, name: str = "table") -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, *by: str, compression: str | None = None) -> DataFrame:
-    """Write ``df`` as a table in the shared folder, in folders of the columns ``by``, and return that table: no lineage, computed once, safe from lost executors.
+def cut(df: DataFrame, *by: str, compression: str | None = None, rows: int = 0) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, in folders of the columns ``by`` and files of at most ``rows`` rows (0: any number), and return that table: no lineage, computed once, safe from lost executors.
 
     ``discard`` removes it when nothing that reads it is left to run; tables behind a returned DataFrame stay.
     """
     path = new_path(df.sparkSession)
-    df.write.partitionBy(*by).parquet(path, compression=compression)
+    df.write.partitionBy(*by).option("maxRecordsPerFile", rows).parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _written[out] = path
     return out

@@ -113,6 +113,16 @@ def test_best_bm25_rows_equal_the_join(spark, monkeypatch):
     assert {(r.q, r.id, round(r.norm, 9)) for r in few} == want
 
 
+def test_words_are_not_shuffled_into_posting_lists(spark):
+    """An index is made where the words are read, in shards of a bounded number of documents, and weights stand on a table and not on the lists."""
+    docs = spark.createDataFrame([(i, [f"w{i % 50}", "all"]) for i in range(2_500)], "id long, words array<string>").repartition(2)
+    index = postings.build(docs)
+    parts = index.lists.filter("w = 'all'").select("shard", "df").collect()
+    assert sum(r.df for r in parts) == 2_500 and max(r.df for r in parts) <= postings.BLOCK_DOCS * postings.SHARD_BLOCKS and len({r.shard for r in parts}) == len(parts) >= 3
+    weights = postings.term_weights(index, docs.limit(3).withColumnRenamed("id", "q"))
+    assert weights.inputFiles() and not set(weights.inputFiles()) & set(index.lists.inputFiles())
+
+
 def test_consistency_without_pairs_equals_all_pairs(spark):
     x = np.random.default_rng(4).normal(size=(60, 5))
     grp = np.arange(60) % 7
