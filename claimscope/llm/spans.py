@@ -256,26 +256,31 @@ _FRAGMENT = "doc long, row long, h long, same long, start long, wording binary"
 
 
 def removals(keyed: DataFrame) -> DataFrame:
-    """(doc, row, spans): spans of bytes to remove, as start, end, start, end ..., for texts that have any. ``keyed`` has doc, row and text."""
+    """(doc, row, spans): spans of bytes to remove, as start, end, start, end ..., for texts that have any. ``keyed`` has doc, row and text.
+
+    Each step is a table that replaces the shuffles and tables it was made of, so that the disk holds one step's at a time.
+    """
     broadcast = keyed.sparkSession.sparkContext.broadcast
     texts = keyed.filter("text is not null")
-    cores = cut(texts.select("text").mapInArrow(_cores, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
+    cores = cut(texts.select("text").mapInArrow(_cores, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), free=True)
     bits = bitmap(cores)
     known = broadcast(Filter(bits))
     found = texts.mapInArrow(_fragments(known), _FRAGMENT)
-    found = cut(found if bits is not None else found.join(cores, "h", "left_semi").select(*found.columns), compression="zstd")
+    found = cut(found if bits is not None else found.join(cores, "h", "left_semi").select(*found.columns), compression="zstd", free=True)
+    parts = [found]
     wordings = found.filter("wording is not null").select("h", "same", "wording")
-    hot = cut(wordings.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("h"))
+    hot = cut(wordings.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("h"), free=True)
     if not hot.isEmpty():
         split = broadcast(Filter(bitmap(hot)))
         single = cut(texts.mapInArrow(_fragments(known, split), _FRAGMENT), compression="zstd")
+        parts.append(single)
         found = found.mapInArrow(_outside(split), _FRAGMENT).unionByName(single)
         wordings = found.filter("wording is not null").select("h", "same", "wording")
-    merged = wordings.repartition("h").sortWithinPartitions("h").mapInArrow(_merged, "h long, same long, spans array<int>")
+    merged = cut(wordings.repartition("h").sortWithinPartitions("h").mapInArrow(_merged, "h long, same long, spans array<int>"), compression="zstd", free=True)
     covered = found.select("doc", "row", "start", "h", "same").join(merged, ["h", "same"])
     placed = covered.select("doc", "row", F.transform("spans", lambda x: F.col("start") + x).alias("spans"))
-    gone = cut(placed.groupBy("doc", "row").agg(F.flatten(F.collect_list("spans")).alias("spans")))
-    discard(cores, hot)
+    gone = cut(placed.groupBy("doc", "row").agg(F.flatten(F.collect_list("spans")).alias("spans")), free=True)
+    discard(cores, hot, merged, *parts)
     return gone
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,13 +34,28 @@ def new_path(spark: SparkSession, name: str = "table") -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, *by: str, compression: str | None = None, rows: int = 0) -> DataFrame:
+@contextmanager
+def _freed_shuffles(spark: SparkSession, wanted: bool) -> Iterator[None]:
+    """If ``wanted``, an execution inside removes its shuffle files when it ends, not when the driver's garbage is collected."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    if wanted:
+        spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if wanted:
+            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def cut(df: DataFrame, *by: str, compression: str | None = None, rows: int = 0, free: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder, in folders of the columns ``by`` and files of at most ``rows`` rows (0: any number), and return that table: no lineage, computed once, safe from lost executors.
 
-    ``discard`` removes it when nothing that reads it is left to run; tables behind a returned DataFrame stay.
+    With ``free``, the shuffle files of the write go as soon as the table is there. ``discard`` removes the table when nothing that reads it is left to run; tables behind a returned DataFrame stay.
     """
     path = new_path(df.sparkSession)
-    df.write.partitionBy(*by).option("maxRecordsPerFile", rows).parquet(path, compression=compression)
+    with _freed_shuffles(df.sparkSession, free):
+        df.write.partitionBy(*by).option("maxRecordsPerFile", rows).parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _written[out] = path
     return out

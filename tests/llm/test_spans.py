@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from claimscope import session
 from claimscope.llm import queries, spans
 from tests.llm.helpers import documents, edge_texts
 
@@ -113,3 +117,27 @@ def test_kept_bytes_and_spans(spark):
     rows = {r.doc_id: r for r in spans.remove_repeats(documents(spark, [(1, "one " + same), (2, same + " two"), (3, "three")])).collect()}
     assert bytes(rows[1].kept) == b"one " and [tuple(s) for s in rows[1].spans] == [(4, 254)]
     assert bytes(rows[2].kept) == b" two" and bytes(rows[3].kept) == b"three" and rows[3].spans == []
+
+
+def test_steps_leave_no_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(spans, "HOT", 3)  # so that windows are a table, too
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    rng = random.Random(4)
+    text = lambda size: "".join(rng.choice("abcdefgh ") for _ in range(size))
+    passage = text(230)
+    rows = documents(spark, [(i, text(50) + passage + text(50)) for i in range(60)])
+    gone = spans.removals(rows.select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("row"), "text"))
+    assert len(list(tmp_path.iterdir())) == 1 and gone.count() == 60
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
+def test_cut_frees_its_shuffles(spark):
+    root = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    before = set(root.rglob("shuffle_*.data"))
+    left = lambda: [p for p in root.rglob("shuffle_*.data") if p not in before]
+    counts = session.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")), free=True)
+    end = time.time() + 5
+    while left() and time.time() < end:  # files go in the background
+        time.sleep(0.1)
+    assert not left() and counts.count() == 7
+    session.discard(counts)
