@@ -1,5 +1,7 @@
 """Models, detectors, files, prompts and stateful sinks by values and invariants."""
 
+import gzip
+import hashlib
 import math
 import random
 
@@ -7,9 +9,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from claimscope.functions import digest
 from claimscope.functions import text as T
 from claimscope.operators import anomaly, features, ingest, models, quality
 from claimscope.operators.evaluate import ensembles
+from claimscope.session import cut
 from claimscope.sources import files
 from claimscope.streaming import jobs
 
@@ -154,6 +158,63 @@ def test_file_profile_and_manifest(spark, tmp_path):
     assert {r.status for r in files.check_manifest(spark, str(tmp_path), listed).filter("name like '%.parquet'").collect()} == {"ok"}
 
 
+@pytest.fixture
+def small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(files, "WHOLE", 0, raising=False)
+    monkeypatch.setattr(files, "CHUNK", 1 << 20, raising=False)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 18)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1 << 10)
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_manifest_of_files_in_blocks(spark, tmp_path, small_blocks):
+    rng = random.Random(2)
+    mark = b"\xef\xbb\xbf"
+    have = {
+        "random": rng.randbytes(3_000_000), "long lines": b"\n".join(rng.randbytes(700_000).replace(b"\n", b"x") for _ in range(6)), "one line": bytes(2_500_000), "breaks": b"\n" * 600_000, "returns": b"a\r\n\r\rb" * 100_000,
+        "mark": mark + b"a,b\n1,2\n", "mark, no break": mark + rng.randbytes(900_000) + b"x", "marks": mark * 3 + b"\n" + mark, "only mark": mark, "mark and break": mark + b"\n", "break": b"\n", "one": b"x", "half mark": mark[:2],
+        "sub folder/a%20b é=1.csv": b"x\n" * 200_000, "sub folder/text.gz": gzip.compress(b"text " * 1000), "no.gz": b"plain\n" * 50_000, "sub folder/same": b"\n\nx" * 1000, "same": b"\n\nx" * 1000,
+    }
+    for name, data in have.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    got = [tuple(r) for r in files.manifest(spark, str(tmp_path), "*").collect()]
+    assert sorted(got) == sorted((name, hashlib.sha256(data).hexdigest()) for name, data in have.items())
+
+
+def test_no_task_reads_a_whole_large_file(spark, tmp_path, small_blocks, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/large").write_bytes(random.Random(3).randbytes(6 << 20))
+    rounds = []
+    monkeypatch.setattr(files, "cut", lambda df, *by, **kw: rounds.append(df.columns) or cut(df, *by, **kw), raising=False)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 5 << 20)
+    try:
+        with pytest.raises(Exception, match="maxLength|exceeds"):
+            spark.read.format("binaryFile").load(str(tmp_path / "in")).select("content").collect()  # what reads a whole file fails
+        assert files.manifest(spark, str(tmp_path / "in"), "*").first().digest == hashlib.sha256((tmp_path / "in/large").read_bytes()).hexdigest()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert rounds.count(["path", "state"]) == 6  # of a chunk each
+
+
+@pytest.mark.parametrize("library", [True, False])
+def test_sha256_goes_on_from_its_state(monkeypatch, library):
+    if not library:
+        monkeypatch.setattr(digest, "_library", lambda: None)
+    rng = random.Random(1)
+    for size in (0, 1, 55, 56, 63, 64, 65, 119, 120, 128, 1000):
+        data, at, state = rng.randbytes(size), 0, None
+        while True:
+            h, step = digest.Sha256(state), rng.choice([0, 1, 5, 63, 64, 65, 200])
+            h.update(data[at : at + step])
+            at, state = at + step, h.state()
+            if at >= size:
+                break
+        assert digest.Sha256(state).hexdigest() == h.hexdigest() == hashlib.sha256(data).hexdigest()
+
+
 def test_conformance_counts_nulls(spark):
     df = spark.createDataFrame([(1, None), (2, "a")], "id long, t string")
     got = {r["column"]: (r.status, r.n_rows, r.n_null) for r in quality.conformance(df, {"id": "bigint", "t": "int", "no": "int"}, 1).collect()}
