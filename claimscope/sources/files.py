@@ -15,7 +15,7 @@ from claimscope.functions.digest import Sha256
 from claimscope.session import cut, discard
 
 #: Bytes of a file that one task reads and hashes whole, of a file in one round, and of a piece; and names that Spark's reader of lines takes for compressed.
-WHOLE, CHUNK, PIECE = 128 << 20, 128 << 20, 1 << 20
+WHOLE, CHUNK, PIECE = 128 << 20, 128 << 20, 1 << 16
 PACKED = r"(?i)\.(gz|bz2|deflate|lz4|snappy|zst|zstd|passthrough)$"
 
 _NULL, _EMPTY = "\\N", "\u0001"
