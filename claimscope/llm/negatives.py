@@ -6,10 +6,12 @@
 2. An ask is a query vector with a window of scores and a wish for its own label or for others. Interval arithmetic over the zone maps bounds the scores that
    a block can give: the sum over dimensions of q * low or q * high. Blocks whose interval misses the window or whose labels don't fit are not read.
 3. The rest is read in two passes: first the ``FIRST`` blocks with the highest bounds in each group of zone maps; then those whose bound reaches the
-   k-th score found so far. Only folders with chosen blocks are read.
+   k-th score found so far. Only folders with chosen blocks are read. What a pass chooses is a bit for each block and ask; vectors are not repeated there.
+   A folder's chosen blocks meet a chunk's asks as one group, which keeps the k best rows of an ask.
 4. Positives are asks for an anchor's own label without a window; each positive then gives an ask for other labels with its window.
 
-Zone maps and asks meet in groups of bounded size (``GROUP`` blocks, ``CHUNK`` asks), so nothing is broadcast and no group grows with the table.
+Zone maps and asks meet in groups of bounded size (``GROUP`` blocks, ``CHUNK`` asks), and so do blocks and asks (``PART_ROWS`` rows, ``CHUNK`` asks), ``SLICE`` asks at a time. No group grows with
+the table; lists of pairs are broadcast up to ``PAIRS`` rows.
 
 Defined cases: rows with a null id or label, a null vector or a null or non-finite component take no part; shorter vectors count as padded with
 zeros; rows with a repeated id are candidates each, an anchor's own id is never its positive or negative, and a repeated anchor id is asked once, with its
@@ -30,11 +32,11 @@ from claimscope.llm.hashing import few_rows
 from claimscope.llm.topk import quantise, usable
 from claimscope.session import cut, discard, rows_up_to
 
-BLOCK_ROWS, PART_ROWS, GROUP, CHUNK, FIRST = 1_024, 1 << 14, 2_048, 512, 4
+BLOCK_ROWS, PART_ROWS, GROUP, CHUNK, SLICE, FIRST, PAIRS = 1_024, 1 << 14, 2_048, 1 << 14, 256, 4, 4_096
 CURVE_DIMS, CURVE_BITS, FOLDERS, ANY = 8, 4, 10_000, 1 << 62
 
 _BLOCK = "part int, block long, low_label long, high_label long, low array<long>, high array<long>, ids array<long>, labels array<long>, v array<long>"
-_NEED = "part int, block long, anchor array<long>, slot array<int>, label array<long>, q array<long>, least array<long>, most array<long>, reached array<long>"
+_NEED = "part int, chunk int, block long, asked binary"
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -127,80 +129,105 @@ def intervals(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndar
     return least - slack, most + slack
 
 
+def _in_order(asks: pa.Table) -> pa.Table:
+    """Asks of a chunk as the bits of ``asked`` count them."""
+    return asks.sort_by([("anchor", "ascending"), ("slot", "ascending")]).combine_chunks()
+
+
 def _choose(same: bool, again: bool, dim: int):
-    """For a group of zone maps and a chunk of asks: each block with the asks that must read it, in the first pass or again."""
+    """For a group of zone maps and a chunk of asks: each block with a bit for each ask that must read it, in the first pass or again."""
 
     def run(key, zones: pa.Table, asks: pa.Table) -> pa.Table:
-        out = []
+        zones, asks = zones.sort_by("block"), _in_order(asks)
+        taken = np.zeros((len(asks), len(zones)), dtype=bool)
         if len(zones) and len(asks):
-            zones, asks = zones.sort_by("block"), asks.combine_chunks()
-            q = _matrix(asks.column("q"), dim)
-            least, most = intervals(q, _matrix(zones.column("low"), dim), _matrix(zones.column("high"), dim))
+            lowest, highest = (_matrix(zones.column(c), dim) for c in ("low", "high"))
             low, high = (zones.column(c).to_numpy()[None, :] for c in ("low_label", "high_label"))
-            own, floor, ceil = (asks.column(c).to_numpy()[:, None] for c in ("label", "least", "most"))
-            fits = (low <= own) & (own <= high) if same else (low != own) | (high != own)
-            fits &= (most >= floor) & (least <= ceil)
-            best = np.where(fits, np.minimum(most, ceil), -np.inf)
-            first = np.zeros(best.shape, dtype=bool)
-            np.put_along_axis(first, np.argsort(-best, axis=1, kind="stable")[:, :FIRST], True, axis=1)
-            take = fits & ~first & (best >= asks.column("reached").to_numpy()[:, None]) if again else fits & first
-            parts, blocks = zones.column("part").to_pylist(), zones.column("block").to_pylist()
-            for b in np.flatnonzero(take.any(axis=0)).tolist():
-                at = pa.array(np.flatnonzero(take[:, b]))
-                lists = {c: asks.column(c).take(at).to_numpy() for c in ("anchor", "slot", "label", "least", "most", "reached")}
-                out.append({"part": parts[b], "block": blocks[b], **lists, "q": q[at.to_numpy()].ravel()})
-        kinds = [("part", pa.int32()), ("block", pa.int64()), *((c, pa.list_(pa.int32() if c == "slot" else pa.int64())) for c in ("anchor", "slot", "label", "q", "least", "most", "reached"))]
-        return pa.table({c: pa.array([r[c] for r in out], k) for c, k in kinds})
+            for lo in range(0, len(asks), SLICE):
+                some = asks.slice(lo, SLICE).combine_chunks()
+                least, most = intervals(_matrix(some.column("q"), dim), lowest, highest)
+                own, floor, ceil = (some.column(c).to_numpy()[:, None] for c in ("label", "least", "most"))
+                fits = (low <= own) & (own <= high) if same else (low != own) | (high != own)
+                fits &= (most >= floor) & (least <= ceil)
+                best = np.where(fits, np.minimum(most, ceil), -np.inf)
+                first = np.zeros(best.shape, dtype=bool)
+                np.put_along_axis(first, np.argsort(-best, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+                taken[lo : lo + SLICE] = fits & ~first & (best >= some.column("reached").to_numpy()[:, None]) if again else fits & first
+        need = np.flatnonzero(taken.any(axis=0))
+        asked = pa.array([np.packbits(taken[:, b]).tobytes() for b in need.tolist()], pa.binary())
+        chunk = pa.array(np.full(len(need), key[1].as_py(), dtype=np.int32))
+        return pa.table([zones.column("part").take(pa.array(need)), chunk, zones.column("block").take(pa.array(need)), asked], ["part", "chunk", "block", "asked"])
 
     return run
 
 
 def _scan(same: bool, k: int, dim: int):
-    """Rows that pair a block with the asks that read it: each ask's k best rows of the block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for large in batches:
-            for batch in few_rows([large], 1):
-                ids, labels, anchor, slot, own, least, most, reached = (batch.column(c).flatten().to_numpy()[None, :] for c in ("ids", "labels", "anchor", "slot", "label", "least", "most", "reached"))
-                x, q = (batch.column(c).flatten().to_numpy().reshape(-1, dim) for c in ("v", "q"))
-                exact = np.abs(x).max(initial=0).astype(float) * np.abs(q).max(initial=0).astype(float) * dim < 2.0**52
-                score = (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64) if exact else q @ x.T
-                fits = (labels == own.T) if same else (labels != own.T)
-                fits &= (ids != anchor.T) & (score >= np.maximum(least, reached).T) & (score <= most.T)
-                ask, row = np.nonzero(fits)
-                score = score[ask, row]
-                order = np.lexsort((ids[0, row], -score, ask))
-                ask, row, score = ask[order], row[order], score[order]
-                new = np.searchsorted(ask, ask)  # where this ask's rows begin
-                keep = np.arange(len(ask)) - new < k
-                cols = [anchor[0, ask[keep]], slot[0, ask[keep]], ids[0, row[keep]], score[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "slot", "vec_id", "score"])
+    """For chosen blocks of a folder and a chunk of asks: each ask's k best rows of the blocks that it must read."""
+
+    def run(key, blocks: pa.Table, asks: pa.Table) -> pa.Table:
+        asks = _in_order(asks)
+        anchor, slot, own, least, most, reached = (asks.column(c).to_numpy() for c in ("anchor", "slot", "label", "least", "most", "reached"))
+        q, n = _matrix(asks.column("q"), dim), len(asks)
+        widest, floor = np.abs(q.astype(np.float64)).max(initial=0), np.maximum(least, reached)
+        score, row_id, count = np.zeros((n, k), dtype=np.int64), np.zeros((n, k), dtype=np.int64), np.zeros(n, dtype=np.int64)
+        for block in blocks.sort_by("block").to_batches(max_chunksize=1) if n else ():
+            ids, labels, x = (block.column(c).flatten().to_numpy() for c in ("ids", "labels", "v"))
+            x = x.reshape(-1, dim)
+            most_sum = widest * np.abs(x.astype(np.float64)).max(initial=0) * dim
+            exact = np.float32 if most_sum < 2.0**23 else np.float64 if most_sum < 2.0**52 else np.int64  # in which sums are whole numbers
+            x = x.T.astype(exact)
+            asked = np.flatnonzero(np.unpackbits(np.frombuffer(block.column("asked")[0].as_py(), dtype=np.uint8), count=n))
+            for lo in range(0, len(asked), SLICE):
+                at = asked[lo : lo + SLICE]
+                product = q[at].astype(exact) @ x
+                ask, row = np.nonzero(product >= floor[at].astype(exact)[:, None])
+                found, whose = product[ask, row].astype(np.int64), at[ask]
+                fits = (found >= floor[whose]) & (found <= most[whose]) & (ids[row] != anchor[whose]) & ((labels[row] == own[whose]) == same)
+                old, place = np.nonzero(np.arange(k) < count[at][:, None])
+                ask, found, new = np.append(ask[fits], old), np.append(found[fits], score[at[old], place]), np.append(ids[row[fits]], row_id[at[old], place])
+                order = np.lexsort((new, -found, ask))
+                ask, found, new = ask[order], found[order], new[order]
+                place = np.arange(len(ask)) - np.searchsorted(ask, ask)
+                ask, found, new, place = (c[place < k] for c in (ask, found, new, place))
+                score[at[ask], place], row_id[at[ask], place] = found, new
+                count[at] = np.bincount(ask, minlength=len(at))
+                full = at[count[at] == k]
+                floor[full] = np.maximum(floor[full], score[full, k - 1])
+        ask, place = np.nonzero(np.arange(k) < count[:, None])
+        cols = [anchor[ask], slot[ask], row_id[ask, place], score[ask, place]]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["anchor", "slot", "vec_id", "score"])
 
     return run
 
 
 def search(blocks: DataFrame, asks: DataFrame, dim: int, same: bool, k: int) -> DataFrame:
-    """(anchor, slot, rank, vec_id, score): the k best rows for each ask (anchor, slot, label, q, least, most), of its own label or, if not ``same``, of others."""
+    """(anchor, slot, rank, vec_id, score): the k best rows for each ask (anchor, slot, label, q, least, most), of its own label or, if not ``same``, of others.
+
+    An anchor and slot occur once.
+    """
     everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     deal = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    few = lambda pairs: pairs if rows_up_to(pairs, PAIRS) is None else F.broadcast(pairs)
     groups, chunks = max(1, -(-blocks.count() // GROUP)), max(1, -(-asks.count() // CHUNK))
     zones = blocks.select("part", "block", "low_label", "high_label", "low", "high", deal(groups, "block").alias("group"), everywhere(chunks).alias("chunk"))
-    ask = lambda a: a.withColumn("chunk", deal(chunks, "anchor")).withColumn("group", everywhere(groups)).groupBy("group", "chunk")
     ranked = F.row_number().over(Window.partitionBy("anchor", "slot").orderBy(F.desc("score"), "vec_id"))
 
     def read(asks: DataFrame, again: bool) -> DataFrame:
-        needs = cut(zones.groupBy("group", "chunk").cogroup(ask(asks)).applyInArrow(_choose(same, again, dim), _NEED))
-        folders = needs.select("part").distinct()
+        needs = cut(zones.groupBy("group", "chunk").cogroup(asks.withColumn("group", everywhere(groups)).groupBy("group", "chunk")).applyInArrow(_choose(same, again, dim), _NEED))
+        folders, cells = needs.select("part").distinct(), needs.select(F.col("part").alias("part"), F.col("chunk").alias("chunk")).distinct()
         table = blocks.filter(F.col("part").isin([r.part for r in folders.collect()])) if rows_up_to(folders, FOLDERS) is not None else blocks
-        pairs = table.select("block", "ids", "labels", "v").join(needs.drop("part"), "block")
-        found = cut(pairs.mapInArrow(_scan(same, k, dim), "anchor long, slot int, vec_id long, score long"))
+        chosen = table.select("block", "ids", "labels", "v").join(few(needs), "block").groupBy("part", "chunk")
+        asking = asks.join(few(cells), "chunk").groupBy("part", "chunk")
+        found = cut(chosen.cogroup(asking).applyInArrow(_scan(same, k, dim), "anchor long, slot int, vec_id long, score long"))
         discard(needs)
         return found
 
+    asks = asks.withColumn("chunk", deal(chunks, "anchor"))
     first = read(asks.withColumn("reached", F.lit(-ANY)), False)
     kth = first.withColumn("rank", ranked).filter(F.col("rank") == k).select("anchor", "slot", F.col("score").alias("reached"))
-    again = asks.join(kth, ["anchor", "slot"], "left").withColumn("reached", F.coalesce("reached", F.lit(-ANY)))
+    again = cut(asks.join(kth, ["anchor", "slot"], "left").withColumn("reached", F.coalesce("reached", F.lit(-ANY))))
     rest = read(again, True)
+    discard(again)
     return first.unionByName(rest).withColumn("rank", ranked).filter(F.col("rank") <= k).select("anchor", "slot", "rank", "vec_id", "score")
 
 
@@ -216,7 +243,7 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
     dim = max(dim, 1)
     rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(dim) - F.size("v"))))
     blocks = write_blocks(rows.select("vec_id", "label", "v"), dim, block_rows)
-    anchors = rows.filter("asked").groupBy(F.col("vec_id").alias("anchor")).agg(F.min(F.struct("label", F.col("v").alias("q"))).alias("a")).select("anchor", "a.label", "a.q")
+    anchors = cut(rows.filter("asked").groupBy(F.col("vec_id").alias("anchor")).agg(F.min(F.struct("label", F.col("v").alias("q"))).alias("a")).select("anchor", "a.label", "a.q"))
     wide = anchors.withColumns({"slot": F.lit(0), "least": F.lit(-ANY), "most": F.lit(ANY)})
     near = cut(search(blocks, wide, dim, True, positives).select("anchor", F.col("rank").alias("slot"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")))
     least = F.ceil(F.col("positive_score").cast("decimal(20,0)") * 4 / 5).cast("long")

@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,57 @@ def test_blocks_out_of_reach_are_not_read(spark, monkeypatch):
     monkeypatch.setattr(negatives, "cut", seen)
     assert negatives.search(blocks, asks, 20, True, 5).count() == 100
     assert sum(read) <= 20 * (negatives.FIRST + 5) < 20 * blocks.count() / 3
+
+
+def test_chosen_pairs_are_bits_and_each_ask_gets_its_best_rows():
+    """Vectors that no bound rules out: what is chosen does not repeat the asks' vectors, so it stays small."""
+    rng = np.random.default_rng(8)
+    dim, k, n_asks, n_blocks = 64, 5, 700, 40
+    x, labels, q = rng.integers(-99, 99, (n_blocks, 16, dim)), rng.integers(0, 3, (n_blocks, 16)), rng.integers(-99, 99, (n_asks, dim))
+    anchor, own = rng.permutation(n_asks), rng.integers(0, 3, n_asks)
+    lists = lambda a: pa.array(a.tolist(), pa.list_(pa.int64()))
+    zones = pa.table({"part": pa.array([7] * n_blocks, pa.int32()), "block": range(n_blocks), "low_label": labels.min(axis=1), "high_label": labels.max(axis=1), "low": lists(x.min(axis=1)), "high": lists(x.max(axis=1))})
+    asks = pa.table({"anchor": anchor, "slot": pa.array([0] * n_asks, pa.int32()), "label": own, "q": lists(q), "least": [-negatives.ANY] * n_asks, "most": [negatives.ANY] * n_asks, "reached": [-negatives.ANY] * n_asks})
+    key = pa.scalar(0, pa.int32()), pa.scalar(2, pa.int32())
+    first, rest = (negatives._choose(False, again, dim)(key, zones, asks) for again in (False, True))
+    assert first.nbytes + rest.nbytes < n_asks * n_blocks
+    blocks = {"ids": lists(np.arange(n_blocks * 16).reshape(n_blocks, 16)), "labels": lists(labels), "v": lists(x.reshape(n_blocks, -1))}
+    got = []
+    for chosen in (first, rest):
+        assert set(chosen.column("chunk").to_pylist()) == {2} and set(chosen.column("part").to_pylist()) == {7}
+        read = chosen
+        for name, values in blocks.items():
+            read = read.append_column(name, values.take(chosen.column("block")))
+        found = negatives._scan(False, k, dim)(key, read.take(list(range(len(read)))[::-1]), asks.take(rng.permutation(n_asks)))
+        got += zip(*(found.column(c).to_pylist() for c in ("anchor", "score", "vec_id")), strict=True)
+    score, where = np.einsum("qd,rd->qr", q, x.reshape(-1, dim)), labels.ravel()
+    for a, i in enumerate(anchor.tolist()):
+        want = sorted((-int(score[a, r]), r) for r in range(n_blocks * 16) if where[r] != own[a] and r != i)[:k]
+        assert sorted((-s, r) for j, s, r in got if j == i)[:k] == want
+
+
+def test_pairs_beyond_the_broadcast_bound_are_joined(spark, monkeypatch):
+    for name, value in (("PAIRS", 0), ("SLICE", 3), ("CHUNK", 8), ("PART_ROWS", 64)):
+        monkeypatch.setattr(negatives, name, value)
+    rows = vectors(2, n=120)
+    assert sorted(tuple(r) for r in negatives.mine(table(spark, rows), F.col("vec_id") % 10 == 0, block_rows=16).collect()) == plain(rows, lambda i: i % 10 == 0)
+
+
+def test_asks_are_chosen_for_few_blocks_where_bounds_tell(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, [10.0 * (i % 20 == d) + rng.gauss(0, 0.01) for d in range(20)], i % 2) for i in range(2000)]
+    usable = table(spark, rows).select("vec_id", F.col("label").cast("long").alias("label"), negatives.quantise(F.col("embedding"), 256).alias("v"))
+    blocks = negatives.write_blocks(usable, 20, 50)
+    asks = usable.filter("vec_id < 20").select(F.col("vec_id").alias("anchor"), F.lit(0).alias("slot"), "label", F.col("v").alias("q"), F.lit(-negatives.ANY).alias("least"), F.lit(negatives.ANY).alias("most"))
+    chosen = []
+    true_cut = negatives.cut
+
+    def seen(df, *by):
+        out = true_cut(df, *by)
+        if "asked" in out.columns:
+            chosen.extend(sum(byte.bit_count() for byte in r.asked) for r in out.select("asked").collect())
+        return out
+
+    monkeypatch.setattr(negatives, "cut", seen)
+    assert negatives.search(blocks, asks, 20, True, 5).count() == 100
+    assert 20 <= sum(chosen) <= 20 * (negatives.FIRST + 5) < 20 * blocks.count() / 3
