@@ -103,19 +103,18 @@ def w09_representative_text(spark, sf_dir):
     return sequences.representative_text(_posts(spark, sf_dir))
 
 
-_CLAIM = r"regexp_extract_all(lower(substr({0}, 1, 200)), '\p{{L}}+')"
+_WORDS = r"regexp_extract_all(lower({0}), '\p{{L}}+')"
 _COUNTS = "list_sum(list_transform(list_distinct({0}), lambda w: len(list_filter({0}, lambda x: x = w)) * len(list_filter({1}, lambda x: x = w))))"
 
 
 @query(f"""WITH {_POSTS}, f AS (SELECT cluster_id, text AS title FROM ps WHERE length(trim(text)) > 0 QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY created_at, id) = 1),
-s AS (SELECT id, cluster_id, text, {_CLAIM.format('text')} AS a, {_CLAIM.format('title')} AS b FROM ps JOIN f USING (cluster_id) WHERE text IS NOT NULL),
+s AS (SELECT id, cluster_id, text, {_WORDS.format('text')} AS a, {_WORDS.format('title')} AS b FROM ps JOIN f USING (cluster_id) WHERE text IS NOT NULL),
 r AS (SELECT cluster_id, text, row_number() OVER (PARTITION BY cluster_id ORDER BY round(coalesce({_COUNTS.format('a', 'b')} / nullif(sqrt({_COUNTS.format('a', 'a')}) * sqrt({_COUNTS.format('b', 'b')}), 0), 0), 9) DESC, id) AS r FROM s)
 SELECT cluster_id, string_agg(text, chr(10) || chr(10) ORDER BY r) AS text FROM r WHERE r <= 4 GROUP BY cluster_id""")
 def w10_top_posts(spark, sf_dir):
     posts = _posts(spark, sf_dir).filter("text is not null")
-    claim = lambda c: ingest.words(F.substring(c, 1, 200))
-    titles = sequences.representative_text(posts, 1).select("cluster_id", F.substring("text", 1, 200).alias("title"))  # a row for each of 25 topics, so posts are scored where they are read
-    similarity = F.round(count_cosine(claim("text"), claim("title")), 9)
+    titles = sequences.representative_text(posts, 1).select("cluster_id", ingest.words(F.col("text")).alias("title"))  # a row for each of 25 topics, so posts are scored where they are read
+    similarity = F.round(count_cosine(ingest.words(F.col("text")), F.col("title")), 9)
     return sequences.top_posts(posts.join(F.broadcast(titles), "cluster_id").withColumn("similarity", similarity), "cluster_id", 4)
 
 

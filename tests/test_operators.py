@@ -208,3 +208,30 @@ def test_count_cosine_makes_its_words_once(spark):
     rows = spark.createDataFrame([("a b a", "a c"), ("x", "y"), (None, "a"), ("a b", "b a")], "text string, title string")
     got = [r[0] for r in rows.select(F.round(count_cosine(words, F.split(F.col("title"), " ")), 6)).collect()]
     assert got == [round(2 / (5**0.5 * 2**0.5), 6), 0.0, 0.0, 1.0]
+
+
+def test_top_posts_are_judged_by_whole_texts(spark, tmp_path):
+    """Posts and title begin with the same 350 characters and differ after them."""
+    import duckdb
+
+    from claimscope.plans.all import QUERIES, SQL
+
+    tails = {0: "flood closes old bridge", 25: "", 50: "match ends in draw", 75: "bridge", 100: "flood closes old bridge", 125: "flood closes road", 150: None}
+    rows = [(i, None if t is None else "word " * 70 + (t + " ") * 20) for i, t in tails.items()] + [(1, " "), (26, "Alone")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = sorted(db.sql(SQL["w10_top_posts"]).fetchall())
+    text = dict(rows)
+    assert sorted(tuple(r) for r in QUERIES["w10_top_posts"](spark, str(tmp_path)).collect()) == want == [(0, "\n\n".join(text[i] for i in (0, 100, 125, 75))), (1, "Alone\n\n ")]
+
+
+def test_count_cosine_of_long_texts(spark):
+    """30,000 different words a side; a pass over the words for each of them would take hours."""
+    from claimscope.functions.text import count_cosine
+
+    n = 30_000
+    rows = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(2 * n - 1)), lambda i: F.concat(F.lit("w"), i % n)).alias("a"), F.transform(F.sequence(F.lit(n // 2), F.lit(n // 2 + n - 1)), lambda i: F.concat(F.lit("w"), i)).alias("b"))
+    assert rows.select(F.round(count_cosine(F.col("a"), F.col("b")), 9)).first()[0] == 0.5
+    few = spark.createDataFrame([(["x", None, "ab", "a", "x"], [None, "x", "b"]), ([None], [None]), ([], ["a"])], "a array<string>, b array<string>")
+    assert [r[0] for r in few.select(F.round(count_cosine(F.col("a"), F.col("b")), 6)).collect()] == [round(2 / (6**0.5 * 2**0.5), 6), 0.0, 0.0]
